@@ -145,3 +145,31 @@ def unpacked(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
     """The items of all values of a binary column behind each other, and the number of items of each value."""
     parts = [np.frombuffer(x.as_buffer(), dtype) if x.is_valid else np.zeros(0, dtype) for x in column]
     return (np.concatenate(parts) if parts else np.zeros(0, dtype)), np.array([len(x) for x in parts], np.int64)
+
+
+def packed_order(*fields: tuple[np.ndarray, int]) -> np.ndarray:
+    """Stable order by the fields, each (non-negative values, bits). Fields that fit one word with the position are sorted as that word."""
+    n = len(fields[0][0])
+    place = max(1, int(n).bit_length())
+    if sum(bits for _, bits in fields) + place > 64:
+        return np.lexsort([x for x, _ in reversed(fields)])
+    word = np.zeros(n, np.uint64)
+    for x, bits in fields:
+        word = (word << np.uint64(bits)) | x.astype(np.uint64)
+    word = np.sort((word << np.uint64(place)) | np.arange(n, dtype=np.uint64))
+    return (word & np.uint64((1 << place) - 1)).astype(np.int64)
+
+
+def key_order(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Stable order of hashed keys of `bits` bits: by their upper bits and position as one word; the few ties of unequal keys are mended."""
+    n = len(keys)
+    place = max(1, int(n).bit_length())
+    lost = max(0, bits + place - 64)
+    upper = keys >> np.uint64(lost)
+    order = packed_order((upper, bits - lost))
+    if lost and n > 1:
+        top, k = upper[order], keys[order]
+        for at in np.unique(top[1:][(top[1:] == top[:-1]) & (k[1:] != k[:-1])]):
+            a, b = np.searchsorted(top, [at, at + np.uint64(1)])
+            order[a:b] = order[a:b][np.argsort(keys[order[a:b]], kind="stable")]
+    return order

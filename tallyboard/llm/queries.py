@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyboard.llm import decontaminate, hilbert_shards, quality_rules
+from tallyboard.llm import decontaminate, hilbert_shards, quality_rules, substring_dedup, suffix_dedup
 from tallyboard.llm.common import table
 
 
@@ -16,15 +16,23 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_hilbert_shards, op10_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_hilbert_shards, op8_suffix_dedup, op10_decontaminate)}
 
 ORACLE_SQL = {
     "op1_quality_rules": r"""
@@ -44,6 +52,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT (base_failed OR word_chars < 3 * n OR word_chars > 10 * n OR 10 * n_symbols > n OR 100 * capitals > 35 * greatest(word_chars, 1)
     OR 10 * shouted > 3 * n OR 2 * n_dup_lines > n_lines OR 20 * vocabulary < n) AS kept
 FROM b""",
+    "op2_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 12], ' ')) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) >= 13)),
+h AS (SELECT doc_id, i FROM w QUALIFY min(doc_id) OVER (PARTITION BY g) < doc_id),
+r AS (SELECT doc_id, list(DISTINCT k) AS ks FROM (SELECT doc_id, unnest(range(i, i + 13)) AS k FROM h) GROUP BY doc_id),
+x AS (SELECT d.doc_id, len(ws) AS n, coalesce(len(ks), 0) AS gone, CASE WHEN ks IS NULL THEN ws ELSE list_select(ws, list_filter(range(1, len(ws) + 1), lambda k: NOT list_contains(ks, k))) END AS kept FROM d LEFT JOIN r USING (doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(gone AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM x""",
+    "op8_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 100)) AS g FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d WHERE len(h) >= 100)),
+s AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM (SELECT doc_id, i FROM w QUALIFY min(doc_id) OVER (PARTITION BY g) < doc_id)),
+r AS (SELECT doc_id, i, sum(CASE WHEN gap <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s),
+p AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM r GROUP BY doc_id, run),
+q AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS gone, list(a ORDER BY a) AS xs, list(b ORDER BY a) AS ys FROM p GROUP BY doc_id),
+k AS (SELECT d.doc_id, len(h) // 2 AS n, coalesce(n_spans, 0) AS n_spans, coalesce(gone, 0) AS gone,
+  CASE WHEN xs IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(xs) + 1), lambda j: substr(h, 2 * (CASE WHEN j = 0 THEN 0 ELSE ys[j] END) + 1, 2 * ((CASE WHEN j = len(xs) THEN len(h) // 2 ELSE xs[j + 1] END) - (CASE WHEN j = 0 THEN 0 ELSE ys[j] END)))), '') END AS kept
+  FROM d LEFT JOIN q USING (doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(gone AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM k""",
     "op10_decontaminate": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
