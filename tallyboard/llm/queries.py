@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tallyboard.llm import decontaminate, hilbert_shards, jaccard_join, quality_rules, substring_dedup, suffix_dedup
+from tallyboard.llm import decontaminate, hilbert_shards, jaccard_join, license_scan, mixing, quality_ranker, quality_rules, secret_scan, substring_dedup, suffix_dedup
 from tallyboard.llm.common import table
 
 
@@ -28,15 +27,33 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_labels(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_ranker.scored(docs, quality_ranker.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mixed(docs).select("doc_id", "source", "n_tokens", "block", "epoch", "block_rank")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_hilbert_shards, op4_jaccard_join, op8_suffix_dedup, op10_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_hilbert_shards, op4_jaccard_join, op5_license_scan, op6_quality_ranker, op7_secret_scan, op8_suffix_dedup, op9_mixing, op10_decontaminate)}
 
 ORACLE_SQL = {
     "op1_quality_rules": r"""
@@ -82,6 +99,18 @@ k AS (SELECT d.doc_id, len(h) // 2 AS n, coalesce(n_spans, 0) AS n_spans, coales
   CASE WHEN xs IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(xs) + 1), lambda j: substr(h, 2 * (CASE WHEN j = 0 THEN 0 ELSE ys[j] END) + 1, 2 * ((CASE WHEN j = len(xs) THEN len(h) // 2 ELSE xs[j + 1] END) - (CASE WHEN j = 0 THEN 0 ELSE ys[j] END)))), '') END AS kept
   FROM d LEFT JOIN q USING (doc_id))
 SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(gone AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM k""",
+    "op9_mixing": r"""
+WITH d AS (SELECT doc_id, source, coalesce('s' || source, 'n') AS k, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens,
+  CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % 256 AS INTEGER) AS block FROM documents),
+b AS (SELECT k, block, sum(n_tokens) AS tokens FROM d GROUP BY k, block),
+t AS (SELECT k, sum(tokens) AS total FROM b GROUP BY k),
+a AS (SELECT max(total) AS most, CASE WHEN max(total) = min(total) THEN 0.0 ELSE greatest(0.0, round(1 - ln(1.5) / ln(max(total) / min(total)), 9)) END AS a FROM t WHERE total > 0),
+q AS (SELECT k, total, CASE WHEN total > 0 THEN CAST(floor(round(total * pow(total / most, a - 1), 3)) AS BIGINT) ELSE 0 END AS quota FROM t, a),
+e AS (SELECT b.k, block, tokens, CASE WHEN total > 0 THEN quota // total ELSE 1 END AS epochs, CASE WHEN total > 0 THEN quota % total ELSE 0 END AS rest FROM b JOIN q USING (k)),
+x AS (SELECT *, CAST('0x' || substr(md5('mix|' || epoch || '|' || k || '|' || block), 1, 8) AS BIGINT) AS o FROM (SELECT *, CAST(unnest(range(0, CAST(epochs AS BIGINT) + 1)) AS INTEGER) AS epoch FROM e)),
+r AS (SELECT *, CAST(row_number() OVER w - 1 AS INTEGER) AS block_rank, sum(tokens) OVER w AS filled FROM x WINDOW w AS (PARTITION BY k, epoch ORDER BY o, block ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT k, block, epoch, block_rank FROM r WHERE epoch < epochs OR (filled <= rest AND rest > 0))
+SELECT doc_id, source, n_tokens, d.block, epoch, block_rank FROM d JOIN p ON d.k = p.k AND d.block = p.block""",
     "op10_decontaminate": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
@@ -95,4 +124,3 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN x USING (doc_id)""",
 }
-_ = F
