@@ -106,8 +106,9 @@ def match_alerts(searches: DataFrame, jobs: DataFrame, as_of: str, k: int = 10)
     if few:
         hits = active.alias("j").join(F.broadcast(alerts).alias("s"), alert_condition())
     else:
-        last = F.greatest(F.lit(as_of).cast("date"), F.col("cutoff").cast("date"))
-        daily = alerts.withColumn("day", F.explode(F.sequence(F.col("cutoff").cast("date"), F.date_add(last, 1))))
+        newest_day = active.agg(F.max("posted_date").cast("date").alias("d")).first().d
+        last = F.greatest(F.lit(newest_day).cast("date"), F.col("cutoff").cast("date"))
+        daily = alerts.withColumn("day", F.explode(F.sequence(F.col("cutoff").cast("date"), last)))
         hits = active.withColumn("day", F.col("posted_date").cast("date")).alias("j").join(daily.alias("s"), (F.col("j.day") == F.col("s.day")) & alert_condition())
     newest = W.partitionBy("search_id").orderBy(F.col("posted_date").desc(), "job_id")
     return hits.select("s.search_id", "s.user_email", "j.job_id", "j.posted_date").withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= k)
