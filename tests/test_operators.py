@@ -8,6 +8,7 @@ from tallyboard.operators import filters as P
 from tallyboard.operators import joins as J
 from tallyboard.operators import merge as U
 from tallyboard.operators import windows as W
+from tallyboard.plans import stream_queries  # noqa: F401
 from tallyboard.plans.queries import HIT, QUERIES, plain_jobs
 from tallyboard.plans.views import view
 from tallyboard.sources.boards import NORMALISERS, extract_cards
