@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyboard.llm.common import chunks, filled, ordered_id, packed_rows, shuffle_width
+from tallyboard.llm.common import NO_ID, chunks, filled, packed_rows, shuffle_width
 from tallyboard.llm.exchange import KEY_MASK, by_id, gathered, joined, packed, planes, shared_keys, unplanes
 
 TILE = 1 << 19
@@ -165,12 +165,12 @@ def _keys_batch(ids: np.ndarray, counts: np.ndarray, vals: np.ndarray) -> pa.Rec
 
 
 def with_repeated_spans(docs: DataFrame, window: int, gram: int, tokens: Callable, repeated: Callable) -> DataFrame:
-    """(doc_id, order_id, row_key, text, spans) for every row: spans are int32 pairs of tokens, sorted, disjoint; null if none.
+    """(doc_id, row_key, text, spans) for every row: spans are int32 pairs of tokens, sorted, disjoint; null if none.
 
     tokens(texts) gives (token counts, grams function, slicer); slicer(start, stop) makes a binary array of those tokens.
     repeated(distinct segments, smallest doc_ids) gives (segment, first token, end token, token counts)."""
     parts = shuffle_width(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ordered_id().alias("order_id"), filled().alias("text")).withColumn("row_key", F.xxhash64("order_id", "text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled().alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
 
     def records(chunk):
         lengths, grams, _ = tokens(chunk.column(0))
@@ -193,7 +193,8 @@ def with_repeated_spans(docs: DataFrame, window: int, gram: int, tokens: Callabl
                 begins = (np.cumsum(lengths) - lengths)[own]
                 yield _send(slicer(first, last + window), name, ids.to_numpy()[own], keys.to_numpy()[own], first - begins, last - first + window, parts * SHARDS_A_TASK)
 
-    found = rows.join(names.hint("shuffle_hash"), "row_key").select("text", "order_id", "row_key", "names")
+    # both joins read the texts by one shuffle: the same columns, dealt by the same key
+    found = rows.join(names.hint("shuffle_hash"), "row_key").select("text", F.coalesce("doc_id", F.lit(NO_ID)).alias("order_id"), "row_key", "names")
     segments = found.mapInArrow(send, SEGMENTS)
     answered = segments.repartitionById(parts, F.expr(f"CAST(p DIV {SHARDS_A_TASK} AS INT)")).mapInArrow(lambda b: _index_shard(b, window, repeated, parts), "p int, ids binary, counts binary, vals binary")
     spans = gathered(answered, parts, _spans_batch, "row_key long, spans binary")
