@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,7 +82,7 @@ def _send(segs: pa.Array, names, ids, keys, starts, counts, parts: int) -> pa.Re
     np.minimum.at(least, code, ids)
     goes = ids == least[code]
     shard = ((names >> np.uint64(34)) * np.uint64(parts) >> np.uint64(24)).astype(np.int32)
-    rows = []
+    rows, packer = [], zstandard.ZstdCompressor(level=3)
     order = np.argsort(shard, kind="stable")
     cuts = np.searchsorted(shard[order], np.arange(parts + 1))
     for p in range(parts):
@@ -92,7 +93,7 @@ def _send(segs: pa.Array, names, ids, keys, starts, counts, parts: int) -> pa.Re
         sent = segs.take(pa.array(out))
         sizes = pc.binary_length(sent).to_numpy(zero_copy_only=False).astype(np.int32)
         spans = (starts[rest].astype(np.uint64) << np.uint64(32)) | (starts[rest] + counts[rest]).astype(np.uint64)
-        rows.append((p, b"".join(sent.to_pylist()), planes(sizes), planes(starts[out].astype(np.int64)), planes(ids[out]), planes(keys[out]), planes(keys[rest]), planes(spans)))
+        rows.append((p, packer.compress(b"".join(sent.to_pylist())), planes(sizes), planes(starts[out].astype(np.int64)), planes(ids[out]), planes(keys[out]), planes(keys[rest]), planes(spans)))
     columns = list(zip(*rows)) if rows else [[]] * 8
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[1:]], names=["p", "data", "sizes", "starts", "ids", "keys", "own_keys", "own_vals"])
 
@@ -110,10 +111,11 @@ def _index_shard(batches: Iterator[pa.RecordBatch], window: int, repeated: Calla
 
 def _index(rows: list[pa.RecordBatch], window: int, repeated: Callable, parts: int) -> pa.RecordBatch:
     segs, starts, ids, keys, own_keys, own_vals = [], [], [], [], [], []
+    unpacker = zstandard.ZstdDecompressor()
     for row in rows:
         for d, s, st, i, k, ok, ov in zip(*(row.column(n) for n in ("data", "sizes", "starts", "ids", "keys", "own_keys", "own_vals"))):
             sizes = unplanes(s.as_py(), "i4")
-            segs.append(packed_rows(np.frombuffer(d.as_buffer(), np.uint8), np.cumsum(sizes, dtype=np.int64)))
+            segs.append(packed_rows(np.frombuffer(unpacker.decompress(d.as_py()), np.uint8), np.cumsum(sizes, dtype=np.int64)))
             starts.append(unplanes(st.as_py(), "i8"))
             ids.append(unplanes(i.as_py(), "i8"))
             keys.append(unplanes(k.as_py(), "i8"))
