@@ -22,15 +22,19 @@ from pyspark.sql import functions as F
 #: A null doc_id takes this place in the order of documents.
 NO_ID = 2**63 - 1
 #: Bytes of text that one step inside a task works on at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Key partitions of packed exchanges for each shuffle partition of the session: numpy holds one of them as a whole.
+FINER = 3
+
+
 def shuffle_width(spark: SparkSession) -> int:
-    """Partitions that packed exchanges use: the session's own setting, which grows with the input on a cluster."""
+    """Partitions by document that packed exchanges use: the session's own setting, which grows with the input on a cluster."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 

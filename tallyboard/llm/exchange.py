@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallyboard.llm.common import chunks, key_order, mix, packed_order, shuffle_width
+from tallyboard.llm.common import FINER, chunks, key_order, mix, packed_order, shuffle_width
 
 #: Keys have 58 bits; the 6 bits above hold a key's capped document count, so that values sort by (count, key).
 KEY_BITS = 58
@@ -153,13 +153,14 @@ def shared_keys(docs: DataFrame, records: Callable, cap: int, finish: Callable,
     """Which keys of a document do other documents hold too?
 
     records(chunk of `docs`) gives (keys, owner, ids, mark_ids, marks); finish gets each id's sorted values."""
-    parts = shuffle_width(docs.sparkSession)
+    by_doc = shuffle_width(docs.sparkSession)
+    by_key = FINER * by_doc
 
     def asks(batches):
         for chunk in chunks(batches):
             keys, owner, ids, mark_ids, marks = records(chunk)
-            yield ask_rows(keys, owner, ids, cap, parts, mark_ids, marks)
+            yield ask_rows(keys, owner, ids, cap, by_key, mark_ids, marks)
 
     asked = docs.mapInArrow(asks, ASK)
-    answered = asked.repartitionById(parts, asked["p"]).mapInArrow(lambda b: answer_rows(b, cap, parts), PACKED)
-    return gathered(answered, parts, finish, schema)
+    answered = asked.repartitionById(by_key, asked["p"]).mapInArrow(lambda b: answer_rows(b, cap, by_doc), PACKED)
+    return gathered(answered, by_doc, finish, schema)

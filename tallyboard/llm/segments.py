@@ -23,12 +23,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyboard.llm.common import NO_ID, chunks, filled, packed_rows, shuffle_width
+from tallyboard.llm.common import FINER, NO_ID, chunks, filled, packed_rows, shuffle_width
 from tallyboard.llm.exchange import KEY_MASK, by_id, gathered, joined, packed, planes, shared_keys, unplanes
 
 TILE = 1 << 19
 #: Indexes that one task builds one after the other; small ones sort faster and need less memory.
-SHARDS_A_TASK = 4
+SHARDS_A_TASK = 2
 SEGMENTS = "p int, data binary, sizes binary, starts binary, ids binary, keys binary, own_keys binary, own_vals binary"
 
 
@@ -193,12 +193,12 @@ def with_repeated_spans(docs: DataFrame, window: int, gram: int, tokens: Callabl
             first, last, name, own = first[stays], last[stays], name[stays], own[stays]
             if len(first):
                 begins = (np.cumsum(lengths) - lengths)[own]
-                yield _send(slicer(first, last + window), name, ids.to_numpy()[own], keys.to_numpy()[own], first - begins, last - first + window, parts * SHARDS_A_TASK)
+                yield _send(slicer(first, last + window), name, ids.to_numpy()[own], keys.to_numpy()[own], first - begins, last - first + window, parts * FINER * SHARDS_A_TASK)
 
     # both joins read the texts by one shuffle: the same columns, dealt by the same key
     found = rows.join(names.hint("shuffle_hash"), "row_key").select("text", F.coalesce("doc_id", F.lit(NO_ID)).alias("order_id"), "row_key", "names")
     segments = found.mapInArrow(send, SEGMENTS)
-    answered = segments.repartitionById(parts, F.expr(f"CAST(p DIV {SHARDS_A_TASK} AS INT)")).mapInArrow(lambda b: _index_shard(b, window, repeated, parts), "p int, ids binary, counts binary, vals binary")
+    answered = segments.repartitionById(parts * FINER, F.expr(f"CAST(p DIV {SHARDS_A_TASK} AS INT)")).mapInArrow(lambda b: _index_shard(b, window, repeated, parts), "p int, ids binary, counts binary, vals binary")
     spans = gathered(answered, parts, _spans_batch, "row_key long, spans binary")
     return rows.join(spans.hint("shuffle_hash"), "row_key", "left")
 
