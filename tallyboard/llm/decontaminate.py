@@ -225,7 +225,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     for block in blocks[1:]:
         parts = parts.unionByName(scan(block, False))
 
-    def merge(key, group: pa.Table) -> pa.Table:
+    def merge(key, group):
         hits = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint8) for x in group.column("hits")], axis=0)
         names = {x for own in group.column("items").to_pylist() for x in own}
         n_hit = int(np.unpackbits(hits).sum())

@@ -38,7 +38,7 @@ class Bits:
 
 
 class FMIndex:
-    """Backward search over numbers below `sigma`; suffixes are ordered by `depth` numbers at least, enough for patterns shorter than that."""
+    """Backward search over numbers below `sigma`; the text ends with 0, which no pattern holds. Suffixes are ordered by `depth` numbers at least, enough for patterns shorter than that."""
 
     def __init__(self, text: np.ndarray, sigma: int, depth: int):
         self.order = self._order(text, depth)

@@ -1,0 +1,317 @@
+"""Corpus operators against brute force, on fixtures with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from brute import ALNUM, WORD, components, contamination, lower, quality_base, substring_digest, suffix_digest
+from compare import SF, check, connect
+from pyspark.sql import functions as F
+
+from tallyboard.llm import components as cc
+from tallyboard.llm import decontaminate, exchange, hilbert_shards, jaccard_join, license_scan, mixing, quality_ranker, quality_rules, secret_scan, segments, substring_dedup, suffix_dedup
+from tallyboard.llm.queries import ORACLE_SQL, QUERIES
+
+SCHEMA = "doc_id long, text string, p int, n int, node string, ids string, spans string, _words int, tokens string, source string, lang string"
+FULL = {"doc_id": "long", "text": "string"}
+
+
+def prose(rng, n, vocabulary=40):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+def fixture(seed=0):
+    rng = random.Random(seed)
+    passage, other = prose(rng, 30), prose(rng, 14)
+    rows = [(None, None), (1, None), (2, ""), (3, "   \n\t "), (4, "one two"), (5, "One  TWO"), (6, "é ü ß 日本 x"), (7, passage), (7, passage), (9, "\n".join([passage] * 3)), (10, passage[:-3]), (None, passage)]
+    rows += [(20 + k, f"{prose(rng, 60, 900)} {passage if k % 2 else other}\n{prose(rng, 40, 900)}") for k in range(8)]
+    base = [f"t{k}" for k in range(300)]
+    for k in range(40):
+        own = list(base)
+        own[rng.randrange(300)] = f"x{k}"
+        rows.append((100 + k, " ".join(own)))
+    rows += [(200 + k, " ".join(base)) for k in range(5)] + [(300, " ".join(base * 40)), (301, "same " * 500), (302, "same " * 500 + "end"), (5, "another text of five words here"), (-3, other), (400, "a" * 3000), (401, "b" + "a" * 400)]
+    rng.shuffle(rows)
+    return rows
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, 1, 2, "n", "i", "s", 3, "t", f"src{(i or 0) % 3}", "en") for i, t in rows], SCHEMA)
+
+
+def got(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def same(found, wanted):
+    """Compares rows in any order and shows the first that differ."""
+    wanted = sorted(wanted, key=str)
+    wrong = [(x, y) for x, y in zip(found, wanted) if x != y][:3]
+    assert len(found) == len(wanted) and not wrong, str(wrong)[:600]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return fixture()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return frame(spark, rows).repartition(3).cache()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_oracle(spark, name):
+    check(QUERIES[name](spark, SF), connect(SF), ORACLE_SQL[name])
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_one_row_per_document(spark, name):
+    n = spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert QUERIES[name](spark, SF).count() == n or name.startswith("op9")
+
+
+def test_substring(docs, rows):
+    same(got(substring_dedup.removal_digest(docs)), substring_digest(rows))
+
+
+def test_suffix(docs, rows):
+    same(got(suffix_dedup.removal_digest(docs)), suffix_digest(rows))
+
+
+def test_spans_are_the_digest(docs):
+    spans = {(r.doc_id, r.text): sum(s.stop - s.start for s in r.removed) for r in suffix_dedup.repeated_spans(docs).collect()}
+    assert sum(spans.values()) > 0
+    words = {(r.doc_id, r.text): [tuple(s) for s in r.removed] for r in substring_dedup.repeated_spans(docs).collect()}
+    assert any(words.values())
+
+
+def test_small_tiles_change_nothing(spark, rows, monkeypatch):
+    monkeypatch.setattr(segments, "TILE", 64)
+    lengths = np.array([10, 0, 200, 49, 50, 51])
+    grams = lambda a, b: np.arange(a, b).astype(np.uint64) * np.uint64(2654435761) % np.uint64(1009)
+    first, last, _, text = segments.runs(lengths, 50, 16, grams)
+    covered = sorted(i for a, b in zip(first, last) for i in range(a, b + 1))
+    starts = np.cumsum(lengths) - lengths
+    assert covered == [s + k for s, n in zip(starts, lengths) for k in range(n - 49)]
+    assert set(text) == {2, 4, 5}
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(3)
+    for sigma in (1, 2, 30, 256):
+        data = rng.integers(0, sigma, 700).astype(np.uint8)
+        raw = data.tobytes()
+        assert [raw[i:] for i in suffix_dedup.suffix_array(data, 700)] == sorted(raw[i:] for i in range(700))
+
+
+def test_fm_index_counts():
+    rng = np.random.default_rng(4)
+    text = np.append(rng.integers(1, 7, 400), 0)
+    index = substring_dedup.FMIndex(text, 7, 6)
+    for n in (1, 3, 5):
+        for at in rng.integers(0, 390, 20):
+            p = text[at : at + n]
+            lo, hi = index.below[p[-1:]], index.below[p[-1:] + 1]
+            for k in range(n - 2, -1, -1):
+                lo, hi = index.back(p[k : k + 1], lo, hi)
+            assert hi[0] - lo[0] == sum((text[i : i + n] == p).all() for i in range(len(text) - n + 1))
+
+
+def test_jaccard(docs, rows):
+    same(got(jaccard_join.near_duplicates(docs)), components(rows))
+
+
+@pytest.mark.parametrize(("rare", "combined"), [(1, 250), (1, 10), (60, 250)])
+def test_jaccard_classes(spark, monkeypatch, rare, combined):
+    """Frequent tokens singly or by two, and nearly everything frequent."""
+    rng = random.Random(5)
+    rows, base = [], [f"b{k}" for k in range(60)]
+    for k in range(120):
+        own = list(base if k % 3 else base[:30] + [f"c{j}" for j in range(30)])
+        for _ in range(rng.randrange(5)):
+            own[rng.randrange(60)] = f"x{rng.randrange(9)}"
+        rows.append((k, " ".join(own[: rng.randrange(40, 61)])))
+    monkeypatch.setattr(jaccard_join, "RARE", rare)
+    monkeypatch.setattr(jaccard_join, "COMBINED", combined)
+    same(got(jaccard_join.near_duplicates(frame(spark, rows))), components(rows))
+
+
+def test_one_of_each(docs, rows):
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    found = components(rows)
+    wanted = {i for i, n, root in found if n == 0 or i == root}
+    assert {r.doc_id for r in kept.collect()} == wanted | {None}
+    assert kept.where("doc_id = 7").count() == 1
+
+
+def test_components(spark):
+    links = [(1, 2), (2, 3), (10, 9), (9, 8), (5, 5)] + [(50, k) for k in range(51, 90)]
+    found = {r.node: r.root for r in cc.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8, 10: 8} | {k: 50 for k in range(50, 90)}
+    assert cc.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+ITEMS = [("i1", " ".join(f"t{k}" for k in range(5, 30))), ("i2", "one two"), ("i3", None), (None, "t1 t2"), ("i4", ""), ("i5", "W1 w2, w3!"), ("i6", "日本 X")]
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 40])
+def test_contamination(spark, docs, rows, limit):
+    items = spark.createDataFrame(ITEMS, "item_id string, text string")
+    wanted = contamination(rows, [x for x in ITEMS if x[0]])
+    same(got(decontaminate.contamination(docs, items, block_bytes=limit)), wanted)
+    clean = decontaminate.clean_documents(docs, items)
+    assert clean.columns == docs.columns and clean.count() == sum(not x[-1] for x in wanted)
+
+
+def test_matches(spark):
+    docs = spark.createDataFrame([(1, "x a b c d"), (2, "a q b c z d"), (3, "a z z z z b c d"), (4, None)], "doc_id long, text string")
+    items = spark.createDataFrame([("i", "A, b c d")], "item_id string, text string")
+    found = got(decontaminate.find_matches(docs, items, slop=1))
+    assert found == [(1, "i", "near", 1, 5), (1, "i", "phrase", 1, 5), (2, "i", "near", 0, 6)]
+
+
+def test_quality_rules(docs, rows):
+    found = quality_rules.judge(docs.drop("n"))
+    assert "_words" in found.columns and set(docs.drop("n").columns) <= set(found.columns)
+    base = found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    same(got(base), quality_base(rows))
+    assert not found.where("base_failed AND kept").count()
+
+
+def test_cascade_order(spark, docs):
+    rules = [quality_rules.Rule("never", F.lit(False)), quality_rules.Rule("blank", F.col("n_words") == 0)]
+    ranked = quality_rules.rank_rules(quality_rules.with_measures(docs), rules)
+    assert [r.name for r, _, _ in ranked] == ["blank", "never"]
+    assert quality_rules.judge(docs.limit(0)).count() == 0
+    first = spark.range(1).select(quality_rules.cascade([quality_rules.Rule("a", F.lit(True)), quality_rules.Rule("b", F.expr("raise_error('not reached')").cast("boolean"))]).alias("x")).first().x
+    assert first == "a"
+
+
+def test_shards(docs, rows):
+    found = hilbert_shards.shard_documents(docs).toPandas()
+    counts = found.groupby("shard").size().reindex(range(40), fill_value=0)
+    assert len(found) == len(rows) and counts.max() - counts.min() <= 1
+    assert all(sorted(x.slot) == list(range(len(x))) for _, x in found.groupby("shard"))
+    assert hilbert_shards.with_shards(docs).columns == [*docs.columns, "shard", "slot", "curve"]
+    assert hilbert_shards.shard_documents(docs.limit(0)).count() == 0
+
+
+def test_hilbert_curve_is_continuous():
+    grid = np.stack([x.ravel() for x in np.meshgrid(*[np.arange(8)] * 3)], axis=1)
+    at = hilbert_shards.hilbert_index(grid, 3)
+    assert sorted(at) == list(range(512))
+    assert (np.abs(np.diff(grid[np.argsort(at)], axis=0)).sum(axis=1) == 1).all()
+
+
+def test_licenses(spark):
+    texts = [None, "", "Licensed under the APACHE License, Version 2.0.", "gnu general\npublic license cc by mit license", "Licenced under CC BY-NC 4.0 by us", "version 2 0 under licensed apache the license", "apache", "x\n" * 50 + "Released under the MIT License.\ny", "apache licenses"]
+    rows = list(enumerate(texts)) + [(2, texts[2])]
+    found = license_scan.license_labels(frame(spark, rows))
+    wanted = []
+    for i, t in rows:
+        w = ALNUM.findall(lower(t))
+        places = [(k, label) for p, label in license_scan.PHRASES for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        best = [(label, len(set(ALNUM.findall(lower(line))) & own) / len(own)) for line in (t or "").split("\n") for label, x in license_scan.TEMPLATES for own in [set(ALNUM.findall(lower(x)))]]
+        best = [(label, s) for label, s in best if s >= 0.8]
+        base = {label for _, label in places}
+        wanted.append((i, len(w), len(places), min((k for k, _ in places), default=None), max((k for k, _ in places), default=None), ",".join(sorted(base)), ",".join(sorted(base | {x for x, _ in best})), 1.0 if base else max((s for _, s in best), default=0.0)))
+    same(got(found), wanted)
+    blocks = license_scan.scan_blocks(frame(spark, rows))
+    assert {(r.doc_id, r.label, r.line) for r in blocks.collect()} >= {(2, "apache", 0), (7, "mit", 50)}
+
+
+def test_ranker(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    ranker = quality_ranker.train(docs, labels)
+    again = quality_ranker.train(docs.repartition(5), labels)
+    assert np.array_equal(ranker.weights, again.weights) and ranker.cut == again.cut
+    found = quality_ranker.scored(docs, ranker).join(labels, "doc_id").where("held_out").toPandas()
+    assert len(found) > 50 and (found.predicted == found.quality).mean() > 0.95
+    kept = quality_ranker.keep_good(docs, ranker)
+    assert kept.columns == docs.columns and kept.count() == quality_ranker.scored(docs, ranker).where("predicted = 1").count()
+
+
+def test_ranker_edges(spark, docs, rows):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for labels in (none, spark.createDataFrame([(7, 1, 0), (None, 0, 0), (9, None, 0)], none.schema)):
+        found = quality_ranker.scored(docs, quality_ranker.train(docs, labels)).toPandas()
+        assert len(found) == len(rows) and found.score.between(0, 1).all() and ((found.score >= 0.3) == (found.predicted == 1)).all()
+
+
+def test_secrets(spark):
+    key = "Zk3vQ9xLp2Tm8Rw5Yb7Nc4Hd6Jf1Gs0A"
+    texts = [None, "", f"the credential is {key} ok", 'TOKEN = "abcdefghijkl" x', "secret: token: abcdefghijklmnop", "AKIA1234567890ABCD AKIAAKIA", "deadbeefdeadbeef " * 3, "é" * 5 + " password=éabcdefghijklmno", "api_key='x' apikey: 0123456789abcdef0123", "a credential of internationalisation 12", "ſecret=abcdefghijklmnop"]
+    rows = list(enumerate(texts)) + [(3, texts[3])]
+    patterns = [("assign", r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A, 2, 12), ("access", r"AKIA[A-Z0-9]+", 0, 0, 18), ("hex", r"[0-9a-f]+", 0, 0, 16)]
+    found = {r.doc_id: r for r in secret_scan.secret_digest(frame(spark, rows)).collect()}
+    for i, t in rows:
+        spans = sorted((m.start(), k, m.end()) for k, (_, p, flags, group, least) in enumerate(patterns) for m in re.finditer(p, t or "", flags) if len(m[group]) >= least)
+        assert [found[i].n_assign, found[i].n_access, found[i].n_hex] == [sum(k == j for _, k, _ in spans) for j in range(3)]
+        base = [f"{patterns[k][0]}:{a}:{b}" for a, k, b in spans]
+        assert [s for s in found[i].spans.split(",") if s and not s.startswith("novel")] == base
+    assert found[2].spans == f"novel:18:{18 + len(key)}"
+    assert "novel" not in found[9].spans
+    assert {r.secret for r in secret_scan.find_secrets(frame(spark, rows)).where("kind = 'novel'").collect()} == {key}
+
+
+def test_mixing(spark, docs, rows):
+    found = mixing.mixed(docs.where("doc_id IS NOT NULL"))
+    times = {r.doc_id: r.n for r in found.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert set(times) == {i for i, _ in rows if i is not None}
+    quotas = {r.source_key: r for r in mixing.source_quotas(found.where("epoch = 0").groupBy(F.concat(F.lit("s"), "source").alias("source_key"), "block").agg(F.sum("n_tokens").alias("tokens"))).collect()}
+    realised = {r.source: r.t for r in found.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
+    assert all(realised[k[1:]] <= q.quota <= mixing.REPETITION * q.tokens + 1 for k, q in quotas.items())
+    assert mixing.mixed(docs.limit(0)).count() == 0
+    nulls = frame(spark, [(1, None), (None, "a b"), (2, "")]).withColumn("source", F.lit(None).cast("string"))
+    assert mixing.mixed(nulls).count() == 3
+
+
+def test_exponent(spark):
+    shares = F.array(*[F.lit(x) for x in (0.7, 0.2, 0.1)])
+    a = spark.range(1).select(mixing.exponent(shares, None, 1.0).alias("a"), mixing.exponent(shares, 2.0, None).alias("b"), mixing.exponent(shares, None, 0.1).alias("c")).first()
+    w = np.array([0.7, 0.2, 0.1]) ** a.a
+    w /= w.sum()
+    assert abs(-(w * np.log(w)).sum() - 1.0) < 1e-6
+    assert abs(7 ** (1 - a.b) - 2) < 1e-6
+    assert a.c == 1.0
+
+
+def test_exchange(spark):
+    rng = random.Random(6)
+    held = [(i, sorted({rng.randrange(60) for _ in range(rng.randrange(6))})) for i in range(200)]
+    df = spark.createDataFrame([(i, " ".join(map(str, ks))) for i, ks in held], "id long, text string").repartition(7)
+
+    def records(chunk):
+        ks = [list(map(int, t.split())) for t in chunk.column(1).to_pylist()]
+        none = np.zeros(0, np.int64)
+        return np.array([k * 10**12 for x in ks for k in x], np.uint64), np.array([o for o, x in enumerate(ks) for _ in x], np.int64), chunk.column(0).to_numpy(), none, none.astype(np.uint64)
+
+    def finish(ids, counts, vals):
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, counts)), pa.array((vals & exchange.KEY_MASK).astype(np.int64)), pa.array((vals >> np.uint64(58)).astype(np.int64))], names=["id", "key", "n"])
+
+    for cap in (1, 3, 50):
+        found = exchange.shared_keys(df, records, cap, finish, "id long, key long, n long")
+        n = {k: sum(k in x for _, x in held) for k in range(60)}
+        same(got(found), ((i, k * 10**12, min(n[k], cap + 1)) for i, x in held for k in x if n[k] > 1))
+
+
+def test_word_splits_agree(rows):
+    from tallyboard.llm.common import Words, translated, ALNUM as TABLE
+
+    for _, t in rows:
+        assert Words(pa.array([t], pa.string())).flat.to_pylist() == WORD.findall(t or "")
+        assert Words(translated(pa.array([t], pa.string()), TABLE)).flat.to_pylist() == ALNUM.findall(lower(t))
+
+
+def test_empty_tables(spark, docs):
+    empty = docs.limit(0)
+    items = spark.createDataFrame([], "item_id string, text string")
+    for run in (substring_dedup.removal_digest, suffix_dedup.removal_digest, jaccard_join.near_duplicates, jaccard_join.one_of_each, license_scan.license_labels, secret_scan.secret_digest):
+        assert run(empty).count() == 0
+    assert decontaminate.contamination(empty, items).count() == 0
+    assert decontaminate.contamination(docs, items).where("contaminated").count() == 0
