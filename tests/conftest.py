@@ -8,7 +8,6 @@ import pytest
 ROOT = str(Path(__file__).resolve().parent.parent)
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ":".join(filter(None, [ROOT, os.environ.get("PYTHONPATH", "")]))
-SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
