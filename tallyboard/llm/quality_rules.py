@@ -33,6 +33,14 @@ class Rule:
     rejects: Column
 
 
+def _settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """`df` with the columns added or replaced through a generator of one row.
+
+    Filters on them are then evaluated on their values; pushed below a plain projection, they would compute the columns again."""
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (and helper columns that start with ``_``)."""
     df = docs.withColumn("_text", filled(text))
@@ -51,7 +59,7 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     # words covered by windows that start at the given places
     covered = F.aggregate("_starts", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("last")), lambda a, p: F.struct((a["n"] + F.least(F.lit(WINDOW), p - a["last"])).alias("n"), p.alias("last")))["n"]
     df = df.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    return df.withColumns({
+    return _settled(df, {
         "n_words": n.cast("long"),
         "word_chars": F.length(F.regexp_replace("_text", BLANK_RUN, "")).cast("long"),
         "n_symbols": (F.length("_text") - F.length(F.regexp_replace("_text", "[#*$%&|<>]", ""))).cast("long"),
@@ -118,7 +126,6 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text")
     Columns of `docs` named like an added one are replaced. Null and empty texts fail the base; repeated rows are judged alike."""
     measured = with_measures(docs, text)
     order = [r for r, _, _ in rank_rules(measured, rules if rules is not None else default_rules())]
-    df = measured.withColumn("base_failed", base_failed())
-    df = df.withColumn("rejected_by", F.when(~F.col("base_failed"), cascade(order)))
-    df = df.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
+    df = _settled(measured, {"base_failed": base_failed(), "rejected_by": F.when(~base_failed(), cascade(order))})
+    df = _settled(df, {"kept": ~F.col("base_failed") & F.col("rejected_by").isNull()})
     return df.drop(*[c for c in df.columns if c.startswith("_") and c not in docs.columns])
