@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyboard.llm.common import FINER, NO_ID, chunks, filled, packed_rows, shuffle_width
-from tallyboard.llm.exchange import KEY_MASK, by_id, gathered, joined, packed, planes, shared_keys, unplanes
+from tallyboard.llm.exchange import KEY_BITS, KEY_MASK, by_id, gathered, joined, packed, planes, shared_keys, unplanes
 
 TILE = 1 << 19
+#: Bytes of text whose segments are packed together; longer packets compress better.
+SEND_BYTES = 8 << 20
 #: Indexes that one task builds one after the other; small ones sort faster and need less memory.
 SHARDS_A_TASK = 2
 SEGMENTS = "p int, data binary, sizes binary, starts binary, ids binary, keys binary, own_keys binary, own_vals binary"
@@ -162,8 +164,13 @@ def _spans_batch(keys: np.ndarray, counts: np.ndarray, vals: np.ndarray) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(keys), packed_rows(spans, 2 * np.cumsum(np.bincount(g, minlength=len(keys))))], names=["row_key", "spans"])
 
 
+def _short(names: np.ndarray) -> np.ndarray:
+    """32 bits of each name. They only tell which segments of a chunk to send; one that is sent in vain changes nothing."""
+    return (names >> np.uint64(KEY_BITS - 32)).astype(np.uint32)
+
+
 def _keys_batch(ids: np.ndarray, counts: np.ndarray, vals: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids), packed_rows(vals & KEY_MASK, np.cumsum(counts, dtype=np.int64))], names=["row_key", "names"])
+    return pa.RecordBatch.from_arrays([pa.array(ids), packed_rows(_short(vals & KEY_MASK), np.cumsum(counts, dtype=np.int64))], names=["row_key", "names"])
 
 
 def with_repeated_spans(docs: DataFrame, window: int, gram: int, tokens: Callable, repeated: Callable) -> DataFrame:
@@ -183,13 +190,13 @@ def with_repeated_spans(docs: DataFrame, window: int, gram: int, tokens: Callabl
     names = shared_keys(rows.select("text", "row_key"), records, 1, _keys_batch, "row_key long, names binary")
 
     def send(batches):
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, limit=SEND_BYTES):
             text, ids, keys, known = (chunk.column(i) for i in range(4))
             lengths, grams, slicer = tokens(text)
             first, last, name, own = runs(lengths, window, gram, grams)
-            shared = np.unique(np.frombuffer(b"".join(known.to_pylist()), np.uint64))
-            at = np.minimum(np.searchsorted(shared, name), max(0, len(shared) - 1))
-            stays = shared[at] == name if len(shared) else np.zeros(len(name), bool)
+            shared, short = np.unique(np.frombuffer(b"".join(known.to_pylist()), np.uint32)), _short(name)
+            at = np.minimum(np.searchsorted(shared, short), max(0, len(shared) - 1))
+            stays = shared[at] == short if len(shared) else np.zeros(len(name), bool)
             first, last, name, own = first[stays], last[stays], name[stays], own[stays]
             if len(first):
                 begins = (np.cumsum(lengths) - lengths)[own]
