@@ -87,11 +87,14 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def rank_rules(measured: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS, repeats: int = SAMPLE_REPEATS) -> list[tuple[Rule, float, float]]:
+def rank_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS, repeats: int = SAMPLE_REPEATS, text: str = "text") -> list[tuple[Rule, float, float]]:
     """The rules with their rejected share and seconds on a sample, most rejections per second first.
 
-    The sample is `sample_rows` rows at most; only the order of evaluation depends on it. An empty sample keeps the given order."""
-    sample = measured.limit(sample_rows).withColumn("_again", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).cache()
+    The sample has about `sample_rows` rows, drawn inside the tasks without a shuffle; only the order of evaluation depends on
+    it. An empty sample keeps the given order."""
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    drawn = with_measures(docs.sample(fraction=share, seed=0) if share < 1 else docs, text).cache()
+    sample = drawn.withColumn("_again", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     try:
         total = sample.count()
         if not total:
@@ -108,7 +111,7 @@ def rank_rules(measured: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE
         floor, _ = timed(F.lit(False))
         found = [(r, share, max(1e-4, seconds - floor)) for r in rules for seconds, share in [timed(r.rejects)]]
     finally:
-        sample.unpersist()
+        drawn.unpersist()
     return sorted(found, key=lambda x: (-x[1] / x[2], x[2], x[0].name))
 
 
@@ -125,7 +128,7 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text")
 
     Columns of `docs` named like an added one are replaced. Null and empty texts fail the base; repeated rows are judged alike."""
     measured = with_measures(docs, text)
-    order = [r for r, _, _ in rank_rules(measured, rules if rules is not None else default_rules())]
+    order = [r for r, _, _ in rank_rules(docs, rules if rules is not None else default_rules(), text=text)]
     df = _settled(measured, {"base_failed": base_failed(), "rejected_by": F.when(~base_failed(), cascade(order))})
     df = _settled(df, {"kept": ~F.col("base_failed") & F.col("rejected_by").isNull()})
     return df.drop(*[c for c in df.columns if c.startswith("_") and c not in docs.columns])

@@ -184,7 +184,7 @@ def test_quality_rules(docs, rows):
 
 def test_cascade_order(spark, docs):
     rules = [quality_rules.Rule("never", F.lit(False)), quality_rules.Rule("blank", F.col("n_words") == 0)]
-    ranked = quality_rules.rank_rules(quality_rules.with_measures(docs), rules)
+    ranked = quality_rules.rank_rules(docs, rules)
     assert [r.name for r, _, _ in ranked] == ["blank", "never"]
     assert quality_rules.judge(docs.limit(0)).count() == 0
     first = spark.range(1).select(quality_rules.cascade([quality_rules.Rule("a", F.lit(True)), quality_rules.Rule("b", F.expr("raise_error('not reached')").cast("boolean"))]).alias("x")).first().x
