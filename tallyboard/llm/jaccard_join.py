@@ -8,7 +8,9 @@ the text needs no further look. For the others, with n shingles and a least over
   texts), the pair meets on that single shingle;
 * if it is frequent, so are all later common ones, and the first two are among the first n - o + 2 of both (the extended
   prefix): the pair meets on the combination of two. Sets above `COMBINED` shingles index frequent ones singly instead, as do
-  sets within the similarity's reach of that size, because there the combinations would outnumber what they save.
+  sets within the similarity's reach of that size, because there the combinations would outnumber what they save;
+* a second common shingle need not exist where o(n) is 1 (texts of one shingle, say). Such sets index frequent shingles singly
+  too, under tokens of their own, so that they meet one another and not the large sets that hold the shingle.
 
 Candidates pass length and positional filters and are verified by exact intersection. Only links between components are
 looked for: first each posting list is compared with its earliest member, which connects large groups of copies in linear
@@ -110,6 +112,9 @@ def postings(nodes: DataFrame, percent: int) -> DataFrame:
                 if 100 * n <= percent * COMBINED:
                     single = np.setdiff1d(single, often)
                 found = [(mix(head[single] & KEY_MASK), n - alone - single)]
+                if least_overlap(n, percent) < 2:
+                    own = often[often < reach]
+                    found.append((mix((head[own] & KEY_MASK) | np.uint64(1 << KEY_BITS)), n - alone - own))
                 if n <= COMBINED and len(often) > 1:
                     a, b = np.triu_indices(len(often), 1)
                     a, b = often[a], often[b]

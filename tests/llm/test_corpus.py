@@ -139,6 +139,17 @@ def test_jaccard_classes(spark, monkeypatch, rare, combined):
     same(got(jaccard_join.near_duplicates(frame(spark, rows))), components(rows))
 
 
+def test_jaccard_many_variants_of_one_shingle(spark):
+    """More raw variants than RARE of texts that are one shingle, which longer texts and a very long one hold too."""
+    line = "All rights reserved by them".split()
+    spaced = lambda k, ws: "".join(w + " " * (1 + (k >> j & 1)) for j, w in enumerate(ws))
+    rows = [(100 + k, "same " * (5 + k)) for k in range(40)] + [(200 + k, spaced(k, line)) for k in range(32)]
+    rows += [(300 + k, spaced(k, ["Hello", "brave", "new", "world"][: 4 - k % 2])) for k in range(64) if k < 16 or k % 2 == 0]
+    rows += [(400 + k, " ".join([f"x{k}a{j}" for j in range(20)] + line)) for k in range(35)]
+    rows += [(1, "same " * 9 + " ".join(f"y{j}" for j in range(400))), (2, " ".join(line + [f"z{j}" for j in range(400)]))]
+    same(got(jaccard_join.near_duplicates(frame(spark, rows))), components(rows))
+
+
 def test_one_of_each(docs, rows):
     kept = jaccard_join.one_of_each(docs)
     assert kept.columns == docs.columns
