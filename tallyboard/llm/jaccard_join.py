@@ -173,31 +173,41 @@ def near_links(nodes: DataFrame, first_ids: DataFrame, percent: int) -> DataFram
     return links.unionByName(more)
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), ordered_id().alias("order_id"), filled().alias("text")).withColumn("node", F.xxhash64("text"))
+
+
+def labelled_nodes(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, n, least_id, least_node) per distinct text: the smallest id of its component, and the text that stands for the component."""
+    nodes = cut(text_nodes(rows.select("node", "text"), size, percent))
+    first_ids = cut(rows.groupBy("node").agg(F.min("order_id").alias("first_id")))
+    roots = components(near_links(nodes, first_ids, percent))
+    least = roots.join(first_ids, "node").groupBy("root").agg(F.min(F.struct("first_id", "node")).alias("least"))
+    known = nodes.select("node", "n").join(first_ids, "node").join(roots, "node", "left").join(least, "root", "left")
+    return cut(known.select("node", "n", F.coalesce("least.first_id", "first_id").alias("least_id"), F.coalesce("least.node", "node").alias("least_node")))
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     r"""doc_id, n_shingles, component_id for every row of `docs`.
 
     Words are ``[^\x20\x09-\x0D]+`` after A-Z became lower case. component_id is the smallest doc_id that links reach, the
     row's own included. Texts without words (null, empty, blank) link with nothing, equal ones included; a null doc_id
     sorts last and stays null if nothing else is in its component. Repeated rows get the same answer each."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ordered_id().alias("order_id"), filled().alias("text")).withColumn("node", F.xxhash64("text"))
-    nodes = cut(text_nodes(rows.select("node", "text"), size, percent))
-    first_ids = cut(rows.groupBy("node").agg(F.min("order_id").alias("first_id")))
-    roots = components(near_links(nodes, first_ids, percent))
-    least = roots.join(first_ids, "node").groupBy("root").agg(F.min("first_id").alias("least_id"))
-    known = nodes.select("node", "n").join(first_ids, "node").join(roots, "node", "left").join(least, "root", "left")
-    known = cut(known.select("node", "n", F.coalesce("least_id", "first_id").alias("least_id")))
+    rows = _rows(docs)
+    known = labelled_nodes(rows, size, percent).drop("least_node")
     answer = rows.select("doc_id", "order_id", "node").join(known, "node")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("least_id") < NO_ID, F.col("least_id")))
     return answer.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs`, all columns, with the smallest doc_id of each component; of repeated rows with that id one stays.
-
-    Texts without words are no duplicates of anything and all stay."""
-    found = near_duplicates(docs, size, percent)
-    keep = found.where((F.col("doc_id") == F.col("component_id")) | ((F.col("n_shingles") > 0) & F.col("doc_id").isNull() & F.col("component_id").isNull()) | (F.col("n_shingles") == 0))
-    keep = keep.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")).agg(F.max("n_shingles").alias("_n"))
-    wide = docs.withColumn("_id", ordered_id()).join(keep, "_id")
-    with_words = wide.where("_n > 0").dropDuplicates(["_id"])
-    return with_words.unionByName(wide.where("_n = 0")).drop("_id", "_n")
+    """One row of `docs`, all columns, for each component: one with its smallest doc_id (null sorts last).
+
+    Components are told apart by their texts, so those that share a doc_id, or have none, keep a row each; of several texts
+    with that id in one component the one with the smallest hash stays, of repeated rows any one. Texts without words are no
+    duplicates of anything and all stay."""
+    known = labelled_nodes(_rows(docs), size, percent)
+    keep = known.where("n > 0 AND node = least_node").select(F.col("least_id").alias("_id"), F.col("node").alias("_node"))
+    worded = filled().rlike(r"[^\x20\x09-\x0D]")
+    found = docs.where(worded).withColumns({"_id": ordered_id(), "_node": F.xxhash64(filled())}).join(keep, ["_id", "_node"])
+    return found.dropDuplicates(["_id", "_node"]).drop("_id", "_node").unionByName(docs.where(~worded))

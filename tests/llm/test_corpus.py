@@ -159,6 +159,19 @@ def test_one_of_each(docs, rows):
     assert kept.where("doc_id = 7").count() == 1
 
 
+def test_one_of_each_without_ids(spark):
+    """Null and reused ids: each component keeps one row, whatever else shares its id; blank texts all stay."""
+    rng = random.Random(9)
+    clean = [prose(rng, 40, 900) for _ in range(6)]
+    near = clean[0] + " end"
+    rows = [(None, t) for t in clean[:4]] + [(None, near), (None, clean[0]), (None, clean[1].upper()), (None, None), (None, "  "), (None, "  ")]
+    rows += [(7, clean[4]), (7, clean[5]), (7, clean[4]), (7, ""), (8, clean[5]), (3, clean[3]), (None, clean[5] + " end")]
+    kept = sorted((r.doc_id or 0, (r.text or "").lower()) for r in jaccard_join.one_of_each(frame(spark, rows)).collect())
+    either = (0, near) if (0, near) in kept else (0, clean[0])
+    wanted = [either, (0, clean[1]), (0, clean[2]), (3, clean[3]), (7, clean[4]), (7, clean[5]), (0, ""), (0, "  "), (0, "  "), (7, "")]
+    assert kept == sorted(wanted)
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (10, 9), (9, 8), (5, 5)] + [(50, k) for k in range(51, 90)]
     found = {r.node: r.root for r in cc.components(spark.createDataFrame(links, "a long, b long")).collect()}
