@@ -1,8 +1,8 @@
 r"""Secret scans: fixed patterns, and zstandard novelty primed with dictionaries.
 
 Beside the patterns' spans, every long token in a sensitive context (a word such as ``key`` or ``credential`` shortly before
-it) is a candidate. Its novelty is the number of bytes by which it lengthens the compressed form of its surroundings, with
-a dictionary of common identifiers and the text around it as prior content. An identifier or a word costs a few bytes, a random
+it in its line) is a candidate; in ``NAME=VALUE`` the value is one by itself. Its novelty is the number of bytes by which it lengthens the compressed form of its surroundings, with
+a dictionary of common identifiers and the text around it, without its own repetitions, as prior content. An identifier or a word costs a few bytes, a random
 key nearly its entropy; incompressible ones are reported as ``novel``.
 
 Texts that hold none of the patterns' fixed parts are set aside by one vectorised test each, which never loses a match.
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,9 +31,17 @@ BASE = [
 ]
 #: hex runs of at least the least length are the runs of [0-9a-f]+ that pass
 HEX_RUN = re.compile(r"[0-9a-f]{16,}")
-MAYBE = [r"(?i)password|passwd|secret|token|api_?key", "AKIA", "[0-9a-f]{16}", r"(?i)credential|bearer|private|auth|signature|_key|key\b|pwd|passphrase"]
+#: Words that make the next REACH characters of a line a sensitive context.
+SENSITIVE = r"credential|bearer|private|auth|signature|secret|token|passw|pwd|passphrase|api[_ -]?key|_key|\bkey"
+#: Every place where such a word ends, overlapping ones too.
+CONTEXT = re.compile(rf"(?i)(?=({SENSITIVE}))")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Where a token can begin in a run: at its start and after each '='.
+PIECE = re.compile(r"(?:^|(?<==))[^=]")
+REACH, LEAST_TOKEN = 40, 16
+#: What a text with any span matches. Python takes dotless and dotted i for i where RE2 doesn't.
+MAYBE = [r"(?i)password|passwd|secret|token|api_?key", "AKIA", "[0-9a-f]{16}", f"(?i){SENSITIVE}|[\u0130\u0131]"]
 
-CONTEXT = re.compile(r"(?i)(?:credential|bearer|private|auth|signature|secret|token|passw|pwd|passphrase|api[_ -]?key|_key|\bkey)[^\n]{0,40}?(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_=-]{16,})")
 AROUND = 400
 #: Least novelty: bytes per character and bytes in all.
 NOVELTY, LEAST_BYTES = 0.5, 12
@@ -64,17 +73,32 @@ def novelty(candidate: str, around: str, identifiers: bytes = IDENTIFIERS) -> in
     return len(packer.compress(tail + candidate.encode())) - len(packer.compress(tail))
 
 
+def surroundings(text: str, a: int, b: int) -> str:
+    """The text on both sides of text[a:b], with other occurrences of it blanked, those that the limits cut included."""
+    token, blank = text[a:b], " " * (b - a)
+    before = text[max(0, a - AROUND - len(token)) : a].replace(token, blank)[-AROUND:]
+    return before + text[b : b + AROUND + len(token)].replace(token, blank)[:AROUND]
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]], share: float = NOVELTY, least: int = LEAST_BYTES) -> list[tuple[int, int, int]]:
     """Spans (kind number 3) of incompressible tokens in sensitive contexts that no span in `taken` touches."""
     found = []
-    for m in CONTEXT.finditer(text):
-        a, b = m.span(1)
-        token = m[1]
-        if any(x < b and a < y for x, y, _ in taken) or not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token)):
-            continue
-        extra = novelty(token, text[max(0, a - AROUND) : a] + text[b : b + AROUND])
-        if extra >= least and extra >= share * (b - a):
-            found.append((a, b, 3))
+    runs = list(RUN.finditer(text))
+    ends = sorted(m.end(1) for m in CONTEXT.finditer(text)) if runs else []
+    for m in runs if ends else []:
+        stop = m.end()
+        # from the last piece back, so that a value is weighed before NAME=VALUE as a whole
+        for a in [m.start() + x.start() for x in PIECE.finditer(m[0])][::-1]:
+            k = bisect_right(ends, a) - 1
+            if stop - a < LEAST_TOKEN or k < 0 or a - ends[k] > REACH or "\n" in text[ends[k] : a]:
+                continue
+            token = text[a:stop]
+            if any(x < stop and a < y for x, y, _ in taken) or not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token)):
+                continue
+            extra = novelty(token, surroundings(text, a, stop))
+            if extra >= least and extra >= share * len(token):
+                found.append((a, stop, 3))
+                stop = m.start() + len(text[m.start() : a].rstrip("="))
     return found
 
 

@@ -283,6 +283,19 @@ def test_secrets(spark):
     assert {r.secret for r in secret_scan.find_secrets(frame(spark, rows)).where("kind = 'novel'").collect()} == {key}
 
 
+def test_secrets_in_every_context(spark):
+    key, other = "Zk3vQ9xLp2Tm8Rw5Yb7Nc4Hd6Jf1Gs0A", "wJ7rXUtnF3MI/K7MDENG+bPxRf1CYE9XAMP"
+    texts = [f"AWS_SECRET_ACCESS_KEY={key}", f"credential={key}==", f"private_key={key}", f"auth host_of_the_database={key}", f"the credential {key}={other} ok"]
+    texts += [f"Deploy keys: {key}", f"API keys: {key}", f"api key {key}", f"passw {key}", f"pr\u0131vate {key}"]
+    texts += [f"credential {key} and again {key}", f"{key} " + "x" * 380 + f" credential {key}", f"auth access_key_secret_key_0123456789: {key}"]
+    texts += [f"key\n{key}", f"credential {'far ' * 11}{key}", "credential=client_secret_2_placeholder"]
+    found = {}
+    for r in secret_scan.find_secrets(frame(spark, list(enumerate(texts)))).where("kind = 'novel'").collect():
+        found.setdefault(r.doc_id, set()).add(r.secret)
+    wanted = {i: {key} for i in range(13)} | {1: {key + "=="}, 4: {key, other}}
+    assert found == wanted
+
+
 def test_mixing(spark, docs, rows):
     found = mixing.mixed(docs.where("doc_id IS NOT NULL"))
     times = {r.doc_id: r.n for r in found.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
