@@ -25,7 +25,7 @@ def keep_first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"), nameless=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,33 +108,34 @@ class BlockIndex:
     def near(self, tests: TestTerms, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows whose words all stand, in order, with at most `slop` other words between neighbours: (window, first, last).
 
-        Each word takes its nearest place after the word before it, from every place of the window's first word."""
+        Each place of the first word that begins such a chain is given once, with the earliest end. Words are dealt with from
+        the last one back, and a place stays if the nearest staying place of the next word is within the gap: the ends of
+        chains don't decrease with their places, so the nearest one also ends earliest, and no chain is lost."""
         window, first, last = [], [], []
         for w in range(len(tests.grid)):
             terms = tests.grid[w, : tests.lengths[w]]
             if not len(self.at) or (self.sizes[terms] == 0).any():
                 continue
             lists = [self.at[self.starts[t] : self.starts[t] + self.sizes[t]] for t in terms]
-            begin = now = lists[0]
-            for own in lists[1:]:
-                k = np.searchsorted(own, now, "right")
-                ok = k < len(own)
-                begin, now, k = begin[ok], now[ok], k[ok]
-                after = own[k]
-                ok = (after - now <= slop + 1) & (self.owner(after) == self.owner(begin))
-                begin, now = begin[ok], after[ok]
+            now = end = lists[-1]
+            for own in lists[-2::-1]:
+                k = np.searchsorted(now, own, "right")
+                ok = k < len(now)
+                own, k = own[ok], k[ok]
+                ok = (now[k] - own <= slop + 1) & (self.owner(now[k]) == self.owner(own))
+                now, end = own[ok], end[k[ok]]
                 if not len(now):
                     break
             window += [w] * len(now)
-            first += begin.tolist()
-            last += now.tolist()
+            first += now.tolist()
+            last += end.tolist()
         return np.array(window, np.int64), np.array(first, np.int64), np.array(last, np.int64)
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, limit: int) -> Iterator[list[tuple[str, str]]]:
-    """The test items in blocks of at most `limit` bytes (or one item), streamed partition by partition."""
+def item_blocks(items: DataFrame, item_id: str, text: str, limit: int, nameless: bool = False) -> Iterator[list[tuple[str | None, str]]]:
+    """The test items in blocks of at most `limit` bytes (or one item), streamed partition by partition; `nameless` takes those without an id too."""
     block, size = [], 0
-    own = items.select(F.col(item_id).cast("string").alias("i"), filled(text).alias("t")).where(F.col("i").isNotNull())
+    own = items.select(F.col(item_id).cast("string").alias("i"), filled(text).alias("t")).where(F.lit(nameless) | F.col("i").isNotNull())
     for row in own.toLocalIterator():
         n = len(row.t.encode())
         if block and size + n > limit:
@@ -146,12 +147,12 @@ def item_blocks(items: DataFrame, item_id: str, text: str, limit: int) -> Iterat
         yield block
 
 
-def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = None, block_bytes: int = ITEM_BLOCK_BYTES) -> DataFrame:
+def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = None, block_bytes: int = ITEM_BLOCK_BYTES, nameless: bool = False) -> DataFrame:
     """Every phrase match (kind ``phrase``) and, if `slop` is given, proximity match (kind ``near``): word positions, end exclusive.
 
-    Null texts have no words; an item without an id is left out; no items or no documents give no rows."""
+    Null texts have no words; an item without an id counts only if `nameless`, with a null item_id; no items or no documents give no rows."""
     spark, out = docs.sparkSession, None
-    for block in item_blocks(items, "item_id", "text", block_bytes):
+    for block in item_blocks(items, "item_id", "text", block_bytes, nameless):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches, sent=sent):
@@ -178,19 +179,20 @@ def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
     return out if out is not None else spark.createDataFrame([], MATCHES)
 
 
-def _digest(names: set[str]) -> str:
-    return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+def _digest(names: set[str | None]) -> str:
+    return hashlib.sha256(",".join(sorted(x for x in names if x is not None)).encode()).hexdigest()
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = ITEM_BLOCK_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = ITEM_BLOCK_BYTES, nameless: bool = False) -> DataFrame:
     """Per row of `docs`: doc_id, n_words, n_hit (words inside any occurrence of an item's window), n_items, items_sha256, contaminated.
 
-    An item with fewer words than the window is one window; one without words never occurs. One block of items (the usual
+    An item with fewer words than the window is one window; one without words never occurs. With `nameless`, items without an id
+    hit too: n_items counts them as one together, and the digest is that of the ids. One block of items (the usual
     case) is a single scan without a shuffle; with more, the blocks' hits are joined per row. Rows are told apart by a
     hash of doc_id and text, so repeated rows get the same answer each."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled().alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    blocks = list(item_blocks(items, "item_id", "text", block_bytes)) or [[]]
+    blocks = list(item_blocks(items, "item_id", "text", block_bytes, nameless)) or [[]]
 
     def scan(block, last: bool):
         sent = spark.sparkContext.broadcast(block)
@@ -213,7 +215,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(index.counts), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array([_digest(x) for x in names]), pa.array(n_hit > 0)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
                 else:
                     bits = [np.packbits(covered[e - n : e]).tobytes() for e, n in zip(index.ends.tolist(), index.counts.tolist())]
-                    yield pa.RecordBatch.from_arrays([part.column(2), pa.array(index.counts), pa.array(bits, pa.binary()), pa.array([sorted(x) for x in names], pa.list_(pa.string()))], names=["row_key", "n_words", "hits", "items"])
+                    yield pa.RecordBatch.from_arrays([part.column(2), pa.array(index.counts), pa.array(bits, pa.binary()), pa.array([list(x) for x in names], pa.list_(pa.string()))], names=["row_key", "n_words", "hits", "items"])
 
         if last:
             return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
@@ -235,9 +237,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     return rows.select("doc_id", "row_key").join(each, "row_key").drop("row_key")
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of `docs`, all columns, in which no window of an item occurs; null texts stay."""
-    one = list(item_blocks(items, "item_id", "text", ITEM_BLOCK_BYTES)) or [[]]
+def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, nameless: bool = False) -> DataFrame:
+    """The rows of `docs`, all columns, in which no window of an item occurs; null texts stay. `nameless`: of items without an id too."""
+    one = list(item_blocks(items, "item_id", "text", ITEM_BLOCK_BYTES, nameless)) or [[]]
     schema, names, kept = docs.schema, docs.columns, docs
     text = names.index("text")
     for block in one:

@@ -198,6 +198,44 @@ def test_matches(spark):
     assert found == [(1, "i", "near", 1, 5), (1, "i", "phrase", 1, 5), (2, "i", "near", 0, 6)]
 
 
+def test_near_tries_every_place(spark):
+    """Against all combinations of places, on texts of few words."""
+    from itertools import product
+
+    rng = random.Random(10)
+    rows = [(0, "a b x b y z c")] + [(k, prose(rng, rng.randrange(1, 14), 4)) for k in range(1, 120)]
+    items = [("i", "a b c"), ("j", "w0 w1 w2"), ("k", "w3 w0 w3 w1")]
+    wanted = []
+    for (i, t), (item, x) in product(rows, items):
+        at = [[p for p, w in enumerate(t.split()) if w == own] for own in x.split()]
+        ends = {}
+        for places in product(*at):
+            if all(0 < b - a <= 3 for a, b in zip(places, places[1:])):
+                ends.setdefault(places[0], []).append(places[-1] + 1)
+        wanted += [(i, item, "near", a, min(b)) for a, b in ends.items()]
+    assert (0, "i", "near", 0, 7) in wanted
+    docs, tests = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    same(got(decontaminate.find_matches(docs, tests, slop=2).where("kind = 'near'")), wanted)
+
+
+def test_items_without_id_hit(spark, tmp_path):
+    """As in the query's SQL: they hit, count as one item together and add no name; the pipeline drops what they hit."""
+    import corpus_pipeline
+
+    docs = [(1, "x a b y"), (2, "c d"), (3, "a b c d e f"), (4, None), (5, "q")]
+    items = [(None, "A b"), (None, "c d"), ("7", "e f"), (None, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = __import__("duckdb").connect()
+    for name in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    wanted = con.sql(ORACLE_SQL["op10_decontaminate"]).fetchall()
+    same(got(QUERIES["op10_decontaminate"](spark, str(tmp_path))), wanted)
+    table = [spark.read.parquet(f"{tmp_path}/{name}.parquet") for name in ("documents", "benchmark")]
+    same(got(decontaminate.contamination(*table, block_bytes=3, nameless=True)), wanted)
+    assert {r.doc_id for r in corpus_pipeline.keep_uncontaminated(spark, table[0], str(tmp_path)).collect()} == {4, 5}
+
+
 def test_quality_rules(docs, rows):
     found = quality_rules.judge(docs.drop("n"))
     assert "_words" in found.columns and set(docs.drop("n").columns) <= set(found.columns)
