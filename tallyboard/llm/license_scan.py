@@ -1,6 +1,7 @@
 r"""License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line. Template tokens are ordered by their frequency over all documents, rarest first. A block contains a
+A block is a line, or for wrapped notices a window of words across line ends, `WIDTH` times as many as the template has (the
+whole text if it has fewer). A wider spread over several lines is not a block. Template tokens are ordered by their frequency over all documents, rarest first. A block contains a
 template's |t| tokens to the share c only if it holds one of the |t| - ceil(c |t|) + 1 rarest (prefix filter), has
 ceil(c |t|) different words (length filter), and the first common prefix token leaves room for the rest (positional filter);
 what passes is verified exactly. Templates are a small parameter table and travel with the tasks; the frequencies are one
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from tallyboard.llm.common import ALNUM, Words, chunks, filled, translated
 
 CONTAINMENT = 0.8
+#: Words of a window across line ends, as a multiple of the template's.
+WIDTH = 2
 #: Fixed values of the base: phrase and label.
 PHRASES = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
 #: Templates of the method: label and text.
@@ -91,12 +94,13 @@ def frequencies(docs: DataFrame, terms: list[str]) -> dict[str, int]:
 
 class Templates:
     def __init__(self, templates: list[tuple[str, str]], counts: dict[str, int], containment: float):
-        self.labels, self.sets, self.need = [], [], []
+        self.labels, self.sets, self.need, self.width = [], [], [], []
         for label, text in templates:
             own = sorted(set(tokens_of(text)), key=lambda w: (counts.get(w, 0), w))
             if own:
                 self.labels.append(label)
                 self.sets.append(own)
+                self.width.append(WIDTH * len(tokens_of(text)))
                 self.need.append(int(-(-round(containment * len(own) * 1e6) // 1_000_000)))
         self.terms = sorted({w for own in self.sets for w in own})
         place = {w: i for i, w in enumerate(self.terms)}
@@ -130,18 +134,66 @@ class Templates:
         return found
 
 
+    def wrapped(self, blocks: Blocks) -> list[tuple[int, int, int, float]]:
+        """(first word, last word, template, containment) of the windows across line ends that reach a template's threshold.
+
+        Of windows that overlap, the fullest is given, cut down to the words that it needs."""
+        number = blocks.numbered(self.terms)
+        at = np.flatnonzero(number >= 0)
+        found = []
+        for t, (own, need, width) in enumerate(zip(self.coded, self.need, self.width)):
+            rank = np.full(len(self.terms), len(own))
+            rank[own] = np.arange(len(own))
+            hits = at[rank[number[at]] < len(own)]
+            # texts lie further apart than a window is wide
+            place = hits + blocks.text[hits].astype(np.int64) * width
+            rare = place[rank[number[hits]] <= len(own) - need]
+            close = np.searchsorted(rare, place - width, "right") < np.searchsorted(rare, place + width, "left")
+            hits, place = hits[close], place[close]
+            n = len(hits)
+            if n < need:
+                continue
+            # a word is new in the windows that begin after its last occurrence and reach it
+            term = rank[number[hits]]
+            order = np.argsort(term, kind="stable")
+            last = np.full(n, -1)
+            again = term[order][1:] == term[order][:-1]
+            last[order[1:][again]] = order[:-1][again]
+            begin = np.maximum(last + 1, np.searchsorted(place, place - width, "right"))
+            count = np.cumsum(np.bincount(begin, minlength=n + 1) - np.bincount(np.arange(1, n + 1), minlength=n + 1))[:n]
+            starts = np.flatnonzero(count >= need)
+            k = 0
+            while k < len(starts):
+                to = np.searchsorted(starts, np.searchsorted(place, place[starts[k]] + width, "left"), "left")
+                while True:
+                    best = starts[k:to][np.argmax(count[starts[k:to]])]
+                    inside = np.arange(best, np.searchsorted(place, place[best] + width, "left"))
+                    end = inside[last[inside] < best][-1]
+                    k, to = np.searchsorted(starts, [best, end], "right")
+                    if k == to or count[starts[k:to]].max() <= count[best]:
+                        break
+                k = to
+                # from the last place of each word up to there
+                begin_at = min({term[j]: j for j in range(best, end + 1)}.values())
+                if blocks.line[hits[begin_at]] != blocks.line[hits[end]]:
+                    found.append((int(hits[begin_at]), int(hits[end]), t, float(count[best]) / len(own)))
+        return found
+
+
 def scan_blocks(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """doc_id, label, containment, block (the line's text), line (its number from 0): every line that reaches a template's threshold."""
+    """doc_id, label, containment, block (the text of its line or lines), line (the first one's number from 0).
+
+    Every line that reaches a template's threshold, and every wrapped notice that does."""
     table = Templates(templates, frequencies(docs, sorted({w for _, t in templates for w in tokens_of(t)})), containment)
 
     def run(batches):
         for part in chunks(batches):
             blocks = Blocks(part.column(1))
-            found = table.matches(blocks)
-            text = blocks.text_of_line[[x for x, _, _ in found]] if found else np.zeros(0, np.int64)
+            found = [(x, x, t, c) for x, t, c in table.matches(blocks)] + [(int(blocks.line[a]), int(blocks.line[b]), t, c) for a, b, t, c in table.wrapped(blocks)]
+            text = blocks.text_of_line[[x for x, *_ in found]] if found else np.zeros(0, np.int64)
             start = np.searchsorted(blocks.text_of_line, text)
-            lines = [part.column(1)[int(i)].as_py().split("\n")[x - s] for i, (x, _, _), s in zip(text, found, start.tolist())]
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array([table.labels[t] for _, t, _ in found], pa.string()), pa.array([c for _, _, c in found], pa.float64()), pa.array(lines, pa.string()), pa.array([x - s for (x, _, _), s in zip(found, start.tolist())], pa.int32())], names=["doc_id", "label", "containment", "block", "line"])
+            lines = ["\n".join(part.column(1)[int(i)].as_py().split("\n")[x - s : y - s + 1]) for i, (x, y, _, _), s in zip(text, found, start.tolist())]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array([table.labels[t] for _, _, t, _ in found], pa.string()), pa.array([c for *_, c in found], pa.float64()), pa.array(lines, pa.string()), pa.array([x - s for (x, *_), s in zip(found, start.tolist())], pa.int32())], names=["doc_id", "label", "containment", "block", "line"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled().alias("text"))
     return rows.mapInArrow(run, "doc_id long, label string, containment double, block string, line int")
@@ -171,8 +223,9 @@ def license_labels(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, te
                     base.setdefault(i, set()).add(label)
             more: dict[int, set[str]] = {i: set(x) for i, x in base.items()}
             score = (n_base > 0).astype(float)
-            for line, t, c in table.matches(blocks):
-                i = int(blocks.text_of_line[line])
+            near = [(blocks.text_of_line[x], t, c) for x, t, c in table.matches(blocks)] + [(blocks.text[a], t, c) for a, _, t, c in table.wrapped(blocks)]
+            for i, t, c in near:
+                i = int(i)
                 more.setdefault(i, set()).add(table.labels[t])
                 score[i] = max(score[i], c)
             joined = lambda x: pa.array([",".join(sorted(x.get(i, ()))) for i in range(n)], pa.string())

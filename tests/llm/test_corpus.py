@@ -286,6 +286,31 @@ def test_licenses(spark):
     assert {(r.doc_id, r.label, r.line) for r in blocks.collect()} >= {(2, "apache", 0), (7, "mit", 50)}
 
 
+def test_wrapped_licenses(spark):
+    """Notices as they are usually wrapped, and random lines of template words against every window."""
+    mit = "Copyright Them\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the Software), to deal\nin it"
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy"
+    texts = [mit, bsd, mpl, f"{mit}\n{mit}", mit.replace("\nof this", "\n" + "z " * 40 + "\nof this"), mit.replace(" ", "\n"), "permission is hereby granted"]
+    own = license_scan.tokens_of(license_scan.TEMPLATES[3][1])
+    rng = random.Random(11)
+    texts += ["".join(rng.choice([*own, "q", "q"]) + rng.choice(" \n") for _ in range(rng.randrange(30))) for _ in range(150)]
+    found = {r.doc_id: (r.labels, r.score) for r in license_scan.license_labels(frame(spark, list(enumerate(texts))), phrases=[]).collect()}
+    for i, t in enumerate(texts):
+        best = {}
+        for label, x in license_scan.TEMPLATES:
+            words, ws = license_scan.tokens_of(x), ALNUM.findall(lower(t))
+            n = license_scan.WIDTH * len(words)
+            parts = [ALNUM.findall(lower(line)) for line in t.split("\n")] + [ws[k : k + n] for k in range(len(ws))]
+            best[label] = max([best.get(label, 0)] + [len(set(p) & set(words)) / len(set(words)) for p in parts])
+        best = {label: c for label, c in best.items() if c >= 0.8}
+        assert found[i] == (",".join(sorted(best)), max(best.values(), default=0.0)), t
+    assert [found[i][0] for i in range(7)] == ["mit", "bsd", "mpl", "mit", "", "mit", ""]
+    blocks = [(r.doc_id, r.label, r.line, r.block) for r in license_scan.scan_blocks(frame(spark, list(enumerate(texts[:4])))).collect()]
+    two = "\n".join(mit.split("\n")[2:4])
+    assert sorted(blocks) == [(0, "mit", 2, two), (1, "bsd", 0, bsd), (2, "mpl", 0, mpl), (3, "mit", 2, two), (3, "mit", 7, two)]
+
+
 def test_ranker(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
