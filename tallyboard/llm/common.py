@@ -9,14 +9,15 @@ Rules that hold for every operator here:
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A null doc_id takes this place in the order of documents.
@@ -38,22 +39,42 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with the lineage cut by checkpoint() in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for what is written between steps, which all executors see: the one that ``spark.checkpoint.dir`` names.
+
+    Only a local session without that setting (as in tests) gets a temporary one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
+
 
-    Only a local session without ``spark.checkpoint.dir`` (as in tests) gets a folder of its own.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows with the lineage cut by checkpoint() in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        if not shared:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores in front as it takes until no column of `df` is called so, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def hashed(text: Column) -> Column:
+    """32 bits of the MD5 of a string, as a number."""
+    return F.conv(F.substring(F.md5(F.encode(text, "UTF-8")), 1, 8), 16, 10).cast("long")
+
+
 def ordered_id(column: str = "doc_id"):
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 
@@ -77,6 +98,20 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at = to
 
 
+def where_text(docs: DataFrame, start: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
+    """The rows of `docs`, all columns, whose texts pass. start() runs once a task and makes the test, which gets some texts (never null)
+    and gives a boolean for each. Texts go to Python and booleans come back; rows stay where they are."""
+
+    @F.arrow_udf("boolean")
+    def passes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        test = start()
+        for texts in batches:
+            parts = [pa.array(test(part.column(0)), pa.bool_()) for part in chunks(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]))]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.bool_())
+
+    return docs.where(passes(filled()))
+
+
 def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts behind each other, and the n + 1 offsets of the texts in them."""
     texts = pc.fill_null(texts, "")

@@ -15,16 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyboard.llm.common import filled
+from tallyboard.llm.common import cut, filled, hashed, unused
 
 BLOCKS = 256
 REPETITION = 1.5
 STEPS = 50
-
-
-def hashed(text: Column) -> Column:
-    """31 bits of the MD5 of a string."""
-    return F.conv(F.substring(F.md5(F.encode(text, "UTF-8")), 1, 8), 16, 10).cast("long")
+#: The schedule is sent to every task up to this size; beyond, documents and schedule are joined by a shuffle.
+PLAN_BYTES = 32 << 20
 
 
 def exponent(shares: Column, repetition: float | None, entropy: float | None, steps: int = STEPS) -> Column:
@@ -79,14 +76,31 @@ def schedule(blocks: DataFrame, quotas: DataFrame, seed: str) -> DataFrame:
     return rows.where((F.col("epoch") < F.col("epochs")) | ((F.col("_filled") <= F.col("rest")) & (F.col("rest") > 0))).select("source_key", "block", "epoch", "block_rank")
 
 
+def _emitted(docs: DataFrame, names: list[str], repetition: float | None, entropy: float | None, budget: int | None, seed: str, source: str) -> DataFrame:
+    """`docs` once per epoch that emits it, with five more columns called `names`: source key, tokens, block, epoch, block rank."""
+    key, tokens, block, epoch, rank = names
+    kind = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
+    rows = docs.withColumns({key: kind, tokens: F.regexp_count(filled(), F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), block: (hashed(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % BLOCKS).cast("int")})
+    blocks = rows.groupBy(F.col(key).alias("source_key"), F.col(block).alias("block")).agg(F.sum(tokens).alias("tokens"))
+    plan = cut(schedule(blocks, source_quotas(blocks, repetition, entropy, budget), seed))
+    size = plan.agg(F.coalesce(F.sum(F.octet_length("source_key") + 32), F.lit(0))).first()[0]
+    plan = plan.toDF(key, block, epoch, rank)
+    return rows.join(F.broadcast(plan) if size <= PLAN_BYTES else plan, [key, block])
+
+
 def mixed(docs: DataFrame, repetition: float | None = REPETITION, entropy: float | None = None, budget: int | None = None, seed: str = "mix", source: str = "source") -> DataFrame:
     r"""The rows of `docs`, all columns, once per epoch that emits them, with n_tokens (words ``[^\x20\x09-\x0D]+``), block, epoch, block_rank.
 
     Input columns of these names are replaced. A null source is a source of its own; null and empty texts have no tokens and are
-    emitted with their block; blocks follow from doc_id alone (null ids share one), so repeated rows stay together. No rows give none."""
-    docs = docs.drop("n_tokens", "block", "epoch", "block_rank", "source_key")
-    key = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
-    rows = docs.withColumns({"source_key": key, "n_tokens": F.regexp_count(filled(), F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), "block": (hashed(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % BLOCKS).cast("int")})
-    blocks = rows.groupBy("source_key", "block").agg(F.sum("n_tokens").alias("tokens"))
-    plan = schedule(blocks, source_quotas(blocks, repetition, entropy, budget), seed)
-    return rows.join(plan, ["source_key", "block"]).drop("source_key")
+    emitted with their block; blocks follow from doc_id alone (null ids share one), so repeated rows stay together; blocks of
+    equal hashes are taken by number. A text of any length counts whole. No rows give none."""
+    added = ["n_tokens", "block", "epoch", "block_rank"]
+    docs = docs.drop(*added)
+    names = unused(docs, "source_key", *added)
+    return _emitted(docs, names, repetition, entropy, budget, seed, source).select(*docs.columns, *[F.col(n).alias(a) for n, a in zip(names[1:], added)])
+
+
+def repeated(docs: DataFrame, repetition: float | None = REPETITION, entropy: float | None = None, budget: int | None = None, seed: str = "mix", source: str = "source") -> DataFrame:
+    """As `mixed`, with the columns of `docs` alone, whatever they are called."""
+    names = unused(docs, "source_key", "n_tokens", "block", "epoch", "block_rank")
+    return _emitted(docs, names, repetition, entropy, budget, seed, source).select(*docs.columns)

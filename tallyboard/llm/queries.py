@@ -55,7 +55,36 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_hilbert_shards, op4_jaccard_join, op5_license_scan, op6_quality_ranker, op7_secret_scan, op8_suffix_dedup, op9_mixing, op10_decontaminate)}
 
+
+
+def _hilbert_sql() -> str:
+    """op3 in SQL: cells by rank, the curve bit by bit in nested selects, CRC-32 by its table."""
+    steps, x, bits = "c0", ("a", "b", "c"), hilbert_shards.BITS
+    for q in (1 << k for k in range(bits - 1, 0, -1)):
+        steps = f"(SELECT * REPLACE (CASE WHEN a & {q} > 0 THEN xor(a, {q - 1}) ELSE a END AS a) FROM {steps})"
+        for i in x[1:]:
+            steps = f"(SELECT * REPLACE (CASE WHEN {i} & {q} > 0 THEN xor(a, {q - 1}) ELSE xor(a, xor(a, {i}) & {q - 1}) END AS a, CASE WHEN {i} & {q} > 0 THEN {i} ELSE xor({i}, xor(a, {i}) & {q - 1}) END AS {i}) FROM {steps})"
+    steps = f"(SELECT * REPLACE (xor(c, b) AS c) FROM (SELECT * REPLACE (xor(b, a) AS b) FROM {steps}))"
+    turn = "0"
+    for q in (1 << k for k in range(bits - 1, 0, -1)):
+        turn = f"xor({turn}, CASE WHEN c & {q} > 0 THEN {q - 1} ELSE 0 END)"
+    steps = f"(SELECT * REPLACE (xor(a, t) AS a, xor(b, t) AS b, xor(c, t) AS c) FROM (SELECT *, {turn} AS t FROM {steps}))"
+    curve = " + ".join(f"((({i} >> {bit}) & 1) << {bit * 3 + 2 - k})" for bit in range(bits) for k, i in enumerate(x))
+    cells, last = 1 << bits, hilbert_shards.SHARDS
+    return rf"""
+WITH r AS (SELECT list(list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY k) AS t FROM range(256) AS x(k)),
+h AS (SELECT doc_id, source, lang, hex(encode(coalesce(text, ''))) AS h FROM documents),
+d AS (SELECT doc_id, source, lang, CAST(len(h) // 2 + 16 AS BIGINT) AS size, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(h, '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INT) + 1]))) AS text_crc32 FROM h, r),
+c0 AS (SELECT *, (rank() OVER (ORDER BY source NULLS FIRST) - 1) * {cells} // n AS a, (rank() OVER (ORDER BY lang NULLS FIRST) - 1) * {cells} // n AS b, (rank() OVER (ORDER BY size) - 1) * {cells} // n AS c FROM (SELECT *, count(*) OVER () AS n FROM d)),
+k AS (SELECT doc_id, size, text_crc32, n, CAST({curve} AS BIGINT) AS curve FROM {steps}),
+s AS (SELECT *, CAST('0x' || substr(md5(concat_ws('|', doc_id, text_crc32, size)), 1, 8) AS BIGINT) % CAST(ceil(count(*) OVER (PARTITION BY curve) / greatest({hilbert_shards.SUB_ROWS}, n // {hilbert_shards.SUBS})) AS BIGINT) AS sub FROM k),
+p AS (SELECT *, row_number() OVER (ORDER BY curve, sub, doc_id NULLS FIRST, text_crc32, size) - 1 AS place FROM s),
+q AS (SELECT *, place * {last} // n AS shard FROM p)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, CAST(place - (shard * n + {last - 1}) // {last} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, curve FROM q"""
+
+
 ORACLE_SQL = {
+    "op3_hilbert_shards": _hilbert_sql(),
     "op1_quality_rules": r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 w AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS i, ws FROM t WHERE len(ws) >= 8),
