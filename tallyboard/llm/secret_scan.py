@@ -1,9 +1,12 @@
 r"""Secret scans: fixed patterns, and zstandard novelty primed with dictionaries.
 
-Beside the patterns' spans, every long token in a sensitive context (a word such as ``key`` or ``credential`` shortly before
-it in its line) is a candidate; in ``NAME=VALUE`` the value is one by itself. Its novelty is the number of bytes by which it lengthens the compressed form of its surroundings, with
-a dictionary of common identifiers and the text around it, without its own repetitions, as prior content. An identifier or a word costs a few bytes, a random
-key nearly its entropy; incompressible ones are reported as ``novel``.
+Beside the patterns' spans, every long token in a sensitive line (one that holds a word such as ``key`` or ``credential``,
+before or after the token, near or far) is a candidate; in ``NAME=VALUE`` the value is one by itself. Its novelty is the
+number of bytes by which it lengthens the compressed form of its surroundings, with dictionaries and the text around it,
+without its own repetitions, as prior content. There are two dictionaries: common identifiers, a parameter, and the corpus'
+own long words, those that most documents hold outside sensitive lines. A known word costs a few bytes, a random key nearly
+its length; incompressible ones are reported as ``novel``, whatever characters they are made of. Tokens without a digit, which
+may be words that no dictionary has, need a higher share.
 
 Texts that hold none of the patterns' fixed parts are set aside by one vectorised test each, which never loses a match.
 Nothing leaves its row, so hot sources and repeated rows need no shuffle; offsets are code points, ends exclusive.
@@ -13,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,30 +34,43 @@ BASE = [
 ]
 #: hex runs of at least the least length are the runs of [0-9a-f]+ that pass
 HEX_RUN = re.compile(r"[0-9a-f]{16,}")
-#: Words that make the next REACH characters of a line a sensitive context.
+#: Words that make their line a sensitive one.
 SENSITIVE = r"credential|bearer|private|auth|signature|secret|token|passw|pwd|passphrase|api[_ -]?key|_key|\bkey"
-#: Every place where such a word ends, overlapping ones too.
-CONTEXT = re.compile(rf"(?i)(?=({SENSITIVE}))")
+CONTEXT = re.compile(f"(?i){SENSITIVE}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Where a token can begin in a run: at its start and after each '='.
 PIECE = re.compile(r"(?:^|(?<==))[^=]")
-REACH, LEAST_TOKEN = 40, 16
+DIGIT = re.compile(r"[0-9]")
+LEAST_TOKEN = 16
 #: What a text with any span matches. Python takes dotless and dotted i for i where RE2 doesn't.
 MAYBE = [r"(?i)password|passwd|secret|token|api_?key", "AKIA", "[0-9a-f]{16}", f"(?i){SENSITIVE}|[\u0130\u0131]"]
 
 AROUND = 400
-#: Least novelty: bytes per character and bytes in all.
-NOVELTY, LEAST_BYTES = 0.5, 12
+#: Least novelty: bytes per character, of tokens without a digit (which may be words), and bytes in all.
+NOVELTY, WORD_NOVELTY, LEAST_BYTES = 0.5, 0.9, 12
 
 IDENTIFIERS = (
+    # parts of long words
+    "inter nation international isation ization ation tion sion ment ness ability ibility ition ution ically ingly fully ologie "
+    "graph phone tele trans under over counter super electro micro multi auto bio psych struct form press port vers duct "
+    "schaft heit keit ungen ungs lich bung gesell geschwindig entwicklung verwaltung versicherung "
+    "ement issement iquement aison ique eur euse ción miento mente idad ador "
+    # names in code and configuration
     "password passwd secret token api_key apikey access_key secret_key private_key public_key credential credentials authorization "
-    "bearer signature client_id client_secret session_id request_id user_name username config configuration environment "
-    "settings connection database localhost example placeholder changeme your_token_here xxxxxxxxxxxxxxxx 0123456789 "
+    "authentication bearer signature certificate client_id client_secret session_id request_id user_name username config configuration "
+    "environment settings connection database localhost default_placeholder_name example_value placeholder changeme your_token_here "
+    "name_of_the_host host_of_the_database path_of_the_file number_of_users insert_your_key_here "
+    "xxxxxxxxxxxxxxxx ---------------- ________________ ================ ++++++++++++++++ 0123456789 1234567890 "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ import return function class public static private protected "
-    "string integer boolean float double const let var def self this null none true false http https www com org"
+    "string integer boolean float double const let var def self this null none true false http https www com org "
+    "/usr/local/share/lib/bin /home/user/ src/main/resources/ application/json index.html README"
 ).encode()
 
 
+#: Words of the corpus that prime the compressor: letters at least, and the most that are taken.
+LONG_WORD, LONG_WORDS = re.compile(r"[A-Za-z]{16,}"), 1000
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind number) of the patterns' matches, leftmost and non-overlapping per kind."""
     found = []
@@ -65,12 +81,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def novelty(candidate: str, around: str, identifiers: bytes = IDENTIFIERS) -> int:
-    """Bytes that the candidate adds to the compressed form of its surroundings."""
-    prior = around.encode()
-    known = zstandard.ZstdCompressionDict(identifiers + b"\n" + prior, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    """Bytes that the candidate adds to the compressed form of its surroundings, whatever the case of letters."""
+    prior = around.lower().encode()
+    known = zstandard.ZstdCompressionDict(identifiers.lower() + b"\n" + prior, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     packer = zstandard.ZstdCompressor(level=9, dict_data=known, write_content_size=False, write_dict_id=False)
     tail = prior[-64:]
-    return len(packer.compress(tail + candidate.encode())) - len(packer.compress(tail))
+    return len(packer.compress(tail + candidate.lower().encode())) - len(packer.compress(tail))
 
 
 def surroundings(text: str, a: int, b: int) -> str:
@@ -80,25 +96,31 @@ def surroundings(text: str, a: int, b: int) -> str:
     return before + text[b : b + AROUND + len(token)].replace(token, blank)[:AROUND]
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, int]], share: float = NOVELTY, least: int = LEAST_BYTES) -> list[tuple[int, int, int]]:
-    """Spans (kind number 3) of incompressible tokens in sensitive contexts that no span in `taken` touches."""
+def sensitive_lines(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of every line that holds a sensitive word."""
+    at = 0
+    while m := CONTEXT.search(text, at):
+        end = text.find("\n", m.end())
+        yield text.rfind("\n", 0, m.start()) + 1, len(text) if end < 0 else end
+        if end < 0:
+            return
+        at = end + 1
+
+
+def novel_spans(text: str, taken: list[tuple[int, int, int]], share: float = NOVELTY, word_share: float = WORD_NOVELTY, least: int = LEAST_BYTES, identifiers: bytes = IDENTIFIERS) -> list[tuple[int, int, int]]:
+    """Spans (kind number 3) of incompressible tokens in sensitive lines that no span in `taken` touches."""
     found = []
-    runs = list(RUN.finditer(text))
-    ends = sorted(m.end(1) for m in CONTEXT.finditer(text)) if runs else []
-    for m in runs if ends else []:
-        stop = m.end()
-        # from the last piece back, so that a value is weighed before NAME=VALUE as a whole
-        for a in [m.start() + x.start() for x in PIECE.finditer(m[0])][::-1]:
-            k = bisect_right(ends, a) - 1
-            if stop - a < LEAST_TOKEN or k < 0 or a - ends[k] > REACH or "\n" in text[ends[k] : a]:
-                continue
-            token = text[a:stop]
-            if any(x < stop and a < y for x, y, _ in taken) or not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token)):
-                continue
-            extra = novelty(token, surroundings(text, a, stop))
-            if extra >= least and extra >= share * len(token):
-                found.append((a, stop, 3))
-                stop = m.start() + len(text[m.start() : a].rstrip("="))
+    for begin, end in sensitive_lines(text):
+        for m in RUN.finditer(text, begin, end):
+            stop = m.end()
+            # from the last piece back, so that a value is weighed before NAME=VALUE as a whole
+            for a in [m.start() + x.start() for x in PIECE.finditer(m[0])][::-1]:
+                if stop - a < LEAST_TOKEN or any(x < stop and a < y for x, y, _ in taken):
+                    continue
+                extra = novelty(text[a:stop], surroundings(text, a, stop), identifiers)
+                if extra >= least and extra >= (share if DIGIT.search(text, a, stop) else word_share) * (stop - a):
+                    found.append((a, stop, 3))
+                    stop = m.start() + len(text[m.start() : a].rstrip("="))
     return found
 
 
@@ -117,8 +139,29 @@ def _maybe(texts: pa.Array):
     return out.to_pylist()
 
 
-def find_secrets(docs: DataFrame) -> DataFrame:
-    """doc_id, kind, start, stop, secret: every span with its text. Null texts are empty; repeated rows are scanned alike."""
+def corpus_words(docs: DataFrame, most: int = LONG_WORDS) -> bytes:
+    """The long words that most rows of `docs` hold outside sensitive lines, two rows at least; counted over all rows, `most` of them reach the driver."""
+
+    def run(batches):
+        for part in chunks(batches):
+            words = []
+            for text in part.column(0).filter(pc.match_substring_regex(part.column(0), LONG_WORD.pattern)).to_pylist():
+                plain, at = [], 0
+                for a, b in sensitive_lines(text):
+                    plain.append(text[at:a])
+                    at = b
+                words += {w for x in [*plain, text[at:]] for w in LONG_WORD.findall(x)}
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["word"])
+
+    counted = docs.select(filled().alias("text")).mapInArrow(run, "word string").groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # the commonest last, where the compressor finds them nearest
+    return " ".join(r.word for r in counted.orderBy(F.col("n").desc(), "word").limit(most).collect()[::-1]).encode()
+
+
+def find_secrets(docs: DataFrame, identifiers: bytes = IDENTIFIERS) -> DataFrame:
+    """doc_id, kind, start, stop, secret: every span with its text. Null and empty texts have none, very long ones are scanned whole,
+    repeated rows alike; no rows give none. Other columns are ignored, whatever their names."""
+    known = identifiers + b" " + corpus_words(docs)
 
     def run(batches):
         for part in chunks(batches):
@@ -127,7 +170,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
                 if maybe:
                     text, own = part.column(1)[i].as_py(), part.column(0)[i].as_py()
                     base = base_spans(text)
-                    rows += [(own, KINDS[k], a, b, text[a:b]) for a, b, k in sorted(base + novel_spans(text, base), key=lambda x: (x[0], x[2]))]
+                    rows += [(own, KINDS[k], a, b, text[a:b]) for a, b, k in sorted(base + novel_spans(text, base, identifiers=known), key=lambda x: (x[0], x[2]))]
             columns = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "kind", "start", "stop", "secret"])
 
@@ -135,9 +178,11 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, kind string, start long, stop long, secret string")
 
 
-def secret_digest(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_assign, n_access, n_hex, base_sha256 (of kind:start:end, comma-joined) and spans (all, the method's too)."""
-    empty = hashlib.sha256(b"").hexdigest()
+def secret_digest(docs: DataFrame, identifiers: bytes = IDENTIFIERS) -> DataFrame:
+    """Per row: doc_id, n_assign, n_access, n_hex, base_sha256 (of kind:start:end, comma-joined) and spans (all, the method's too).
+
+    Nulls, empty and very long texts and repeated rows as in `find_secrets`."""
+    empty, known = hashlib.sha256(b"").hexdigest(), identifiers + b" " + corpus_words(docs)
 
     def run(batches):
         for part in chunks(batches):
@@ -149,7 +194,7 @@ def secret_digest(docs: DataFrame) -> DataFrame:
                     for _, _, k in base:
                         counts[k][i] += 1
                     digest[i] = hashlib.sha256(_listed(base).encode()).hexdigest()
-                    spans[i] = _listed(sorted(base + novel_spans(text, base), key=lambda x: (x[0], x[2])))
+                    spans[i] = _listed(sorted(base + novel_spans(text, base, identifiers=known), key=lambda x: (x[0], x[2])))
             yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(digest), pa.array(spans)], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled().alias("text"))
