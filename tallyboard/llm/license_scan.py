@@ -1,11 +1,13 @@
 r"""License scans: an exact set-similarity join of text blocks with license templates.
 
 A block is a line, or for wrapped notices a window of words across line ends, `WIDTH` times as many as the template has (the
-whole text if it has fewer). A wider spread over several lines is not a block. Template tokens are ordered by their frequency over all documents, rarest first. A block contains a
-template's |t| tokens to the share c only if it holds one of the |t| - ceil(c |t|) + 1 rarest (prefix filter), has
-ceil(c |t|) different words (length filter), and the first common prefix token leaves room for the rest (positional filter);
-what passes is verified exactly. Templates are a small parameter table and travel with the tasks; the frequencies are one
-count per template token. Documents never leave their rows.
+whole text if it has fewer). A wider spread over several lines is not a block. The words of the templates are in one global
+order, by their frequency over all documents, rarest first; other words can't be common. A template of |t| words is contained
+to the share c if ceil(c |t|) of them are. Blocks meet templates through an inverted index of the templates' |t| - ceil(c |t|) + 1
+rarest words (prefix filter); a block needs ceil(c |t|) template words (length filter); and where both first meet, at place i
+of the template's order and j of the block's, the words that follow on either side must suffice (positional filter). What
+passes is verified exactly. Windows are looked for in texts that pass as a whole. Templates are a small parameter table and
+travel with the tasks; the frequencies are one count per template word. Documents never leave their rows.
 
 Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after A-Z became lower case.
 """
@@ -25,17 +27,32 @@ CONTAINMENT = 0.8
 WIDTH = 2
 #: Fixed values of the base: phrase and label.
 PHRASES = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
-#: Templates of the method: label and text.
+#: Templates of the method: label and text. Sentences of the licenses' own notices.
 TEMPLATES = [
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
+    ("gpl", "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
     ("apache", "Licensed under the Apache License, Version 2.0."),
+    ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
     ("mit", "Released under the MIT License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
     ("cc-by-sa", "This work is made available under the Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0 Universal"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("boost", "Distributed under the Boost Software License, Version 1.0."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 #: As ALNUM, but lines stay apart.
@@ -92,58 +109,89 @@ def frequencies(docs: DataFrame, terms: list[str]) -> dict[str, int]:
     return {terms[r.term]: r.n for r in counted}
 
 
+class Index:
+    """Lists of entries by term: one array of all entries, and where each term's begin."""
+
+    def __init__(self, lists: list[list[tuple[int, int]]]):
+        self.size = np.array([len(x) for x in lists], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.entries = np.array([e for x in lists for e in x], np.int64).reshape(-1, 2)
+
+    def probe(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which of `terms`, template, place) of every entry of every term's list."""
+        n = self.size[terms]
+        which = np.repeat(np.arange(len(terms)), n)
+        found = self.entries[np.repeat(self.first[terms] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        return which, found[:, 0], found[:, 1]
+
+
 class Templates:
     def __init__(self, templates: list[tuple[str, str]], counts: dict[str, int], containment: float):
-        self.labels, self.sets, self.need, self.width = [], [], [], []
-        for label, text in templates:
-            own = sorted(set(tokens_of(text)), key=lambda w: (counts.get(w, 0), w))
-            if own:
-                self.labels.append(label)
-                self.sets.append(own)
-                self.width.append(WIDTH * len(tokens_of(text)))
-                self.need.append(int(-(-round(containment * len(own) * 1e6) // 1_000_000)))
-        self.terms = sorted({w for own in self.sets for w in own})
+        words = [(label, set(tokens), len(tokens)) for label, text in templates if (tokens := tokens_of(text))]
+        self.labels, self.width = [label for label, *_ in words], [WIDTH * n for *_, n in words]
+        #: all template words, rarest first; a word's number is its place in this order
+        self.terms = sorted({w for _, own, _ in words for w in own}, key=lambda w: (counts.get(w, 0), w))
         place = {w: i for i, w in enumerate(self.terms)}
-        self.coded = [np.array([place[w] for w in own]) for own in self.sets]
+        self.coded = [np.sort(np.array([place[w] for w in own])) for _, own, _ in words]
+        self.length = np.array([len(own) for own in self.coded], np.int64)
+        self.need = -(-np.round(containment * self.length * 1e6).astype(np.int64) // 1_000_000)
+        prefix, whole = [[] for _ in self.terms], [[] for _ in self.terms]
+        for t, own in enumerate(self.coded):
+            for i, w in enumerate(own):
+                whole[w].append((t, i))
+                if i <= self.length[t] - self.need[t]:
+                    prefix[w].append((t, i))
+        self.prefix, self.whole = Index(prefix), Index(whole)
+
+    def candidates(self, group: np.ndarray, term: np.ndarray):
+        """Pairs that meet in the prefix index: (group, template, passes the length filter, passes the positional filter too).
+
+        group and term are the distinct template words of each block, sorted."""
+        new = np.concatenate(([True], group[1:] != group[:-1])) if len(group) else np.zeros(0, bool)
+        begin = np.flatnonzero(new)
+        own = np.cumsum(new) - 1
+        size, place = np.bincount(own, minlength=len(begin)), np.arange(len(group)) - (begin[own] if len(group) else 0)
+        which, t, i = self.prefix.probe(term)
+        _, first = np.unique(group[which] * len(self.length) + t, return_index=True)
+        which, t, i = which[first], t[first], i[first]
+        n, j, need = size[own[which]], place[which], self.need[t]
+        long = n >= need
+        return group[which], t, long, long & (1 + np.minimum(self.length[t] - i - 1, n - j - 1) >= need)
+
+    def contained(self, group: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(group, template, common words) of the blocks that reach a template's threshold; group: each word's block, number: its place in `terms` or -1."""
+        at = np.flatnonzero(number >= 0)
+        pairs = np.unique(group[at].astype(np.int64) * max(1, len(self.terms)) + number[at])
+        group, term = pairs // max(1, len(self.terms)), pairs % max(1, len(self.terms))
+        g, t, _, passes = self.candidates(group, term)
+        wanted = np.sort(g[passes] * len(self.length) + t[passes])
+        if not len(wanted):
+            return (np.zeros(0, np.int64),) * 3
+        near = np.isin(group, wanted // len(self.length))
+        which, t, _ = self.whole.probe(term[near])
+        met = group[near][which] * len(self.length) + t
+        found = np.minimum(np.searchsorted(wanted, met), len(wanted) - 1)
+        common = np.bincount(found[wanted[found] == met], minlength=len(wanted))
+        good = common >= self.need[wanted % len(self.length)]
+        return wanted[good] // len(self.length), wanted[good] % len(self.length), common[good]
 
     def matches(self, blocks: Blocks) -> list[tuple[int, int, float]]:
         """(line, template, containment) of every line that reaches a template's threshold."""
-        number = blocks.numbered(self.terms)
-        at = np.flatnonzero(number >= 0)
-        if not len(at):
-            return []
-        pairs = np.unique(blocks.line[at].astype(np.int64) * len(self.terms) + number[at])
-        line, term = pairs // len(self.terms), pairs % len(self.terms)
-        words = np.unique((blocks.line.astype(np.int64) << 32) | blocks.words.codes)
-        size = np.bincount(words >> 32, minlength=len(blocks.words.counts))
-        found = []
-        for t, (own, need) in enumerate(zip(self.coded, self.need)):
-            rank = np.full(len(self.terms), len(own))
-            rank[own] = np.arange(len(own))
-            prefix = rank[term] <= len(own) - need
-            lines, first = line[prefix], rank[term[prefix]]
-            order = np.lexsort((first, lines))
-            lines, first = lines[order], first[order]
-            new = np.concatenate(([True], lines[1:] != lines[:-1])) if len(lines) else np.zeros(0, bool)
-            lines, first = lines[new], first[new]
-            lines = lines[(size[lines] >= need) & (len(own) - first >= need)]
-            if not len(lines):
-                continue
-            common = np.bincount(np.searchsorted(lines, line[np.isin(line, lines) & (rank[term] < len(own))]), minlength=len(lines))
-            found += [(int(x), t, float(c) / len(own)) for x, c in zip(lines, common) if c >= need]
-        return found
-
+        line, t, common = self.contained(blocks.line, blocks.numbered(self.terms))
+        return [(int(x), int(k), float(c) / len(self.coded[k])) for x, k, c in zip(line, t, common)]
 
     def wrapped(self, blocks: Blocks) -> list[tuple[int, int, int, float]]:
         """(first word, last word, template, containment) of the windows across line ends that reach a template's threshold.
 
         Of windows that overlap, the fullest is given, cut down to the words that it needs."""
         number = blocks.numbered(self.terms)
-        at = np.flatnonzero(number >= 0)
+        texts, templates, _ = self.contained(blocks.text, number)
         found = []
-        for t, (own, need, width) in enumerate(zip(self.coded, self.need, self.width)):
+        for t in np.unique(templates).tolist():
+            own, need, width = self.coded[t], int(self.need[t]), self.width[t]
             rank = np.full(len(self.terms), len(own))
             rank[own] = np.arange(len(own))
+            at = np.flatnonzero(np.isin(blocks.text, texts[templates == t]) & (number >= 0))
             hits = at[rank[number[at]] < len(own)]
             # texts lie further apart than a window is wide
             place = hits + blocks.text[hits].astype(np.int64) * width
@@ -183,7 +231,8 @@ class Templates:
 def scan_blocks(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, label, containment, block (the text of its line or lines), line (the first one's number from 0).
 
-    Every line that reaches a template's threshold, and every wrapped notice that does."""
+    Every line that reaches a template's threshold, and every wrapped notice that does. Null and empty texts have none; very long
+    ones are scanned whole; repeated rows are answered one by one; no rows give none."""
     table = Templates(templates, frequencies(docs, sorted({w for _, t in templates for w in tokens_of(t)})), containment)
 
     def run(batches):
@@ -203,7 +252,7 @@ def license_labels(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, te
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     score is 1 where a base phrase stands, else the best containment of a reported block, else 0. Null and empty texts have
-    no words and no labels; repeated rows get the same answer each."""
+    no words and no labels, very long ones are scanned whole; repeated rows get the same answer each; no rows give none."""
     table = Templates(templates, frequencies(docs, sorted({w for _, t in templates for w in tokens_of(t)})), containment)
     wanted = [(tokens_of(p), label) for p, label in phrases]
 
