@@ -6,12 +6,15 @@ the text needs no further look. For the others, with n shingles and a least over
 
 * the first common shingle of a linked pair is among the first n - o + 1 of both. If it is rare (held by at most `RARE`
   texts), the pair meets on that single shingle;
-* if it is frequent, so are all later common ones, and the first two are among the first n - o + 2 of both (the extended
-  prefix): the pair meets on the combination of two. Sets above `COMBINED` shingles index frequent ones singly instead, as do
-  sets within the similarity's reach of that size, because there the combinations would outnumber what they save;
+* if it is frequent, so are all later common ones. With g classes of shingles by hash, two of the first g + 1 common ones are in
+  one class, and the first g + 1 are among the first n - o + g + 1 of both (the extended prefix): the pair meets on a
+  combination of two of one class. g follows the set's size in steps of four, so combinations stay in proportion to the set;
+  a set is indexed under every g that a partner's size within the similarity's reach may have;
 * a second common shingle need not exist where o(n) is 1 (texts of one shingle, say). Such sets index frequent shingles singly
   too, under tokens of their own, so that they meet one another and not the large sets that hold the shingle.
 
+The order among frequent shingles is that of their hashes: they are told from rare ones by a count that stops above `RARE`.
+
 Candidates pass length and positional filters and are verified by exact intersection. Only links between components are
 looked for: first each posting list is compared with its earliest member, which connects large groups of copies in linear
 time; what the lists still hold of different components is compared pair by pair, so no link is lost.
@@ -24,14 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyboard.llm.common import LOWER, NO_ID, Words, cut, filled, key_order, mix, ordered_id, packed_rows, translated
+from tallyboard.llm.common import LOWER, NO_ID, Words, cut, filled, key_order, mix, ordered_id, packed_rows, translated, unused
 from tallyboard.llm.components import components
 from tallyboard.llm.exchange import KEY_BITS, KEY_MASK, MARK, shared_keys
 
 SHINGLE = 5
 PERCENT = 80
 RARE = 30
-COMBINED = 250
 
 NODES = "node long, n int, vals binary"
 POSTINGS = "token long, node long, n int, room int"
@@ -96,6 +98,33 @@ def text_nodes(texts: DataFrame, size: int, percent: int) -> DataFrame:
     return shared_keys(texts, records, RARE, finish, NODES)
 
 
+def classes(n: int, percent: int) -> int:
+    """Classes of shingles of a set of n: a power of four, about as many as the set's prefix has shingles."""
+    g, room = 1, min(n * (100 - percent) // 100, least_overlap(n, percent) - 1)
+    while 4 * g <= room:
+        g *= 4
+    return g
+
+
+def levels(n: int, percent: int) -> list[int]:
+    """The numbers of classes that partners of a set of n may have, its own included."""
+    g, last = classes(least_overlap(n, percent), percent), classes(100 * n // percent, percent)
+    return [g * 4**k for k in range(20) if g * 4**k <= last]
+
+
+def combinations(keys: np.ndarray, g: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of places of `keys` (in order) that are in one of g classes, and the second one's rank in its class."""
+    own = (mix(keys + np.uint64(g)) >> np.uint64(20)) % np.uint64(g)
+    order = np.argsort(own, kind="stable")
+    own = own[order]
+    first = np.searchsorted(own, own, "left")
+    rank = np.arange(len(own)) - first
+    # each place with all before it in its class
+    b = np.repeat(np.arange(len(own)), rank)
+    a = np.arange(len(b)) - np.repeat(np.cumsum(rank) - rank, rank) + first[b]
+    return order[a], order[b], rank[b]
+
+
 def postings(nodes: DataFrame, percent: int) -> DataFrame:
     """(token, node, n, room): what each set is indexed under; room bounds the overlap of a pair that first meets there."""
 
@@ -106,19 +135,17 @@ def postings(nodes: DataFrame, percent: int) -> DataFrame:
                 vals = np.frombuffer(raw.as_buffer(), np.uint64)
                 alone = n - len(vals)
                 reach = int(n - least_overlap(n, percent) + 1 - alone)
-                head = vals[: reach + 1]
-                often = np.flatnonzero(head >> np.uint64(KEY_BITS) > RARE)
-                single = np.arange(min(reach, len(vals)))
-                if 100 * n <= percent * COMBINED:
-                    single = np.setdiff1d(single, often)
-                found = [(mix(head[single] & KEY_MASK), n - alone - single)]
+                often = np.flatnonzero(vals >> np.uint64(KEY_BITS) > RARE)
+                single = np.setdiff1d(np.arange(min(reach, len(vals))), often)
+                found = [(mix(vals[single] & KEY_MASK), n - alone - single)]
                 if least_overlap(n, percent) < 2:
                     own = often[often < reach]
-                    found.append((mix((head[own] & KEY_MASK) | np.uint64(1 << KEY_BITS)), n - alone - own))
-                if n <= COMBINED and len(often) > 1:
-                    a, b = np.triu_indices(len(often), 1)
-                    a, b = often[a], often[b]
-                    found.append((mix((head[a] & KEY_MASK) * np.uint64(0x9E3779B97F4A7C15) + (head[b] & KEY_MASK) + np.uint64(1)), n - alone - b + 1))
+                    found.append((mix((vals[own] & KEY_MASK) | np.uint64(1 << KEY_BITS)), n - alone - own))
+                for g in levels(n, percent):
+                    head = vals[often[often < reach + g]] & KEY_MASK
+                    a, b, rank = combinations(head, g)
+                    # no rare shingle is common to a pair that needs this, nor are those of the class before b, but for a
+                    found.append((mix(head[a] * np.uint64(0x9E3779B97F4A7C15) + head[b] + np.uint64(g)), len(often) - rank + 1))
                 for t, r in found:
                     tokens.append(t)
                     room.append(r)
@@ -205,9 +232,9 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
 
     Components are told apart by their texts, so those that share a doc_id, or have none, keep a row each; of several texts
     with that id in one component the one with the smallest hash stays, of repeated rows any one. Texts without words are no
-    duplicates of anything and all stay."""
-    known = labelled_nodes(_rows(docs), size, percent)
-    keep = known.where("n > 0 AND node = least_node").select(F.col("least_id").alias("_id"), F.col("node").alias("_node"))
+    duplicates of anything and all stay. No rows give none; columns may be called anything."""
+    known, (own_id, own_node) = labelled_nodes(_rows(docs), size, percent), unused(docs, "_id", "_node")
+    keep = known.where("n > 0 AND node = least_node").select(F.col("least_id").alias(own_id), F.col("node").alias(own_node))
     worded = filled().rlike(r"[^\x20\x09-\x0D]")
-    found = docs.where(worded).withColumns({"_id": ordered_id(), "_node": F.xxhash64(filled())}).join(keep, ["_id", "_node"])
-    return found.dropDuplicates(["_id", "_node"]).drop("_id", "_node").unionByName(docs.where(~worded))
+    found = docs.where(worded).withColumns({own_id: ordered_id(), own_node: F.xxhash64(filled())}).join(keep, [own_id, own_node])
+    return found.dropDuplicates([own_id, own_node]).select(*docs.columns).unionByName(docs.where(~worded))
