@@ -71,6 +71,9 @@ VENDORS = [
     ("breezy", r"\.breezy\.hr"),
     ("workday", r"myworkdayjobs\.com"),
 ]
+#: What the pages of some vendors' boards hold, by vendor in order of priority.
+VENDOR_LINKS = [("greenhouse", r"boards\.greenhouse\.io|grnh\.se"), ("lever", r"jobs\.lever\.co"), ("workday", r"myworkdayjobs\.com")]
+VENDOR_MARKERS = [("greenhouse", ["#application", ".opening"]), ("lever", [".posting", ".posting-headline"]), ("workday", [".jobProperty", "workday"])]
 #: Substrings of a board's URL that choose its adapter, in order.
 ADAPTERS = [
     ("greenhouse.io", "greenhouse"),
@@ -105,10 +108,6 @@ EXCLUDED = [
     "cuda", "nccl", "rdma", "gpu kernel", "data scientist", "data analyst", "junior", "entry level", "qa engineer",
     "test engineer", "phd required", "kernel engineer",
 ]
-TARGETS = [
-    "morgan stanley", "jpmorgan", "jp morgan", "goldman sachs", "amazon", "aws", "microsoft", "azure", "google",
-    "google cloud", "databricks", "snowflake", "openai", "anthropic",
-]
 TEST_WORDS = ["test", "demo", "sample", "example"]
 CAREER_PATHS = [
     "/careers", "/jobs", "/career", "/join-us", "/work-with-us", "/opportunities", "/job-openings", "/employment",

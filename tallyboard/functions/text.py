@@ -109,6 +109,14 @@ def vendor_of(url: Column, vendors: Sequence[tuple[str, str]] = presets.VENDORS)
     return _first_true([(url.rlike(p), v) for v, p in vendors], F.lit(None).cast("string"))
 
 
+def vendor_evidence(url: Column, html: Column, links: Sequence[tuple[str, str]] = presets.VENDOR_LINKS, markers: Sequence[tuple[str, Sequence[str]]] = presets.VENDOR_MARKERS) -> Column:
+    """struct(vendor, confidence, method) of a careers page: by its URL, else by a marker in its text, else custom."""
+    found = lambda v, confidence, method: F.struct(F.lit(v).alias("vendor"), F.lit(confidence).alias("confidence"), F.lit(method).alias("method"))
+    by_url = [(url.rlike(p), found(v, 0.95, "url_pattern")) for v, p in links]
+    by_text = [(F.contains(html, F.lit(m)), found(v, 0.85, "dom_analysis")) for v, ms in markers for m in ms]
+    return _first_true(by_url + by_text, found("custom", 1.0, "unknown"))
+
+
 def board_token(vendor: Column, url: Column, endpoint: Column, domain: Column, name: Column) -> Column:
     """The board's token: from its URL, from the configured endpoint, else the domain without ``.com`` and dots, else the name."""
     none = lambda c: F.nullif(c, F.lit(""))

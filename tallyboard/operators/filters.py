@@ -102,17 +102,26 @@ def company_jobs(jobs: DataFrame, name: str) -> DataFrame:
     return active(jobs).where(F.col("company") == name).orderBy(F.col("posted_date").desc_nulls_last(), "job_id")
 
 
+def settled(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """`df` with the columns added or replaced through a generator of one row: each is computed once a row, whatever refers to it
+    later. Filters and columns above a plain projection would compute its expressions again."""
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
+def any_pattern(text: Column, patterns: Sequence[str]) -> Column:
+    return text.rlike("(?u)" + "|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
+
+
 def first_pattern(text: Column, patterns: Sequence[str]) -> Column:
-    """The first pattern of the list that the text matches, or null."""
+    """The first pattern of the list that the text matches, or null. One test of all patterns comes first, which most texts fail."""
     out = None
     for p in patterns:
         hit = text.rlike(f"(?u){p}")
         out = F.when(hit, p) if out is None else out.when(hit, p)
-    return out if out is not None else F.lit(None).cast("string")
-
-
-def any_pattern(text: Column, patterns: Sequence[str]) -> Column:
-    return text.rlike("(?u)" + "|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
+    if out is None:
+        return F.lit(None).cast("string")
+    return F.when(any_pattern(text, patterns), out) if len(patterns) > 3 else out
 
 
 def classify_it(text: Column, is_title: bool = True, roles: Sequence[str] = presets.IT_ROLES, others: Sequence[str] = presets.NON_IT_TITLES) -> Column:
@@ -142,15 +151,20 @@ def classify_language(text: Column, ok: Sequence[str] = presets.LANGUAGE_OK, req
 
 
 def judged(jobs: DataFrame, roles: Sequence[str] = presets.IT_ROLES, others: Sequence[str] = presets.NON_IT_TITLES, ok: Sequence[str] = presets.LANGUAGE_OK, required: Sequence[str] = presets.LANGUAGE_REQUIRED) -> DataFrame:
-    """`jobs` with `reason`: null if accepted, else ``Non-IT: ...`` or ``Language: ...``."""
-    body = F.concat_ws(" ", empty_if_null(F.col("description")), empty_if_null(F.col("title")))
-    title, text, language = classify_it(F.col("title"), True, roles, others), classify_it(body, False, roles, others), classify_language(body, ok, required)
-    reason = F.when(~title["flag"] & ~text["flag"], F.concat(F.lit("Non-IT: "), text["reason"])).when(~language["flag"], F.concat(F.lit("Language: "), language["reason"]))
-    return jobs.withColumn("reason", reason)
+    """`jobs` with `reason`: null if accepted, else ``Non-IT: ...`` or ``Language: ...``.
+
+    The verdicts are those of `classify_it` on title or body and of `classify_language` on the body. A role word decides the
+    title's alone, so `others` changes nothing here. Texts and reason are computed once a row."""
+    title, body = F.lower(empty_if_null(F.col("title"))), F.lower(F.concat_ws(" ", empty_if_null(F.col("description")), empty_if_null(F.col("title"))))
+    texts = settled(jobs, {"_title": title, "_body": body})
+    it = any_pattern(F.col("_title"), roles) | any_pattern(F.col("_body"), roles)
+    need = F.concat(F.lit("Language: Detected Japanese requirement keyword: "), first_pattern(F.col("_body"), required))
+    reason = F.when(~it, F.when(F.col("_body") == "", "Non-IT: No text provided").otherwise("Non-IT: No IT keywords found")).when(~any_pattern(F.col("_body"), ok), need)
+    return settled(texts, {"reason": reason}).drop("_title", "_body")
 
 
 def gate(jobs: DataFrame, **vocabularies) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected): disjoint, together all of `jobs`; rejected rows carry their reason."""
+    """(accepted, rejected): disjoint, together all of `jobs`; rejected rows carry their reason. `judged` has both in one column."""
     out = judged(jobs, **vocabularies)
     return out.where(F.col("reason").isNull()).drop("reason"), out.where(F.col("reason").isNotNull())
 
