@@ -1,4 +1,4 @@
-"""Joins and set operations (inventory J). Wide OR conditions are chained anti joins, fuzzy matching is token-blocked."""
+"""Joins and set operations (inventory J). Wide OR conditions are chained anti joins, fuzzy matching is filtered by rare tokens and 3-grams."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tallyboard.functions.text import careers_link, empty_if_null, vendor_link, vendor_of
+from tallyboard.operators import blocks
 from tallyboard.operators.filters import matching_jobs
 
 
@@ -90,20 +91,15 @@ def alert_condition(job: str = "j", search: str = "s") -> Column:
     return (j("posted_date") > s("cutoff")) & q & place & category
 
 
-#: Saved searches beyond this many aren't sent to every task; the join then shuffles on the day.
-SEARCHES_SENT = 100_000
+def match_alerts(searches: DataFrame, jobs: DataFrame, as_of: str, k: int | None = 10) -> DataFrame:
+    """The newest k active postings (None: all) of each alerting search since it was last mailed (or the last day).
 
-
-def match_alerts(searches: DataFrame, jobs: DataFrame, as_of: str, k: int = 10) -> DataFrame:
-    """The newest k active postings of each alerting search since it was last mailed (or the last day).
-
-    The searches are counted; up to `SEARCHES_SENT` they are broadcast and every posting meets them in its own task. Beyond,
-    both sides meet by posting day: a search lists the days since its cutoff, so no nested loop over everything is planned."""
+    Up to `SENT_BYTES` of searches are broadcast and every posting meets them in its own task. Beyond, both sides meet by
+    posting day: a search lists the days since its cutoff, so no nested loop over everything is planned."""
     cutoff = F.coalesce("last_emailed_at", F.lit(as_of).cast("timestamp") - F.expr("INTERVAL 1 DAY"))
     alerts = searches.where("email_alert").select("search_id", "user_email", F.col("criteria.q").alias("q"), F.col("criteria.location").alias("location"), F.col("criteria.category").alias("category"), cutoff.alias("cutoff"))
     active = jobs.where("is_active").select("job_id", "title", "company", "location", "remote_type", "skills", "posted_date")
-    few = alerts.select("search_id").limit(SEARCHES_SENT + 1).count() <= SEARCHES_SENT
-    if few:
+    if blocks.size_of(alerts) <= blocks.SENT_BYTES:
         hits = active.alias("j").join(F.broadcast(alerts).alias("s"), alert_condition())
     else:
         newest_day = active.agg(F.max("posted_date").cast("date").alias("d")).first().d
@@ -111,16 +107,20 @@ def match_alerts(searches: DataFrame, jobs: DataFrame, as_of: str, k: int = 10)
         daily = alerts.withColumn("day", F.explode(F.sequence(F.col("cutoff").cast("date"), last)))
         hits = active.withColumn("day", F.col("posted_date").cast("date")).alias("j").join(daily.alias("s"), (F.col("j.day") == F.col("s.day")) & alert_condition())
     newest = W.partitionBy("search_id").orderBy(F.col("posted_date").desc(), "job_id")
-    return hits.select("s.search_id", "s.user_email", "j.job_id", "j.posted_date").withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= k)
+    return hits.select("s.search_id", "s.user_email", "j.job_id", "j.posted_date").withColumn("rank", F.row_number().over(newest)).where(F.lit(k is None) | (F.col("rank") <= (k or 0)))
 
 
 def _lcs(a: str, b: str) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for i, y in enumerate(b, 1):
-            before, row[i] = row[i], before + 1 if x == y else max(row[i], row[i - 1])
-    return row[-1]
+    """Length of the longest common subsequence; the bits of one number are the columns of the usual table."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    row = whole
+    for y in b:
+        hit = row & places.get(y, 0)
+        row = (row + hit | row - hit) & whole
+    return len(a) - row.bit_count()
 
 
 def _ratio(a: str, b: str) -> float:
@@ -147,23 +147,95 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_similarity(x, y) for x, y in zip(a, b)])
 
 
+GRAM = 3
+
+
+def _tokens(name: str) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(F.col(name)), r"(?U)[\s\x1c-\x1f]+"), lambda t: t != ""))
+
+
+def _rare_first(rows: DataFrame, ranks: DataFrame, item: str) -> DataFrame:
+    """(name, size, items): each name's items in one order for all, rarest first."""
+    return rows.join(ranks, item).groupBy("name", "size").agg(F.sort_array(F.collect_list(F.struct("n", F.col(item).alias("item")))).alias("items"))
+
+
+def _leading(size: Column, items: Column, spare: float) -> Column:
+    """The rarest tokens, up to the first that makes them longer than a `spare` share of the name: one of them is common if the
+    tokens that aren't take no more than that."""
+    end = F.aggregate(items, F.struct(F.lit(0).alias("k"), F.lit(0).alias("chars")), lambda s, x: F.when(s["chars"] > size * spare + 1e-9, s).otherwise(F.struct((s["k"] + 1).alias("k"), (s["chars"] + F.length(x["item"]) + 1).alias("chars"))))["k"]
+    return F.slice(items, 1, end)
+
+
+def fuzzy_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(candidate, match) of the names (column name) of both sides: every pair that can reach the similarity `least`, and some more.
+
+    Two ways lead to a similarity. Either the common tokens make up nearly all of one side: then one of that side's rarest tokens
+    is common. Or the names differ by few inserted and deleted characters, a share `e` of both lengths at most: then most
+    3-grams of the padded tokens stay, since a deletion breaks three and an insertion two, and one of the rarest is common
+    (a prefix filter on both sides). Names too short for that are paired by length."""
+    e = 1 - least / 100
+    spare = 2 * e / (1 + e)
+    padded = lambda t: F.concat(F.lit(" "), t, F.lit(" "))
+    cut_up = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.substr(padded(t), i, F.lit(GRAM)))
+
+    def named(df: DataFrame) -> DataFrame:
+        df = df.select("name").distinct().withColumn("tokens", _tokens("name")).where(F.size("tokens") > 0)
+        return df.withColumns({"size": F.length(F.array_join("tokens", " ")), "grams": F.array_distinct(F.flatten(F.transform("tokens", cut_up)))})
+
+    a, b = named(left), named(right)
+
+    def items(df: DataFrame, kind: str) -> DataFrame:
+        return df.select("name", "size", F.explode(kind).alias(kind))
+
+    def ranks(kind: str) -> DataFrame:
+        return items(a, kind).unionByName(items(b, kind)).groupBy(kind).agg(F.count(F.lit(1)).alias("n"))
+
+    def by_tokens(few: DataFrame, many: DataFrame, own: str, other: str) -> DataFrame:
+        heads = _rare_first(items(few, "tokens"), ranks("tokens"), "tokens").select(F.col("name").alias(own), F.explode(_leading(F.col("size"), F.col("items"), spare)["item"]).alias("t"))
+        return heads.join(many.select(F.col("name").alias(other), F.explode("tokens").alias("t")), "t").select(F.col(own), F.col(other))
+
+    # most 3-grams that a partner of any fitting length leaves broken
+    low, high = (1 - e) / (1 + e), (1 + e) / max(1e-9, 1 - e)
+    share = max((2.5 * e + 0.5) + (2.5 * e - 0.5) * m for m in (low, high))
+    broken = F.floor(F.col("size") * share + 1e-9)
+
+    def by_grams(df: DataFrame, own: str) -> DataFrame:
+        rare = _rare_first(items(df, "grams"), ranks("grams"), "grams")
+        return rare.select(F.col("name").alias(own), F.col("size").alias(f"{own}_size"), F.explode(F.slice("items", 1, F.least(F.size("items"), broken + 1).cast("int"))["item"]).alias("g"))
+
+    # the rarest broken + 1 grams hold a common one if there are more grams than that can break
+    short = lambda df, own: df.where(F.size("grams") <= broken).select(F.col("name").alias(own), F.col("size").alias(f"{own}_size"))
+    x, y = F.col("candidate_size"), F.col("match_size")
+    near = 2 * F.least(x, y) + 1e-9 >= (1 - e) * (x + y)
+    close = by_grams(a, "candidate").join(by_grams(b, "match"), "g").where(near)
+    lengths = F.sequence(F.ceil(x * low - 1e-9).cast("int"), F.floor(x * high + 1e-9).cast("int"))
+    both_short = short(a, "candidate").withColumn("match_size", F.explode(lengths)).join(short(b, "match"), "match_size")
+    found = [by_tokens(a, b, "candidate", "match"), by_tokens(b, a, "match", "candidate"), close, both_short]
+    out = found[0].select("candidate", "match")
+    for more in found[1:]:
+        out = out.unionByName(more.select("candidate", "match"))
+    return out.distinct()
+
+
 def fuzzy_match(candidates: DataFrame, companies: DataFrame, least: float = 90.0) -> DataFrame:
     """(candidate, match, score, how): the company of the same domain, else the best name at or above `least`; ties by name.
 
-    Names meet only where they share a token, as a similarity of 90 nearly always needs; a token's list is joined, not paired
-    by hand, and pairs are scored once."""
+    `fuzzy_pairs` gives the names that can reach it, and each pair is scored once. Names without tokens match nothing."""
     c = candidates.select(F.col("name").alias("candidate"), lowered("domain").alias("_d")).distinct()
     known = companies.select(F.col("name").alias("match"), lowered("domain").alias("_d")).distinct()
     by_domain = c.join(known, "_d").groupBy("candidate").agg(F.min("match").alias("match")).select("candidate", "match", F.lit(100.0).alias("score"), F.lit("domain").alias("how"))
     rest = c.select("candidate").distinct().join(by_domain, "candidate", "left_anti")
-    tokens = lambda df, n: df.select(n, F.explode(F.array_distinct(F.split(F.lower(F.trim(F.col(n))), r"\s+"))).alias("_t"))
-    pairs = tokens(rest, "candidate").join(tokens(known.select("match").distinct(), "match"), "_t").select("candidate", "match").distinct()
+    pairs = fuzzy_pairs(rest.select(F.col("candidate").alias("name")), known.select(F.col("match").alias("name")), least)
     scored = pairs.withColumn("score", similarity("candidate", "match")).where(F.col("score") >= least)
     best = scored.groupBy("candidate").agg(F.min(F.struct((-F.col("score")).alias("s"), "match")).alias("b"))
     by_name = best.select("candidate", F.col("b.match").alias("match"), (-F.col("b.s")).alias("score"), F.lit("name").alias("how"))
     return by_domain.unionByName(by_name)
 
 
+#: How far each way to a board is to be trusted.
+CONFIDENCE = {"url": 0.95, "redirect": 0.95, "probe": 0.8, "home": 0.7, "careers": 0.7}
+
+
 def match_tier(score: Column) -> Column:
     return F.when(score > 95, "merge").when(score >= 85, "review").otherwise("new")
 
@@ -201,12 +273,14 @@ def lookback_days(frequency: Column) -> Column:
 
 
 def due_digests(subscribers: DataFrame, jobs: DataFrame, as_of: str) -> DataFrame:
-    """(user_email, job_id, posted_date) of every due subscriber's digest window; subscribers only differ in two windows, which jobs are joined to."""
+    """(user_email, job_id, posted_date) of every due subscriber's digest window; subscribers only differ in two windows.
+
+    Due subscribers are sent out in blocks of checked size; jobs stay where they are."""
     now = F.lit(as_of).cast("timestamp")
     ready = subscribers.where("is_active").where(due(F.coalesce("frequency", F.lit("daily")), F.col("last_sent_at"), now)).select("user_email", lookback_days(F.coalesce("frequency", F.lit("daily"))).alias("days"))
     recent = jobs.where("is_active").where(F.col("posted_date") >= now - F.expr("INTERVAL 7 DAYS")).select("job_id", "posted_date")
     windows = recent.withColumn("days", F.explode(F.when(F.col("posted_date") >= now - F.expr("INTERVAL 1 DAY"), F.array(F.lit(1), F.lit(7))).otherwise(F.array(F.lit(7)))))
-    return ready.join(windows, "days").select("user_email", "job_id", "posted_date")
+    return blocks.over_blocks(ready, "user_email", lambda some: windows.join(F.broadcast(some), "days").select("user_email", "job_id", "posted_date"))
 
 
 def valid_requests(requests: DataFrame, companies: DataFrame, pending: DataFrame) -> DataFrame:
@@ -241,7 +315,7 @@ def set_ops(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def discover_vendor(companies: DataFrame, pages: DataFrame, probes: DataFrame) -> DataFrame:
-    """(name, vendor, url, how): from the company's URL, its landed home page, its landed careers page, or the first valid probe.
+    """(name, vendor, url, how, confidence): from the company's URL, its landed home page, its landed careers page, or the first valid probe.
 
     pages: url, final_url, html. probes: name, order, url, vendor, body, total; valid if the body doesn't say that there is no board and the total is positive."""
     home = pages.select(F.col("url").alias("website"), F.col("html").alias("_home"))
@@ -255,4 +329,5 @@ def discover_vendor(companies: DataFrame, pages: DataFrame, probes: DataFrame) -
     c = c.join(first, "name", "left")
     tiers = [("url", F.col("_direct"), F.col("website")), ("home", F.col("_home_hit.vendor"), F.col("_home_hit.url")), ("redirect", F.col("_final_type"), F.col("_final")), ("careers", F.col("_page_hit.vendor"), F.col("_page_hit.url")), ("probe", F.col("_probe.vendor"), F.col("_probe.url"))]
     pick = F.coalesce(*[F.when(v.isNotNull(), F.struct(v.alias("vendor"), u.alias("url"), F.lit(how).alias("how"))) for how, v, u in tiers])
-    return c.select("name", pick.alias("_p")).select("name", "_p.vendor", "_p.url", "_p.how")
+    trust = F.create_map(*[F.lit(x) for pair in CONFIDENCE.items() for x in pair])
+    return c.select("name", pick.alias("_p")).select("name", "_p.vendor", "_p.url", "_p.how", F.coalesce(F.try_element_at(trust, F.col("_p.how")), F.lit(0.0)).alias("confidence"))

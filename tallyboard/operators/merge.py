@@ -35,9 +35,11 @@ def upsert_jobs(stored: DataFrame, incoming: DataFrame, emitted: Sequence[str],
     return both.select(*out)
 
 
-def upsert(target: DataFrame, changes: DataFrame, keys: Sequence[str], set_columns: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
-    """`target` with the changes' columns set on equal keys, and new keys inserted (other columns null)."""
-    last = latest_per_key(changes, keys, order) if order else changes.dropDuplicates(list(keys))
+def upsert(target: DataFrame, changes: DataFrame, keys: Sequence[str], set_columns: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """`target` with the changes' columns set on equal keys, and new keys inserted (other columns null).
+
+    Changes of one key count as applied one after the other in `order`, which should tell them apart: the last one stays."""
+    last = latest_per_key(changes, keys, order)
     new = last.select(*keys, *[F.col(c).alias(f"_{c}") for c in set_columns], F.lit(True).alias("_in"))
     both = target.join(new, list(keys), "full_outer")
     return both.select(*[F.when(F.col("_in"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in set_columns else F.col(c) for c in target.columns])

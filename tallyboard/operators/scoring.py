@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tallyboard.functions import presets
 from tallyboard.functions.text import empty_if_null
+from tallyboard.operators.blocks import over_blocks
+from tallyboard.operators.filters import settled
 from tallyboard.operators.windows import top_matches
 
 
@@ -18,7 +20,7 @@ def _present(text: Column, words: Sequence[str]) -> Column:
     return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in words])) if words else F.array().cast("array<string>")
 
 
-def keyword_score(jobs: DataFrame, high: Sequence[str] = presets.HIGH_SIGNAL, exclude: Sequence[str] = presets.EXCLUDED, targets: Sequence[str] = presets.TARGETS) -> DataFrame:
+def keyword_score(jobs: DataFrame, high: Sequence[str] = presets.HIGH_SIGNAL, exclude: Sequence[str] = presets.EXCLUDED, targets: Sequence[str] = ()) -> DataFrame:
     """`jobs` with score and reason: 3, plus 1.5 for each strong word and once for a target company, 10 at most; an excluded word gives 0."""
     text = F.lower(F.concat_ws(" ", empty_if_null(F.col("title")), empty_if_null(F.col("company")), F.array_join(F.coalesce("skills", F.array().cast("array<string>")), " ")))
     df = jobs.withColumn("_text", text).withColumns({"_out": _present(F.col("_text"), exclude), "_high": _present(F.col("_text"), high), "_target": _present(F.col("_text"), targets)})
@@ -32,23 +34,42 @@ def keyword_score(jobs: DataFrame, high: Sequence[str] = presets.HIGH_SIGNAL, ex
     return df.withColumns({"score": score, "reason": reason}).drop("_text", "_out", "_high", "_target")
 
 
-def run_digest(jobs: DataFrame, as_of: str, days: int = 1, n: int = 15, least: float = 5.0, scan: int = 100, **vocabulary) -> tuple[DataFrame, DataFrame]:
-    """(top matches, log row): the `scan` newest active jobs of the window are scored; without any there is no log row."""
+def landed_score(jobs: DataFrame, scores: DataFrame, answered: DataFrame | None = None, **vocabulary) -> DataFrame:
+    """`jobs` with the score and reason that a model gave (job_id, score, reason). Jobs of batches that it answered (job_id; none
+    given: all) without naming them get 3, the others are scored by keywords."""
+    by_words = keyword_score(jobs, **vocabulary).withColumnsRenamed({"score": "_score", "reason": "_reason"})
+    given = scores.select("job_id", F.col("score").cast("double").alias("score"), "reason", F.lit(True).alias("_given"))
+    df = by_words.join(given, "job_id", "left")
+    df = df.join(answered.select("job_id").distinct().withColumn("_asked", F.lit(True)), "job_id", "left") if answered is not None else df.withColumn("_asked", F.lit(True))
+    pick = lambda c, default: F.when(F.col("_given"), F.coalesce(c, F.lit(default))).when(F.col("_asked"), F.lit(default)).otherwise(F.col(f"_{c}"))
+    return df.withColumns({"score": pick("score", 3.0), "reason": pick("reason", "Not scored")}).drop("_score", "_reason", "_given", "_asked")
+
+
+#: Scorers by name: (jobs, **options) -> jobs with score and reason. Users add their own.
+SCORERS: dict[str, Callable[..., DataFrame]] = {"keywords": keyword_score, "landed": landed_score}
+
+
+def run_digest(jobs: DataFrame, as_of: str, days: int = 1, n: int = 15, least: float = 5.0, scan: int = 100, scorer: str = "keywords", **options) -> tuple[DataFrame, DataFrame]:
+    """(top matches, log row): the `scan` newest active jobs of the window are scored; without any there is no log row.
+
+    matched_count counts the matches that are shown, `n` at most."""
     recent = jobs.where("is_active").where(F.col("posted_date") >= F.lit(as_of).cast("timestamp") - F.make_interval(days=F.lit(days)))
     recent = recent.orderBy(F.col("posted_date").desc(), "job_id").limit(scan)
-    top = top_matches(keyword_score(recent, **vocabulary), least, n)
-    matched = F.count_if(F.col("score") >= least)
-    log = keyword_score(recent, **vocabulary).agg(F.count(F.lit(1)).alias("total_scanned"), matched.alias("matched_count")).where("total_scanned > 0")
-    return top, log.select(F.lit(as_of).cast("timestamp").alias("run_at"), F.lit(days).alias("days_lookback"), "total_scanned", "matched_count")
+    scored = SCORERS[scorer](recent, **options)
+    top = top_matches(scored, least, n)
+    matched = F.least(F.count_if(F.col("score") >= least), F.lit(n).cast("long"))
+    log = scored.agg(F.count(F.lit(1)).alias("total_scanned"), matched.alias("matched_count")).where("total_scanned > 0")
+    return top, log.select(F.lit(as_of).cast("timestamp").alias("run_at"), F.lit(scorer).alias("provider"), F.lit(days).alias("days_lookback"), "total_scanned", "matched_count")
 
 
-def preference_score(jobs: DataFrame, prefs: DataFrame) -> DataFrame:
-    """(user_email, job_id, match_score, kept): 30 keywords, 30 skills, 20 place, 20 pay; an excluded word gives 0.
+def preference_score(jobs: DataFrame, prefs: DataFrame, below: bool = False) -> DataFrame:
+    """(user_email, job_id, match_score) of the jobs that reach the user's least score; with `below`, of all, and `kept` tells which do.
 
-    Every user meets every job, which is what is asked for; the users' side is small and is sent out, the jobs stay where they are."""
+    30 for keywords, 30 skills, 20 place, 20 pay; an excluded word gives 0. The users are a stated set of queries that meets
+    every job where it lies: they are sent out in blocks of checked size."""
     low = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.lower(x))
     p = prefs.select("user_email", *[low(F.col(c)).alias(f"_{c}") for c in ("keywords", "exclude_keywords", "locations", "required_skills", "preferred_skills")], F.coalesce("min_salary", F.lit(0)).alias("_min"), F.coalesce("min_match_score", F.lit(0)).alias("_least"))
-    df = jobs.withColumns({"_text": F.lower(F.concat_ws(" ", empty_if_null(F.col("title")), empty_if_null(F.col("description")))), "_skills": low(F.col("skills")), "_place": F.lower(empty_if_null(F.col("location")))}).join(F.broadcast(p))
+    texts = settled(jobs, {"_text": F.lower(F.concat_ws(" ", empty_if_null(F.col("title")), empty_if_null(F.col("description")))), "_skills": low(F.col("skills")), "_place": F.lower(empty_if_null(F.col("location")))})
     share = lambda words, hit: F.size(F.filter(words, hit)) / F.size(words)
     in_text = lambda w: F.contains(F.col("_text"), w)
     is_skill = lambda w: F.array_contains(F.col("_skills"), w)
@@ -63,45 +84,57 @@ def preference_score(jobs: DataFrame, prefs: DataFrame) -> DataFrame:
     low_pay, high_pay = F.coalesce("salary.min", F.lit(0)), F.coalesce("salary.max", F.lit(0))
     pay = F.when((F.col("_min") == 0) | ((low_pay >= F.col("_min")) & (low_pay > 0)), 1.0).when((low_pay == 0) & (high_pay == 0), 0.5).when(high_pay >= F.col("_min"), 0.7).otherwise(0.0)
     score = F.when(F.exists("_exclude_keywords", in_text), 0.0).otherwise(F.round(keywords * 30 + skills * 30 + place * 20 + pay * 20, 2))
-    return df.select("user_email", "job_id", score.alias("match_score"), (score >= F.col("_least")).alias("kept"))
 
+    def scored(block: DataFrame) -> DataFrame:
+        df = settled(texts.join(F.broadcast(block)), {"match_score": score})
+        return df.select("user_email", "job_id", "match_score", (F.col("match_score") >= F.col("_least")).alias("kept"))
+
+    out = over_blocks(p, "user_email", scored)
+    return out if below else out.where("kept").drop("kept")
 
-def criteria_score(jobs: DataFrame, criteria: DataFrame) -> DataFrame:
-    """(set_id, job_id, score) of criteria (set_id, type, words, priority, is_required): weighted share of what fits, 0 if a required one doesn't.
 
-    Types: keyword (any word in title or description), location (any word in the place), skills (half of them)."""
+def criteria_score(jobs: DataFrame, criteria: DataFrame, zeros: bool = False) -> DataFrame:
+    """(set_id, job_id, score) of criteria (set_id, type, words, priority, is_required): weighted share of what fits, 0 if a required
+    one doesn't. Zeros are left out unless asked for.
+
+    Types: keyword (any word in title or description), location (any word in the place), skills (half of them). Each set is one
+    row, and sets are sent out in blocks of checked size, so no scores are shuffled."""
     text, place = F.lower(F.concat_ws(" ", empty_if_null(F.col("title")), empty_if_null(F.col("description")))), F.lower(empty_if_null(F.col("location")))
     own = F.transform(F.coalesce("skills", F.array().cast("array<string>")), lambda s: F.lower(s))
-    df = jobs.select("job_id", text.alias("_text"), place.alias("_place"), own.alias("_skills")).join(F.broadcast(criteria))
-    words = F.transform("words", lambda w: F.lower(w))
-    fits = (
-        F.when(F.col("type") == "keyword", F.exists(words, lambda w: F.contains(F.col("_text"), w)))
-        .when(F.col("type") == "location", F.exists(words, lambda w: F.contains(F.col("_place"), w)))
-        .when(F.col("type") == "skills", F.size(F.filter(words, lambda w: F.array_contains(F.col("_skills"), w))) >= F.size(words) * 0.5)
-        .otherwise(False)
-    )
-    weight = F.col("priority") * 20
-    return df.groupBy("set_id", "job_id").agg(F.when(F.bool_and(fits | ~F.col("is_required")), F.round(100.0 * F.sum(F.when(fits, weight).otherwise(0)) / F.sum(weight), 2)).otherwise(0.0).alias("score"))
+    df = settled(jobs.select("job_id", "title", "description", "location", "skills"), {"_text": text, "_place": place, "_skills": own})
+    parts = F.struct("type", F.transform("words", lambda w: F.lower(w)).alias("words"), (F.col("priority") * 20).alias("weight"), "is_required")
+    sets = criteria.groupBy("set_id").agg(F.collect_list(parts).alias("_all"))
+
+    def fits(x: Column) -> Column:
+        some = lambda c: F.exists(x["words"], lambda w: F.contains(F.col(c), w))
+        skills = F.size(F.filter(x["words"], lambda w: F.array_contains(F.col("_skills"), w))) >= F.size(x["words"]) * 0.5
+        return F.coalesce(F.when(x["type"] == "keyword", some("_text")).when(x["type"] == "location", some("_place")).when(x["type"] == "skills", skills), F.lit(False))
 
+    hits = F.transform("_all", lambda x: F.struct(fits(x).alias("fits"), x["weight"].alias("weight"), x["is_required"].alias("is_required")))
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + x["weight"])
+    share = F.round(100.0 * total(F.filter("_hits", lambda x: x["fits"])) / total(F.col("_hits")), 2)
+    score = F.when(F.forall("_hits", lambda x: x["fits"] | ~x["is_required"]), share).otherwise(0.0)
 
-#: Query vectors beyond this many bytes aren't sent to every task.
-QUERY_BYTES = 64 << 20
+    def scored(block: DataFrame) -> DataFrame:
+        met = settled(df.join(F.broadcast(block)), {"_hits": hits})
+        return met.select("set_id", "job_id", score.alias("score"))
+
+    out = over_blocks(sets, "set_id", scored)
+    return out if zeros else out.where("score > 0")
 
 
 def semantic_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, similarity, rank): the k most similar vectors by cosine; ties by id.
 
-    A stated set of queries against all rows. The queries' size is checked before they are sent out; a larger set is taken in blocks."""
-    total = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()
-    blocks = max(1, -(-8 * int(total[1]) // QUERY_BYTES))
+    A stated set of queries against all rows, sent out in blocks of checked size."""
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     unit = lambda df, i, o: df.select(F.col(i).alias(o), F.col("embedding").cast("array<double>").alias("e")).withColumn("n", norm(F.col("e")))
-    v, out = unit(vectors, "vec_id", "vec_id"), None
-    for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+    v = unit(vectors, "vec_id", "vec_id")
+
+    def ranked(part: DataFrame) -> DataFrame:
         q = unit(part, "query_id", "query_id").withColumnsRenamed({"e": "qe", "n": "qn"})
         dot = F.aggregate(F.zip_with("e", "qe", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
         scored = v.join(F.broadcast(q)).select("query_id", "vec_id", F.round(dot / F.nullif(F.col("n") * F.col("qn"), F.lit(0.0)), 6).alias("similarity"))
-        ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("similarity").desc_nulls_last(), "vec_id"))).where(F.col("rank") <= k)
-        out = ranked if out is None else out.unionByName(ranked)
-    return out
+        return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("similarity").desc_nulls_last(), "vec_id"))).where(F.col("rank") <= k)
+
+    return over_blocks(queries.select("query_id", "embedding"), "query_id", ranked)

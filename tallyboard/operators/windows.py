@@ -83,3 +83,21 @@ def staleness(jobs: DataFrame, runs: DataFrame, as_of: str, months: int = 4, mis
     limit = runs.withColumn("_r", F.row_number().over(order)).where(F.col("_r") == misses).select("source", F.col("run_at").alias("_since"))
     old = F.col("posted_date") < F.add_months(F.lit(as_of).cast("date"), -months)
     return jobs.join(limit, "source", "left").select("job_id", F.coalesce(old, F.lit(False)).alias("old"), F.coalesce(F.col("last_seen_at") < F.col("_since"), F.lit(False)).alias("archive"))
+
+
+def weekly_reposts(jobs: DataFrame, keys: Sequence[str] = ("company", "title"), least: int = 3) -> DataFrame:
+    """keys, weekday (1 is Sunday), first_week (its first day) and weeks of roles posted on one weekday in `least` or more consecutive weeks."""
+    day = F.col("posted_date").cast("date")
+    weeks = jobs.where(day.isNotNull()).select(*keys, F.dayofweek(day).alias("weekday"), day.alias("_day")).distinct()
+    own = W.partitionBy(*keys, "weekday").orderBy("_day")
+    islands = weeks.withColumn("_start", F.date_add("_day", -7 * F.row_number().over(own)))
+    # days of consecutive weeks lead back to one start
+    runs = islands.groupBy(*keys, "weekday", "_start").agg(F.min("_day").alias("first_week"), F.count(F.lit(1)).alias("weeks"))
+    return runs.where(F.col("weeks") >= least).drop("_start")
+
+
+def list_status(collections: DataFrame, as_of: str, months: int = 3) -> DataFrame:
+    """`collections` with expiry_date (`months` after created_at, unless it has one) and status: archived from that day on, else active."""
+    own = F.col("expiry_date").cast("date") if "expiry_date" in collections.columns else F.lit(None).cast("date")
+    df = collections.withColumn("expiry_date", F.coalesce(own, F.add_months(F.col("created_at").cast("date"), months)))
+    return df.withColumn("status", F.when(F.col("expiry_date") <= F.lit(as_of).cast("date"), "archived").otherwise("active"))

@@ -15,7 +15,8 @@ COMPANY_LIST = "name string, domain string, ats_type string, ats_url string, siz
 
 
 def read_company_lists(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Companies of YAML lists (``companies:``), read file by file inside the tasks; rows without a name or domain are left out."""
+    """Companies of YAML lists (``companies:``), one or several documents a file, read file by file inside the tasks; rows without a
+    name or domain are left out."""
     files = spark.read.text(list(paths) if not isinstance(paths, str) else paths, wholetext=True).select("value", F.input_file_name().alias("file"))
 
     def run(batches):
@@ -24,7 +25,7 @@ def read_company_lists(spark: SparkSession, paths: str | Sequence[str]) -> DataF
         for pdf in batches:
             rows = []
             for value, file in zip(pdf["value"], pdf["file"]):
-                for c in (yaml.safe_load(value) or {}).get("companies") or []:
+                for c in (c for part in yaml.safe_load_all(value) for c in (part or {}).get("companies") or []):
                     ats = c.get("ats_system") or {}
                     rows.append((c.get("name"), c.get("domain"), c.get("ats_type") or ats.get("type"), c.get("ats_url"), c.get("size"), c.get("industry"), c.get("is_active"), c.get("tags"), file))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in COMPANY_LIST.split(", ")])
@@ -57,5 +58,6 @@ def acceptable_feedback(feedback: DataFrame, most: int = 2000) -> DataFrame:
     return feedback.where(F.length("content").between(1, most))
 
 
-def append(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append(df: DataFrame, path: str, batch: str | int) -> None:
+    """Appends rows to a log (digests, visits, feedback) as its part `batch`; written again, a part is replaced, not doubled."""
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
