@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyboard.functions import links
 from tallyboard.functions import text as X
 from tallyboard.plans.queries import AS_OF, CURATED_SQL, c, jobs, lit, query
-from tallyboard.plans.views import SKILL_WORDS, SKILLS_SQL, view
+from tallyboard.plans.views import SKILL_WORDS, SKILLS_SQL, shared_folder, view
 from tallyboard.sources import boards as B
 from tallyboard.sources import files
 
@@ -91,17 +91,27 @@ def x11_vendor_of(spark, sf):
     return view(spark, sf, "companies").select("company_id", X.vendor_of(c("ats_url")).alias("vendor"))
 
 
+@query("", """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 THEN 'workday' WHEN 3 THEN 'greenhouse' WHEN 4 THEN 'lever' ELSE 'custom' END AS vendor,
+CAST(CASE WHEN page_id % 6 < 3 THEN 0.95 WHEN page_id % 6 < 5 THEN 0.85 ELSE 1.0 END AS DOUBLE) AS confidence, CASE WHEN page_id % 6 < 3 THEN 'url_pattern' WHEN page_id % 6 < 5 THEN 'dom_analysis' ELSE 'unknown' END AS method FROM pages""")
+def x11_vendor_evidence(spark, sf):
+    k = c("page_id") % 6
+    url = F.when(k == 0, F.concat(lit("https://grnh.se/"), c("page_id").cast("string"))).when(k == 1, lit("https://jobs.lever.co/x")).when(k == 2, lit("https://x.wd5.myworkdayjobs.com/Site")).otherwise(c("url"))
+    plain = F.regexp_replace("html", r"[#.](?=application|opening|posting|jobProperty)|workday", "")
+    html = F.when(k == 3, F.concat(plain, lit("<style>.opening{}</style>"))).when(k == 4, F.concat(plain, lit("<style>.posting-headline{}</style>"))).otherwise(plain)
+    return view(spark, sf, "pages").select("page_id", X.vendor_evidence(url, html).alias("v")).select("page_id", "v.*")
+
+
 @query("companies", "SELECT company_id, CASE WHEN ats_type = 'workday' THEN 'Site' ELSE 'c' || CAST(company_id AS VARCHAR) || CASE WHEN ats_url IS NULL AND company_id % 2 = 1 THEN 'io' ELSE '' END END AS token FROM companies")
 def x12_board_token(spark, sf):
     return view(spark, sf, "companies").select("company_id", X.board_token(F.coalesce("ats_type", lit("none")), c("ats_url"), lit(None).cast("string"), c("domain"), c("name")).alias("token"))
 
 
-@query("", "SELECT page_id, regexp_extract(url, '^https?://([^./]+)', 1) AS slug FROM pages WHERE regexp_extract(url, '^https?://([^/]+)', 1) LIKE '%.example.com' AND regexp_extract(url, '^https?://([^./]+)', 1) NOT IN ('www', 'careers', 'jobs', 'global', 'corporate', 'com', 'co', 'jp', 'net', 'org', 'ai', 'io', 'ne')")
+@query("", """WITH h AS (SELECT page_id, string_split(regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1), '.') AS p FROM pages),
+q AS (SELECT page_id, CASE WHEN p[1] = 'www' THEN p[2:] ELSE p END AS p FROM h),
+s AS (SELECT page_id, p, coalesce(list_filter(p, lambda x: lower(x) NOT IN ('com', 'co', 'jp', 'net', 'org', 'ai', 'io', 'ne'))[1], p[1]) AS slug FROM q)
+SELECT page_id, CASE WHEN slug IN ('www', 'careers', 'jobs', 'global', 'corporate') THEN p[greatest(1, len(p) - 1)] ELSE slug END AS slug FROM s""")
 def x13_slug(spark, sf):
-    host = F.try_parse_url(c("url"), lit("HOST"))
-    left = F.split_part(host, lit("."), lit(1))
-    generic = ["www", "careers", "jobs", "global", "corporate", "com", "co", "jp", "net", "org", "ai", "io", "ne"]
-    return view(spark, sf, "pages").where(host.like("%.example.com") & ~left.isin(generic)).select("page_id", X.slug_of(c("url")).alias("slug"))
+    return view(spark, sf, "pages").select("page_id", X.slug_of(c("url")).alias("slug"))
 
 
 @query("companies", "SELECT company_id, u.o AS \"order\", u.url AS url FROM (SELECT company_id, unnest([{'o': 0, 'url': 'https://jobs.ashbyhq.com/' || k}, {'o': 1, 'url': 'https://boards.greenhouse.io/' || k}, {'o': 2, 'url': 'https://jobs.lever.co/' || k}, {'o': 3, 'url': 'https://apply.workable.com/' || k}, {'o': 4, 'url': 'https://' || k || '.breezy.hr'}]) AS u FROM (SELECT company_id, 'c' || CAST(company_id AS VARCHAR) AS k FROM companies))")
@@ -126,7 +136,8 @@ def x16_careers_link(spark, sf):
     return linked_pages(spark, sf).select("page_id", X.careers_link(c("html"), c("url")).alias("link"))
 
 
-@query()
+@query("", r"""WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a\s*>', 1)) AS href, generate_subscripts(regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a\s*>', 1), 1) AS i FROM pages)
+SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^[a-z]+:') || href WHEN starts_with(href, '/') THEN regexp_extract(url, '^[a-z]+://[^/?#]*') || href END AS link FROM a""")
 def x17_absolute_url(spark, sf):
     found = view(spark, sf, "pages").select("page_id", "url", F.explode(X.anchors(c("html"))).alias("a"))
     return found.select("page_id", "a.pos", links.absolute_url("url", "a.href").alias("link"))
@@ -203,17 +214,17 @@ def place():
 PLACE_SQL = "CASE doc_id % 4 WHEN 0 THEN company_location WHEN 1 THEN 'Remote (' || company_location || ')' ELSE location END"
 
 
-@query()
-def s1_company_lists(spark, sf):
-    """Company lists as YAML files are written from the customers into a new folder and read back."""
-    import tempfile
+#: Companies of one YAML list, and lists of one file.
+A_LIST, A_FILE = 50, 20
+
 
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    folder = f"{path.rstrip('/')}/lists-{spark.sql('select uuid()').first()[0]}"
-    co = view(spark, sf, "companies").where("company_id % 10 <> 7")
+@query("companies", "SELECT name, domain, 'a,b' AS tags FROM companies WHERE company_id % 11 <> 0")
+def s1_company_lists(spark, sf):
+    """Company lists as YAML files are written from the customers into a new folder and read back: lists and files of bounded length."""
+    folder = f"{shared_folder(spark)}/lists"
     item = F.concat(lit("- name: "), F.to_json(F.struct(c("name").alias("x"))).substr(lit(6), F.length("name") + 2), F.when(c("company_id") % 11 == 0, "").otherwise(F.concat(lit("\n  domain: "), c("domain"))), lit("\n  tags: [a, b]"))
-    whole = co.groupBy((c("company_id") % 4).alias("f")).agg(F.concat(lit("companies:\n"), F.array_join(F.sort_array(F.collect_list(item)), "\n")).alias("value"))
-    whole.select("value").repartition(4).write.text(folder)
+    lists = view(spark, sf, "companies").groupBy(F.expr(f"company_id DIV {A_LIST}").alias("f")).agg(F.concat(lit("---\ncompanies:\n"), F.array_join(F.sort_array(F.collect_list(item)), "\n")).alias("value"))
+    lists.select("value").write.option("maxRecordsPerFile", A_FILE).text(folder)
     return files.read_company_lists(spark, folder).select("name", "domain", F.array_join("tags", ",").alias("tags"))
 
 
@@ -238,11 +249,10 @@ def s3_greenhouse(spark, sf):
     return B.normalise_greenhouse(rows).select("job_id", "title", "location", "source_url", "posted_date")
 
 
-@query("postings", f"SELECT 'lever_' || CAST(doc_id AS VARCHAR) AS job_id, title, {PLACE_SQL} AS location, 'https://jobs.lever.co/tok_' || company || '/' || CAST(doc_id AS VARCHAR) AS source_url, posted_date, CASE WHEN contains(lower(title || ' ' || description), 'intern') THEN 'Internship' WHEN doc_id % 3 = 0 THEN 'Part-time' ELSE 'Full-time' END AS job_type FROM postings WHERE title <> '' AND NOT contains(lower(title || description), 'contract') AND NOT contains(lower(title || description), 'part-time')")
+@query("postings", f"SELECT 'lever_' || CAST(doc_id AS VARCHAR) AS job_id, title, {PLACE_SQL} AS location, 'https://jobs.lever.co/tok_' || company || '/' || CAST(doc_id AS VARCHAR) AS source_url, posted_date, CASE WHEN contains(x, 'intern') THEN 'Internship' WHEN contains(x, 'contract') THEN 'Contract' WHEN doc_id % 3 = 0 OR contains(x, 'part-time') THEN 'Part-time' ELSE 'Full-time' END AS job_type FROM (SELECT *, lower(title || ' ' || description) AS x FROM postings) WHERE title <> ''")
 def s4_lever(spark, sf):
     body = F.to_json(F.array(F.struct(doc().alias("id"), c("title").alias("text"), F.struct(place().alias("location"), F.when(c("doc_id") % 3 == 0, "Part-time").otherwise("Full time").alias("commitment")).alias("categories"), lit("").alias("description"), c("description").alias("descriptionPlain"), F.unix_millis("posted_date").alias("createdAt"))))
-    rows = landed(spark, sf, body, t=F.lower(F.concat("title", "description"))).where(~F.contains("t", lit("contract")) & ~F.contains("t", lit("part-time")))
-    return B.normalise_lever(rows).select("job_id", "title", "location", "source_url", "posted_date", "job_type")
+    return B.normalise_lever(landed(spark, sf, body)).select("job_id", "title", "location", "source_url", "posted_date", "job_type")
 
 
 @query("postings", "SELECT 'ashby_' || CAST(doc_id AS VARCHAR) AS job_id, trim(CASE WHEN doc_id % 6 = 0 THEN 'Unknown Role' ELSE title END) AS title, CASE doc_id % 3 WHEN 0 THEN 'Remote (' || company_location || ')' WHEN 1 THEN 'Lyon, ' || location ELSE 'Unknown' END AS location, 'tok_' || company || '/' || CAST(doc_id AS VARCHAR) AS source_url, CASE WHEN doc_id % 7 = 0 THEN TIMESTAMP '2024-03-15' ELSE posted_date END AS posted_date, 'Full-time' AS job_type, CASE WHEN doc_id % 3 = 0 THEN 'Remote' ELSE 'On-site' END AS remote_type FROM postings")
@@ -293,13 +303,10 @@ def s11_all_postings(spark, sf):
     return B.all_postings(a, b).select("job_id", F.when(c("skills").isNotNull(), F.size("skills")).alias("skill_count"))
 
 
-@query()
+@query("companies", "SELECT name AS company, '\"' || ats_type || '\", quoted' AS status, ats_type, ats_url AS career_url, CAST(NULL AS VARCHAR) AS error FROM companies")
 def s12_report(spark, sf):
     """The import report is written as CSV into a new folder and read back."""
-    import tempfile
-
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    folder = f"{path.rstrip('/')}/report-{spark.sql('select uuid()').first()[0]}"
+    folder = f"{shared_folder(spark)}/report"
     rows = view(spark, sf, "companies").select(c("name").alias("company"), F.concat(lit('"'), c("ats_type"), lit('", quoted')).alias("status"), "ats_type", c("ats_url").alias("career_url"))
     files.write_report(rows, folder, ["company", "status", "ats_type", "career_url", "error"])
     return spark.read.option("header", True).option("escape", '"').csv(folder)
@@ -310,6 +317,16 @@ def s13_feedback(spark, sf):
     return files.acceptable_feedback(view(spark, sf, "conversations").withColumnRenamed("text", "content")).select("conv_id", "turn")
 
 
+@query("logs", "SELECT source, count(*) AS runs, CAST(sum(jobs_found) AS BIGINT) AS jobs_found FROM logs GROUP BY source")
+def s13_append_log(spark, sf):
+    """Run logs are appended by source; every part is written twice, as after a failure, and counts once."""
+    folder, logs = f"{shared_folder(spark)}/log", view(spark, sf, "logs")
+    for again in range(2):
+        for part, status in enumerate(("failed", "success")):
+            files.append(logs.where(c("status") == status), folder, part)
+    return spark.read.parquet(folder).groupBy("source").agg(F.count(lit(1)).alias("runs"), F.sum("jobs_found").alias("jobs_found"))
+
+
 @query("postings", "SELECT job_id, CAST(doc_id % 10 AS DOUBLE) AS score FROM postings WHERE doc_id % 3 <> 2 UNION ALL SELECT job_id, 1.0 FROM postings WHERE doc_id % 3 <> 2")
 def s14_json_array(spark, sf):
     items = F.to_json(F.array(F.struct((c("doc_id") % 10).cast("double").alias("score")), F.struct(lit(1.0).alias("score"))))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyboard.functions import presets
 from tallyboard.functions import text as X
 from tallyboard.operators import aggregates as A
 from tallyboard.operators import filters as P
@@ -165,6 +166,21 @@ def f14_gate_accepted(spark, sf):
     return P.gate(plain_jobs(spark, sf), **HIT)[0].select("job_id")
 
 
+def pattern_sql(x: str, patterns) -> str:
+    return f"regexp_matches({x}, '" + "|".join(f"(?:{p})" for p in patterns) + "')"
+
+
+#: The default vocabularies: the first required pattern that matches is named, whichever stands first in the text.
+PRESETS_SQL = f""", t AS (SELECT job_id, lower({ASCII_SQL.format('title')}) AS a, lower({ASCII_SQL.format('description')} || ' ' || {ASCII_SQL.format('title')}) AS b FROM postings)
+SELECT job_id, CASE WHEN NOT {pattern_sql('a', presets.IT_ROLES)} AND NOT {pattern_sql('b', presets.IT_ROLES)} THEN 'Non-IT: No IT keywords found' WHEN NOT {pattern_sql('b', presets.LANGUAGE_OK)} THEN
+ 'Language: Detected Japanese requirement keyword: ' || CASE {' '.join(f"WHEN regexp_matches(b, '{p}') THEN '{p}'" for p in presets.LANGUAGE_REQUIRED)} END END AS reason FROM t"""
+
+
+@query("postings", PRESETS_SQL)
+def f14_gate_presets(spark, sf):
+    return P.judged(plain_jobs(spark, sf)).select("job_id", "reason")
+
+
 @query("companies", "SELECT company_id, name FROM companies WHERE (coalesce(active_jobs, 0) = 0 OR ats_type IN ('unknown', 'custom')) AND is_active")
 def f15_silent_companies(spark, sf):
     return P.silent_companies(view(spark, sf, "companies")).select("company_id", "name")
@@ -289,7 +305,7 @@ def j9_match_alerts(spark, sf):
 @query()
 def j10_fuzzy_match(spark, sf):
     parts = view(spark, sf, "part").select(F.concat_ws(" ", "p_name", "p_brand").alias("name"), F.concat(c("p_partkey").cast("string"), lit(".com")).alias("domain"))
-    names = view(spark, sf, "part").select(F.concat_ws(" ", "p_brand", "p_name", "p_type").alias("name"), F.concat(c("p_partkey").cast("string"), lit(".org")).alias("domain")).where(c("name").like("%STANDARD%"))
+    names = view(spark, sf, "part").select(F.concat_ws(" ", "p_brand", "p_name", "p_type").alias("name"), F.concat(c("p_partkey").cast("string"), lit(".org")).alias("domain"))
     return J.fuzzy_match(names, parts.select("name", F.concat(lit("x"), c("domain")).alias("domain"))).select("candidate", "match", F.round("score", 4).alias("score"), "how", J.match_tier(c("score")).alias("tier"))
 
 
@@ -342,7 +358,8 @@ def j17_set_ops(spark, sf):
 @query("companies", """, p AS (SELECT name, CASE WHEN company_id % 8 = 0 THEN 'url' WHEN company_id % 8 = 7 AND company_id % 2 = 1 AND company_id % 3 <> 0 THEN 'probe' WHEN company_id % 8 IN (1, 2) THEN 'home' WHEN company_id % 8 = 3 THEN 'redirect' WHEN company_id % 8 = 4 THEN 'careers' END AS how,
  'c' || CAST(company_id AS VARCHAR) AS k FROM companies)
 SELECT name, CASE how WHEN 'url' THEN 'greenhouse' WHEN 'home' THEN 'lever' WHEN 'redirect' THEN 'ashby' WHEN 'careers' THEN 'workable' WHEN 'probe' THEN 'lever' END AS vendor,
- CASE how WHEN 'url' THEN 'https://boards.greenhouse.io/' || k WHEN 'home' THEN 'https://jobs.lever.co/' || k WHEN 'redirect' THEN 'https://jobs.ashbyhq.com/' || k WHEN 'careers' THEN 'https://apply.workable.com/' || k WHEN 'probe' THEN 'https://jobs.lever.co/' || k END AS url, how FROM p""")
+ CASE how WHEN 'url' THEN 'https://boards.greenhouse.io/' || k WHEN 'home' THEN 'https://jobs.lever.co/' || k WHEN 'redirect' THEN 'https://jobs.ashbyhq.com/' || k WHEN 'careers' THEN 'https://apply.workable.com/' || k WHEN 'probe' THEN 'https://jobs.lever.co/' || k END AS url, how,
+ CAST(CASE WHEN how IN ('url', 'redirect') THEN 0.95 WHEN how = 'probe' THEN 0.8 WHEN how IN ('home', 'careers') THEN 0.7 ELSE 0.0 END AS DOUBLE) AS confidence FROM p""")
 def j18_discover_vendor(spark, sf):
     co = view(spark, sf, "companies").select("company_id", "name").withColumn("k", F.concat(lit("c"), c("company_id").cast("string")))
     kind = c("company_id") % 8
@@ -471,9 +488,9 @@ def w1_page(spark, sf):
     return W.page(jobs(spark, sf), [c("posted_date").desc(), "job_id"], 100, 50)[0].select("job_id", "posted_date")
 
 
-@query("companies", "SELECT company_id, coalesce(active_jobs, 0) = 0 AS silent FROM companies ORDER BY coalesce(active_jobs, 0) DESC, name LIMIT 100")
+@query("companies", "SELECT company_id, coalesce(active_jobs, 0) = 0 AS silent FROM companies ORDER BY coalesce(active_jobs, 0) DESC, name")
 def w2_rank_companies(spark, sf):
-    return W.rank_companies(view(spark, sf, "companies")).limit(100).select("company_id", "silent")
+    return W.rank_companies(view(spark, sf, "companies")).select("company_id", "silent")
 
 
 @query("postings", "SELECT job_id, score FROM (SELECT job_id, posted_date, CAST(doc_id % 13 AS DOUBLE) AS score FROM postings) WHERE score >= 5 ORDER BY score DESC, posted_date DESC, job_id LIMIT 15")
@@ -504,9 +521,9 @@ def w7_sample_per(spark, sf):
     return W.sample_per(view(spark, sf, "companies"), ["location"], ["company_id"]).select("location", "company_id")
 
 
-@query("lines", "SELECT line_no, value FROM lines ORDER BY line_no DESC LIMIT 100")
+@query("lines", "SELECT line_no, value FROM lines ORDER BY line_no DESC")
 def w8_reverse_lines(spark, sf):
-    return W.reverse_lines(view(spark, sf, "lines")).limit(100)
+    return W.reverse_lines(view(spark, sf, "lines"))
 
 
 @query("requests", "SELECT request_id, created_at FROM requests WHERE status = 'pending' ORDER BY created_at DESC, request_id LIMIT 50")
@@ -534,6 +551,18 @@ def w12_staleness(spark, sf):
     return W.staleness(rows, runs, "2024-06-15")
 
 
+@query("postings", """, d AS (SELECT DISTINCT company, location, dayofweek(posted_date) + 1 AS weekday, CAST(posted_date AS DATE) AS day FROM postings),
+i AS (SELECT *, day - CAST(7 * row_number() OVER (PARTITION BY company, location, weekday ORDER BY day) AS INTEGER) AS start FROM d)
+SELECT company, location, CAST(weekday AS INTEGER) AS weekday, CAST(min(day) AS VARCHAR) AS first_week, count(*) AS weeks FROM i GROUP BY company, location, weekday, start HAVING count(*) >= 3""")
+def w12_weekly_reposts(spark, sf):
+    return W.weekly_reposts(jobs(spark, sf), ["company", "location"]).withColumn("first_week", c("first_week").cast("string"))
+
+
+@query("", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + INTERVAL 3 MONTH AS DATE) AS expiry_date, CASE WHEN CAST(o_orderdate AS DATE) + INTERVAL 3 MONTH <= DATE '1997-06-15' THEN 'archived' ELSE 'active' END AS status FROM orders")
+def w12_list_status(spark, sf):
+    return W.list_status(view(spark, sf, "orders").withColumn("created_at", c("o_orderdate").cast("timestamp")), "1997-06-15").select("o_orderkey", "expiry_date", "status")
+
+
 # --- scoring -----------------------------------------------------------------
 
 WORDS = {"high": ["the", "ai", "go", "ou"], "exclude": ["zz", "ltt", "ble the"], "targets": ["src1", "src2"]}
@@ -556,11 +585,21 @@ def m2_digest(spark, sf):
     return M.run_digest(jobs(spark, sf), AS_OF, 7, **WORDS)[0].select("job_id", "score")
 
 
-@query("postings", RECENT_SQL + " SELECT count(*) AS total_scanned, count_if(score >= 5) AS matched_count FROM r")
+@query("postings", RECENT_SQL + " SELECT count(*) AS total_scanned, least(count_if(score >= 5), 15) AS matched_count FROM r")
 def m2_digest_log(spark, sf):
     return M.run_digest(jobs(spark, sf), AS_OF, 7, **WORDS)[1].select("total_scanned", "matched_count")
 
 
+@query("postings", SCORE_SQL + """, g AS (SELECT s.*, CAST(substr(job_id, 5) AS BIGINT) AS k FROM s), v AS (SELECT job_id, is_active, posted_date, CASE WHEN k % 3 = 0 THEN CAST(k % 11 AS DOUBLE) WHEN k % 2 = 0 THEN 3.0 ELSE score END AS score, CASE WHEN k % 3 = 0 THEN 'model' WHEN k % 2 = 0 THEN 'Not scored' ELSE reason END AS reason FROM g),
+r AS (SELECT * FROM v WHERE is_active AND posted_date >= TIMESTAMP '2024-03-15' - INTERVAL 7 DAY ORDER BY posted_date DESC, job_id LIMIT 100)
+SELECT job_id, CAST(score AS DOUBLE) AS score, reason FROM r WHERE score >= 5 ORDER BY score DESC, posted_date DESC, job_id LIMIT 15""")
+def m2_digest_landed(spark, sf):
+    """Scores that a model landed for a third of the jobs; it answered every second batch, the others fall back to keywords."""
+    rows, k = jobs(spark, sf), c("doc_id")
+    scores = rows.where(k % 3 == 0).select("job_id", (k % 11).cast("double").alias("score"), lit("model").alias("reason"))
+    return M.run_digest(rows, AS_OF, 7, scorer="landed", scores=scores, answered=rows.where(k % 2 == 0), **WORDS)[0].select("job_id", "score", "reason")
+
+
 @query("subscribers", f"SELECT user_email, {DUE_SQL} AS due, CAST(CASE WHEN frequency = 'daily' THEN 1 ELSE 7 END AS INTEGER) AS days FROM subscribers")
 def m3_due(spark, sf):
     now = lit(AS_OF).cast("timestamp")
@@ -571,19 +610,19 @@ def preferences(spark, sf):
     word = lambda n: F.lower(F.regexp_extract_all("text", lit("[A-Za-z]+"), 0)[n])
     none = F.array().cast("array<string>")
     k = c("item_id")
-    return view(spark, sf, "benchmark").where("item_id < 12").select(
+    return view(spark, sf, "benchmark").select(
         F.concat(lit("p"), k.cast("string")).alias("user_email"), F.array(word(0), word(1), word(2)).alias("keywords"), F.when(k % 3 == 0, F.array(word(5))).otherwise(none).alias("exclude_keywords"),
         F.when(k % 2 == 0, F.array(lit("EN"), lit("remote"))).otherwise(none).alias("locations"), F.when(k % 4 == 1, F.array(lit("ai"), lit("go"))).otherwise(none).alias("required_skills"), F.array(lit("ui"), lit("tech")).alias("preferred_skills"),
         F.when(k % 2 == 1, 50000).otherwise(0).cast("long").alias("min_salary"), lit(60).alias("min_match_score"),
     )
 
 
-PREF_SQL = f""", p AS (SELECT 'p' || CAST(item_id AS VARCHAR) AS user_email, item_id AS k, list_transform(regexp_extract_all(text, '[A-Za-z]+')[1:6], lambda w: lower(w)) AS ws FROM benchmark WHERE item_id < 12),
+PREF_SQL = f""", p AS (SELECT 'p' || CAST(item_id AS VARCHAR) AS user_email, item_id AS k, list_transform(regexp_extract_all(text, '[A-Za-z]+')[1:6], lambda w: lower(w)) AS ws FROM benchmark),
 j AS (SELECT job_id, lower(title || ' ' || description) AS x, lower(location) AS place, remote_type, {SKILLS_SQL} AS sk, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 30000 + doc_id % 40 * 1000 END AS lo, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 40000 + doc_id % 40 * 1000 END AS hi FROM postings),
 s AS (SELECT user_email, job_id, CASE WHEN k % 3 = 0 AND contains(x, ws[6]) THEN 0.0 ELSE round(
   len(list_filter(ws[1:3], lambda w: contains(x, w))) / 3.0 * 30 + (CASE WHEN k % 4 = 1 AND (CAST(contains(x, 'ai') AS INT) + CAST(contains(x, 'go') AS INT)) / 2.0 < 0.5 THEN 0.0 ELSE CASE WHEN k % 4 = 1 THEN (CAST(list_contains(sk, 'Ai') AS INT) + CAST(list_contains(sk, 'Go') AS INT)) / 2.0 ELSE 1.0 END * 0.7 + (CAST(list_contains(sk, 'Ui') AS INT) + CAST(list_contains(sk, 'Tech') AS INT)) / 2.0 * 0.3 END) * 30
   + CASE WHEN k % 2 = 1 OR contains(place, 'en') OR contains('en', place) OR contains('remote', place) OR remote_type = 'Remote' THEN 1.0 ELSE 0.0 END * 20 + CASE WHEN k % 2 = 0 OR lo >= 50000 THEN 1.0 WHEN hi = 0 THEN 0.5 WHEN hi >= 50000 THEN 0.7 ELSE 0.0 END * 20, 2) END AS match_score FROM p, j)
-SELECT user_email, job_id, CAST(match_score AS DOUBLE) AS match_score, match_score >= 60 AS kept FROM s"""
+SELECT user_email, job_id, CAST(match_score AS DOUBLE) AS match_score FROM s WHERE match_score >= 60"""
 
 
 @query("postings", PREF_SQL)
@@ -593,13 +632,13 @@ def m4_preference_score(spark, sf):
     return M.preference_score(rows, preferences(spark, sf))
 
 
-@query("postings", f""", k AS (SELECT item_id AS set_id, lower(regexp_extract(text, '[A-Za-z]+')) AS w FROM benchmark WHERE item_id < 10)
-SELECT set_id, job_id, CASE WHEN NOT a THEN 0.0 ELSE round(100.0 * (60 + CASE WHEN b THEN 40 ELSE 0 END + CASE WHEN d THEN 20 ELSE 0 END) / 120, 2) END AS score
-FROM (SELECT set_id, job_id, contains(lower(title || ' ' || description), w) AS a, contains(lower(location), 'en') AS b, (CAST(list_contains({SKILLS_SQL}, 'Ai') AS INT) + CAST(list_contains({SKILLS_SQL}, 'Data') AS INT)) >= 1 AS d FROM k, postings)""")
+@query("postings", f""", k AS (SELECT item_id AS set_id, lower(regexp_extract(text, '[A-Za-z]+')) AS w FROM benchmark)
+SELECT set_id, job_id, round(100.0 * (60 + CASE WHEN b THEN 40 ELSE 0 END + CASE WHEN d THEN 20 ELSE 0 END) / 120, 2) AS score
+FROM (SELECT set_id, job_id, contains(lower(title || ' ' || description), w) AS a, contains(lower(location), 'en') AS b, (CAST(list_contains({SKILLS_SQL}, 'Ai') AS INT) + CAST(list_contains({SKILLS_SQL}, 'Data') AS INT)) >= 1 AS d FROM k, postings) WHERE a""")
 def m5_criteria_score(spark, sf):
     first = F.lower(F.regexp_extract("text", "[A-Za-z]+", 0))
     one = lambda t, words, p, need: F.struct(lit(t).alias("type"), words.alias("words"), lit(p).alias("priority"), lit(need).alias("is_required"))
-    sets = view(spark, sf, "benchmark").where("item_id < 10").select(c("item_id").alias("set_id"), F.explode(F.array(one("keyword", F.array(first), 3, True), one("location", F.array(lit("EN")), 2, False), one("skills", F.array(lit("ai"), lit("data")), 1, False))).alias("x"))
+    sets = view(spark, sf, "benchmark").select(c("item_id").alias("set_id"), F.explode(F.array(one("keyword", F.array(first), 3, True), one("location", F.array(lit("EN")), 2, False), one("skills", F.array(lit("ai"), lit("data")), 1, False))).alias("x"))
     return M.criteria_score(jobs(spark, sf), sets.select("set_id", "x.*"))
 
 
@@ -633,7 +672,7 @@ def u2_upsert_rejected(spark, sf):
 def u3_upsert(spark, sf):
     fav = view(spark, sf, "favorites")
     changes = fav.where("company_name = 'Customer#000000005'").select("user_email", "company_name", lit(9).alias("is_monitor")).unionByName(fav.select("user_email", lit("Added").alias("company_name"), lit(9).alias("is_monitor")).distinct())
-    return U.upsert(fav, changes, ["user_email", "company_name"], ["is_monitor"]).select("user_email", "company_name", "is_monitor")
+    return U.upsert(fav, changes, ["user_email", "company_name"], ["is_monitor"], [c("is_monitor")]).select("user_email", "company_name", "is_monitor")
 
 
 def decisions(spark, sf):

@@ -1,40 +1,50 @@
-"""Driver queries of the streams (inventory T): the driver's tables as file streams, run to their end."""
+"""Driver queries of the streams (inventory T): the driver's tables as file streams, run to their end.
+
+A table arrives in four parts by time, one after the other; each part is written by as many tasks as its rows are read by, and the
+stream is run over it before the next one comes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from tallyboard.operators.merge import current_snapshot, switch_snapshot
-from tallyboard.plans.queries import AS_OF, GATE_SQL, HIT, c, jobs, lit, plain_jobs, query, searches
-from tallyboard.plans.views import view
+from tallyboard.plans.queries import ALERT_SQL, AS_OF, GATE_SQL, HIT, c, jobs, lit, plain_jobs, query, searches
+from tallyboard.plans.views import shared_folder, view
 from tallyboard.streaming import streams as S
 
-
-def folder(spark) -> str:
-    """A new folder that all executors share."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+PARTS = 4
 
 
-def as_stream(df, path: str, parts: int = 2):
-    """The rows as a stream of files."""
-    df.repartition(parts).write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+def feed(df: DataFrame, ts: str, folder: str, run: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Writes the rows to a new folder in parts by `ts` (never null), and runs the stream of its files to the end after each."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    cuts = df.agg(F.percentile_approx(at, [k / PARTS for k in range(1, PARTS)])).first()[0] or []
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        own = (lit(low is None) | (at > lit(low or 0))) & (lit(high is None) | (at <= lit(high or 0)))
+        df.where(own).write.mode("append").parquet(folder)
+        run(df.sparkSession.readStream.schema(df.schema).parquet(folder)).awaitTermination()
 
 
-def to_table(stream, path: str, mode: str = "append"):
-    spark = stream.sparkSession
+def to_table(df: DataFrame, ts: str, plan: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """What `plan` makes of the stream of the rows, as a table."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
     old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.ROCKSDB)
-    try:
+
+    def run(stream: DataFrame) -> StreamingQuery:
+        out = plan(stream)
         if mode == "append":
-            q = stream.writeStream.format("parquet").option("path", f"{path}/out")
+            q = out.writeStream.format("parquet").option("path", f"{path}/out")
         else:
-            q = stream.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out")).outputMode(mode)
-        q.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+            q = out.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out")).outputMode(mode)
+        return q.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.ROCKSDB)
+    try:
+        feed(df, ts, f"{path}/in", run)
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
     return spark.read.parquet(f"{path}/out")
@@ -42,44 +52,64 @@ def to_table(stream, path: str, mode: str = "append"):
 
 @query("postings", GATE_SQL + " SELECT job_id FROM g WHERE reason IS NULL UNION SELECT job_id FROM postings WHERE doc_id % 9 = 0")
 def t1_stream_ingest(spark, sf):
-    at = folder(spark)
+    at = shared_folder(spark)
     cols = ["job_id", "title", "company", "location", "description", "posted_date", "content_hash", "is_active"]
     rows = plain_jobs(spark, sf).select(*cols, lit(AS_OF).cast("timestamp").alias("last_seen_at"), lit(AS_OF).cast("timestamp").alias("scraped_at"))
     switch_snapshot(jobs(spark, sf).where("doc_id % 9 = 0").select(*cols, lit("2024-01-01").cast("timestamp").alias("last_seen_at")), f"{at}/jobs")
     switch_snapshot(rows.limit(0).select("content_hash", "title", "company", c("scraped_at").alias("rejected_at"), lit("").alias("reason")), f"{at}/rejected")
-    S.stream_ingest(as_stream(rows, f"{at}/in"), f"{at}/jobs", f"{at}/rejected", f"{at}/state", [x for x in cols if x != "job_id"], **HIT).awaitTermination()
+    feed(rows, "posted_date", f"{at}/in", lambda stream: S.stream_ingest(stream, f"{at}/jobs", f"{at}/rejected", f"{at}/state", [x for x in cols if x != "job_id"], **HIT))
     return current_snapshot(spark, f"{at}/jobs").select("job_id")
 
 
 @query("visits", "SELECT referrer, count(*) AS visits FROM visits GROUP BY referrer")
 def t2_stream_visits(spark, sf):
-    at = folder(spark)
-    return to_table(S.stream_visits(as_stream(view(spark, sf, "visits"), f"{at}/in")), at, "complete")
+    return to_table(view(spark, sf, "visits"), "timestamp", S.stream_visits, "complete")
+
 
+@query("visits", "SELECT DISTINCT ip_address FROM visits")
+def t2_stream_visitors(spark, sf):
+    """First visits of addresses; the delay is longer than the table's span, so each address counts once."""
+    return to_table(view(spark, sf, "visits").withColumn("timestamp", c("timestamp").cast("timestamp")), "timestamp", lambda stream: S.stream_visitors(stream, "3650 days")).select("ip_address")
 
-@query()
+
+#: Accepted events of a key one after the other: three in any day.
+LIMIT_SQL = """
+WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS events, list({'t': epoch_us(ts), 'kept': CAST([] AS BIGINT[]), 'n': CAST(0 AS BIGINT)} ORDER BY ts) AS each FROM events GROUP BY user_id)
+SELECT key, events, list_reduce(list_prepend({'t': CAST(0 AS BIGINT), 'kept': CAST([] AS BIGINT[]), 'n': CAST(0 AS BIGINT)}, each), lambda s, x: CASE WHEN len(list_filter(s.kept, lambda r: x.t - r < 86400000000)) < 3
+  THEN {'t': x.t, 'kept': list_append(list_filter(s.kept, lambda r: x.t - r < 86400000000), x.t), 'n': s.n + 1} ELSE {'t': x.t, 'kept': list_filter(s.kept, lambda r: x.t - r < 86400000000), 'n': s.n} END).n AS accepted FROM e"""
+
+
+def limited(df: DataFrame) -> DataFrame:
+    return df.groupBy("key").agg(F.count(lit(1)).alias("events"), F.count_if("accepted").alias("accepted"))
+
+
+@query("", LIMIT_SQL)
 def t3_rate_limit(spark, sf):
-    events = view(spark, sf, "events").select(c("user_id").cast("string").alias("key"), "ts")
-    return S.rate_limit(events, 3, 86_400).groupBy("key").agg(F.count(lit(1)).alias("events"), F.count_if("accepted").alias("accepted"))
+    return limited(S.rate_limit(view(spark, sf, "events").select(c("user_id").cast("string").alias("key"), "ts"), 3, 86_400))
 
 
-@query()
+@query("", LIMIT_SQL)
 def t3_stream_rate_limit(spark, sf):
-    at = folder(spark)
     events = view(spark, sf, "events").select(c("user_id").cast("string").alias("key"), "ts")
-    return to_table(S.stream_rate_limit(as_stream(events, f"{at}/in", 1), 3, 86_400), at).groupBy("key").agg(F.count(lit(1)).alias("events"), F.count_if("accepted").alias("accepted"))
+    return limited(to_table(events, "ts", lambda stream: S.stream_rate_limit(stream, 3, 86_400)))
 
 
-@query()
+@query("postings searches", ALERT_SQL + " SELECT search_id, job_id FROM h")
 def t4_stream_alerts(spark, sf):
-    at = folder(spark)
+    """Every hit is mailed once: parts come by posting date, so each search's cutoff lies before the next part."""
+    at = shared_folder(spark)
     rows = jobs(spark, sf).select("job_id", "title", "company", "location", "remote_type", "skills", "posted_date", "is_active")
-    S.stream_alerts(as_stream(rows, f"{at}/in"), searches(spark, sf), AS_OF, f"{at}/out", f"{at}/state").awaitTermination()
-    return spark.read.parquet(f"{at}/out").select("search_id", "job_id").distinct()
+    feed(rows, "posted_date", f"{at}/in", lambda stream: S.stream_alerts(stream, searches(spark, sf), AS_OF, f"{at}/out", f"{at}/mailed", f"{at}/state", None))
+    return spark.read.parquet(f"{at}/out").select("search_id", "job_id")
+
+
+#: Silence of 60 days, between two sights or up to an hour before the last sight of all.
+LIFE_SQL = """, o AS (SELECT job_id, salary_min, CAST(seen_at AS TIMESTAMP) AS seen, lag(salary_min) OVER w AS pay, lag(CAST(seen_at AS TIMESTAMP)) OVER w AS prior, lead(seen_at) OVER w IS NULL AS is_last FROM snapshots WINDOW w AS (PARTITION BY job_id ORDER BY seen_at)),
+e AS (SELECT 'new' AS event FROM o WHERE prior IS NULL OR seen - prior > INTERVAL 60 DAY UNION ALL SELECT 'salary_bump' FROM o WHERE seen - prior <= INTERVAL 60 DAY AND salary_min > pay UNION ALL SELECT 'delisted' FROM o WHERE seen - prior > INTERVAL 60 DAY
+UNION ALL SELECT 'delisted' FROM o WHERE is_last AND seen + INTERVAL 60 DAY <= (SELECT max(seen) FROM o) - INTERVAL 1 HOUR) SELECT event, count(*) AS n FROM e GROUP BY event"""
 
 
-@query()
+@query("snapshots", LIFE_SQL)
 def t5_stream_lifecycle(spark, sf):
-    at = folder(spark)
     rows = view(spark, sf, "snapshots").select("job_id", "salary_min", c("seen_at").cast("timestamp").alias("seen_at"))
-    return to_table(S.stream_lifecycle(as_stream(rows, f"{at}/in", 1), 24 * 365), at).groupBy("event").agg(F.count(lit(1)).alias("n"))
+    return to_table(rows, "seen_at", lambda stream: S.stream_lifecycle(stream, 24 * 60)).groupBy("event").agg(F.count(lit(1)).alias("n"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +44,7 @@ SELECT user_email, company_name, max(is_monitor) AS is_monitor, max(ts) AS last_
   'Customer#' || lpad(CAST(event_id % 200 AS STRING), 9, '0') AS company_name, CASE WHEN value > 10 THEN 1 ELSE 0 END AS is_monitor, ts FROM events) GROUP BY user_email, company_name"""),
     "subscribers": (["customer"], r"""
 SELECT 'u' || CAST(c_custkey AS STRING) || '@example.com' AS user_email, CASE c_custkey % 3 WHEN 0 THEN 'daily' WHEN 1 THEN 'weekly' ELSE 'off' END AS frequency, c_acctbal > 0 AS is_active,
-  CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CAST('2024-03-01' AS TIMESTAMP) + CAST(c_custkey % 15 AS INT) * INTERVAL '1' DAY + CAST(c_custkey % 24 AS INT) * INTERVAL '1' HOUR END AS last_sent_at FROM customer WHERE c_custkey < 300"""),
+  CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CAST('2024-03-01' AS TIMESTAMP) + CAST(c_custkey % 15 AS INT) * INTERVAL '1' DAY + CAST(c_custkey % 24 AS INT) * INTERVAL '1' HOUR END AS last_sent_at FROM customer"""),
     "stored": (["postings"], r"""
 SELECT job_id, CASE WHEN doc_id % 5 = 0 THEN title || ' (old)' ELSE title END AS title, company, location, 'kept ' || location AS benefits, posted_date, CASE WHEN doc_id % 5 = 0 THEN md5(content_hash) ELSE content_hash END AS content_hash,
   CAST('2024-04-01' AS TIMESTAMP) AS last_seen_at, doc_id % 7 <> 0 AS is_active FROM postings WHERE doc_id % 3 <> 0"""),
@@ -86,5 +89,15 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumn("skills", extract_skills(F.col("description"), SKILL_WORDS)) if name == "postings" else df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors see: below the checkpoint folder, or a temporary one in a local session without it."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-")
+    return f"{shared.rstrip('/')}/query-{uuid.uuid4().hex}"
+
+
 #: The skills of a posting in DuckDB.
 SKILLS_SQL = "list_filter(['Ai', 'Data', 'Go', 'Tech', 'Ui', 'Ux'], lambda v: contains(lower(description), lower(v)))"

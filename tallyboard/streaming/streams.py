@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from bisect import insort
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,22 +42,25 @@ def stream_visitors(visits: DataFrame, delay: str = "1 day") -> DataFrame:
     return visits.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["ip_address"])
 
 
+#: Rows of one output batch.
+PIECE = 10_000
 LIMITED = "key string, ts timestamp, accepted boolean"
 
 
-def _decide(times: list[int], recent: list[int], limit: int, window_us: int) -> tuple[list[bool], list[int]]:
-    """Accepts an event iff fewer than `limit` accepted ones lie less than the window before it."""
+def _decide(times: Iterable[int], recent: list[int], limit: int, window_us: int) -> tuple[list[bool], list[int]]:
+    """Accepts an event iff fewer than `limit` accepted ones lie less than the window before it. Only the last `limit` accepted
+    times matter: the earliest of them must be out of the window."""
     out = []
     for t in times:
-        recent = [r for r in recent if t - r < window_us]
-        out.append(len(recent) < limit)
+        out.append(limit > 0 and (len(recent) < limit or t - recent[-limit] >= window_us))
         if out[-1]:
-            recent.append(t)
+            insort(recent, t)
+            del recent[:-limit]
     return out, recent
 
 
-def _micros(ts: pd.Series) -> list[int]:
-    return (pd.to_datetime(ts).astype("datetime64[us]").astype("int64")).tolist()
+def _micros(ts: pd.Series) -> np.ndarray:
+    return pd.to_datetime(ts).astype("datetime64[us]").astype("int64").to_numpy()
 
 
 def rate_limit(events: DataFrame, limit: int, window_s: float) -> DataFrame:
@@ -68,11 +73,13 @@ def rate_limit(events: DataFrame, limit: int, window_s: float) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, recent, started = None, [], False
         for pdf in batches:
-            flags = []
-            for k, t in zip(pdf["key"], _micros(pdf["ts"])):
-                if not started or k != key:
-                    key, recent, started = k, [], True
-                ok, recent = _decide([t], recent, limit, window_us)
+            flags, times = [], _micros(pdf["ts"]).tolist()
+            # runs of rows of one key
+            starts = np.flatnonzero((pdf["key"] != pdf["key"].shift()).to_numpy()).tolist()
+            for a, b in zip(starts, [*starts[1:], len(pdf)]):
+                if not started or pdf["key"].iat[a] != key:
+                    key, recent, started = pdf["key"].iat[a], [], True
+                ok, recent = _decide(times[a:b], recent, limit, window_us)
                 flags += ok
             yield pdf.assign(accepted=flags)
 
@@ -87,10 +94,14 @@ class _Limiter(StatefulProcessor):
         self.recent = handle.getListState("recent", StructType([StructField("t", LongType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        ts = pd.concat([r["ts"] for r in rows]).sort_values(ignore_index=True)
-        flags, recent = _decide(_micros(ts), [x[0] for x in self.recent.get()] if self.recent.exists() else [], self.limit, self.window_us)
+        # eight bytes for each event of a key in a micro-batch; output in pieces
+        times = np.sort(np.concatenate([_micros(r["ts"]) for r in rows]))
+        recent = [x[0] for x in self.recent.get()] if self.recent.exists() else []
+        for at in range(0, len(times), PIECE):
+            part = times[at : at + PIECE]
+            flags, recent = _decide(part.tolist(), recent, self.limit, self.window_us)
+            yield pd.DataFrame({"key": [key[0]] * len(part), "ts": part.astype("datetime64[us]"), "accepted": flags})
         self.recent.put([(t,) for t in recent]) if recent else self.recent.clear()
-        yield pd.DataFrame({"key": [key[0]] * len(ts), "ts": ts, "accepted": flags})
 
     def close(self) -> None:
         pass
@@ -101,11 +112,23 @@ def stream_rate_limit(events: DataFrame, limit: int, window_s: float) -> DataFra
     return events.select("key", "ts").groupBy("key").transformWithStateInPandas(_Limiter(limit, int(window_s * 1_000_000)), LIMITED, "append", "none")
 
 
-def stream_alerts(postings: DataFrame, searches: DataFrame, as_of: str, out_path: str, checkpoint: str, k: int = 10) -> StreamingQuery:
-    """Each micro-batch of new postings meets the saved searches; hits are appended."""
+MAILED = "search_id string, last_emailed_at timestamp"
+
+
+def stream_alerts(postings: DataFrame, searches: DataFrame, as_of: str, out_path: str, state_path: str, checkpoint: str, k: int | None = 10) -> StreamingQuery:
+    """Each micro-batch of new postings meets the saved searches; each search's hits are one mail, its `k` newest ones or all.
+
+    A search is not mailed older postings again: the newest posting of its last mail is its new cutoff. Mails and cutoffs of a
+    batch are written under its number, so a batch that is run again after a failure replaces what it wrote."""
 
     def match(batch: DataFrame, number: int) -> None:
-        match_alerts(searches, batch, as_of, k).withColumn("batch", F.lit(number)).write.mode("append").parquet(out_path)
+        spark = batch.sparkSession
+        before = spark.read.schema(MAILED).parquet(f"{state_path}/batch={number - 1}") if number else spark.createDataFrame([], MAILED)
+        known = searches.join(before.withColumnRenamed("last_emailed_at", "_mailed"), searches["search_id"].cast("string") == before["search_id"], "left").drop(before["search_id"])
+        current = known.withColumn("last_emailed_at", F.greatest("last_emailed_at", "_mailed")).drop("_mailed")
+        match_alerts(current, batch, as_of, k).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+        mailed = spark.read.parquet(f"{out_path}/batch={number}").select(F.col("search_id").cast("string").alias("search_id"), F.col("posted_date").alias("last_emailed_at"))
+        mailed.unionByName(before).groupBy("search_id").agg(F.max("last_emailed_at").alias("last_emailed_at")).write.mode("overwrite").parquet(f"{state_path}/batch={number}")
 
     return postings.writeStream.foreachBatch(match).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -113,6 +136,10 @@ def stream_alerts(postings: DataFrame, searches: DataFrame, as_of: str, out_path
 EVENTS = "job_id string, seen_at timestamp, event string"
 
 
+def _events(rows: list[tuple[str, int, str]]) -> pd.DataFrame:
+    return pd.DataFrame({"job_id": [x[0] for x in rows], "seen_at": np.array([x[1] for x in rows], "datetime64[us]"), "event": [x[2] for x in rows]})
+
+
 class _Lifecycle(StatefulProcessor):
     """Per job: first sight, higher pay, and silence longer than the time to live."""
 
@@ -124,27 +151,34 @@ class _Lifecycle(StatefulProcessor):
         self.last = handle.getValueState("last", StructType([StructField("pay", LongType()), StructField("seen", LongType()), StructField("id", StringType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        df = pd.concat(list(rows)).sort_values("seen_at", ignore_index=True)
-        known = self.last.get() if self.last.exists() else None
-        pay, seen = (known[0], known[1]) if known else (None, None)
+        parts = [(_micros(r["seen_at"]), r["salary_min"].to_numpy(dtype=float, na_value=np.nan)) for r in rows]
+        times, pays = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(times, kind="stable")
+        known = self.last.get()
+        pay, seen = known[:2] if known else (None, None)
         out = []
-        for at, us, amount in zip(df["seen_at"], _micros(df["seen_at"]), df["salary_min"]):
-            amount = None if pd.isna(amount) else int(amount)
+        for us, amount in zip(times[order].tolist(), pays[order].tolist()):
+            amount = None if amount != amount else int(amount)
+            if seen is not None and us - seen > self.ttl_ms * 1000:
+                # silent for too long, whether or not its timer has gone off
+                out.append((key[0], seen, "delisted"))
+                pay, seen = None, None
             if seen is None:
-                out.append((key[0], at, "new"))
+                out.append((key[0], us, "new"))
             elif pay is not None and amount is not None and amount > pay:
-                out.append((key[0], at, "salary_bump"))
+                out.append((key[0], us, "salary_bump"))
             pay, seen = amount, max(us, seen or us)
         self.last.update((pay, seen, str(key[0])))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
+        # earlier timers stay and find that the job was seen again
         self.handle.registerTimer(seen // 1000 + self.ttl_ms)
-        yield pd.DataFrame(out, columns=["job_id", "seen_at", "event"])
+        if out:
+            yield _events(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        seen = self.last.get()[1]
-        self.last.clear()
-        yield pd.DataFrame({"job_id": [key[0]], "seen_at": [pd.Timestamp(seen, unit="us")], "event": ["delisted"]})
+        known = self.last.get()
+        if known and known[1] // 1000 + self.ttl_ms <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+            yield _events([(key[0], known[1], "delisted")])
 
     def close(self) -> None:
         pass

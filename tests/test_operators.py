@@ -1,12 +1,17 @@
 """Properties of operators: idempotence, splits, limits, merges, streams equal to batches."""
 
 import datetime
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from tallyboard.functions import presets
+from tallyboard.operators import blocks
 from tallyboard.operators import filters as P
 from tallyboard.operators import joins as J
 from tallyboard.operators import merge as U
+from tallyboard.operators import scoring as M
 from tallyboard.operators import windows as W
 from tallyboard.plans import stream_queries  # noqa: F401
 from tallyboard.plans.queries import HIT, QUERIES, plain_jobs
@@ -58,7 +63,7 @@ def test_alerts_by_day_equal_broadcast(spark, monkeypatch):
 
     args = searches(spark, SF), view(spark, SF, "postings"), AS_OF
     few = rows(J.match_alerts(*args))
-    monkeypatch.setattr(J, "SEARCHES_SENT", 0)
+    monkeypatch.setattr(J.blocks, "SENT_BYTES", 0)
     assert rows(J.match_alerts(*args)) == few
 
 
@@ -71,6 +76,15 @@ def brute_limit(times, limit, window):
     return out
 
 
+def test_decisions_are_those_of_all_accepted_times():
+    rng = random.Random(1)
+    for _ in range(300):
+        limit, window = rng.randrange(4), rng.randrange(1, 12)
+        times = sorted(rng.randrange(60) for _ in range(rng.randrange(40)))
+        flags, recent = S._decide(times[:9], [], limit, window)
+        assert flags + S._decide(times[9:], recent, limit, window)[0] == brute_limit(times, limit, window)
+
+
 def test_rate_limit(spark):
     start = datetime.datetime(2024, 1, 1)
     times = [0, 1, 2, 3, 10, 11, 12, 20, 21]
@@ -85,6 +99,79 @@ def test_streams_equal_batches(spark):
     assert events["new"] >= view(spark, SF, "snapshots").select("job_id").distinct().count()
 
 
+def test_alerts_are_mailed_once(spark, tmp_path):
+    """A search's cutoff follows its mails; a batch that is run again replaces its mail; k limits each mail."""
+    day = lambda n: datetime.datetime(2024, 3, n)
+    searches = spark.createDataFrame([(1, "u", True, day(1), ("x", None, None)), (2, "u", True, None, (None, None, None)), (3, "u", False, day(1), (None, None, None))], "search_id long, user_email string, email_alert boolean, last_emailed_at timestamp, criteria struct<q: string, location: string, category: string>")
+    schema = "job_id string, title string, company string, location string, remote_type string, skills array<string>, posted_date timestamp, is_active boolean"
+    for part in ([("a", day(2)), ("b", day(3))], [("c", day(3)), ("d", day(4)), ("e", day(5))]):
+        spark.createDataFrame([(i, "x", "c", "l", "r", [], d, True) for i, d in part], schema).write.mode("append").parquet(f"{tmp_path}/in")
+        S.stream_alerts(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), searches, "2024-03-04", f"{tmp_path}/out", f"{tmp_path}/mailed", f"{tmp_path}/state", 1).awaitTermination()
+    found = rows(spark.read.parquet(f"{tmp_path}/out"), "batch", "search_id", "job_id")
+    assert found == [(0, 1, "b"), (1, 1, "e"), (1, 2, "e")]
+
+
+def typo(rng, name):
+    letters = list(name)
+    for _ in range(rng.randrange(3)):
+        k = rng.randrange(len(letters) + 1)
+        letters[k : k + rng.randrange(2)] = rng.choice(["", "x", " ", "ab"])
+    return "".join(letters)
+
+
+@pytest.mark.parametrize("least", [90.0, 75.0])
+def test_fuzzy_match_finds_all(spark, least):
+    """Against all pairs, with typos in names of one token, one common token, and tokens of one letter."""
+    rng = random.Random(2)
+    words = ["apple", "microsoft", "inc", "corp", "holdings", "a", "ab", "data", "systems", "globex", "the", "umbrella", "aaaaaa", "international"]
+    names = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 5))) for _ in range(90)] + ["Microsoft", "apple inc", "a b c e"]
+    candidates = [typo(rng, rng.choice(names)) for _ in range(90)] + ["Microsft", "appleinc", "inc", "", " ", "a b c d"]
+    frame = lambda xs: spark.createDataFrame([(x, None) for x in xs], "name string, domain string")
+    found = {r.candidate: (r.match, round(r.score, 6)) for r in J.fuzzy_match(frame(candidates), frame(names), least).collect()}
+    wanted = {}
+    for x in set(candidates):
+        score, name = min((-J.token_set_similarity(x, n), n) for n in set(names))
+        if -score >= least:
+            wanted[x] = (name, round(-score, 6))
+    assert found == wanted and found["Microsft"][0] == "Microsoft"
+
+
+def test_gate_computes_once(spark):
+    """Each text is lowered once and no test is repeated, whatever columns and filters use the reason."""
+    jobs = plain_jobs(spark, SF)
+    plan = P.gate(jobs)[1].select("job_id", "reason")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") <= 4 + len(presets.LANGUAGE_REQUIRED) and plan.count("lower(") == 2
+    words = P.gate(spark.createDataFrame([(None, None), ("Engineer", "jlpt n2"), ("Engineer", "English only, jlpt"), ("Cook", "soup")], "title string, description string"))
+    assert rows(words[1], "title", "reason") == [("Cook", "Non-IT: No IT keywords found"), ("Engineer", "Language: Detected Japanese requirement keyword: jlpt"), (None, "Non-IT: No IT keywords found")]
+    assert words[0].count() == 1
+
+
+def test_blocks_change_nothing(spark, monkeypatch):
+    names = ["m4_preference_score", "m5_criteria_score", "m6_semantic_topk", "j14_due_digests"]
+    whole = {n: rows(QUERIES[n](spark, SF)) for n in names}
+    monkeypatch.setattr(blocks, "SENT_BYTES", 700)
+    assert all(rows(QUERIES[n](spark, SF)) == whole[n] for n in names)
+
+
+def test_landed_scores(spark):
+    jobs = spark.createDataFrame([(i, "llm", "c", []) for i in "abc"], "job_id string, title string, company string, skills array<string>")
+    scores = spark.createDataFrame([("a", 9.0, "fits")], "job_id string, score double, reason string")
+    answered = spark.createDataFrame([("a",), ("b",)], "job_id string")
+    assert rows(M.landed_score(jobs, scores, answered), "job_id", "score", "reason") == [("a", 9.0, "fits"), ("b", 3.0, "Not scored"), ("c", 4.5, "Keyword match: llm")]
+
+
+def test_weekly_reposts(spark):
+    days = [datetime.datetime(2024, 1, 1 + 7 * k) for k in (0, 1, 2)] + [datetime.datetime(2024, 2, 5), datetime.datetime(2024, 1, 2)]
+    jobs = spark.createDataFrame([("c", "t", d) for d in days] + [("c", "u", None)], "company string, title string, posted_date timestamp")
+    assert rows(W.weekly_reposts(jobs)) == [("c", "t", 2, datetime.date(2024, 1, 1), 3)]
+
+
+def test_upsert_takes_the_last_change(spark):
+    target = spark.createDataFrame([("a", 1, "x")], "k string, v int, other string")
+    changes = spark.createDataFrame([("a", 5, 2), ("a", 4, 3), ("b", 7, 1)], "k string, v int, at int")
+    assert rows(U.upsert(target, changes, ["k"], ["v"], [F.col("at")])) == [("a", 4, "x"), ("b", 7, None)]
+
+
 def test_cards(spark):
     page = '<div data-test="JobResult"><h2>A <b>b</b></h2><p class="styles_location__q9">Oslo</p><a data-test="JobTitleLink" href="/j/1">x</a></div><div data-test="JobResult"><span>none</span></div>'
     found = extract_cards(spark.createDataFrame([("u", page), ("v", None)], "url string, html string")).orderBy("pos").collect()
