@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyboard.llm.common import FINER, NO_ID, chunks, filled, packed_rows, shuffle_width
+from tallyboard.llm.common import FINER, NO_ID, chunks, filled, mix, packed_rows, shuffle_width
 from tallyboard.llm.exchange import KEY_BITS, KEY_MASK, by_id, gathered, joined, packed, planes, shared_keys, unplanes
 
 TILE = 1 << 19
@@ -31,6 +31,8 @@ TILE = 1 << 19
 SEND_BYTES = 8 << 20
 #: Indexes that one task builds one after the other; small ones sort faster and need less memory.
 SHARDS_A_TASK = 2
+#: Bits of a name that count, of `KEY_BITS`; two names that agree in them are sent in vain, no more. Fewer travel more cheaply.
+NAME_BITS = 48
 SEGMENTS = "p int, data binary, sizes binary, starts binary, ids binary, keys binary, own_keys binary, own_vals binary"
 
 
@@ -66,7 +68,7 @@ def runs(lengths: np.ndarray, window: int, gram: int, grams: Callable[[int, int]
         keep = valid[first]
         found.append((first[keep] + a, last[keep] + a, name[first[keep]]))
     first, last, name = (joined([f[i] for f in found], d) for i, d in ((0, "i8"), (1, "i8"), (2, "u8")))
-    return first, last, name & KEY_MASK, np.searchsorted(ends, first, "right")
+    return first, last, name & KEY_MASK >> np.uint64(KEY_BITS - NAME_BITS) << np.uint64(KEY_BITS - NAME_BITS), np.searchsorted(ends, first, "right")
 
 
 def _slices(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -77,20 +79,20 @@ def _slices(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
 
 
 def _send(segs: pa.Array, names, ids, keys, starts, counts, parts: int) -> pa.RecordBatch:
-    """Segments of a chunk by shard, copies once. counts: windows of each segment."""
+    """Segments of a chunk by shard, copies once. counts: windows of each segment.
+
+    Copies that are answered here only pass through, so they are dealt evenly, wherever their segment goes."""
     coded = segs.dictionary_encode()
     code = coded.indices.to_numpy(zero_copy_only=False)
     least = np.full(len(coded.dictionary), np.iinfo(np.int64).max)
     np.minimum.at(least, code, ids)
     goes = ids == least[code]
-    shard = ((names >> np.uint64(34)) * np.uint64(parts) >> np.uint64(24)).astype(np.int32)
+    shard = np.where(goes, (names >> np.uint64(34)) * np.uint64(parts) >> np.uint64(24), mix(keys.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
     rows, packer = [], zstandard.ZstdCompressor(level=3)
     order = np.argsort(shard, kind="stable")
     cuts = np.searchsorted(shard[order], np.arange(parts + 1))
-    for p in range(parts):
+    for p in np.unique(shard).tolist():
         own = order[cuts[p] : cuts[p + 1]]
-        if not len(own):
-            continue
         out, rest = own[goes[own]], own[~goes[own]]
         sent = segs.take(pa.array(out))
         sizes = pc.binary_length(sent).to_numpy(zero_copy_only=False).astype(np.int32)

@@ -38,11 +38,16 @@ class Bits:
 
 
 class FMIndex:
-    """Backward search over numbers below `sigma`; the text ends with 0, which no pattern holds. Suffixes are ordered by `depth` numbers at least, enough for patterns shorter than that."""
+    """Backward search over numbers below `sigma`; the text ends with 0, which no pattern holds. Suffixes are ordered by `depth` numbers at least, enough for patterns shorter than that.
 
-    def __init__(self, text: np.ndarray, sigma: int, depth: int):
-        self.order = self._order(text, depth)
-        bwt = text[self.order - 1]
+    What stays is the wavelet matrix, log2(sigma) bits and their counts for each place, and a 32-bit label for each suffix, by
+    rank; the order itself and the text are given up."""
+
+    def __init__(self, text: np.ndarray, sigma: int, depth: int, labels: np.ndarray | None = None):
+        order = self._order(text, depth)
+        self.labels = None if labels is None else labels.astype(np.uint32)[order]
+        bwt = text[order - 1].astype(np.int32)
+        del order
         self.below = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=sigma))))
         self.levels, self.zeros = [], []
         for shift in range(max(1, int(sigma - 1).bit_length()) - 1, -1, -1):
@@ -93,10 +98,12 @@ def repeated_words(segments: pa.Array, owners: np.ndarray, window: int = WINDOW)
     text = np.zeros(len(words.codes) + len(sizes), np.int64)
     place = np.arange(len(words.codes)) + own
     text[place] = words.codes + 1
-    owner = np.zeros(len(text), np.int64)
-    owner[place] = owners[own]
+    # documents by their order
+    _, number = np.unique(owners, return_inverse=True)
+    owner = np.zeros(len(text), np.uint32)
+    owner[place] = number[own]
     sigma = len(words.dictionary) + 1
-    index = FMIndex(text, sigma, window + 1)
+    index = FMIndex(text, sigma, window + 1, owner)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(own))
     start = place[left >= window]
     symbol = text[start + window - 1]
@@ -110,7 +117,7 @@ def repeated_words(segments: pa.Array, owners: np.ndarray, window: int = WINDOW)
     ranges, which = np.unique(lo, return_inverse=True)
     ends = np.empty(len(ranges), np.int64)
     ends[which] = hi
-    by_rank = np.concatenate((owner[index.order], [0]))
+    by_rank = np.append(index.labels, np.uint32(0))
     least = np.minimum.reduceat(by_rank, np.stack((ranges, ends), axis=1).ravel())[::2]
     hit = np.sort(start[least[which] < owner[start]])
     seg = np.searchsorted(np.cumsum(sizes + 1), hit, "right")
