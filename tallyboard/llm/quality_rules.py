@@ -1,7 +1,7 @@
 r"""Quality rules as a short-circuit cascade; DataFrame functions only.
 
 A rule is a boolean column that is true when a text is to be rejected. `rank_rules` times every rule and counts its
-rejections on a bounded sample and orders the rules by rejections per second; `cascade` strings them into one CASE, so a
+rejections on a bounded sample and orders the rules by rejections per cost; `cascade` strings them into one CASE, so a
 text that an early rule rejects never reaches the later ones. The verdict (all rules passed) doesn't depend on the order.
 
 Words are ``[^\x20\x09-\x0D]+``. A null or blank text has no words. Nothing leaves its row: there is no shuffle, and a very
@@ -10,13 +10,15 @@ long text costs n log n only if one of its 8-word windows really repeats.
 
 from __future__ import annotations
 
+import math
 import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyboard.llm.common import filled
+from tallyboard.llm.common import filled, unused
+from tallyboard.operators.filters import settled
 
 BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
@@ -27,20 +29,17 @@ MAX_REPEAT_PERCENT = 30
 SAMPLE_ROWS, SAMPLE_REPEATS = 1000, 8
 
 
+#: Columns that judging adds, and those that it works with.
+ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept"]
+HELPERS = ["_text", "_trimmed", "_words", "_hashes", "_windows", "_repeats", "_sorted", "_starts", "_lines", "_again"]
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
     rejects: Column
 
 
-def _settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """`df` with the columns added or replaced through a generator of one row.
-
-    Filters on them are then evaluated on their values; pushed below a plain projection, they would compute the columns again."""
-    rest = [c for c in df.columns if c not in columns]
-    return df.select(*rest, F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
-
-
 def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (and helper columns that start with ``_``)."""
     df = docs.withColumn("_text", filled(text))
@@ -59,7 +58,7 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     # words covered by windows that start at the given places
     covered = F.aggregate("_starts", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("last")), lambda a, p: F.struct((a["n"] + F.least(F.lit(WINDOW), p - a["last"])).alias("n"), p.alias("last")))["n"]
     df = df.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    return _settled(df, {
+    return settled(df, {
         "n_words": n.cast("long"),
         "word_chars": F.length(F.regexp_replace("_text", BLANK_RUN, "")).cast("long"),
         "n_symbols": (F.length("_text") - F.length(F.regexp_replace("_text", "[#*$%&|<>]", ""))).cast("long"),
@@ -87,11 +86,18 @@ def default_rules() -> list[Rule]:
     ]
 
 
+def cost_class(seconds: float, noise: float) -> int:
+    """How often the noise of the clock doubles within the time: rules of one class cost the same as far as can be told."""
+    return max(0, round(math.log2(max(seconds, noise) / noise)))
+
+
 def rank_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS, repeats: int = SAMPLE_REPEATS, text: str = "text") -> list[tuple[Rule, float, float]]:
-    """The rules with their rejected share and seconds on a sample, most rejections per second first.
+    """The rules with their rejected share and cost on a sample, most rejections per cost first; ties by name.
 
-    The sample has about `sample_rows` rows, drawn inside the tasks without a shuffle; only the order of evaluation depends on
-    it. An empty sample keeps the given order."""
+    The sample has about `sample_rows` rows, drawn inside the tasks without a shuffle, with their measures; each row is judged
+    `repeats` times. A rule's cost is a power of two: its time beyond that of a rule that does nothing, in steps that the spread
+    of that one's times can't make. So runs agree on the order unless a cost lies between two steps; the verdict never depends
+    on it. An empty sample keeps the given order."""
     share = min(1.0, sample_rows / max(1, docs.count()))
     drawn = with_measures(docs.sample(fraction=share, seed=0) if share < 1 else docs, text).cache()
     sample = drawn.withColumn("_again", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
@@ -100,16 +106,22 @@ def rank_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROW
         if not total:
             return [(r, 0.0, 0.0) for r in rules]
 
-        def timed(rejects: Column) -> tuple[float, float]:
-            best, share = float("inf"), 0.0
-            for _ in range(2):
+        def timed(rejects: Column, times: int) -> tuple[list[float], float]:
+            took, found = [], 0
+            # a rule that refers to the row number can't be computed once for all repetitions
+            query = sample.agg(F.count_if(rejects & (F.col("_again") > 0)))
+            for _ in range(times):
                 began = time.perf_counter()
-                share = (sample.agg(F.count_if(rejects)).first()[0] or 0) / total
-                best = min(best, time.perf_counter() - began)
-            return best, share
-
-        floor, _ = timed(F.lit(False))
-        found = [(r, share, max(1e-4, seconds - floor)) for r in rules for seconds, share in [timed(r.rejects)]]
+                found = query.first()[0] or 0
+                took.append(time.perf_counter() - began)
+            return took, found / total
+
+        idle = sorted(timed(F.lit(False), 4)[0][1:])
+        noise = max(0.02, idle[-1] - idle[0])
+        found = []
+        for r in rules:
+            took, rejected = timed(r.rejects, 2)
+            found.append((r, rejected, float(2 ** cost_class(min(took) - idle[0], noise))))
     finally:
         drawn.unpersist()
     return sorted(found, key=lambda x: (-x[1] / x[2], x[2], x[0].name))
@@ -126,9 +138,14 @@ def cascade(rules: list[Rule]) -> Column:
 def judge(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text") -> DataFrame:
     """`docs` with the measures, base_failed, rejected_by (first rejecting rule of the cascade; null if none or base_failed) and kept.
 
-    Columns of `docs` named like an added one are replaced. Null and empty texts fail the base; repeated rows are judged alike."""
-    measured = with_measures(docs, text)
-    order = [r for r, _, _ in rank_rules(docs, rules if rules is not None else default_rules(), text=text)]
-    df = _settled(measured, {"base_failed": base_failed(), "rejected_by": F.when(~base_failed(), cascade(order))})
-    df = _settled(df, {"kept": ~F.col("base_failed") & F.col("rejected_by").isNull()})
-    return df.drop(*[c for c in df.columns if c.startswith("_") and c not in docs.columns])
+    Columns of `docs` named like one of these are replaced, all others stay as they are, whatever their names; rules see the
+    helper columns of `with_measures` under `HELPERS`. Null, empty and blank texts fail the base; very long ones are judged whole;
+    repeated rows are judged alike; no rows give none."""
+    names = [c for c in docs.columns if c not in ADDED]
+    aside = {c: new for c in names if c.lower() in HELPERS for new in unused(docs, f"own{c}")}
+    docs = docs.drop(*ADDED).withColumnsRenamed(aside)
+    measured = with_measures(docs, aside.get(text, text))
+    order = [r for r, _, _ in rank_rules(docs, rules if rules is not None else default_rules(), text=aside.get(text, text))]
+    df = settled(measured, {"base_failed": base_failed(), "rejected_by": F.when(~base_failed(), cascade(order))})
+    df = settled(df, {"kept": ~F.col("base_failed") & F.col("rejected_by").isNull()})
+    return df.select(*[F.col(aside.get(c, c)).alias(c) for c in names], *ADDED)
