@@ -130,16 +130,20 @@ k AS (SELECT d.doc_id, len(h) // 2 AS n, coalesce(n_spans, 0) AS n_spans, coales
 SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(gone AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM k""",
     "op9_mixing": r"""
 WITH d AS (SELECT doc_id, source, coalesce('s' || source, 'n') AS k, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens,
-  CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % 256 AS INTEGER) AS block FROM documents),
+  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h, CAST(h % 256 AS INTEGER) AS block, h // 256 % 256 AS part FROM documents),
 b AS (SELECT k, block, sum(n_tokens) AS tokens FROM d GROUP BY k, block),
 t AS (SELECT k, sum(tokens) AS total FROM b GROUP BY k),
 a AS (SELECT max(total) AS most, CASE WHEN max(total) = min(total) THEN 0.0 ELSE greatest(0.0, round(1 - ln(1.5) / ln(max(total) / min(total)), 9)) END AS a FROM t WHERE total > 0),
 q AS (SELECT k, total, CASE WHEN total > 0 THEN CAST(floor(round(total * pow(total / most, a - 1), 3)) AS BIGINT) ELSE 0 END AS quota FROM t, a),
 e AS (SELECT b.k, block, tokens, CASE WHEN total > 0 THEN quota // total ELSE 1 END AS epochs, CASE WHEN total > 0 THEN quota % total ELSE 0 END AS rest FROM b JOIN q USING (k)),
 x AS (SELECT *, CAST('0x' || substr(md5('mix|' || epoch || '|' || k || '|' || block), 1, 8) AS BIGINT) AS o FROM (SELECT *, CAST(unnest(range(0, CAST(epochs AS BIGINT) + 1)) AS INTEGER) AS epoch FROM e)),
-r AS (SELECT *, CAST(row_number() OVER w - 1 AS INTEGER) AS block_rank, sum(tokens) OVER w AS filled FROM x WINDOW w AS (PARTITION BY k, epoch ORDER BY o, block ROWS UNBOUNDED PRECEDING)),
-p AS (SELECT k, block, epoch, block_rank FROM r WHERE epoch < epochs OR (filled <= rest AND rest > 0))
-SELECT doc_id, source, n_tokens, d.block, epoch, block_rank FROM d JOIN p ON d.k = p.k AND d.block = p.block""",
+r AS (SELECT *, CAST(row_number() OVER w - 1 AS INTEGER) AS block_rank, rest - (sum(tokens) OVER w - tokens) AS room FROM x WINDOW w AS (PARTITION BY k, epoch ORDER BY o, block ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT k, block, epoch, block_rank FROM r WHERE epoch < epochs OR (rest > 0 AND room >= tokens)),
+c AS (SELECT k, block, epoch, block_rank, room FROM r WHERE epoch = epochs AND room > 0 AND room < tokens),
+s AS (SELECT c.k, c.block, epoch, block_rank, room, part, sum(n_tokens) AS tokens, CAST('0x' || substr(md5('mix|' || epoch || '|' || c.k || '|' || c.block || '|' || part), 1, 8) AS BIGINT) AS o FROM d JOIN c ON d.k = c.k AND d.block = c.block GROUP BY ALL),
+u AS (SELECT k, block, epoch, block_rank, part FROM s QUALIFY sum(tokens) OVER (PARTITION BY k ORDER BY o, part ROWS UNBOUNDED PRECEDING) <= room)
+SELECT doc_id, source, n_tokens, d.block, epoch, block_rank FROM d JOIN p ON d.k = p.k AND d.block = p.block
+UNION ALL SELECT doc_id, source, n_tokens, d.block, epoch, block_rank FROM d JOIN u ON d.k = u.k AND d.block = u.block AND d.part = u.part""",
     "op10_decontaminate": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),

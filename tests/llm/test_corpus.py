@@ -1,7 +1,10 @@
 """Corpus operators against brute force, on fixtures with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
+import hashlib
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -269,10 +272,15 @@ def test_items_without_id_hit(spark, tmp_path):
 
 def test_quality_rules(docs, rows):
     found = quality_rules.judge(docs.drop("n"))
-    assert "_words" in found.columns and set(docs.drop("n").columns) <= set(found.columns)
+    assert found.columns == [*docs.drop("n").columns, *quality_rules.ADDED]
+    assert {r[0] for r in found.select("_words").distinct().collect()} == {3}
     base = found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     same(got(base), quality_base(rows))
     assert not found.where("base_failed AND kept").count()
+    odd = docs.select(F.col("doc_id"), F.col("text").alias("_TEXT"), F.lit(7).alias("_again"), F.lit(8).alias("kept"))
+    again = quality_rules.judge(odd, text="_TEXT")
+    assert again.columns == ["doc_id", "_TEXT", "_again", *quality_rules.ADDED] and again.where("_again = 7").count() == len(rows)
+    assert got(again.select("doc_id", "n_words", "kept")) == got(found.select("doc_id", "n_words", "kept"))
 
 
 def test_cascade_order(spark, docs):
@@ -280,6 +288,13 @@ def test_cascade_order(spark, docs):
     ranked = quality_rules.rank_rules(docs, rules)
     assert [r.name for r, _, _ in ranked] == ["blank", "never"]
     assert quality_rules.judge(docs.limit(0)).count() == 0
+    # equal rejections: the dear rule comes after the cheap one, whatever their names; and so each time
+    slow = F.aggregate(F.sequence(F.lit(1), F.lit(9000)), F.length("_text"), lambda s, x: (s * 31 + x) % 1009) < 0
+    rules = [quality_rules.Rule("a dear one", (F.col("n_words") < 50) | slow), quality_rules.Rule("b cheap one", F.col("n_words") < 50)]
+    for _ in range(3):
+        ranked = quality_rules.rank_rules(docs, rules, repeats=20)
+        assert [r.name for r, _, _ in ranked] == ["b cheap one", "a dear one"] and ranked[0][1] == ranked[1][1] > 0 and ranked[0][2] < ranked[1][2]
+    assert [quality_rules.cost_class(x, 0.1) for x in (-1.0, 0.0, 0.13, 0.2, 0.8)] == [0, 0, 0, 1, 3]
     first = spark.range(1).select(quality_rules.cascade([quality_rules.Rule("a", F.lit(True)), quality_rules.Rule("b", F.expr("raise_error('not reached')").cast("boolean"))]).alias("x")).first().x
     assert first == "a"
 
@@ -293,6 +308,41 @@ def test_shards(docs, rows):
     assert hilbert_shards.shard_documents(docs.limit(0)).count() == 0
 
 
+def plain_shards(rows, sub_rows):
+    """Places by ranks, the curve and hashes of (id, CRC, size), one row after the other."""
+    table = [(i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode()), f"src{(i or 0) % 3}", "en") for i, t in rows]
+    cell = lambda k: {v: sum(r[k] < v for r in table) * 16 // len(table) for v in {r[k] for r in table}}
+    source, lang, size = cell(3), cell(4), cell(1)
+    curve = hilbert_shards.hilbert_index(np.array([(source[r[3]], lang[r[4]], size[r[1]]) for r in table]), 4).tolist()
+    many = {c: -(-curve.count(c) // sub_rows) for c in set(curve)}
+    sub = [int(hashlib.md5("|".join(str(x) for x in (r[0], r[2], r[1]) if x is not None).encode()).hexdigest()[:8], 16) % many[c] for r, c in zip(table, curve)]
+    order = sorted(range(len(table)), key=lambda k: (curve[k], sub[k], table[k][0] is not None, table[k][0] or 0, table[k][2], table[k][1]))
+    out, n = [], len(table)
+    for at, k in enumerate(order):
+        shard = at * 40 // n
+        out.append((*table[k][:3], shard, at - -(-shard * n // 40), curve[k]))
+    return out
+
+
+@pytest.mark.parametrize("sub_rows", [1, 5, 256])
+def test_shards_are_runs_of_the_curve(docs, rows, sub_rows):
+    found = hilbert_shards.shard_documents(docs, sub_rows=sub_rows).select("doc_id", "size", "text_crc32", "shard", "slot", "curve")
+    same(got(found), plain_shards(rows, sub_rows))
+
+
+def test_shard_files_can_be_skipped(spark, tmp_path):
+    """Long common prefixes of sources don't matter, and the files of a shard span few sources and sizes."""
+    rng = random.Random(17)
+    rows = [(k, prose(rng, rng.randrange(1, 200)), f"common_crawl_{k % 8}") for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_source", F.lit(5))
+    hilbert_shards.write_shards(docs, f"{tmp_path}/out")
+    table = spark.read.parquet(f"{tmp_path}/out")
+    assert table.count() == 4000 and table.where("_source = 5").count() == 4000
+    files = table.groupBy(F.input_file_name()).agg(F.min("source").alias("low"), F.max("source").alias("high"), F.min(F.length("text")).alias("short"), F.max(F.length("text")).alias("long")).collect()
+    read = sum(f.low <= "common_crawl_3" <= f.high and f.short <= 100 <= f.long for f in files)
+    assert read <= len(files) / 4
+
+
 def test_hilbert_curve_is_continuous():
     grid = np.stack([x.ravel() for x in np.meshgrid(*[np.arange(8)] * 3)], axis=1)
     at = hilbert_shards.hilbert_index(grid, 3)
@@ -354,6 +404,46 @@ def test_ranker(spark):
     assert kept.columns == docs.columns and kept.count() == quality_ranker.scored(docs, ranker).where("predicted = 1").count()
 
 
+def plain_features(text):
+    """The measures of one text, one after the other."""
+    t, words = text or "", WORD.findall(text or "")
+    if not words:
+        return None
+    n, size, lines = len(words), len(t.encode()), t.split("\n")
+    count = lambda name: sum(b in quality_ranker.CLASSES[name] for b in t.encode())
+    letters = max(1, count("upper") + count("lower") + count("high"))
+    shares = [count("symbol") / n, count("bang") / n, count("bar") / n, count("digit") / size, count("upper") / letters, 1 - len(set(words)) / n, sum(a == b for a, b in zip(words, words[1:])) / n, 1 - len(set(lines)) / len(lines)]
+    length = (size - t.count("\n")) / n
+    return [math.log1p(n), math.log1p(n) ** 2, length, abs(length - 6), count("pause") / n, *shares, *map(math.sqrt, shares), (1 - len(set(words)) / n) / max(1, math.log1p(n))]
+
+
+def test_ranker_against_plain_versions(spark, docs, rows):
+    texts = [t for _, t in rows] + ["A! b? c; | 12 ## é\nA! b?\n\nx x x", "\n", "ß" * 9]
+    found = quality_ranker.features(pa.array(texts, pa.string()))
+    for t, x in zip(texts, found):
+        assert np.allclose(x, plain_features(t) or np.zeros(found.shape[1])), t
+    good, bad = [r[0] for r in rows if r[0] and r[0] >= 100], [r[0] for r in rows if r[0] and 0 < r[0] < 100]
+    labels = spark.createDataFrame([(i, 1, 0) for i in good] + [(i, 0, 0) for i in bad] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+    ranker = quality_ranker.train(docs, labels)
+    inside = lambda i: zlib.crc32(str(i).encode()) % 5 != 0
+    # of texts with one id the smallest counts, once
+    known = [(min(t or "" for j, t in rows if j == i), int(i in good)) for i in sorted({*good, *bad}) if inside(i)]
+    x = quality_ranker.features(pa.array([t for t, _ in known]))
+    assert np.allclose(ranker.mean, x.mean(axis=0)) and np.allclose(ranker.spread, np.maximum(x.std(axis=0), 1e-6))
+    strength = np.clip((x - ranker.mean) / ranker.spread, -8, 8) @ ranker.weights
+    assert (strength < ranker.cut).sum() == sum(not y for _, y in known)
+    # the loss on pairs is at its least there
+    z = np.clip((x - ranker.mean) / ranker.spread, -8, 8)
+    y = np.array([v for _, v in known])
+    rng = np.random.default_rng(0)
+    d = z[rng.choice(np.flatnonzero(y == 1), quality_ranker.PAIRS)] - z[np.resize(rng.permutation(np.flatnonzero(y == 0)), quality_ranker.PAIRS)]
+    loss = lambda w: np.log1p(np.exp(-(d @ w))).mean() + 5e-5 * w @ w
+    assert all(loss(ranker.weights) <= loss(ranker.weights + step) + 1e-9 for step in np.random.default_rng(1).normal(0, 0.05, (20, len(ranker.weights))))
+    for r in quality_ranker.scored(docs, ranker).collect():
+        assert r.held_out == (r.doc_id is not None and not inside(r.doc_id))
+    assert quality_ranker.scored(docs.limit(0), ranker).count() == 0
+
+
 def test_ranker_edges(spark, docs, rows):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for labels in (none, spark.createDataFrame([(7, 1, 0), (None, 0, 0), (9, None, 0)], none.schema)):
@@ -430,7 +520,7 @@ def test_mixing(spark, docs, rows):
     found = mixing.mixed(docs.where("doc_id IS NOT NULL"))
     times = {r.doc_id: r.n for r in found.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     assert set(times) == {i for i, _ in rows if i is not None}
-    quotas = {r.source_key: r for r in mixing.source_quotas(found.where("epoch = 0").groupBy(F.concat(F.lit("s"), "source").alias("source_key"), "block").agg(F.sum("n_tokens").alias("tokens"))).collect()}
+    quotas = {r.source_key: r for r in mixing.realised(docs.where("doc_id IS NOT NULL")).collect()}
     realised = {r.source: r.t for r in found.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
     assert all(realised[k[1:]] <= q.quota <= mixing.REPETITION * q.tokens + 1 for k, q in quotas.items())
     assert mixing.mixed(docs.limit(0)).count() == 0
@@ -438,6 +528,25 @@ def test_mixing(spark, docs, rows):
     assert mixing.mixed(nulls).count() == 3
 
 
+def test_mixing_budget(spark, monkeypatch):
+    """Quotas smaller than a block and between whole epochs; what is emitted is what is reported, short of a quota by a part at most."""
+    rng = random.Random(16)
+    rows = [(k, f"{prose(rng, rng.randrange(1, 60))}") for k in range(900)]
+    docs = frame(spark, rows).withColumn("source", F.when(F.col("doc_id") % 9 == 0, "rare").otherwise("common"))
+    monkeypatch.setattr(mixing, "BLOCKS", 4)
+    for budget in (300, 9_000, 70_000):
+        table = {r.source_key: r for r in mixing.realised(docs, budget=budget).collect()}
+        found = mixing.mixed(docs, budget=budget).groupBy("source", "epoch").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()
+        for key, r in table.items():
+            assert sum(x.t for x in found if x.source == key[1:]) == r.realised
+            assert r.quota - 600 < r.realised <= r.quota
+        assert abs(sum(r.realised_weight for r in table.values()) - 1) < 1e-9
+        whole = {s: docs.where(F.col("source") == s).count() for s in ("rare", "common")}
+        assert all(x.n == whole[x.source] for x in found if (x.epoch + 1) * table[f"s{x.source}"].tokens <= table[f"s{x.source}"].quota)
+    monkeypatch.setattr(mixing, "PLAN_BYTES", 0)
+    assert got(mixing.mixed(docs, budget=9_000).select("doc_id", "epoch", "block_rank"))[:5] and {r.source_key: r.realised for r in mixing.realised(docs, budget=9_000).collect()} == {"srare": mixing.mixed(docs, budget=9_000).where("source = 'rare'").agg(F.sum("n_tokens")).first()[0], "scommon": mixing.mixed(docs, budget=9_000).where("source = 'common'").agg(F.sum("n_tokens")).first()[0]}
+
+
 def test_exponent(spark):
     shares = F.array(*[F.lit(x) for x in (0.7, 0.2, 0.1)])
     a = spark.range(1).select(mixing.exponent(shares, None, 1.0).alias("a"), mixing.exponent(shares, 2.0, None).alias("b"), mixing.exponent(shares, None, 0.1).alias("c")).first()

@@ -30,3 +30,22 @@ def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, blank and very long texts, repeated rows, names that the operators use themselves, and no rows at all."""
+    prose = " ".join(f"word{k * k % 97}" for k in range(120)) + ". "
+    rows = [(1, prose, "en", "a"), (1, prose, "en", "a"), (2, prose + "end", None, None), (3, None, None, "a"), (None, prose.upper(), "en", None), (None, None, None, None), (4, " \n", "de", "b"), (5, prose[::-1] * 90, "en", "b"), (6, "q " * 30, "en", "b")]
+    names = ["doc_id", "text", "lang", "source", "block", "epoch", "_id", "_node", "_source", "_code", "n_tokens", "part"]
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4, 5, 6, 7, 8) for r in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} int" for n in names[4:]))
+    for table, schema, data in (("labels", "doc_id long, quality int, toxic int", [(1, 1, 0), (6, 0, 0), (None, 1, 1)]), ("benchmark", "item_id int, text string", [(1, "word0 word1 zz"), (None, None)])):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{table}.parquet")
+    for source in (docs, docs.limit(0)):
+        for _, stage in corpus_pipeline.STAGES:
+            found = stage(spark, source, str(tmp_path))
+            kept = found.collect()
+            assert found.columns[: len(names)] == names
+            assert all([r[n] for n in names[4:]] == list(range(1, 9)) for r in kept) and bool(kept) == (source is docs)
+    source = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(*names[:4])
+    source.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).columns == [*names[:4], "shard", "slot", "curve"]
