@@ -271,7 +271,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     An item with fewer words than the window is one window; one without words never occurs. With `nameless`, items without an id
     hit too: n_items counts them as one together, and the digest is that of the ids. One block of items (the usual case) is
     one pass over the index without a shuffle; with more, the blocks' hits are joined per row. Rows are told apart by a hash of
-    doc_id and text, so repeated rows get the same answer each. `index` is a stored index of `docs` to use again."""
+    doc_id and text, so repeated rows get the same answer each. Very long texts are searched whole; no rows give none; other columns
+    are ignored. `index` is a stored index of `docs` to use again."""
     spark = docs.sparkSession
     index = store_index(docs) if index is None else index
     blocks = item_blocks(items, "item_id", "text", block_bytes, nameless)

@@ -3,17 +3,24 @@
 Rows of the shuffles are arrays of some thousand keys, not single keys, so a shuffle of 10**8 keys has some thousand rows;
 numpy works on them inside the tasks. Everything is spread by hashes over the session's number of shuffle partitions.
 
+Every chunk has a packet for nearly every partition. Up to `ONE_HOP` partitions the packets are rows of one shuffle. Beyond, they go
+in two hops: first in bundles to groups of partitions, as many as a group has members, then from there to the partition; so the
+rows of a chunk grow with the square root of the partitions, not with their number.
+
 A key that many documents share never gathers in one place: inside a chunk (some MB of text) a key held by more than
 `cap` documents is answered on the spot, and only one record of it travels to inform the other chunks.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyboard.llm.common import FINER, chunks, key_order, mix, packed_order, shuffle_width
 
@@ -27,6 +34,55 @@ ASK = "p int, keys binary, at binary, ids binary, told binary, own_ids binary, o
 PACKED = "p int, ids binary, counts binary, vals binary"
 
 
+#: Partitions to which packets are dealt in one hop.
+ONE_HOP = 1024
+
+
+def _listed(batch: pa.RecordBatch, key: str, numbers: np.ndarray, order: np.ndarray) -> pa.RecordBatch:
+    """One row for each number, with all rows of that number as arrays; `order` sorts them."""
+    numbers = numbers[order]
+    first = np.flatnonzero(np.concatenate(([True], numbers[1:] != numbers[:-1]))) if len(numbers) else np.zeros(0, np.int64)
+    ends = pa.array(np.append(first, len(numbers)), pa.int32())
+    sorted_rows = batch.take(pa.array(order))
+    columns = [pa.ListArray.from_arrays(ends, c) for c in sorted_rows.columns]
+    return pa.RecordBatch.from_arrays([pa.array(numbers[first], pa.int32()), *columns], names=[key, *batch.schema.names])
+
+
+def _flat(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows that `_listed` put into arrays."""
+    names = batch.schema.names[1:]
+    return pa.RecordBatch.from_arrays([batch.column(i + 1).flatten() for i in range(len(names))], names=names)
+
+
+def dealt(packets: DataFrame, parts: int, per: int = 1) -> tuple[DataFrame, Callable]:
+    """`packets` (p, binary columns) in partition p DIV `per`, and what turns a task's batches into batches of packets again."""
+    if parts <= ONE_HOP:
+        return packets.repartitionById(parts, F.expr(f"CAST(p DIV {per} AS INT)")), lambda batches: batches
+    names = packets.columns
+    width = math.isqrt(parts - 1) + 1
+    groups = -(-parts // width)
+    # the places of a group: all partitions are used by the first hop too
+    places = max(1, parts // groups)
+    lists = ", ".join(["p array<int>", *[f"{n} array<binary>" for n in names[1:]]])
+
+    def bundle(batches):
+        for batch in batches:
+            if batch.num_rows:
+                group = batch.column(0).to_numpy() // per // width
+                place = zlib.crc32(b"".join(x.as_py()[:64] for x in batch.column(1)[:8] if x.is_valid)) % places
+                yield _listed(batch, "target", group * places + place, np.argsort(group, kind="stable"))
+
+    def regroup(batches):
+        for batch in batches:
+            rows = _flat(batch)
+            target = rows.column(0).to_numpy() // per
+            yield _listed(rows, "target", target, np.argsort(target, kind="stable"))
+
+    first = packets.mapInArrow(bundle, f"target int, {lists}")
+    second = first.repartitionById(parts, first["target"]).mapInArrow(regroup, f"target int, {lists}")
+    return second.repartitionById(parts, second["target"]), lambda batches: map(_flat, batches)
+
+
 def planes(x: np.ndarray) -> bytes:
     """Little-endian bytes, all first bytes before all second ones: sorted keys then compress well."""
     return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
@@ -80,7 +136,8 @@ def gathered(packets: DataFrame, parts: int, finish: Callable, schema: str) -> D
         if ids:
             yield finish(*by_id(joined(ids, "i8"), joined(vals, "u8")))
 
-    return packets.repartitionById(parts, packets["p"]).mapInArrow(run, schema)
+    there, opened = dealt(packets, parts)
+    return there.mapInArrow(lambda batches: run(opened(batches)), schema)
 
 
 def ask_rows(keys: np.ndarray, owner: np.ndarray, ids: np.ndarray, cap: int, parts: int, mark_ids: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
@@ -162,5 +219,6 @@ def shared_keys(docs: DataFrame, records: Callable, cap: int, finish: Callable,
             yield ask_rows(keys, owner, ids, cap, by_key, mark_ids, marks)
 
     asked = docs.mapInArrow(asks, ASK)
-    answered = asked.repartitionById(by_key, asked["p"]).mapInArrow(lambda b: answer_rows(b, cap, by_doc), PACKED)
+    there, opened = dealt(asked, by_key)
+    answered = there.mapInArrow(lambda b: answer_rows(opened(b), cap, by_doc), PACKED)
     return gathered(answered, by_doc, finish, schema)

@@ -219,7 +219,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
     Words are ``[^\x20\x09-\x0D]+`` after A-Z became lower case. component_id is the smallest doc_id that links reach, the
     row's own included. Texts without words (null, empty, blank) link with nothing, equal ones included; a null doc_id
-    sorts last and stays null if nothing else is in its component. Repeated rows get the same answer each."""
+    sorts last and stays null if nothing else is in its component. Very long texts count whole; repeated rows get the same answer
+    each; no rows give none; other columns are ignored."""
     rows = _rows(docs)
     known = labelled_nodes(rows, size, percent).drop("least_node")
     answer = rows.select("doc_id", "order_id", "node").join(known, "node")

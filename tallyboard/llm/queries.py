@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyboard.llm import decontaminate, hilbert_shards, jaccard_join, license_scan, mixing, quality_ranker, quality_rules, secret_scan, substring_dedup, suffix_dedup
-from tallyboard.llm.common import table
+from tallyboard.llm.common import LOWER, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,40 @@ q AS (SELECT *, place * {last} // n AS shard FROM p)
 SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, CAST(place - (shard * n + {last - 1}) // {last} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, curve FROM q"""
 
 
+def lower(text: str) -> str:
+    """A-Z in lower case."""
+    return text.encode().translate(LOWER).decode()
+
+
+def _license_sql() -> str:
+    """op5 in SQL: every line, and every window of a template's width that begins with one of its words, against every template."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    templates = ", ".join(f"({k}, {quoted(label)}, {quoted(lower(text))})" for k, (label, text) in enumerate(license_scan.TEMPLATES))
+    phrases = " ".join(f"WHEN {' AND '.join(f'{c} = {quoted(w)}' for c, w in zip(('word', 'w1', 'w2', 'w3'), phrase.split()))} THEN {quoted(label)}" for phrase, label in license_scan.PHRASES)
+    words = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)) AS ls FROM documents),
+l AS (SELECT r, unnest(ls) AS l, generate_subscripts(ls, 1) AS line FROM d),
+v AS (SELECT r, line, unnest(regexp_extract_all(l, {words})) AS word, generate_subscripts(regexp_extract_all(l, {words}), 1) AS j FROM l),
+w AS (SELECT r, line, word, row_number() OVER (PARTITION BY r ORDER BY line, j) - 1 AS pos FROM v),
+q AS (SELECT r, pos, CASE {phrases} END AS label FROM (SELECT r, pos, word, lead(word, 1) OVER o AS w1, lead(word, 2) OVER o AS w2, lead(word, 3) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY r ORDER BY pos))),
+b AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM q WHERE label IS NOT NULL GROUP BY r),
+t AS (SELECT t, label, unnest(regexp_extract_all(x, {words})) AS word FROM (VALUES {templates}) AS y(t, label, x)),
+m AS (SELECT t, label, count(DISTINCT word) AS n, CAST(ceil(round({license_scan.CONTAINMENT} * count(DISTINCT word), 6)) AS BIGINT) AS need, {license_scan.WIDTH} * count(*) AS width FROM t GROUP BY t, label),
+h AS (SELECT r, line, pos, t, word FROM w JOIN (SELECT DISTINCT t, word FROM t) USING (word)),
+e AS (SELECT r, t, count(DISTINCT word) AS c FROM h GROUP BY r, t, line),
+g AS (SELECT r, t FROM h JOIN m USING (t) GROUP BY r, t, need HAVING count(DISTINCT word) >= need),
+f AS (SELECT x.r, x.t, x.pos, count(DISTINCT y.word) AS c FROM h x JOIN g ON g.r = x.r AND g.t = x.t JOIN m ON m.t = x.t JOIN h y ON y.r = x.r AND y.t = x.t AND y.pos >= x.pos AND y.pos < x.pos + width GROUP BY x.r, x.t, x.pos),
+k AS (SELECT r, label, max(c / n) AS share FROM (SELECT r, t, c FROM e UNION ALL SELECT r, t, c FROM f) JOIN m USING (t) WHERE c >= need GROUP BY r, label),
+a AS (SELECT r, label, share FROM k UNION ALL SELECT r, label, 1.0 FROM q WHERE label IS NOT NULL),
+s AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM a GROUP BY r),
+n AS (SELECT r, count(*) AS n_words FROM w GROUP BY r)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN n USING (r) LEFT JOIN b USING (r) LEFT JOIN s USING (r)"""
+
+
 ORACLE_SQL = {
+    "op5_license_scan": _license_sql(),
     "op3_hilbert_shards": _hilbert_sql(),
     "op1_quality_rules": r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyboard.llm.common import FINER, NO_ID, chunks, filled, mix, packed_rows, shuffle_width
-from tallyboard.llm.exchange import KEY_BITS, KEY_MASK, by_id, gathered, joined, packed, planes, shared_keys, unplanes
+from tallyboard.llm.exchange import KEY_BITS, KEY_MASK, PACKED, by_id, dealt, gathered, joined, packed, planes, shared_keys, unplanes
 
 TILE = 1 << 19
 #: Bytes of text whose segments are packed together; longer packets compress better.
@@ -207,7 +207,8 @@ def with_repeated_spans(docs: DataFrame, window: int, gram: int, tokens: Callabl
     # both joins read the texts by one shuffle: the same columns, dealt by the same key
     found = rows.join(names.hint("shuffle_hash"), "row_key").select("text", F.coalesce("doc_id", F.lit(NO_ID)).alias("order_id"), "row_key", "names")
     segments = found.mapInArrow(send, SEGMENTS)
-    answered = segments.repartitionById(parts * FINER, F.expr(f"CAST(p DIV {SHARDS_A_TASK} AS INT)")).mapInArrow(lambda b: _index_shard(b, window, repeated, parts), "p int, ids binary, counts binary, vals binary")
+    there, opened = dealt(segments, parts * FINER, SHARDS_A_TASK)
+    answered = there.mapInArrow(lambda b: _index_shard(opened(b), window, repeated, parts), PACKED)
     spans = gathered(answered, parts, _spans_batch, "row_key long, spans binary")
     return rows.join(spans.hint("shuffle_hash"), "row_key", "left")
 

@@ -351,7 +351,7 @@ def test_hilbert_curve_is_continuous():
 
 
 def test_licenses(spark):
-    texts = [None, "", "Licensed under the APACHE License, Version 2.0.", "gnu general\npublic license cc by mit license", "Licenced under CC BY-NC 4.0 by us", "version 2 0 under licensed apache the license", "apache", "x\n" * 50 + "Released under the MIT License.\ny", "apache licenses"]
+    texts = [None, "", "Licensed under the APACHE License, Version 2.0.", "gnu general\npublic license cc by mit license", "Licenced under CC BY-NC 4.0 by us", "version 2 0 under licensed apache the license", "apache", "x\n" * 50 + "Released under the MIT License.\ny", "apache licenses", "xy " * 60000 + "\n" * 9000 + "Released under the MIT License. " + "z" * 90000]
     rows = list(enumerate(texts)) + [(2, texts[2])]
     found = license_scan.license_labels(frame(spark, rows))
     wanted = []
@@ -576,6 +576,22 @@ def test_exchange(spark):
         same(got(found), ((i, k * 10**12, min(n[k], cap + 1)) for i, x in held for k in x if n[k] > 1))
 
 
+def test_two_hops(spark, docs, rows, monkeypatch):
+    """The same answers when packets go by groups of partitions, and few rows for each chunk."""
+    monkeypatch.setattr(exchange, "ONE_HOP", 1)
+    same(got(substring_dedup.removal_digest(docs)), substring_digest(rows))
+    same(got(jaccard_join.near_duplicates(docs)), components(rows))
+    parts = 144
+    packets = spark.createDataFrame([(p, bytes([p % 7]), b"x") for p in range(parts)], "p int, keys binary, at binary").coalesce(1)
+    there, opened = exchange.dealt(packets, parts)
+    assert there.rdd.getNumPartitions() == parts
+    batch = pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([b"k"] * parts), pa.array([b"a"] * parts)], names=["p", "keys", "at"])
+    bundled = exchange._listed(batch, "target", np.arange(parts) // 12, np.arange(parts))
+    assert bundled.num_rows == 12 and exchange._flat(bundled).equals(batch)
+    found = there.mapInArrow(lambda b: opened(b), "p int, keys binary, at binary").withColumn("here", F.spark_partition_id())
+    assert found.count() == parts and not found.where("here <> p").count()
+
+
 def test_word_splits_agree(rows):
     from tallyboard.llm.common import Words, translated, ALNUM as TABLE
 
