@@ -5,14 +5,13 @@ quality classifier -> near duplicates -> benchmark decontamination -> mixing to
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyboard.llm import decontaminate, hilbert_shards, jaccard_join, mixing, quality_ranker
-from tallyboard.llm.common import table
+from tallyboard.llm.common import shared_folder, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,10 +20,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each component of near copies (see `jaccard_join.one_of_each`); texts without words all stay."""
     return jaccard_join.one_of_each(docs)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item stands, items without an id included; null texts stay."""
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"), nameless=True)
 
 
@@ -34,6 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with shard, slot and curve; null ids, sources and languages sort first."""
     return hilbert_shards.with_shards(docs)
 
 
@@ -49,21 +51,24 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """A new folder that all executors see: below the checkpoint folder, or a temporary one in a local session without it."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="spark-")
-    return f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+def _drop(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), _shared_folder(spark)
+    """The stages one after the other over `documents`, each written as Parquet to the shared folder and read again.
+
+    Columns of `documents` come back as they are, whatever their names, with shard, slot and curve (which replace columns of these
+    names). Null and blank texts pass if the classifier keeps them; a null id is a document like any other; repeated rows are near
+    copies of each other; texts count whole, however long; mixing may repeat a row; no rows give none. A stage's folder is
+    deleted once the next one is written; the last one is what the result reads."""
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                _drop(spark, f"{folder}/{k - 1}")
     return docs
