@@ -62,6 +62,16 @@ LANGUAGE_OK = [
     r"no\s+japanese\s+required", r"japanese\s+not\s+required", r"english\s+only", r"english-only",
     r"working\s+language\s+is\s+english", r"primary\s+language\s+is\s+english",
 ]
+#: Patterns that results depend on: pay ranges (digits before the first comma, all digits), curated and numbered lines, data in pages.
+SALARY = r"\$(\d+)(?:,\d{3})*(?:k|K)?\s*-\s*\$(\d+)(?:,\d{3})*(?:k|K)?"
+SALARY_WHOLE = r"\$(\d+(?:,\d{3})*)(?:k|K)?\s*-\s*\$(\d+(?:,\d{3})*)(?:k|K)?"
+CURATED = r"^\d+\)\s+(.+?)\s+[-–—]\s+(.+?)\s+\((.+?)\)\s*$"
+NUMBERED = r"^\d+\)\s+(.+?)\s+-"
+EMBEDDED = r"(?is)<script[^>]*__NEXT_DATA__[^>]*>(.*?)</script>"
+#: The board's token in URLs and configured endpoints, by vendor.
+GREENHOUSE_URL, GREENHOUSE_ENDPOINT = r"greenhouse\.io/(?:embed/job_board\?for=)?([^/?&]+)", "boards/([^/]+)"
+WORKABLE_URL, WORKDAY_URL = r"workable\.com/+([^/]+)", r"https://[^/]+/([^/.]+)"
+LAST_PART, LEVER_ENDPOINT = r"([^/]+)$", r"lever\.co/([^/?]+)"
 #: Vendors by URL pattern, in order of priority.
 VENDORS = [
     ("greenhouse", r"boards?\.greenhouse\.io"),

@@ -67,15 +67,11 @@ def remote_type(location: Column, description: Column) -> Column:
     return _first_true([(remote & F.contains(text, F.lit("hybrid")), "Hybrid"), (remote, "Remote")], "On-site")
 
 
-SALARY = r"\$(\d+)(?:,\d{3})*(?:k|K)?\s*-\s*\$(\d+)(?:,\d{3})*(?:k|K)?"
-SALARY_WHOLE = r"\$(\d+(?:,\d{3})*)(?:k|K)?\s*-\s*\$(\d+(?:,\d{3})*)(?:k|K)?"
-
-
 def salary_range(c: Column, compat: bool = True) -> Column:
     """struct(min, max, currency) of the first ``$a - $b``; null if there is none.
 
     compat counts only the digits before the first comma (``$100,000 - $150,000`` gives 100 and 150); otherwise all count."""
-    pattern = SALARY if compat else SALARY_WHOLE
+    pattern = presets.SALARY if compat else presets.SALARY_WHOLE
     found = F.regexp_extract(c, pattern, 0)
     times = F.when(F.contains(F.lower(found), F.lit("k")), 1000).otherwise(1)
     number = lambda g: F.regexp_replace(F.regexp_extract(c, pattern, g), ",", "").try_cast("long") * times
@@ -122,14 +118,14 @@ def board_token(vendor: Column, url: Column, endpoint: Column, domain: Column, n
     none = lambda c: F.nullif(c, F.lit(""))
     in_url = _first_true(
         [
-            (vendor == "greenhouse", none(F.regexp_extract(url, r"greenhouse\.io/(?:embed/job_board\?for=)?([^/?&]+)", 1))),
-            (vendor == "workable", none(F.regexp_extract(url, r"workable\.com/+([^/]+)", 1))),
-            (vendor == "workday", none(F.regexp_extract(url, r"https://[^/]+/([^/.]+)", 1))),
-            (vendor.isin("lever", "ashby"), none(F.regexp_extract(F.rtrim(url, F.lit("/")), r"([^/]+)$", 1))),
+            (vendor == "greenhouse", none(F.regexp_extract(url, presets.GREENHOUSE_URL, 1))),
+            (vendor == "workable", none(F.regexp_extract(url, presets.WORKABLE_URL, 1))),
+            (vendor == "workday", none(F.regexp_extract(url, presets.WORKDAY_URL, 1))),
+            (vendor.isin("lever", "ashby"), none(F.regexp_extract(F.rtrim(url, F.lit("/")), presets.LAST_PART, 1))),
         ],
         F.lit(None).cast("string"),
     )
-    in_endpoint = _first_true([(vendor == "greenhouse", none(F.regexp_extract(endpoint, "boards/([^/]+)", 1))), (vendor == "lever", none(F.regexp_extract(endpoint, r"lever\.co/([^/?]+)", 1))), (vendor == "workday", none(F.regexp_extract(endpoint, r"https://[^/]+/([^/.]+)", 1)))], F.lit(None).cast("string"))
+    in_endpoint = _first_true([(vendor == "greenhouse", none(F.regexp_extract(endpoint, presets.GREENHOUSE_ENDPOINT, 1))), (vendor == "lever", none(F.regexp_extract(endpoint, presets.LEVER_ENDPOINT, 1))), (vendor == "workday", none(F.regexp_extract(endpoint, presets.WORKDAY_URL, 1)))], F.lit(None).cast("string"))
     guessed = none(F.when(vendor == "workable", F.split_part(domain, F.lit("."), F.lit(1))).otherwise(F.replace(F.replace(domain, F.lit(".com"), F.lit("")), F.lit("."), F.lit(""))))
     return F.coalesce(in_url, in_endpoint, guessed, none(F.replace(F.lower(name), F.lit(" "), F.lit(""))))
 

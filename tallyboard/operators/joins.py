@@ -166,41 +166,49 @@ def _leading(size: Column, items: Column, spare: float) -> Column:
     return F.slice(items, 1, end)
 
 
-def fuzzy_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(candidate, match) of the names (column name) of both sides: every pair that can reach the similarity `least`, and some more.
-
-    Two ways lead to a similarity. Either the common tokens make up nearly all of one side: then one of that side's rarest tokens
-    is common. Or the names differ by few inserted and deleted characters, a share `e` of both lengths at most: then most
-    3-grams of the padded tokens stay, since a deletion breaks three and an insertion two, and one of the rarest is common
-    (a prefix filter on both sides). Names too short for that are paired by length."""
-    e = 1 - least / 100
-    spare = 2 * e / (1 + e)
+def _named(df: DataFrame) -> DataFrame:
+    """(name, tokens, size, grams) of each name with tokens: the distinct tokens, their length joined, and their 3-grams with a blank on both sides."""
     padded = lambda t: F.concat(F.lit(" "), t, F.lit(" "))
     cut_up = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.substr(padded(t), i, F.lit(GRAM)))
+    df = df.select("name").distinct().withColumn("tokens", _tokens("name")).where(F.size("tokens") > 0)
+    return df.withColumns({"size": F.length(F.array_join("tokens", " ")), "grams": F.array_distinct(F.flatten(F.transform("tokens", cut_up)))})
+
 
-    def named(df: DataFrame) -> DataFrame:
-        df = df.select("name").distinct().withColumn("tokens", _tokens("name")).where(F.size("tokens") > 0)
-        return df.withColumns({"size": F.length(F.array_join("tokens", " ")), "grams": F.array_distinct(F.flatten(F.transform("tokens", cut_up)))})
+def _ranks(a: DataFrame, b: DataFrame, kind: str) -> DataFrame:
+    each = a.select(F.explode(kind).alias(kind)).unionByName(b.select(F.explode(kind).alias(kind)))
+    return each.groupBy(kind).agg(F.count(F.lit(1)).alias("n"))
 
-    a, b = named(left), named(right)
 
-    def items(df: DataFrame, kind: str) -> DataFrame:
-        return df.select("name", "size", F.explode(kind).alias(kind))
+def _by_tokens(few: DataFrame, many: DataFrame, ranks: DataFrame, spare: float) -> DataFrame:
+    """(name, tokens, other, other_tokens): pairs in which `many` has one of the leading tokens of `few`."""
+    heads = _rare_first(few.select("name", "size", F.explode("tokens").alias("tokens")), ranks, "tokens")
+    heads = heads.select("name", F.col("items.item").alias("tokens"), F.explode(_leading(F.col("size"), F.col("items"), spare)["item"]).alias("t"))
+    return heads.join(many.select(F.col("name").alias("other"), F.col("tokens").alias("other_tokens"), F.explode("tokens").alias("t")), "t").drop("t")
 
-    def ranks(kind: str) -> DataFrame:
-        return items(a, kind).unionByName(items(b, kind)).groupBy(kind).agg(F.count(F.lit(1)).alias("n"))
 
-    def by_tokens(few: DataFrame, many: DataFrame, own: str, other: str) -> DataFrame:
-        heads = _rare_first(items(few, "tokens"), ranks("tokens"), "tokens").select(F.col("name").alias(own), F.explode(_leading(F.col("size"), F.col("items"), spare)["item"]).alias("t"))
-        return heads.join(many.select(F.col("name").alias(other), F.explode("tokens").alias("t")), "t").select(F.col(own), F.col(other))
+def contained_names(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(candidate, match) of names of which one side's tokens are all the other's too: these meet at the rarest token of that side."""
+    ranks, inside = _ranks(a, b, "tokens"), F.size(F.array_except("tokens", "other_tokens")) == 0
+    x, y = _by_tokens(a, b, ranks, 0.0).where(inside), _by_tokens(b, a, ranks, 0.0).where(inside)
+    return x.select(F.col("name").alias("candidate"), F.col("other").alias("match")).unionByName(y.select(F.col("other").alias("candidate"), F.col("name").alias("match")))
 
+
+def fuzzy_pairs(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """(candidate, match) of two sides of `_named` names: every pair that can reach the similarity `least`, and some more.
+
+    Two ways lead to a similarity. Either the common tokens make up nearly all of one side: then one of that side's rarest tokens
+    is common. Or the names differ by few inserted and deleted characters, a share `e` of both lengths at most: then most
+    3-grams of the padded tokens stay, since a deletion breaks three and an insertion two, and one of the rarest is common
+    (a prefix filter on both sides). Names too short for that are paired by length."""
+    e = 1 - least / 100
+    spare, tokens, grams = 2 * e / (1 + e), _ranks(a, b, "tokens"), _ranks(a, b, "grams")
     # most 3-grams that a partner of any fitting length leaves broken
     low, high = (1 - e) / (1 + e), (1 + e) / max(1e-9, 1 - e)
     share = max((2.5 * e + 0.5) + (2.5 * e - 0.5) * m for m in (low, high))
     broken = F.floor(F.col("size") * share + 1e-9)
 
     def by_grams(df: DataFrame, own: str) -> DataFrame:
-        rare = _rare_first(items(df, "grams"), ranks("grams"), "grams")
+        rare = _rare_first(df.select("name", "size", F.explode("grams").alias("grams")), grams, "grams")
         return rare.select(F.col("name").alias(own), F.col("size").alias(f"{own}_size"), F.explode(F.slice("items", 1, F.least(F.size("items"), broken + 1).cast("int"))["item"]).alias("g"))
 
     # the rarest broken + 1 grams hold a common one if there are more grams than that can break
@@ -210,8 +218,8 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     close = by_grams(a, "candidate").join(by_grams(b, "match"), "g").where(near)
     lengths = F.sequence(F.ceil(x * low - 1e-9).cast("int"), F.floor(x * high + 1e-9).cast("int"))
     both_short = short(a, "candidate").withColumn("match_size", F.explode(lengths)).join(short(b, "match"), "match_size")
-    found = [by_tokens(a, b, "candidate", "match"), by_tokens(b, a, "match", "candidate"), close, both_short]
-    out = found[0].select("candidate", "match")
+    found = [_by_tokens(a, b, tokens, spare).select(F.col("name").alias("candidate"), F.col("other").alias("match")), _by_tokens(b, a, tokens, spare).select(F.col("other").alias("candidate"), F.col("name").alias("match")), close, both_short]
+    out = found[0]
     for more in found[1:]:
         out = out.unionByName(more.select("candidate", "match"))
     return out.distinct()
@@ -220,16 +228,21 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
 def fuzzy_match(candidates: DataFrame, companies: DataFrame, least: float = 90.0) -> DataFrame:
     """(candidate, match, score, how): the company of the same domain, else the best name at or above `least`; ties by name.
 
-    `fuzzy_pairs` gives the names that can reach it, and each pair is scored once. Names without tokens match nothing."""
+    Names of which one holds the other's tokens score 100; only candidates without such a match are compared by `fuzzy_pairs`, and
+    each pair is scored once. Names without tokens match nothing."""
     c = candidates.select(F.col("name").alias("candidate"), lowered("domain").alias("_d")).distinct()
     known = companies.select(F.col("name").alias("match"), lowered("domain").alias("_d")).distinct()
-    by_domain = c.join(known, "_d").groupBy("candidate").agg(F.min("match").alias("match")).select("candidate", "match", F.lit(100.0).alias("score"), F.lit("domain").alias("how"))
+    best_of = lambda df, score, how: df.groupBy("candidate").agg(F.min("match").alias("match")).select("candidate", "match", F.lit(score).alias("score"), F.lit(how).alias("how"))
+    by_domain = best_of(c.join(known, "_d"), 100.0, "domain")
+    names = _named(known.select(F.col("match").alias("name")))
     rest = c.select("candidate").distinct().join(by_domain, "candidate", "left_anti")
-    pairs = fuzzy_pairs(rest.select(F.col("candidate").alias("name")), known.select(F.col("match").alias("name")), least)
+    by_tokens = best_of(contained_names(_named(rest.select(F.col("candidate").alias("name"))), names), 100.0, "name")
+    rest = rest.join(by_tokens, "candidate", "left_anti")
+    pairs = fuzzy_pairs(_named(rest.select(F.col("candidate").alias("name"))), names, least)
     scored = pairs.withColumn("score", similarity("candidate", "match")).where(F.col("score") >= least)
     best = scored.groupBy("candidate").agg(F.min(F.struct((-F.col("score")).alias("s"), "match")).alias("b"))
     by_name = best.select("candidate", F.col("b.match").alias("match"), (-F.col("b.s")).alias("score"), F.lit("name").alias("how"))
-    return by_domain.unionByName(by_name)
+    return by_domain.unionByName(by_tokens.where(F.lit(least <= 100))).unionByName(by_name)
 
 
 #: How far each way to a board is to be trusted.

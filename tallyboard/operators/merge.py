@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Sequence
 
@@ -75,13 +76,24 @@ def company_record(rows: DataFrame, confidence: float = 1.0, frequency_hours: in
     )
 
 
-def switch_snapshot(df: DataFrame, path: str) -> str:
-    """Writes a new snapshot below `path` and names it current; what is being read is never overwritten."""
-    spark, name = df.sparkSession, f"snapshot-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{name}")
-    spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
-    return f"{path}/{name}"
+def _snapshots(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the whole snapshots below `path`, oldest first: those that their writer has marked as done."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/snapshot-*/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return sorted(x.getPath().getParent().toString() for x in found)
+
+
+def switch_snapshot(df: DataFrame, path: str, keep: int = 3) -> str:
+    """Writes a new snapshot below `path`, which is the current one as soon as it is whole; what is being read is never overwritten.
+
+    Readers of the `keep` newest ones are safe; older ones are deleted."""
+    spark, name = df.sparkSession, f"{path}/snapshot-{time.time_ns():020d}-{uuid.uuid4().hex}"
+    df.write.parquet(name)
+    for old in _snapshots(spark, path)[:-keep]:
+        gone = spark._jvm.org.apache.hadoop.fs.Path(old)
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+    return name
 
 
 def current_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/current').first()[0]}")
+    return spark.read.parquet(_snapshots(spark, path)[-1])

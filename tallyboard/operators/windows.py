@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyboard.functions import presets
+
 
 def page(df: DataFrame, order: Sequence[Column | str], skip: int = 0, limit: int = 100) -> tuple[DataFrame, DataFrame]:
     return df.orderBy(*order).offset(skip).limit(limit), df.agg(F.count(F.lit(1)).alias("total"))
@@ -28,12 +30,9 @@ def top_k_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
-NUMBERED = r"^\d+\)\s+(.+?)\s+-"
-
-
 def dedupe_lines(lines: DataFrame) -> DataFrame:
     """Lines (line_no, line): of numbered items with one name, whatever its case, the first stays; all other lines stay."""
-    name = F.lower(F.trim(F.regexp_extract("line", NUMBERED, 1)))
+    name = F.lower(F.trim(F.regexp_extract("line", presets.NUMBERED, 1)))
     keyed = lines.withColumn("_name", name)
     first = top_k_per(keyed.where("_name <> ''"), ["_name"], ["line_no"], 1).drop("rank")
     return first.unionByName(keyed.where("_name = ''")).drop("_name")

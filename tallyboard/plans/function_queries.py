@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyboard.functions import links
+from tallyboard.functions import links, presets
 from tallyboard.functions import text as X
 from tallyboard.plans.queries import AS_OF, CURATED_SQL, c, jobs, lit, query
 from tallyboard.plans.views import SKILL_WORDS, SKILLS_SQL, shared_folder, view
@@ -40,7 +40,13 @@ def x3_content_hash(spark, sf):
     return jobs(spark, sf).select("job_id", X.content_hash(c("title"), c("description"), F.when(c("doc_id") % 3 != 0, c("location"))).alias("content_hash"))
 
 
-@query()
+TEXT_SQL = r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', '<x>', 'g'), '(?s)<!--.*?-->', '<x>', 'g'), '(?s)<[/!?a-zA-Z][^>]*>', chr(10), 'g') AS x FROM pages),
+b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS x FROM a),
+t AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split(x, chr(10)), lambda l: regexp_replace(l, '^[\s\x{a0}\x{85}]+|[\s\x{a0}\x{85}]+$', '', 'g')), lambda l: l <> ''), chr(10)) AS t FROM b)
+SELECT page_id, md5(t) AS text_md5, CAST(length(t) AS INTEGER) AS n_chars FROM t"""
+
+
+@query("", TEXT_SQL)
 def x4_html_text(spark, sf):
     return view(spark, sf, "pages").select("page_id", F.md5(links.html_text("html")).alias("text_md5"), F.length(links.html_text("html")).alias("n_chars"))
 
@@ -233,7 +239,7 @@ def s2_curated_list(spark, sf):
     rows = view(spark, sf, "lines")
     parsed = files.parse_curated_list(rows).distinct()
     keyed = rows.select("line_no", "value")
-    part = lambda g: F.trim(F.regexp_extract(F.trim("value"), files.CURATED, g))
+    part = lambda g: F.trim(F.regexp_extract(F.trim("value"), presets.CURATED, g))
     joined = keyed.select("line_no", part(1).alias("raw_name"), part(2).alias("description"), part(3).alias("location")).join(parsed, ["raw_name", "description", "location"])
     return joined.select("line_no", "raw_name", "name", "description", "location")
 
@@ -277,7 +283,7 @@ def s7_workable(spark, sf):
     return B.normalise_workable(landed(spark, sf, F.to_json(F.struct(F.array(job).alias("results"))))).select("job_id", "title", "location", "description", "job_type")
 
 
-@query()
+@query("postings", "SELECT 'cards_' || md5(url) AS job_id, trim(company) AS title, company, location, url AS source_url FROM (SELECT *, 'https://cards.example.com/jobs/' || CAST(doc_id AS VARCHAR) AS url FROM postings), range(2) WHERE company IS NOT NULL AND location IS NOT NULL")
 def s8_cards(spark, sf):
     card = F.concat(lit('<div data-test="JobResult"><h2>'), c("company"), lit('</h2><span class="styles_location__x1">'), c("location"), lit('</span><a data-test="JobTitleLink" href="/jobs/'), doc(), lit('">open</a></div>'))
     rows = landed(spark, sf, F.concat(lit("<html>"), card, card, lit("</html>")))

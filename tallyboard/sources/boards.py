@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyboard.functions import presets
 from tallyboard.functions.links import absolute_url, escaped_html_text, html_text
 from tallyboard.functions.text import compose_location, content_hash, empty_if_null, extract_skills, job_type, parse_posted, remote_type, salary_range, tag_location
 
@@ -86,12 +87,11 @@ def normalise_lever(landed: DataFrame, text: Callable[[Column], Column] = html_t
 
 
 ASHBY = "struct<id: string, title: string, location: string, address: struct<city: string, region: string, country: string>, isRemote: boolean, jobUrl: string, descriptionHtml: string, description: string, publishedAt: string, employmentType: string, compensation: struct<min: double, max: double, currency: string>>"
-EMBEDDED = r"(?is)<script[^>]*__NEXT_DATA__[^>]*>(.*?)</script>"
 
 
 def normalise_ashby(landed: DataFrame, text: Callable[[Column], Column] = html_text) -> DataFrame:
     """The API's JSON, or the JSON that a page embeds. Job type and remote facet are kept; a missing or bad date is the fetch time."""
-    page = F.regexp_extract("body", EMBEDDED, 1)
+    page = F.regexp_extract("body", presets.EMBEDDED, 1)
     embedded = F.from_json(page, f"struct<props: struct<pageProps: struct<jobBoard: struct<jobs: array<{ASHBY}>>>>>")["props"]["pageProps"]["jobBoard"]["jobs"]
     df = landed.withColumn("j", F.explode(F.when(page != "", embedded).otherwise(F.from_json("body", f"struct<jobs: array<{ASHBY}>>")["jobs"])))
     place = F.col("j.location")

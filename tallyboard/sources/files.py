@@ -33,13 +33,10 @@ def read_company_lists(spark: SparkSession, paths: str | Sequence[str]) -> DataF
     return files.mapInPandas(run, COMPANY_LIST).where((F.coalesce("name", F.lit("")) != "") & (F.coalesce("domain", F.lit("")) != ""))
 
 
-CURATED = r"^\d+\)\s+(.+?)\s+[-–—]\s+(.+?)\s+\((.+?)\)\s*$"
-
-
 def parse_curated_list(lines: DataFrame, column: str = "value", suffixes: Sequence[str] = presets.CURATED_SUFFIXES) -> DataFrame:
     """raw_name, name, description, location of lines ``N) Name - description (place)``; other lines give nothing."""
-    part = lambda g: F.trim(F.regexp_extract(F.trim(column), CURATED, g))
-    rows = lines.where(F.trim(column).rlike(CURATED)).select(part(1).alias("raw_name"), part(2).alias("description"), part(3).alias("location"))
+    part = lambda g: F.trim(F.regexp_extract(F.trim(column), presets.CURATED, g))
+    rows = lines.where(F.trim(column).rlike(presets.CURATED)).select(part(1).alias("raw_name"), part(2).alias("description"), part(3).alias("location"))
     return rows.select("raw_name", strip_suffix(F.col("raw_name"), suffixes).alias("name"), "description", "location")
 
 

@@ -166,6 +166,15 @@ def test_weekly_reposts(spark):
     assert rows(W.weekly_reposts(jobs)) == [("c", "t", 2, datetime.date(2024, 1, 1), 3)]
 
 
+def test_snapshots(spark, tmp_path):
+    """The newest whole one is current, an unfinished one isn't, and old ones go."""
+    path = f"file://{tmp_path}/t"
+    for n in range(1, 6):
+        U.switch_snapshot(spark.range(n), path, keep=2)
+    (tmp_path / "t" / "snapshot-99999999999999999999-unfinished").mkdir()
+    assert U.current_snapshot(spark, path).count() == 5 and len(list((tmp_path / "t").glob("snapshot-*/_SUCCESS"))) == 2
+
+
 def test_upsert_takes_the_last_change(spark):
     target = spark.createDataFrame([("a", 1, "x")], "k string, v int, other string")
     changes = spark.createDataFrame([("a", 5, 2), ("a", 4, 3), ("b", 7, 1)], "k string, v int, at int")
