@@ -54,8 +54,11 @@ def _flat(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(i + 1).flatten() for i in range(len(names))], names=names)
 
 
-def dealt(packets: DataFrame, parts: int, per: int = 1) -> tuple[DataFrame, Callable]:
-    """`packets` (p, binary columns) in partition p DIV `per`, and what turns a task's batches into batches of packets again."""
+def dealt(packets: DataFrame, parts: int, per: int = 1, combine: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None) -> tuple[DataFrame, Callable]:
+    """`packets` (p, binary columns) in partition p DIV `per`, and what turns a task's batches into batches of packets again.
+
+    combine(packets of one p) may merge them on the way: after the first hop a task holds those of many chunks, so what all
+    chunks share reaches its partition about sqrt(parts) times, however many chunks there are."""
     if parts <= ONE_HOP:
         return packets.repartitionById(parts, F.expr(f"CAST(p DIV {per} AS INT)")), lambda batches: batches
     names = packets.columns
@@ -75,6 +78,9 @@ def dealt(packets: DataFrame, parts: int, per: int = 1) -> tuple[DataFrame, Call
     def regroup(batches):
         for batch in batches:
             rows = _flat(batch)
+            if combine and rows.num_rows:
+                number = rows.column(0).to_numpy()
+                rows = pa.Table.from_batches([combine(rows.take(pa.array(np.flatnonzero(number == p)))) for p in np.unique(number)]).combine_chunks().to_batches()[0]
             target = rows.column(0).to_numpy() // per
             yield _listed(rows, "target", target, np.argsort(target, kind="stable"))
 
@@ -169,6 +175,13 @@ def ask_rows(keys: np.ndarray, owner: np.ndarray, ids: np.ndarray, cap: int, par
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[1:]], names=["p", "keys", "at", "ids", "told", "own_ids", "own_counts", "own_vals"])
 
 
+def merge_told(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The packets of one partition, with each key that chunks have answered told once."""
+    told = np.unique(joined([unplanes(t.as_py(), "u8") for t in batch.column("told")], "u8"))
+    once = pa.array([planes(told)] + [b""] * (batch.num_rows - 1), pa.binary())
+    return batch.set_column(batch.schema.names.index("told"), "told", once)
+
+
 def answer_rows(batches: Iterator[pa.RecordBatch], cap: int, parts: int) -> Iterator[pa.RecordBatch]:
     """Values count << 58 | key for each document that holds a key which two documents or more hold; counts stop at cap + 1."""
     keys, ids, told, own_ids, own_vals = [], [], [], [], []
@@ -219,6 +232,6 @@ def shared_keys(docs: DataFrame, records: Callable, cap: int, finish: Callable,
             yield ask_rows(keys, owner, ids, cap, by_key, mark_ids, marks)
 
     asked = docs.mapInArrow(asks, ASK)
-    there, opened = dealt(asked, by_key)
+    there, opened = dealt(asked, by_key, combine=merge_told)
     answered = there.mapInArrow(lambda b: answer_rows(opened(b), cap, by_doc), PACKED)
     return gathered(answered, by_doc, finish, schema)

@@ -78,28 +78,63 @@ def _slices(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     return packed_rows(data[at], ends)
 
 
-def _send(segs: pa.Array, names, ids, keys, starts, counts, parts: int) -> pa.RecordBatch:
-    """Segments of a chunk by shard, copies once. counts: windows of each segment.
+def _packet(p: int, segs: pa.Array, starts, ids, keys, own_keys, own_vals) -> tuple:
+    sizes = pc.binary_length(segs).to_numpy(zero_copy_only=False).astype(np.int32)
+    data = zstandard.ZstdCompressor(level=3).compress(b"".join(segs.to_pylist()))
+    return p, data, planes(sizes), planes(starts.astype(np.int64)), planes(ids), planes(keys), planes(own_keys), planes(own_vals)
 
-    Copies that are answered here only pass through, so they are dealt evenly, wherever their segment goes."""
+
+def _packets(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[]] * 8
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[1:]], names=["p", "data", "sizes", "starts", "ids", "keys", "own_keys", "own_vals"])
+
+
+def _opened(rows: list[pa.RecordBatch]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(segments, starts, ids, keys, own_keys, own_vals) of packets."""
+    segs, rest, unpacker = [], [[] for _ in range(5)], zstandard.ZstdDecompressor()
+    for row in rows:
+        for data, sizes, *others in zip(*(row.column(n) for n in ("data", "sizes", "starts", "ids", "keys", "own_keys", "own_vals"))):
+            segs.append(packed_rows(np.frombuffer(unpacker.decompress(data.as_py()), np.uint8), np.cumsum(unplanes(sizes.as_py(), "i4"), dtype=np.int64)))
+            for into, x, kind in zip(rest, others, ("i8", "i8", "i8", "i8", "u8")):
+                into.append(unplanes(x.as_py(), kind))
+    return pa.concat_arrays(segs), *[joined(x, kind) for x, kind in zip(rest, ("i8", "i8", "i8", "i8", "u8"))]
+
+
+def _first_copies(segs: pa.Array, ids: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+    """Segments by content, the smallest id that holds each content, and which segments are from that one."""
     coded = segs.dictionary_encode()
     code = coded.indices.to_numpy(zero_copy_only=False)
     least = np.full(len(coded.dictionary), np.iinfo(np.int64).max)
     np.minimum.at(least, code, ids)
-    goes = ids == least[code]
+    return coded, least, ids == least[code]
+
+
+def _spans(starts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    return (starts.astype(np.uint64) << np.uint64(32)) | (starts + tokens).astype(np.uint64)
+
+
+def _send(segs: pa.Array, names, ids, keys, starts, counts, parts: int) -> pa.RecordBatch:
+    """Segments of a chunk by shard, copies once. counts: tokens of each segment.
+
+    Copies that are answered here only pass through, so they are dealt evenly, wherever their segment goes."""
+    _, _, goes = _first_copies(segs, ids)
     shard = np.where(goes, (names >> np.uint64(34)) * np.uint64(parts) >> np.uint64(24), mix(keys.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
-    rows, packer = [], zstandard.ZstdCompressor(level=3)
-    order = np.argsort(shard, kind="stable")
+    rows, order = [], np.argsort(shard, kind="stable")
     cuts = np.searchsorted(shard[order], np.arange(parts + 1))
     for p in np.unique(shard).tolist():
         own = order[cuts[p] : cuts[p + 1]]
         out, rest = own[goes[own]], own[~goes[own]]
-        sent = segs.take(pa.array(out))
-        sizes = pc.binary_length(sent).to_numpy(zero_copy_only=False).astype(np.int32)
-        spans = (starts[rest].astype(np.uint64) << np.uint64(32)) | (starts[rest] + counts[rest]).astype(np.uint64)
-        rows.append((p, packer.compress(b"".join(sent.to_pylist())), planes(sizes), planes(starts[out].astype(np.int64)), planes(ids[out]), planes(keys[out]), planes(keys[rest]), planes(spans)))
-    columns = list(zip(*rows)) if rows else [[]] * 8
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[1:]], names=["p", "data", "sizes", "starts", "ids", "keys", "own_keys", "own_vals"])
+        rows.append(_packet(p, segs.take(pa.array(out)), starts[out], ids[out], keys[out], keys[rest], _spans(starts[rest], counts[rest])))
+    return _packets(rows)
+
+
+def _merge_copies(batch: pa.RecordBatch, length: Callable[[pa.Array], np.ndarray]) -> pa.RecordBatch:
+    """The packets of one shard as one: of equal segments those of the smallest id stay, the others are answered."""
+    segs, starts, ids, keys, own_keys, own_vals = _opened([batch])
+    _, _, goes = _first_copies(segs, ids)
+    out, rest = np.flatnonzero(goes), np.flatnonzero(~goes)
+    spans = _spans(starts[rest], length(segs.take(pa.array(rest))))
+    return _packets([_packet(batch.column(0)[0].as_py(), segs.take(pa.array(out)), starts[out], ids[out], keys[out], np.concatenate((own_keys, keys[rest])), np.concatenate((own_vals, spans)))])
 
 
 def _index_shard(batches: Iterator[pa.RecordBatch], window: int, repeated: Callable, parts: int) -> Iterator[pa.RecordBatch]:
@@ -114,37 +149,21 @@ def _index_shard(batches: Iterator[pa.RecordBatch], window: int, repeated: Calla
 
 
 def _index(rows: list[pa.RecordBatch], window: int, repeated: Callable, parts: int) -> pa.RecordBatch:
-    segs, starts, ids, keys, own_keys, own_vals = [], [], [], [], [], []
-    unpacker = zstandard.ZstdDecompressor()
-    for row in rows:
-        for d, s, st, i, k, ok, ov in zip(*(row.column(n) for n in ("data", "sizes", "starts", "ids", "keys", "own_keys", "own_vals"))):
-            sizes = unplanes(s.as_py(), "i4")
-            segs.append(packed_rows(np.frombuffer(unpacker.decompress(d.as_py()), np.uint8), np.cumsum(sizes, dtype=np.int64)))
-            starts.append(unplanes(st.as_py(), "i8"))
-            ids.append(unplanes(i.as_py(), "i8"))
-            keys.append(unplanes(k.as_py(), "i8"))
-            own_keys.append(unplanes(ok.as_py(), "i8"))
-            own_vals.append(unplanes(ov.as_py(), "u8"))
-    coded = pa.concat_arrays(segs).dictionary_encode()
+    segs, starts, ids, keys, own_keys, own_vals = _opened(rows)
+    coded, least, first = _first_copies(segs, ids)
     del segs
     code = coded.indices.to_numpy(zero_copy_only=False)
-    starts, ids, keys = joined(starts, "i8"), joined(ids, "i8"), joined(keys, "i8")
-    least = np.full(len(coded.dictionary), np.iinfo(np.int64).max)
-    np.minimum.at(least, code, ids)
     # spans in each distinct segment, and its number of tokens
     which, a, b, tokens = repeated(coded.dictionary, least)
-    whole = ids > least[code]
-    part = np.flatnonzero(~whole)
+    whole, part = np.flatnonzero(~first), np.flatnonzero(first)
     # each span for every place of its segment in the smallest document
     by_code = np.argsort(code[part], kind="stable")
     part = part[by_code]
     lo, hi = np.searchsorted(code[part], which, "left"), np.searchsorted(code[part], which, "right")
     n = hi - lo
     at = part[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] if len(n) else np.zeros(0, np.int64)
-    begin = np.concatenate((starts[whole], starts[at] + np.repeat(a, n)))
-    end = np.concatenate((starts[whole] + tokens[code[whole]], starts[at] + np.repeat(b, n)))
-    spans = (begin.astype(np.uint64) << np.uint64(32)) | end.astype(np.uint64)
-    return packed(*by_id(np.concatenate((keys[whole], keys[at], joined(own_keys, "i8"))), np.concatenate((spans, joined(own_vals, "u8")))), parts)
+    spans = np.concatenate((_spans(starts[whole], tokens[code[whole]]), _spans(starts[at] + np.repeat(a, n), np.repeat(b - a, n)), own_vals))
+    return packed(*by_id(np.concatenate((keys[whole], keys[at], own_keys)), spans), parts)
 
 
 def merged(starts: np.ndarray, ends: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,11 +194,11 @@ def _keys_batch(ids: np.ndarray, counts: np.ndarray, vals: np.ndarray) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(ids), packed_rows(_short(vals & KEY_MASK), np.cumsum(counts, dtype=np.int64))], names=["row_key", "names"])
 
 
-def with_repeated_spans(docs: DataFrame, window: int, gram: int, tokens: Callable, repeated: Callable) -> DataFrame:
+def with_repeated_spans(docs: DataFrame, window: int, gram: int, tokens: Callable, repeated: Callable, length: Callable[[pa.Array], np.ndarray]) -> DataFrame:
     """(doc_id, row_key, text, spans) for every row: spans are int32 pairs of tokens, sorted, disjoint; null if none.
 
     tokens(texts) gives (token counts, grams function, slicer); slicer(start, stop) makes a binary array of those tokens.
-    repeated(distinct segments, smallest doc_ids) gives (segment, first token, end token, token counts)."""
+    repeated(distinct segments, smallest doc_ids) gives (segment, first token, end token, token counts); length(segments) their tokens."""
     parts = shuffle_width(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled().alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
 
@@ -207,7 +226,7 @@ def with_repeated_spans(docs: DataFrame, window: int, gram: int, tokens: Callabl
     # both joins read the texts by one shuffle: the same columns, dealt by the same key
     found = rows.join(names.hint("shuffle_hash"), "row_key").select("text", F.coalesce("doc_id", F.lit(NO_ID)).alias("order_id"), "row_key", "names")
     segments = found.mapInArrow(send, SEGMENTS)
-    there, opened = dealt(segments, parts * FINER, SHARDS_A_TASK)
+    there, opened = dealt(segments, parts * FINER, SHARDS_A_TASK, lambda batch: _merge_copies(batch, length))
     answered = there.mapInArrow(lambda b: _index_shard(opened(b), window, repeated, parts), PACKED)
     spans = gathered(answered, parts, _spans_batch, "row_key long, spans binary")
     return rows.join(spans.hint("shuffle_hash"), "row_key", "left")

@@ -12,6 +12,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tallyboard.llm.common import Words, chunks, mix, packed_order, raw_bytes
@@ -126,6 +127,11 @@ def repeated_words(segments: pa.Array, owners: np.ndarray, window: int = WINDOW)
     return g, a, b, sizes
 
 
+def word_count(segments: pa.Array) -> np.ndarray:
+    """Words of segments as `word_tokens` cuts them, one blank after each."""
+    return pc.count_substring(segments, b" ").to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def word_tokens(texts: pa.Array):
     words = Words(texts)
     hashes = words.hashes()
@@ -153,7 +159,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Windows are judged on the input. Null texts have no words; a null doc_id sorts last; rows with one doc_id are one
     document's rows and never remove each other. Texts with fewer words than the window lose nothing."""
-    found = with_repeated_spans(docs, window, GRAM, word_tokens, lambda s, o: repeated_words(s, o, window))
+    found = with_repeated_spans(docs, window, GRAM, word_tokens, lambda s, o: repeated_words(s, o, window), word_count)
 
     def run(batches):
         for part in batches:
@@ -165,7 +171,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def removal_digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row, under the rules of `repeated_spans`."""
-    found = with_repeated_spans(docs, window, GRAM, word_tokens, lambda s, o: repeated_words(s, o, window))
+    found = with_repeated_spans(docs, window, GRAM, word_tokens, lambda s, o: repeated_words(s, o, window), word_count)
 
     def run(batches):
         for part in chunks(batches):

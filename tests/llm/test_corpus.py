@@ -14,7 +14,7 @@ from compare import SF, check, connect
 from pyspark.sql import functions as F
 
 from tallyboard.llm import components as cc
-from tallyboard.llm import decontaminate, exchange, hilbert_shards, jaccard_join, license_scan, mixing, quality_ranker, quality_rules, secret_scan, segments, substring_dedup, suffix_dedup
+from tallyboard.llm import common, decontaminate, exchange, hilbert_shards, jaccard_join, license_scan, mixing, quality_ranker, quality_rules, secret_scan, segments, substring_dedup, suffix_dedup
 from tallyboard.llm.queries import ORACLE_SQL, QUERIES
 
 SCHEMA = "doc_id long, text string, p int, n int, node string, ids string, spans string, _words int, tokens string, source string, lang string"
@@ -579,7 +579,10 @@ def test_exchange(spark):
 def test_two_hops(spark, docs, rows, monkeypatch):
     """The same answers when packets go by groups of partitions, and few rows for each chunk."""
     monkeypatch.setattr(exchange, "ONE_HOP", 1)
+    monkeypatch.setattr(segments, "SEND_BYTES", 300)
+    monkeypatch.setattr(exchange, "chunks", lambda batches: common.chunks(batches, limit=300))
     same(got(substring_dedup.removal_digest(docs)), substring_digest(rows))
+    same(got(suffix_dedup.removal_digest(docs)), suffix_digest(rows))
     same(got(jaccard_join.near_duplicates(docs)), components(rows))
     parts = 144
     packets = spark.createDataFrame([(p, bytes([p % 7]), b"x") for p in range(parts)], "p int, keys binary, at binary").coalesce(1)
@@ -592,6 +595,19 @@ def test_two_hops(spark, docs, rows, monkeypatch):
     assert found.count() == parts and not found.where("here <> p").count()
 
 
+def test_copies_merge_on_the_way():
+    """Packets of one shard from many chunks: the common segment stays once, the other documents are answered."""
+    segs = pa.array([b"one two ", b"three "], pa.binary())
+    send = lambda i: segments._send(segs, np.array([5, 5], np.uint64), np.array([i, i]), np.array([i * 10, i * 10 + 1]), np.array([0, 7]), np.array([2, 1]), 1)
+    merged = segments._merge_copies(pa.Table.from_batches([send(i) for i in (3, 2, 9)]).combine_chunks().to_batches()[0], substring_dedup.word_count)
+    found, starts, ids, keys, own_keys, own_vals = segments._opened([merged])
+    assert merged.num_rows == 1 and found.to_pylist() == segs.to_pylist() and ids.tolist() == [2, 2] and keys.tolist() == [20, 21]
+    assert sorted(zip(own_keys.tolist(), (own_vals >> np.uint64(32)).tolist(), (own_vals & np.uint64(2**32 - 1)).tolist())) == [(30, 0, 2), (31, 7, 8), (90, 0, 2), (91, 7, 8)]
+    told = pa.RecordBatch.from_arrays([pa.array([exchange.planes(np.array(x, np.uint64))], pa.binary()) for x in [[4, 9]]], names=["told"])
+    both = exchange.merge_told(pa.Table.from_batches([told, told]).combine_chunks().to_batches()[0])
+    assert exchange.joined([exchange.unplanes(x.as_py(), "u8") for x in both.column(0)], "u8").tolist() == [4, 9]
+
+
 def test_word_splits_agree(rows):
     from tallyboard.llm.common import Words, translated, ALNUM as TABLE
 
