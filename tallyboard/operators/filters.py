@@ -110,7 +110,11 @@ def settled(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
 
 
 def any_pattern(text: Column, patterns: Sequence[str]) -> Column:
-    return text.rlike("(?u)" + "|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
+    if not patterns:
+        return F.lit(False)
+    # a word boundary that all ask for is tested once a place
+    head = r"\b" if all(p.startswith(r"\b") for p in patterns) else ""
+    return text.rlike(f"(?u){head}(?:" + "|".join(f"(?:{p[len(head):]})" for p in patterns) + ")")
 
 
 def first_pattern(text: Column, patterns: Sequence[str]) -> Column:
