@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyboard.llm import decontaminate, hilbert_shards, jaccard_join, license_scan, mixing, quality_ranker, quality_rules, secret_scan, substring_dedup, suffix_dedup
-from tallyboard.llm.common import LOWER, table
+from tallyboard.llm import conversation_repair, decontaminate, hard_negatives, hilbert_shards, jaccard_join, license_scan, mixing, quality_ranker, quality_rules, secret_scan, substring_dedup, suffix_dedup, warc
+from tallyboard.llm.common import LOWER, cut, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,9 +53,25 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), nameless=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_hilbert_shards, op4_jaccard_join, op5_license_scan, op6_quality_ranker, op7_secret_scan, op8_suffix_dedup, op9_mixing, op10_decontaminate)}
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives are deleted once they are read; the result is kept by checkpoint()."""
+    folder = warc.new_folder(spark)
+    files = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    out = cut(warc.read_archives(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"))
+    warc.delete_folder(spark, folder)
+    return out
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_reports(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(hard_negatives.relabelled(table(spark, sf_dir, "embeddings")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_hilbert_shards, op4_jaccard_join, op5_license_scan, op6_quality_ranker, op7_secret_scan, op8_suffix_dedup, op9_mixing, op10_decontaminate, op11_warc, op12_conversation_repair, op13_hard_negatives)}
+
 
 def _hilbert_sql() -> str:
     """op3 in SQL: cells by rank, the curve bit by bit in nested selects, CRC-32 by its table."""
@@ -115,7 +131,54 @@ SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_base, 0) AS n_base, f
 FROM d LEFT JOIN n USING (r) LEFT JOIN b USING (r) LEFT JOIN s USING (r)"""
 
 
+def _repair_sql() -> str:
+    """op12 in SQL: distances and texts from the last row to the first, for the four states at once. A state's edits have different
+    initials, so the least (cost, audit) is found row by row."""
+    never, lead, wanted = 10**6, {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}, "uuau"
+    names = {"u": "user", "a": "assistant"}
+    least = lambda *xs: f"list_sort([{', '.join(xs)}])[1]"
+    step = lambda cost, letter, there, turn=None: f"{{'c': {cost} + {there}.c, 'a': '{letter}' || {there}.a, 't': {f'list_prepend({turn}, {there}.t)' if turn else f'{there}.t'}}}"
+    rows, layers = [], []
+    for x in range(4):
+        w, to = wanted[x], lead[x][wanted[x]]
+        keep = [f"CASE WHEN fault IN (1, 2) OR initial <> '{r}' THEN {{'c': {never}, 'a': '~', 't': ['']}} ELSE {step('mend', 'K', f's{y}', 'role || chr(58) || text')} END" for r, y in lead[x].items()]
+        other = f"CASE WHEN fault IN (1, 2) THEN {{'c': {never}, 'a': '~', 't': ['']}} ELSE {step('3 + mend', 'R', f's{to}', f'{chr(39)}{names[w]}:{chr(39)} || text')} END"
+        rows.append(f"{least(step(4, 'D', f's{x}'), *keep, other)} AS s{x}")
+        layers.append(f"{least(f's{x}', step(3, 'I', f's{to}', f'{chr(39)}{names[w]}:{chr(39)}'))} AS s{x}")
+    layer = ", ".join(layers)
+    last = ", ".join(f"CAST({{'c': {0 if x in (0, 3) else never}, 'a': '', 't': []}} AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR[])) AS s{x}" for x in range(4))
+    return rf"""
+WITH RECURSIVE r AS (SELECT list(list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY k) AS t FROM range(256) AS x(k)),
+h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))) AS h FROM conversations),
+k AS (SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(h, '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INT) + 1]))) % 20 AS k FROM h, r),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE k <> 0),
+o AS (SELECT coalesce(conv_id, -1) AS id, turn, role, text, left(role, 1) AS initial, row_number() OVER w AS n, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+f AS (SELECT *, CASE WHEN bare = '' THEN 1 WHEN again THEN 2 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM o),
+g AS (SELECT *, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS mend, lag(initial) OVER (PARTITION BY id ORDER BY n) AS before FROM f),
+z AS (SELECT id, max(n) AS n, {last} FROM g GROUP BY id),
+z1 AS (SELECT id, n, {layer} FROM z), z2 AS (SELECT id, n, {layer} FROM z1),
+p AS (SELECT id, n, s0, s1, s2, s3 FROM z2 UNION ALL SELECT id, n, {layer} FROM (SELECT id, n, {layer} FROM (SELECT p.id, p.n - 1 AS n, {', '.join(rows)} FROM p JOIN g ON g.id = p.id AND g.n = p.n))),
+a AS (SELECT id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 1) AS blank, count_if(fault = 2) AS duplicate, count_if(fault = 3) AS truncated, count_if(n > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY id),
+e AS (SELECT id, s0.c AS cost, s0.a AS audit, sha256(array_to_string(s0.t, chr(10))) AS sha FROM p WHERE n = 0)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal,
+  CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN a ON a.id = coalesce(conv_id, -1) LEFT JOIN e ON e.id = coalesce(conv_id, -1)"""
+
+
 ORACLE_SQL = {
+    "op12_conversation_repair": _repair_sql(),
+    "op11_warc": """
+SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+  CASE WHEN octet_length(encode(coalesce(html, ''))) >= 100 AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN octet_length(encode(coalesce(html, ''))) >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to, TRUE AS intact
+FROM (SELECT page_id, html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)""",
+    "op13_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.e, b.e), lambda x: x[1] * x[2])) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10""",
     "op5_license_scan": _license_sql(),
     "op3_hilbert_shards": _hilbert_sql(),
     "op1_quality_rules": r"""
