@@ -12,7 +12,7 @@ Prices start from the least that each row costs whatever the roles are, and are
 keeps the auction linear in the rows.
 
 Rows are dealt by range of (conversation, turn), so a task sees whole conversations in order. A conversation that is longer than a
-task's range is cut there: its repeats are found by the first part that has them, each part gives its distances between the four
+task's range is cut there (and any at the ends of a range may be): its repeats are found by the first part that has them, each part gives its distances between the four
 nodes at both ends, and from the chain of these (one small row for each part) every part is traced on its own. Only the
 digest of such a conversation's text is summed in sequence."""
 
@@ -49,6 +49,9 @@ SPACE = " \t\n\x0b\x0c\r"
 
 REPORT = "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string"
 TURNS = "conv_id long, place long, edit string, role string, text string"
+EDGE = "conv_id long, part int, seq long, turn long, role string, text string, present boolean, fault int, again boolean, same binary"
+#: Rows of a conversation at the end of a range that go into one batch.
+PIECE = 1000
 
 
 def damaged(conversations: DataFrame) -> DataFrame:
@@ -185,7 +188,7 @@ class _Run:
     """The rows of a conversation that a task has, and which of them repeat an earlier one."""
 
     def __init__(self):
-        self.turns, self.roles, self.texts, self.faults, self.same, self.seen = [], [], [], [], [], set()
+        self.turns, self.roles, self.texts, self.faults, self.same, self.seen, self.gone = [], [], [], [], [], set(), 0
 
     def add(self, turn, role, text, fault, same) -> None:
         again = same in self.seen
@@ -199,20 +202,30 @@ class _Run:
     def initials(self) -> str:
         return "".join(r[:1] if r[:1] in ("s", "u", "a") else "?" for r in self.roles)
 
+    def pieces(self) -> Iterator[list[tuple]]:
+        """(turn, role, text, present, fault, again, same) of the rows; one that isn't present stands for all such."""
+        if self.gone:
+            yield [(None, "", "", False, BLANK, False, b"")]
+        for at in range(0, len(self.turns), PIECE):
+            own = slice(at, at + PIECE)
+            yield [(t, r, x, True, f, f == DUPLICATE, h) for t, r, x, f, h in zip(self.turns[own], self.roles[own], self.texts[own], self.faults[own], self.same[own])]
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, _Run]]:
-    """(conv_id, rows) of the conversations of a partition, one after the other."""
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, _Run, bool]]:
+    """(conv_id, rows, is it the last one) of the conversations of a partition, one after the other."""
     conv, run = None, None
     for batch in batches:
         for i, turn, role, text, present, fault, same in zip(*(c.to_pylist() for c in batch.columns)):
             if run is None or i != conv:
                 if run is not None:
-                    yield conv, run
+                    yield conv, run, False
                 conv, run = i, _Run()
             if present:
                 run.add(turn, role, text, fault, same)
+            else:
+                run.gone += 1
     if run is not None:
-        yield conv, run
+        yield conv, run, True
 
 
 def _mend(run: _Run) -> tuple[int, str, list]:
@@ -232,82 +245,51 @@ def _digest(turns: Iterator[tuple]) -> str:
     return out.hexdigest()
 
 
-def _cut_conversations(rows: DataFrame) -> list:
-    """The conversations that several tasks have: at most one for each boundary between tasks."""
+def _arrow(schema: str) -> pa.StructType:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
+    return pa.struct([(n, kinds[k]) for n, k in (x.split() for x in schema.split(", "))])
 
-    def edges(batches):
-        first, last, some = None, None, False
-        for batch in batches:
-            if batch.num_rows:
-                ids = batch.column(0)
-                first, last, some = (ids[0].as_py() if not some else first), ids[-1].as_py(), True
-        if some:
-            part = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([last], pa.int64())], names=["part", "first", "last"])
 
-    found = sorted(rows.select("conv_id").mapInArrow(edges, "part int, first long, last long").collect(), key=lambda r: r.part)
-    return sorted({a.last for a, b in zip(found, found[1:]) if a.last == b.first}, key=lambda x: (x is not None, x or 0))
+def _first_pass(rows: DataFrame, turns: bool) -> DataFrame:
+    """(done, row): reports (or turns) of the conversations inside a task's range, and the rows of those at its two ends, which
+    other tasks may have too. This is the only pass over the ranges, so it doesn't matter that a range is drawn anew when a task is."""
+    made, kept = _arrow(TURNS if turns else REPORT), _arrow(EDGE)
+    names = ([f.name for f in made], [f.name for f in kept])
 
-
-def _whole(rows: DataFrame, but: list, turns: bool) -> DataFrame:
-    """Reports (or turns) of the conversations that one task has."""
-    left_out = set(but)
+    def out(done: list[tuple], some: list[tuple]) -> pa.RecordBatch:
+        done_, some_ = [dict(zip(names[0], x)) for x in done], [dict(zip(names[1], x)) for x in some]
+        return pa.RecordBatch.from_arrays([pa.array(done_ + [None] * len(some_), made), pa.array([None] * len(done_) + some_, kept)], names=["done", "row"])
 
     def report(batches):
-        out, size = [], 0
-        for conv, run in _runs(batches):
-            if conv in left_out:
+        part, done, size = TaskContext.get().partitionId(), [], 0
+        runs = _runs(batches)
+        for first, (conv, run, is_last) in enumerate(runs):
+            if first == 0 or is_last:
+                at = 0
+                for some in run.pieces():
+                    yield out([], [(conv, part, at + k, *x) for k, x in enumerate(some)])
+                    at += len(some)
                 continue
             cost, audit, each = _mend(run)
             if turns:
-                made = [(conv, k << 2 | n, *rest) for k, n, *rest in turns_of(each, run.roles, run.texts)]
+                done += [(conv, k << 2 | n, *rest) for k, n, *rest in turns_of(each, run.roles, run.texts)]
             else:
                 known = [t for t in run.turns if t is not None]
                 gaps = max(known) - min(known) + 1 - len(set(known)) if known else 0
-                made = [(conv, gaps, *(run.faults.count(f) for f in (BLANK, DUPLICATE, TRUNCATED)), illegal_pairs(run.initials()), cost, audit, _digest(turns_of(each, run.roles, run.texts)))]
-            out += made
+                done.append((conv, gaps, *(run.faults.count(f) for f in (BLANK, DUPLICATE, TRUNCATED)), illegal_pairs(run.initials()), cost, audit, _digest(turns_of(each, run.roles, run.texts))))
             size += sum(len(t) for t in run.texts) if turns else len(audit) + 200
             if size > 1 << 20:
-                yield _batch(out, turns)
-                out, size = [], 0
-        if out:
-            yield _batch(out, turns)
+                yield out(done, [])
+                done, size = [], 0
+        if done:
+            yield out(done, [])
 
-    return rows.mapInArrow(report, TURNS if turns else REPORT)
+    fields = lambda schema: ", ".join(x.replace(" ", ": ") for x in schema.split(", "))
+    return rows.mapInArrow(report, f"done struct<{fields(TURNS if turns else REPORT)}>, row struct<{fields(EDGE)}>")
 
 
-def _batch(rows: list[tuple], turns: bool) -> pa.RecordBatch:
-    names = [x.split()[0] for x in (TURNS if turns else REPORT).split(", ")]
-    texts = ("edit", "role", "text", "audit", "repaired_sha256")
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n in texts else pa.int64()) for n, c in zip(names, zip(*rows))], names=names)
-
-
-def _parts(rows: DataFrame, cut_ones: list) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """For conversations that lie in several tasks: (their rows by (own, part, seq), their parts with codes, the plan of each part)."""
-    number = {conv: k for k, conv in enumerate(cut_ones)}
-
-    def tag(batches):
-        part, conv, seen, seq = TaskContext.get().partitionId(), None, None, 0
-        for batch in batches:
-            ids, same, fault = batch.column(0).to_pylist(), batch.column(6).to_pylist(), batch.column(5).to_pylist()
-            there, took, own, at, again = batch.column(4).to_pylist(), [], [], [], []
-            for k, i in enumerate(ids):
-                if i not in number:
-                    continue
-                if seen is None or i != conv:
-                    conv, seen, seq = i, set(), 0
-                took.append(k)
-                own.append(number[i])
-                at.append(seq)
-                again.append(there[k] and fault[k] != BLANK and same[k] in seen)
-                if there[k]:
-                    seen.add(same[k])
-                seq += 1
-            some = batch.take(pa.array(took, pa.int64()))
-            columns = [pa.array(own, pa.int32()), pa.array([part] * len(own), pa.int32()), pa.array(at, pa.int64()), pa.array(again, pa.bool_()), *some.columns[1:]]
-            yield pa.RecordBatch.from_arrays(columns, names=["own", "part", "seq", "again", *some.schema.names[1:]])
-
-    tagged = cut(rows.mapInArrow(tag, "own int, part int, seq long, again boolean, turn long, role string, text string, present boolean, fault int, same binary"))
+def _parts(tagged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For conversations at the ends of ranges: (their rows by (own, part, seq), their parts with codes, the plan of each part)."""
     new = tagged.where(f"present AND NOT again AND fault <> {BLANK}").select("own", "same", "part", "seq")
     earlier = new.groupBy("own", "same").agg(F.min("part").alias("first_part"))
     repeats = new.join(earlier, ["own", "same"]).where("part > first_part").select("own", "part", "seq", F.lit(True).alias("_again"))
@@ -322,7 +304,7 @@ def _parts(rows: DataFrame, cut_ones: list) -> tuple[DataFrame, DataFrame, DataF
             for own, part, initials, faults in zip(*(c.to_pylist() for c in batch.columns)):
                 to = [settled_prices(coded(initials, faults), [0 if x == y else NEVER for x in range(4)])[1] for y in range(4)]
                 flat = [to[y][x] for x in range(4) for y in range(4)]
-                yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([part], pa.int32()), pa.array([flat], pa.list_(pa.int64())), pa.array([initials[0] + initials[-1]]), pa.array([illegal_pairs(initials)], pa.int64())], names=["own", "part", "between", "ends", "illegal"])
+                yield pa.RecordBatch.from_arrays([pa.array([own], pa.string()), pa.array([part], pa.int32()), pa.array([flat], pa.list_(pa.int64())), pa.array([initials[0] + initials[-1]]), pa.array([illegal_pairs(initials)], pa.int64())], names=["own", "part", "between", "ends", "illegal"])
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, exits, out = pdf.sort_values("part"), list(TAIL_COSTS), []
@@ -333,7 +315,7 @@ def _parts(rows: DataFrame, cut_ones: list) -> tuple[DataFrame, DataFrame, DataF
         across = sum(illegal_pairs(a[1] + b[0]) for a, b in zip(ends, ends[1:]))
         return pd.DataFrame({"own": pdf["own"], "part": pdf["part"], "exits": out[::-1], "cost": exits[0], "illegal": int(pdf["illegal"].sum()) + across})
 
-    plan = codes.repartition("own", "part").mapInArrow(distances, "own int, part int, between array<long>, ends string, illegal long").groupBy("own").applyInPandas(chain, "own int, part int, exits array<long>, cost long, illegal long")
+    plan = codes.repartition("own", "part").mapInArrow(distances, "own string, part int, between array<long>, ends string, illegal long").groupBy("own").applyInPandas(chain, "own string, part int, exits array<long>, cost long, illegal long")
     return rows_, codes, cut(plan)
 
 
@@ -345,9 +327,9 @@ def _traced_parts(codes: DataFrame, plan: DataFrame) -> DataFrame:
             for own, part, initials, faults, exits in zip(*(c.to_pylist() for c in batch.columns)):
                 blocks, first = settled_prices(coded(initials, faults), exits)
                 found = [traced(blocks, x) if first[x] < NEVER else ("", 0) for x in range(4)]
-                yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([part], pa.int32()), pa.array([[a for a, _ in found]], pa.list_(pa.string())), pa.array([[x for _, x in found]], pa.list_(pa.int32()))], names=["own", "part", "audits", "nodes"])
+                yield pa.RecordBatch.from_arrays([pa.array([own], pa.string()), pa.array([part], pa.int32()), pa.array([[a for a, _ in found]], pa.list_(pa.string())), pa.array([[x for _, x in found]], pa.list_(pa.int32()))], names=["own", "part", "audits", "nodes"])
 
-    each = cut(codes.join(plan.select("own", "part", "exits"), ["own", "part"]).mapInArrow(trace, "own int, part int, audits array<string>, nodes array<int>"))
+    each = cut(codes.join(plan.select("own", "part", "exits"), ["own", "part"]).mapInArrow(trace, "own string, part int, audits array<string>, nodes array<int>"))
     # only the parts' four exits are chained, one small row for each part
     so_far = W.partitionBy("own").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     chained = each.select("own", "part", "nodes").withColumn("_before", F.collect_list("nodes").over(so_far))
@@ -358,10 +340,11 @@ def _traced_parts(codes: DataFrame, plan: DataFrame) -> DataFrame:
     return each.join(entered, ["own", "part"]).select("own", "part", "node", F.concat(F.element_at("audits", F.col("node") + 1), F.when(F.col("last"), tail).otherwise("")).alias("audit"))
 
 
-def _long(rows: DataFrame, cut_ones: list, turns: bool) -> DataFrame:
-    """Reports (or turns) of the conversations that several tasks have."""
-    spark = rows.sparkSession
-    rows_, codes, plan = _parts(rows, cut_ones)
+def _long(edges: DataFrame, turns: bool) -> DataFrame:
+    """Reports (or turns) of the conversations of these rows (`EDGE`)."""
+    edges = edges.withColumn("own", F.coalesce(F.col("conv_id").cast("string"), F.lit("none")))
+    ids = edges.select("own", "conv_id").distinct()
+    rows_, codes, plan = _parts(edges)
     audits = cut(_traced_parts(codes, plan))
 
     def explained(batches):
@@ -369,9 +352,9 @@ def _long(rows: DataFrame, cut_ones: list, turns: bool) -> DataFrame:
             for own, part, initials, node, audit in zip(*(c.to_pylist() for c in batch.columns)):
                 each = steps(audit, initials, node)
                 before, edit, to = zip(*each)
-                yield pa.RecordBatch.from_arrays([pa.array([own] * len(each), pa.int32()), pa.array([part] * len(each), pa.int32()), pa.array(range(len(each)), pa.int64()), pa.array(before), pa.array(edit), pa.array(to)], names=["own", "part", "step", "before", "edit", "to"])
+                yield pa.RecordBatch.from_arrays([pa.array([own] * len(each), pa.string()), pa.array([part] * len(each), pa.int32()), pa.array(range(len(each)), pa.int64()), pa.array(before), pa.array(edit), pa.array(to)], names=["own", "part", "step", "before", "edit", "to"])
 
-    each = codes.select("own", "part", "initials").join(audits, ["own", "part"]).select("own", "part", "initials", "node", "audit").mapInArrow(explained, "own int, part int, step long, before string, edit string, to string")
+    each = codes.select("own", "part", "initials").join(audits, ["own", "part"]).select("own", "part", "initials", "node", "audit").mapInArrow(explained, "own string, part int, step long, before string, edit string, to string")
     step = F.row_number().over(W.partitionBy("own", "part").orderBy("seq")) - 1
     met = each.join(rows_.select("own", "part", step.cast("long").alias("step"), "role", "text"), ["own", "part", "step"], "left")
     name = lambda x: F.when(x == "u", ROLES["u"]).otherwise(ROLES["a"])
@@ -379,10 +362,9 @@ def _long(rows: DataFrame, cut_ones: list, turns: bool) -> DataFrame:
     inserted = F.transform(F.filter(F.split("before", ""), lambda x: x != ""), lambda x: turn(F.lit("I"), name(x), F.lit("")))
     kept = F.when(F.col("edit").isin("K", "R"), F.array(turn(F.col("edit"), F.when(F.col("to") != "", name(F.col("to"))).otherwise(F.col("role")), F.col("text"))))
     made = met.select("own", "part", "step", F.posexplode(F.concat(inserted, F.coalesce(kept, F.slice(F.array(turn(F.lit(""), F.lit(""), F.lit(""))), 1, 0)))).alias("n", "x")).select("own", "part", "step", "n", "x.edit", "x.role", "x.text")
-    ids = spark.createDataFrame(list(enumerate(cut_ones)), "own int, conv_id long")
     if turns:
         place = F.shiftleft(F.col("part").cast("long"), 42) + F.shiftleft("step", 2) + F.col("n")
-        return made.join(F.broadcast(ids), "own").select("conv_id", place.alias("place"), "edit", "role", "text")
+        return made.join(ids, "own").select("conv_id", place.alias("place"), "edit", "role", "text")
 
     def summed(batches):
         own, digest, out = None, None, []
@@ -397,15 +379,15 @@ def _long(rows: DataFrame, cut_ones: list, turns: bool) -> DataFrame:
         if digest:
             out.append((own, digest.hexdigest()))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.string()))], names=["own", "sha"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string()))], names=["own", "sha"])
 
-    sums = made.repartition("own").sortWithinPartitions("own", "part", "step", "n").select("own", "role", "text").mapInArrow(summed, "own int, sha string")
+    sums = made.repartition("own").sortWithinPartitions("own", "part", "step", "n").select("own", "role", "text").mapInArrow(summed, "own string, sha string")
     count: dict[str, Column] = {name: F.count_if(F.col("fault") == f) for name, f in (("blank", BLANK), ("duplicate", DUPLICATE), ("truncated", TRUNCATED))}
     facts = rows_.groupBy("own").agg(*[x.alias(k) for k, x in count.items()], F.min("turn").alias("lo"), F.max("turn").alias("hi"))
     distinct = rows_.where("turn IS NOT NULL").select("own", "turn").distinct().groupBy("own").agg(F.count(F.lit(1)).alias("known"))
     costs = plan.groupBy("own").agg(F.max("cost").alias("cost"), F.max("illegal").alias("illegal"))
     audit = audits.groupBy("own").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "audit"))), lambda x: x["audit"]), "").alias("audit"))
-    out = F.broadcast(ids)
+    out = ids
     for more in (facts, distinct, costs, audit, sums):
         out = out.join(more, "own", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
@@ -413,10 +395,8 @@ def _long(rows: DataFrame, cut_ones: list, turns: bool) -> DataFrame:
 
 
 def _mended(rows: DataFrame, turns: bool, parts: int | None) -> DataFrame:
-    rows = _prepared(rows, parts or shuffle_width(rows.sparkSession))
-    cut_ones = _cut_conversations(rows)
-    whole = _whole(rows, cut_ones, turns)
-    return whole.unionByName(_long(rows, cut_ones, turns)) if cut_ones else whole
+    both = cut(_first_pass(_prepared(rows, parts or shuffle_width(rows.sparkSession)), turns))
+    return both.where("done IS NOT NULL").select("done.*").unionByName(_long(both.where("row IS NOT NULL").select("row.*"), turns))
 
 
 def repair_reports(rows: DataFrame, parts: int | None = None) -> DataFrame:
