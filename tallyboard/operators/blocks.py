@@ -1,10 +1,12 @@
-"""Small sides of joins: how large they are, and broadcasts in blocks of bounded size."""
+"""Small sides of joins: how large they are, and broadcasts in blocks of bounded size; and where steps leave what the next ones read."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of rows that are sent to every task at once.
@@ -26,3 +28,25 @@ def over_blocks(small: DataFrame, key: str, run: Callable[[DataFrame], DataFrame
         part = run(small.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def _shared(spark: SparkSession) -> str:
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-")
+    return shared.rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors see: below the checkpoint folder, or a temporary one in a local session without it."""
+    return f"{_shared(spark)}/query-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, computed once and kept by checkpoint() in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(_shared(df.sparkSession))
+    return df.checkpoint()

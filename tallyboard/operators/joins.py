@@ -6,12 +6,12 @@ from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tallyboard.functions.text import careers_link, empty_if_null, vendor_link, vendor_of
 from tallyboard.operators import blocks
+from tallyboard.operators.alerts import alert_condition, match_alerts  # noqa: F401  they belong to the joins
 from tallyboard.operators.filters import matching_jobs
 
 
@@ -77,39 +77,6 @@ def new_companies(candidates: DataFrame, companies: DataFrame) -> DataFrame:
     return rest.join(by_domain, lowered("domain") == F.col("_k"), "left_anti")
 
 
-def alert_condition(job: str = "j", search: str = "s") -> Column:
-    """What makes a saved search meet a posting; the query, place and category are regular expressions."""
-    j, s = (lambda c: F.col(f"{job}.{c}")), (lambda c: F.col(f"{search}.{c}"))
-    pattern = lambda c: F.concat(F.lit("(?iu)"), c)
-    off = lambda c: F.coalesce(c, F.lit("")) == ""
-    found = lambda c, p: F.coalesce(F.regexp_like(c, pattern(p)), F.lit(False))
-    in_skills = lambda p: F.coalesce(F.regexp_like(F.array_join(j("skills"), "\n"), pattern(p)), F.lit(False))
-    q = off(s("q")) | found(j("title"), s("q")) | found(j("company"), s("q")) | in_skills(s("q"))
-    remote = F.lower(s("location")) == "remote"
-    place = off(s("location")) | F.when(remote, found(j("location"), F.lit("remote")) | F.coalesce(j("remote_type") == "Remote", F.lit(False))).otherwise(found(j("location"), s("location")))
-    category = off(s("category")) | found(j("title"), s("category")) | in_skills(s("category"))
-    return (j("posted_date") > s("cutoff")) & q & place & category
-
-
-def match_alerts(searches: DataFrame, jobs: DataFrame, as_of: str, k: int | None = 10) -> DataFrame:
-    """The newest k active postings (None: all) of each alerting search since it was last mailed (or the last day).
-
-    Up to `SENT_BYTES` of searches are broadcast and every posting meets them in its own task. Beyond, both sides meet by
-    posting day: a search lists the days since its cutoff, so no nested loop over everything is planned."""
-    cutoff = F.coalesce("last_emailed_at", F.lit(as_of).cast("timestamp") - F.expr("INTERVAL 1 DAY"))
-    alerts = searches.where("email_alert").select("search_id", "user_email", F.col("criteria.q").alias("q"), F.col("criteria.location").alias("location"), F.col("criteria.category").alias("category"), cutoff.alias("cutoff"))
-    active = jobs.where("is_active").select("job_id", "title", "company", "location", "remote_type", "skills", "posted_date")
-    if blocks.size_of(alerts) <= blocks.SENT_BYTES:
-        hits = active.alias("j").join(F.broadcast(alerts).alias("s"), alert_condition())
-    else:
-        newest_day = active.agg(F.max("posted_date").cast("date").alias("d")).first().d
-        last = F.greatest(F.lit(newest_day).cast("date"), F.col("cutoff").cast("date"))
-        daily = alerts.withColumn("day", F.explode(F.sequence(F.col("cutoff").cast("date"), last)))
-        hits = active.withColumn("day", F.col("posted_date").cast("date")).alias("j").join(daily.alias("s"), (F.col("j.day") == F.col("s.day")) & alert_condition())
-    newest = W.partitionBy("search_id").orderBy(F.col("posted_date").desc(), "job_id")
-    return hits.select("s.search_id", "s.user_email", "j.job_id", "j.posted_date").withColumn("rank", F.row_number().over(newest)).where(F.lit(k is None) | (F.col("rank") <= (k or 0)))
-
-
 def _lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence; the bits of one number are the columns of the usual table."""
     places: dict[str, int] = {}

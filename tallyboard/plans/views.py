@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyboard.functions.text import extract_skills
+from tallyboard.operators.blocks import shared_folder  # noqa: F401  queries take it from here
 
 #: Terms that do occur in the invented prose.
 SKILL_WORDS = ["ai", "data", "go", "tech", "ui", "ux"]
@@ -89,15 +87,5 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumn("skills", extract_skills(F.col("description"), SKILL_WORDS)) if name == "postings" else df
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that all executors see: below the checkpoint folder, or a temporary one in a local session without it."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="spark-")
-    return f"{shared.rstrip('/')}/query-{uuid.uuid4().hex}"
-
-
 #: The skills of a posting in DuckDB.
 SKILLS_SQL = "list_filter(['Ai', 'Data', 'Go', 'Tech', 'Ui', 'Ux'], lambda v: contains(lower(description), lower(v)))"

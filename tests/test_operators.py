@@ -2,12 +2,13 @@
 
 import datetime
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyboard.functions import presets
-from tallyboard.operators import blocks
+from tallyboard.operators import alerts, blocks
 from tallyboard.operators import filters as P
 from tallyboard.operators import joins as J
 from tallyboard.operators import merge as U
@@ -63,7 +64,7 @@ def test_alerts_by_day_equal_broadcast(spark, monkeypatch):
 
     args = searches(spark, SF), view(spark, SF, "postings"), AS_OF
     few = rows(J.match_alerts(*args))
-    monkeypatch.setattr(J.blocks, "SENT_BYTES", 0)
+    monkeypatch.setattr(J.blocks, "SENT_BYTES", 4000)
     assert rows(J.match_alerts(*args)) == few
 
 
@@ -204,3 +205,67 @@ def test_collection_report(spark):
     col = spark.createDataFrame([("k", (["a", "z"],))], "id string, data struct<companies: array<string>>")
     here, missing = J.collection_members(col, co, "k")
     assert rows(here) == [("a",)] and rows(missing) == [("z",)]
+
+
+@pytest.mark.parametrize(("pattern", "literals"), [
+    ("python", [["python"]]), ("fr|de", [["fr"], ["de"]]), (r"c\+\+", [["c++"]]), (r"\bml\b", [["ml"]]), ("colou?r", [["colo", "r"]]), ("a{0,2}bc", [["bc"]]), ("ab{2}c", [["ab", "c"]]), ("ab+?c", [["ab", "c"]]), ("x(yy|z)w", [["x", "w"]]),
+    ("[abc]de.fg$", [["de", "fg"]]), ("Größe", [["gr", "e"]]), (".*", None), ("a|", None), ("a?|bc", None), ("(?x)a b", None), (r"\x41b", None), (r"\Qa|b\E", None), (r"[a[b]]c", None), ("(a|b)", None), (r"\d+ years", [[" years"]]), ("a||b", None),
+])
+def test_required_literals(pattern, literals):
+    assert alerts.required_literals(pattern) == literals
+
+
+def test_alerts_of_many_searches(spark, monkeypatch):
+    """100,000 searches of some 1,500 patterns against every posting, and searches whose cases and alphabets are odd."""
+    jobs = view(spark, "/root/testdata/sf0.1", "postings").select("job_id", "title", "company", "location", "remote_type", "skills", "posted_date", "is_active")
+    odd = [("odd1", "Kelvin ſtaff", "x", "İzmir", None, ["straße"]), ("odd2", "KELVIN STAFF", None, "izmir", "Remote", None), ("odd3", None, "ıx", None, None, []), ("odd4", "a\nb", "c++", "Remote city", "Hybrid", ["x"])]
+    more = spark.createDataFrame([(*x, datetime.datetime(2024, 3, 20), True) for x in odd], "job_id string, title string, company string, location string, remote_type string, skills array<string>, posted_date timestamp, is_active boolean")
+    jobs = jobs.unionByName(more)
+    stored = [r.asDict() for r in jobs.where("is_active").collect()]
+    rng = random.Random(0)
+    words = sorted({w.lower() for r in stored[::40] for w in (r["title"] or "").split() if w.isalnum()})
+    pool = [rng.choice(words) for _ in range(700)] + [f"{rng.choice(words)}|{rng.choice(words)}" for _ in range(150)] + [rf"\b{rng.choice(words)}.?{rng.choice(words)[:2]}" for _ in range(100)]
+    pool += ["kelvin", "STAFF", "izmir", "ix", r"c\+\+", "strasse|Straße", "a.b", "^the", r"\d{2}", "", None, "(?i)THE AND", "[tT]he (the|and)"]
+    patterns = [(q, rng.choice([None, None, "", "en", "remote", "fr|de", "izm", ".*y"]), rng.choice([None, None, None, "tech", r"\bai\b", "Ux|zz"])) for q in pool for _ in range(2)]
+    searches = []
+    for k in range(100_000):
+        q, place, category = patterns[k] if k < len(patterns) else rng.choice(patterns)
+        searches.append((k, f"u{k % 900}", q, place, category, k % 50 != 7, datetime.datetime(2024, 1, 1 + k % 28) if k % 3 else None))
+    schema = "search_id long, user_email string, q string, location string, category string, email_alert boolean, last_emailed_at timestamp"
+    df = spark.createDataFrame(searches, schema).select("search_id", "user_email", "email_alert", "last_emailed_at", F.struct("q", "location", "category").alias("criteria"))
+    stored.sort(key=lambda r: r["job_id"])
+    stored.sort(key=lambda r: r["posted_date"], reverse=True)
+    tests, newest = {}, {}
+
+    def hits(pattern, texts):
+        if (pattern, texts) not in tests:
+            test = re.compile(pattern.replace("(?i)", ""), re.IGNORECASE)
+            columns = {"q": ("title", "company", "skills"), "category": ("title", "skills"), "location": ("location",)}[texts]
+            found = set()
+            for n, r in enumerate(stored):
+                if any(test.search(x) for x in ("\n".join(r[c] or []) if c == "skills" else r[c] for c in columns) if x is not None) or (texts == "location" and pattern == "remote" and r["remote_type"] == "Remote"):
+                    found.add(n)
+            tests[pattern, texts] = found
+        return tests[pattern, texts]
+
+    def matches(q, place, category):
+        if (q, place, category) not in newest:
+            own = set(range(len(stored)))
+            for x, texts in ((q, "q"), (place, "location"), (category, "category")):
+                own &= hits(x, texts) if x else own
+            newest[q, place, category] = sorted(own)[:3]
+        return newest[q, place, category]
+
+    wanted = set()
+    for i, _, q, place, category, on, last in searches:
+        cutoff = last or datetime.datetime(2024, 3, 14)
+        if on:
+            wanted.update((i, stored[n]["job_id"], rank + 1) for rank, n in enumerate(n for n in matches(q, place, category) if stored[n]["posted_date"] > cutoff))
+    found = J.match_alerts(df, jobs, "2024-03-15", 3)
+    assert {tuple(r) for r in found.select("search_id", "job_id", "rank").collect()} == wanted and len(wanted) > 50_000
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+    some = df.where("search_id < 300")
+    whole = rows(J.match_alerts(some, jobs, "2024-03-15", 3))
+    monkeypatch.setattr(blocks, "SENT_BYTES", 20_000)
+    monkeypatch.setattr(alerts, "COUNTED", 10)
+    assert rows(J.match_alerts(some, jobs, "2024-03-15", 3)) == whole
