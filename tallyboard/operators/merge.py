@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyboard.operators.blocks import cut
+from tallyboard.operators.tables import BucketedTable
 from tallyboard.operators.windows import latest_per_key
 
 
@@ -50,6 +52,42 @@ def upsert_rejected(stored: DataFrame, rejected: DataFrame) -> DataFrame:
     return upsert(stored, rejected, ["content_hash"], ["title", "company", "rejected_at", "reason"], [F.col("rejected_at"), F.col("reason")])
 
 
+def merge_jobs(table: BucketedTable, incoming: DataFrame, emitted: Sequence[str], batch: int | None = None, counts: BucketedTable | None = None) -> list[int]:
+    """`upsert_jobs` into a bucketed table by job_id: only the buckets of incoming ids are read and rewritten; returns them.
+
+    With `counts` (company, active_jobs), the number of each company's active jobs is kept up to date by what the merge changes."""
+    incoming = cut(incoming)
+    if counts is not None:
+        # first, from the table as it was: if this dies in between, the batch is found to be counted, and the table takes it
+        merge_counts(counts, active_deltas(table.touched(incoming), incoming, emitted), batch)
+    return table.merge(incoming, lambda stored: upsert_jobs(stored, incoming, emitted), batch)
+
+
+def active_deltas(stored: DataFrame, incoming: DataFrame, emitted: Sequence[str]) -> DataFrame:
+    """(company, delta): what `upsert_jobs` does to the number of each company's active jobs, from signed rows of the incoming ids; zeros are left out."""
+    ids = incoming.select("job_id").distinct()
+    before = stored.join(ids, "job_id", "left_semi")
+    after = upsert_jobs(before, incoming, emitted)
+    signed = before.where("is_active").select("company", F.lit(-1).alias("n")).unionByName(after.where("is_active").select("company", F.lit(1).alias("n")))
+    return signed.groupBy("company").agg(F.sum("n").alias("delta")).where("delta <> 0")
+
+
+def merge_counts(counts: BucketedTable, deltas: DataFrame, batch: int | None = None) -> list[int]:
+    """Adds (company, delta) to the stored (company, active_jobs); companies without active jobs stay with 0. A null company is one of its own."""
+    deltas = cut(deltas)
+
+    def added(stored: DataFrame) -> DataFrame:
+        both = stored.select("company", "active_jobs").unionByName(deltas.select("company", F.col("delta").alias("active_jobs")))
+        return both.groupBy("company").agg(F.sum("active_jobs").alias("active_jobs"))
+
+    return counts.merge(deltas, added, batch)
+
+
+def count_active(jobs: DataFrame) -> DataFrame:
+    """(company, active_jobs) of every company of `jobs`: what the stored counts begin with, and what they must equal."""
+    return jobs.groupBy("company").agg(F.count_if("is_active").alias("active_jobs"))
+
+
 def apply_decisions(requests: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(requests with their status after decisions (request_id, action), new companies of approved pending ones)."""
     out = requests.join(decisions.select("request_id", "action"), "request_id", "left")

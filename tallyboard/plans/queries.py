@@ -15,7 +15,8 @@ from tallyboard.operators import joins as J
 from tallyboard.operators import merge as U
 from tallyboard.operators import scoring as M
 from tallyboard.operators import windows as W
-from tallyboard.plans.views import SKILLS_SQL, oracle, view
+from tallyboard.operators.tables import BucketedTable
+from tallyboard.plans.views import SKILLS_SQL, oracle, shared_folder, view
 
 AS_OF = "2024-03-15"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -539,9 +540,11 @@ def w10_quota(spark, sf):
     return W.enforce_quota(view(spark, sf, "requests"), "user_email", "created_at", "request_id").select("request_id", "user_email")
 
 
-@query("snapshots", """, r AS (SELECT *, row_number() OVER o AS no, lag(salary_min) OVER o AS pay, lag(job_id) OVER t AS twin, lag(seen_at) OVER t AS twin_at FROM snapshots WINDOW o AS (PARTITION BY job_id ORDER BY seen_at), t AS (PARTITION BY content_key ORDER BY seen_at, job_id))
-SELECT job_id, CAST(seen_at AS VARCHAR) AS seen_at, CASE WHEN no = 1 AND twin <> job_id AND seen_at - twin_at <= 7 THEN 'ghost_repost' WHEN no = 1 THEN 'new' ELSE 'salary_bump' END AS event FROM r WHERE no = 1 OR salary_min > pay
-UNION ALL SELECT job_id, CAST(max(seen_at) AS VARCHAR), 'delisted' FROM snapshots GROUP BY job_id HAVING max(seen_at) < (SELECT max(seen_at) FROM snapshots)""")
+LIFECYCLE_SQL = """, r AS (SELECT *, row_number() OVER o AS no, lag(salary_min) OVER o AS pay, lag(job_id) OVER t AS twin, lag(seen_at) OVER t AS twin_at FROM snapshots WINDOW o AS (PARTITION BY job_id ORDER BY seen_at), t AS (PARTITION BY content_key ORDER BY seen_at, job_id)),
+e AS (SELECT job_id, CAST(seen_at AS VARCHAR) AS seen_at, CASE WHEN no = 1 AND twin <> job_id AND seen_at - twin_at <= 7 THEN 'ghost_repost' WHEN no = 1 THEN 'new' ELSE 'salary_bump' END AS event FROM r WHERE no = 1 OR salary_min > pay)"""
+
+
+@query("snapshots", LIFECYCLE_SQL + " SELECT * FROM e UNION ALL SELECT job_id, CAST(max(seen_at) AS VARCHAR), 'delisted' FROM snapshots GROUP BY job_id HAVING max(seen_at) < (SELECT max(seen_at) FROM snapshots)")
 def w11_lifecycle(spark, sf):
     return W.lifecycle(view(spark, sf, "snapshots")).withColumn("seen_at", c("seen_at").cast("string"))
 
@@ -656,13 +659,40 @@ def m6_semantic_topk(spark, sf):
 # --- merges ------------------------------------------------------------------
 
 
-@query("incoming stored", """SELECT coalesce(i.job_id, s.job_id) AS job_id, CASE WHEN i.job_id IS NULL OR i.content_hash = s.content_hash THEN s.title ELSE i.title END AS title, CASE WHEN i.job_id IS NULL OR i.content_hash = s.content_hash THEN s.location ELSE i.location END AS location,
- s.benefits, coalesce(i.last_seen_at, s.last_seen_at) AS last_seen_at, coalesce(i.is_active, s.is_active) AS is_active, coalesce(i.content_hash, s.content_hash) AS content_hash FROM incoming i FULL JOIN stored s ON i.job_id = s.job_id""")
+UPSERT_SQL = """SELECT coalesce(i.job_id, s.job_id) AS job_id, CASE WHEN i.job_id IS NULL OR i.content_hash = s.content_hash THEN s.title ELSE i.title END AS title, CASE WHEN i.job_id IS NULL OR i.content_hash = s.content_hash THEN s.location ELSE i.location END AS location,
+ s.benefits, coalesce(i.last_seen_at, s.last_seen_at) AS last_seen_at, coalesce(i.is_active, s.is_active) AS is_active, coalesce(i.content_hash, s.content_hash) AS content_hash FROM incoming i FULL JOIN stored s ON i.job_id = s.job_id"""
+EMITTED = ["title", "company", "location", "posted_date", "content_hash"]
+
+
+@query("incoming stored", UPSERT_SQL)
 def u1_upsert_jobs(spark, sf):
-    out = U.upsert_jobs(view(spark, sf, "stored"), view(spark, sf, "incoming"), ["title", "company", "location", "posted_date", "content_hash"])
+    out = U.upsert_jobs(view(spark, sf, "stored"), view(spark, sf, "incoming"), EMITTED)
     return out.select("job_id", "title", "location", "benefits", "last_seen_at", "is_active", "content_hash")
 
 
+def merged(spark, sf, batches: int = 3) -> tuple[BucketedTable, BucketedTable]:
+    """Stored and counted jobs after the incoming ones came in several batches, each twice; a batch that was merged is left alone."""
+    at = shared_folder(spark)
+    stored, counts = BucketedTable(spark, f"{at}/jobs", ["job_id"]), BucketedTable(spark, f"{at}/counts", ["company"])
+    stored.create(view(spark, sf, "stored"))
+    counts.create(U.count_active(view(spark, sf, "stored")), 4)
+    for b in range(batches):
+        for _ in range(2):
+            U.merge_jobs(stored, view(spark, sf, "incoming").where(F.pmod(F.xxhash64("job_id"), lit(batches)) == b), EMITTED, b, counts)
+    return stored, counts
+
+
+@query("incoming stored", UPSERT_SQL)
+def u1_bucketed_upsert(spark, sf):
+    return merged(spark, sf)[0].read().select("job_id", "title", "location", "benefits", "last_seen_at", "is_active", "content_hash")
+
+
+@query("incoming stored", "SELECT coalesce(CASE WHEN i.job_id IS NULL OR i.content_hash = s.content_hash THEN s.company ELSE i.company END, i.company) AS company, count_if(coalesce(i.is_active, s.is_active)) AS active_jobs FROM incoming i FULL JOIN stored s ON i.job_id = s.job_id GROUP BY 1")
+def a5_merged_counts(spark, sf):
+    """Active jobs of companies, kept up to date by what the merges changed."""
+    return merged(spark, sf)[1].read()
+
+
 @query("postings", GATE_SQL + ", r AS (SELECT content_hash, min(company) AS company, min(reason) AS reason FROM g WHERE reason IS NOT NULL GROUP BY content_hash) SELECT coalesce(o.content_hash, r.content_hash) AS content_hash, coalesce(r.company, 'old') AS company, coalesce(r.reason, 'old') AS reason FROM r FULL JOIN (SELECT DISTINCT content_hash FROM postings WHERE doc_id % 6 = 0) o ON o.content_hash = r.content_hash")
 def u2_upsert_rejected(spark, sf):
     at = lambda d: lit(d).cast("timestamp").alias("rejected_at")

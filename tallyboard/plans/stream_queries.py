@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from tallyboard.operators.merge import current_snapshot, switch_snapshot
-from tallyboard.plans.queries import ALERT_SQL, AS_OF, GATE_SQL, HIT, c, jobs, lit, plain_jobs, query, searches
+from tallyboard.operators.merge import count_active
+from tallyboard.operators.tables import BucketedTable
+from tallyboard.plans.queries import ALERT_SQL, AS_OF, GATE_SQL, HIT, LIFECYCLE_SQL, c, jobs, lit, plain_jobs, query, searches
 from tallyboard.plans.views import shared_folder, view
 from tallyboard.streaming import streams as S
 
@@ -50,15 +51,32 @@ def to_table(df: DataFrame, ts: str, plan: Callable[[DataFrame], DataFrame], mod
     return spark.read.parquet(f"{path}/out")
 
 
-@query("postings", GATE_SQL + " SELECT job_id FROM g WHERE reason IS NULL UNION SELECT job_id FROM postings WHERE doc_id % 9 = 0")
-def t1_stream_ingest(spark, sf):
+INGESTED_SQL = GATE_SQL + ", x AS (SELECT job_id FROM g WHERE reason IS NULL UNION SELECT job_id FROM postings WHERE doc_id % 9 = 0)"
+
+
+def ingested(spark, sf) -> tuple[BucketedTable, BucketedTable]:
+    """Stored and counted jobs after a stream of all postings, of which a ninth was stored before."""
     at = shared_folder(spark)
     cols = ["job_id", "title", "company", "location", "description", "posted_date", "content_hash", "is_active"]
     rows = plain_jobs(spark, sf).select(*cols, lit(AS_OF).cast("timestamp").alias("last_seen_at"), lit(AS_OF).cast("timestamp").alias("scraped_at"))
-    switch_snapshot(jobs(spark, sf).where("doc_id % 9 = 0").select(*cols, lit("2024-01-01").cast("timestamp").alias("last_seen_at")), f"{at}/jobs")
-    switch_snapshot(rows.limit(0).select("content_hash", "title", "company", c("scraped_at").alias("rejected_at"), lit("").alias("reason")), f"{at}/rejected")
-    feed(rows, "posted_date", f"{at}/in", lambda stream: S.stream_ingest(stream, f"{at}/jobs", f"{at}/rejected", f"{at}/state", [x for x in cols if x != "job_id"], **HIT))
-    return current_snapshot(spark, f"{at}/jobs").select("job_id")
+    stored, rejected, counts = BucketedTable(spark, f"{at}/jobs", ["job_id"]), BucketedTable(spark, f"{at}/rejected", ["content_hash"]), BucketedTable(spark, f"{at}/counts", ["company"])
+    old = jobs(spark, sf).where("doc_id % 9 = 0").select(*cols, lit("2024-01-01").cast("timestamp").alias("last_seen_at"))
+    stored.create(old)
+    counts.create(count_active(old), 4)
+    rejected.create(rows.limit(0).select("content_hash", "title", "company", c("scraped_at").alias("rejected_at"), lit("").alias("reason")))
+    feed(rows, "posted_date", f"{at}/in", lambda stream: S.stream_ingest(stream, stored, rejected, f"{at}/state", [x for x in cols if x != "job_id"], counts=counts, **HIT))
+    return stored, counts
+
+
+@query("postings", INGESTED_SQL + " SELECT job_id FROM x")
+def t1_stream_ingest(spark, sf):
+    return ingested(spark, sf)[0].read().select("job_id")
+
+
+@query("postings", INGESTED_SQL + " SELECT company, count_if(is_active OR x.job_id IN (SELECT job_id FROM g WHERE reason IS NULL)) AS active_jobs FROM x JOIN postings USING (job_id) GROUP BY company")
+def t1_stream_counts(spark, sf):
+    """Active jobs of companies, kept up to date by the stream. A job that comes in again unchanged is active again."""
+    return ingested(spark, sf)[1].read()
 
 
 @query("visits", "SELECT referrer, count(*) AS visits FROM visits GROUP BY referrer")
@@ -113,3 +131,10 @@ UNION ALL SELECT 'delisted' FROM o WHERE is_last AND seen + INTERVAL 60 DAY <= (
 def t5_stream_lifecycle(spark, sf):
     rows = view(spark, sf, "snapshots").select("job_id", "salary_min", c("seen_at").cast("timestamp").alias("seen_at"))
     return to_table(rows, "seen_at", lambda stream: S.stream_lifecycle(stream, 24 * 60)).groupBy("event").agg(F.count(lit(1)).alias("n"))
+
+
+@query("snapshots", LIFECYCLE_SQL + " SELECT job_id, seen_at, event FROM e")
+def t5_stream_ghosts(spark, sf):
+    """First sights, ghost reposts and higher pay as `lifecycle` has them; the time to live is longer than the table's span, so no job is new twice."""
+    rows = view(spark, sf, "snapshots").select("job_id", "content_key", "salary_min", c("seen_at").cast("timestamp").alias("seen_at"))
+    return to_table(rows, "seen_at", lambda stream: S.stream_lifecycle(stream, 24 * 3650)).withColumn("seen_at", c("seen_at").cast("date").cast("string"))

@@ -13,21 +13,28 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tallyboard.operators.filters import gate
+from tallyboard.operators.blocks import cut
+from tallyboard.operators.filters import judged as judge
 from tallyboard.operators.joins import match_alerts
-from tallyboard.operators.merge import current_snapshot, switch_snapshot, upsert_jobs, upsert_rejected
+from tallyboard.operators.merge import merge_jobs, upsert_rejected
+from tallyboard.operators.tables import BucketedTable
 
 
-def stream_ingest(source: DataFrame, jobs_path: str, rejected_path: str, checkpoint: str, emitted: list[str], normalise: Callable[[DataFrame], DataFrame] = lambda df: df, **vocabularies) -> StreamingQuery:
-    """Each micro-batch: normalise, set rejects aside, merge into a new snapshot of both tables. Both must have a first snapshot.
+def stream_ingest(source: DataFrame, jobs: BucketedTable, rejected: BucketedTable, checkpoint: str, emitted: list[str], normalise: Callable[[DataFrame], DataFrame] = lambda df: df, counts: BucketedTable | None = None, **vocabularies) -> StreamingQuery:
+    """Each micro-batch: normalise, set rejects aside, and merge both into the buckets that they fall into. The tables must exist, `jobs` by
+    job_id, `rejected` by content_hash; `counts` (by company) holds the companies' active jobs.
 
-    A batch that is run again after a failure merges the same rows again, which changes nothing."""
+    Tables remember the last batch that they merged, so a batch that is run again after a failure is merged once into each. What was
+    gone through twice is the judging of its rows only. The three newest versions of a table stay."""
 
-    def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        good, bad = gate(normalise(batch), **vocabularies)
-        switch_snapshot(upsert_rejected(current_snapshot(spark, rejected_path), bad.select("content_hash", "title", "company", F.col("scraped_at").alias("rejected_at"), "reason")), rejected_path)
-        switch_snapshot(upsert_jobs(current_snapshot(spark, jobs_path), good, emitted), jobs_path)
+    def merge(batch: DataFrame, number: int) -> None:
+        judged = cut(normalise(batch).transform(judge, **vocabularies))
+        bad = judged.where("reason IS NOT NULL").select("content_hash", "title", "company", F.col("scraped_at").alias("rejected_at"), "reason")
+        rejected.merge(bad, lambda stored: upsert_rejected(stored, bad), number)
+        merge_jobs(jobs, judged.where("reason IS NULL").drop("reason"), emitted, number, counts)
+        for table in (jobs, rejected, counts):
+            if table is not None:
+                table.vacuum()
 
     return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -134,12 +141,47 @@ def stream_alerts(postings: DataFrame, searches: DataFrame, as_of: str, out_path
 
 
 EVENTS = "job_id string, seen_at timestamp, event string"
+SIGHTS = "job_id string, salary_min long, seen_at timestamp, is_ghost boolean"
+DAY = 86_400_000_000
 
 
 def _events(rows: list[tuple[str, int, str]]) -> pd.DataFrame:
     return pd.DataFrame({"job_id": [x[0] for x in rows], "seen_at": np.array([x[1] for x in rows], "datetime64[us]"), "event": [x[2] for x in rows]})
 
 
+class _Twins(StatefulProcessor):
+    """Per content: whether the sight before was another job's, at most `gap` days ago. The last sight is kept for so long and no longer."""
+
+    def __init__(self, gap: int):
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", StructType([StructField("job_id", StringType()), StructField("seen", LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # what a micro-batch has of one content, in order of time and job
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["seen_at", "job_id"], kind="stable", ignore_index=True)
+        known = self.last.get()
+        ids, times, last, seen = pdf["job_id"].tolist(), _micros(pdf["seen_at"]).tolist(), *(known if known else (None, None))
+        ghosts = []
+        for job, us in zip(ids, times):
+            ghosts.append(last is not None and last != job and us // DAY - seen // DAY <= self.gap)
+            last, seen = job, us
+        self.last.update((last, seen))
+        self.handle.registerTimer((seen // DAY + self.gap + 1) * (DAY // 1000))
+        yield pdf.assign(is_ghost=ghosts)[["job_id", "salary_min", "seen_at", "is_ghost"]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        known = self.last.get()
+        if known and (known[1] // DAY + self.gap + 1) * (DAY // 1000) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
 class _Lifecycle(StatefulProcessor):
     """Per job: first sight, higher pay, and silence longer than the time to live."""
 
@@ -151,20 +193,20 @@ class _Lifecycle(StatefulProcessor):
         self.last = handle.getValueState("last", StructType([StructField("pay", LongType()), StructField("seen", LongType()), StructField("id", StringType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        parts = [(_micros(r["seen_at"]), r["salary_min"].to_numpy(dtype=float, na_value=np.nan)) for r in rows]
-        times, pays = (np.concatenate(x) for x in zip(*parts))
+        parts = [(_micros(r["seen_at"]), r["salary_min"].to_numpy(dtype=float, na_value=np.nan), r["is_ghost"].to_numpy(dtype=bool)) for r in rows]
+        times, pays, ghosts = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(times, kind="stable")
         known = self.last.get()
         pay, seen = known[:2] if known else (None, None)
         out = []
-        for us, amount in zip(times[order].tolist(), pays[order].tolist()):
+        for us, amount, ghost in zip(times[order].tolist(), pays[order].tolist(), ghosts[order].tolist()):
             amount = None if amount != amount else int(amount)
             if seen is not None and us - seen > self.ttl_ms * 1000:
                 # silent for too long, whether or not its timer has gone off
                 out.append((key[0], seen, "delisted"))
                 pay, seen = None, None
             if seen is None:
-                out.append((key[0], us, "new"))
+                out.append((key[0], us, "ghost_repost" if ghost else "new"))
             elif pay is not None and amount is not None and amount > pay:
                 out.append((key[0], us, "salary_bump"))
             pay, seen = amount, max(us, seen or us)
@@ -184,9 +226,18 @@ class _Lifecycle(StatefulProcessor):
         pass
 
 
-def stream_lifecycle(snapshots: DataFrame, ttl_hours: float, delay: str = "1 hour") -> DataFrame:
-    """Events of jobs (job_id, salary_min, seen_at): new, salary_bump, delisted after `ttl_hours` unseen; needs the RocksDB state store."""
-    rows = snapshots.select("job_id", "salary_min", "seen_at").withWatermark("seen_at", delay)
+def stream_lifecycle(snapshots: DataFrame, ttl_hours: float, delay: str = "1 hour", gap_days: int = 7) -> DataFrame:
+    """Events of jobs (job_id, salary_min, seen_at, and content_key if it has one): new, ghost_repost, salary_bump, delisted after `ttl_hours`
+    unseen; needs the RocksDB state store.
+
+    Two stateful stages, each keyed by what it looks at: with a content_key, the first one marks sights whose content another job
+    showed at most `gap_days` days before; the second one follows each job, and a first sight that is marked is a ghost
+    repost. Sights must come in order of time within the delay."""
+    rows = snapshots.withWatermark("seen_at", delay)
+    if "content_key" in snapshots.columns:
+        rows = rows.select("content_key", "job_id", "salary_min", "seen_at").groupBy("content_key").transformWithStateInPandas(_Twins(gap_days), SIGHTS, "append", "eventTime", eventTimeColumnName="seen_at")
+    else:
+        rows = rows.select("job_id", "salary_min", "seen_at", F.lit(False).alias("is_ghost"))
     return rows.groupBy("job_id").transformWithStateInPandas(_Lifecycle(int(ttl_hours * 3_600_000)), EVENTS, "append", "eventTime")
 
 
