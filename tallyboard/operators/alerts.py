@@ -171,17 +171,34 @@ def _met_by_day(jobs: DataFrame, rest: DataFrame) -> DataFrame:
     return both.select("s.p", "j.job_id", "j.posted_date")
 
 
+def _alerting(searches: DataFrame, as_of: str) -> DataFrame:
+    """(search_id, user_email, p, q, location, category, cutoff) of the searches that are on; p tells their patterns apart."""
+    cutoff = F.coalesce("last_emailed_at", F.lit(as_of).cast("timestamp") - F.expr("INTERVAL 1 DAY"))
+    key = F.to_json(F.struct(*[F.coalesce(f"criteria.{c}", F.lit("")).alias(c) for c in EXPRESSIONS]))
+    return searches.where("email_alert").select("search_id", "user_email", key.alias("p"), *[F.col(f"criteria.{c}").alias(c) for c in EXPRESSIONS], cutoff.alias("cutoff"))
+
+
+def _sides(jobs: DataFrame, patterns: DataFrame) -> DataFrame:
+    return jobs.where("is_active").where(F.col("posted_date") > F.lit(patterns.agg(F.min("cutoff")).first()[0])).select("job_id", "title", "company", "location", "remote_type", "skills", "posted_date")
+
+
+def alert_hits(searches: DataFrame, jobs: DataFrame, as_of: str) -> DataFrame:
+    """(search_id, user_email, job_id, posted_date): every hit of every alerting search, without an index: patterns and postings meet by
+    day, so each posting runs the expressions of all patterns. For few patterns, or many that nearly everything meets."""
+    alerts = _alerting(searches, as_of)
+    patterns = blocks.cut(alerts.groupBy("p").agg(*[F.max(c).alias(c) for c in EXPRESSIONS], F.min("cutoff").alias("cutoff")))
+    hits = _met_by_day(_sides(jobs, patterns), patterns)
+    return alerts.select("search_id", "user_email", "p", "cutoff").join(hits, "p").where("posted_date > cutoff").select("search_id", "user_email", "job_id", "posted_date")
+
+
 def match_alerts(searches: DataFrame, jobs: DataFrame, as_of: str, k: int | None = 10) -> DataFrame:
     """The newest k active postings (None: all) of each alerting search since it was last mailed (or the last day).
 
     The index of patterns is sent out in blocks of checked size; postings stay where they are. Null dates never match; a search
     that asks for nothing meets every newer posting."""
-    cutoff = F.coalesce("last_emailed_at", F.lit(as_of).cast("timestamp") - F.expr("INTERVAL 1 DAY"))
-    key = F.to_json(F.struct(*[F.coalesce(f"criteria.{c}", F.lit("")).alias(c) for c in EXPRESSIONS]))
-    alerts = searches.where("email_alert").select("search_id", "user_email", key.alias("p"), *[F.col(f"criteria.{c}").alias(c) for c in EXPRESSIONS], cutoff.alias("cutoff"))
+    alerts = _alerting(searches, as_of)
     patterns = blocks.cut(alerts.groupBy("p").agg(*[F.max(c).alias(c) for c in EXPRESSIONS], F.min("cutoff").alias("cutoff")))
-    oldest = patterns.agg(F.min("cutoff")).first()[0]
-    active = jobs.where("is_active").where(F.col("posted_date") > F.lit(oldest)).select("job_id", "title", "company", "location", "remote_type", "skills", "posted_date")
+    active = _sides(jobs, patterns)
     index = blocks.cut(search_index(patterns, active))
     sides = [side(active, own) for side, own in ((_met, index.where("grams IS NOT NULL")), (_met_by_day, index.where("grams IS NULL"))) if not own.isEmpty()]
     hits = sides[0].unionByName(sides[1]) if len(sides) > 1 else sides[0] if sides else active.select(F.lit("").alias("p"), "job_id", "posted_date").limit(0)

@@ -11,7 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from tallyboard.functions.text import careers_link, empty_if_null, vendor_link, vendor_of
 from tallyboard.operators import blocks
-from tallyboard.operators.alerts import alert_condition, match_alerts  # noqa: F401  they belong to the joins
+from tallyboard.operators.alerts import alert_condition, alert_hits, match_alerts  # noqa: F401  they belong to the joins
 from tallyboard.operators.filters import matching_jobs
 
 

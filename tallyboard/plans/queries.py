@@ -120,7 +120,7 @@ def searches(spark, sf):
 
 @query("postings searches", ALERT_SQL + " SELECT search_id, CAST(count(*) AS BIGINT) AS hits FROM h GROUP BY search_id")
 def f11_alert_hits(spark, sf):
-    return J.match_alerts(searches(spark, sf), jobs(spark, sf), AS_OF, k=10**9).groupBy("search_id").agg(A.n("hits"))
+    return J.alert_hits(searches(spark, sf), jobs(spark, sf), AS_OF).groupBy("search_id").agg(A.n("hits"))
 
 
 IT_SQL = """CASE WHEN x = '' THEN 'No text provided' WHEN {bad} AND regexp_matches(x, '\\bof\\b') THEN 'Detected non-IT role keyword in title: \\bof\\b' WHEN {bad} AND regexp_matches(x, '\\bles\\b') THEN 'Detected non-IT role keyword in title: \\bles\\b'
