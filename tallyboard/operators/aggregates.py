@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -94,3 +96,30 @@ def run_metrics(logs: DataFrame, frequency_hours: int = 12) -> DataFrame:
 
 def skill_trend(jobs: DataFrame) -> DataFrame:
     return jobs.select(F.date_format("posted_date", "yyyy-MM").alias("month"), F.explode("skills").alias("skill")).groupBy("month", "skill").agg(n("jobs"))
+
+
+#: Two to this power are the registers of a visitor sketch.
+SKETCH_BITS = 12
+
+
+def sketch_bound(bits: int = SKETCH_BITS, deviations: float = 3) -> float:
+    """The relative error that an estimate stays within, up to `deviations` standard errors."""
+    return deviations * 1.04 / 2 ** (bits / 2)
+
+
+def visitor_sketches(visits: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
+    """(day, referrer, visits, sketch): visits and a mergeable sketch of the addresses of each day and referrer. Null addresses are no visitors,
+    a null referrer is one of its own, rows without a time are left out."""
+    day = F.col("timestamp").cast("timestamp").cast("date")
+    return visits.withColumn("day", day).where("day IS NOT NULL").groupBy("day", "referrer").agg(F.count(F.lit(1)).alias("visits"), F.hll_sketch_agg("ip_address", F.lit(bits)).alias("sketch"))
+
+
+def merge_sketches(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Both tables' sketches, one row for each day and referrer: those of visits that came later are merged into the stored ones."""
+    return stored.unionByName(new).groupBy("day", "referrer").agg(F.sum("visits").alias("visits"), F.hll_union_agg("sketch").alias("sketch"))
+
+
+def visitors_between(sketches: DataFrame, first: str, end: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, visits, visitors) of the days from `first` to the one before `end`; visitors is an estimate. No visit is read for it."""
+    days = sketches.where((F.col("day") >= F.lit(first).cast("date")) & (F.col("day") < F.lit(end).cast("date")))
+    return days.groupBy(*by).agg(F.coalesce(F.sum("visits"), F.lit(0).cast("long")).alias("visits"), F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch")), F.lit(0).cast("long")).alias("visitors"))

@@ -14,6 +14,7 @@ from tallyboard.operators import filters as P
 from tallyboard.operators import joins as J
 from tallyboard.operators import merge as U
 from tallyboard.operators import scoring as M
+from tallyboard.operators import search as Q
 from tallyboard.operators import windows as W
 from tallyboard.operators.tables import BucketedTable
 from tallyboard.plans.views import SKILLS_SQL, oracle, shared_folder, view
@@ -58,6 +59,21 @@ def f2_keywords(spark, sf):
     return P.keyword_filter(jobs(spark, sf), "The  OU").select("job_id")
 
 
+def kept(spark, sf) -> str:
+    """The postings as a stored table."""
+    path = f"{shared_folder(spark)}/jobs"
+    jobs(spark, sf).select("job_id", "title", "company", "description", "skills", "posted_date").write.parquet(path)
+    return path
+
+
+@query("postings", f"SELECT job_id FROM postings WHERE contains(lower(concat_ws(chr(10), title, company, description, array_to_string({SKILLS_SQL}, chr(10)))), 'thtied') AND contains(lower(concat_ws(chr(10), title, company, description, array_to_string({SKILLS_SQL}, chr(10)))), 'ou')")
+def f2_indexed_keywords(spark, sf):
+    """A rare term and one that has no 3-gram, over an index of the stored postings."""
+    path = kept(spark, sf)
+    Q.index_keywords(spark, path, f"{path}-index")
+    return Q.indexed_keyword_filter(spark, path, f"{path}-index", "thTIED ou").select("job_id")
+
+
 @query("postings", "SELECT job_id, company FROM postings WHERE company IN ('src1', 'src2', 'src19')")
 def f3_companies(spark, sf):
     return P.company_filter(jobs(spark, sf), "src5", ["src1", "src2", "src19"]).select("job_id", "company")
@@ -404,6 +420,17 @@ def a2_recent_visits(spark, sf):
     return A.visitor_stats(view(spark, sf, "visits"))[2].select("event_id", "ip_address", "timestamp")
 
 
+@query("visits", """
+SELECT referrer, count(*) AS visits, count(DISTINCT ip_address) AS visitors, TRUE AS near FROM visits WHERE timestamp >= TIMESTAMP '2024-01-05' AND timestamp < TIMESTAMP '2024-01-20' GROUP BY referrer""")
+def a2_sketched_visitors(spark, sf):
+    """Visitors of some days by referrer from stored sketches, next to the exact count; `near`: within the sketch's bound."""
+    visits = view(spark, sf, "visits")
+    sketched = A.visitors_between(A.visitor_sketches(visits), "2024-01-05", "2024-01-20", ["referrer"])
+    exact = visits.where("timestamp >= '2024-01-05' AND timestamp < '2024-01-20'").groupBy("referrer").agg(F.count_distinct("ip_address").alias("exact"))
+    both = sketched.alias("s").join(exact.alias("e"), c("s.referrer").eqNullSafe(c("e.referrer")))
+    return both.select("s.referrer", "s.visits", c("e.exact").alias("visitors"), (F.abs(c("s.visitors") - c("e.exact")) <= A.sketch_bound() * c("e.exact")).alias("near"))
+
+
 @query("companies", "SELECT coalesce(ats_type, 'unknown') AS ats_type, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 1) AS percent FROM companies GROUP BY 1")
 def a3_ats_distribution(spark, sf):
     return A.ats_distribution(view(spark, sf, "companies"))
@@ -492,6 +519,14 @@ def w1_page(spark, sf):
     return W.page(jobs(spark, sf), [c("posted_date").desc(), "job_id"], 100, 50)[0].select("job_id", "posted_date")
 
 
+@query("postings", "SELECT job_id, posted_date FROM postings ORDER BY posted_date DESC, job_id LIMIT 50 OFFSET 700")
+def w1_seek_page(spark, sf):
+    """A deep page, read by its rows' numbers from files in order."""
+    path = f"{shared_folder(spark)}/in-order"
+    Q.write_in_order(jobs(spark, sf).select("job_id", "title", "posted_date"), path, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return Q.seek_page(spark, path, Q.page_index(spark, path), 700, 50).select("job_id", "posted_date")
+
+
 @query("companies", "SELECT company_id, coalesce(active_jobs, 0) = 0 AS silent FROM companies ORDER BY coalesce(active_jobs, 0) DESC, name")
 def w2_rank_companies(spark, sf):
     return W.rank_companies(view(spark, sf, "companies")).select("company_id", "silent")

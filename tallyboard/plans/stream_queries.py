@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from tallyboard.operators.aggregates import sketch_bound, visitor_sketches, visitors_between
 from tallyboard.operators.merge import count_active
 from tallyboard.operators.tables import BucketedTable
 from tallyboard.plans.queries import ALERT_SQL, AS_OF, GATE_SQL, HIT, LIFECYCLE_SQL, c, jobs, lit, plain_jobs, query, searches
@@ -90,6 +91,19 @@ def t2_stream_visitors(spark, sf):
     return to_table(view(spark, sf, "visits").withColumn("timestamp", c("timestamp").cast("timestamp")), "timestamp", lambda stream: S.stream_visitors(stream, "3650 days")).select("ip_address")
 
 
+@query("visits", "SELECT referrer, count(*) AS visits, count(DISTINCT ip_address) AS visitors, TRUE AS near FROM visits GROUP BY referrer")
+def t2_stream_sketches(spark, sf):
+    """Visitors by referrer of all days, from sketches that a stream keeps; `near`: within the sketch's bound of the exact count."""
+    at, rows = shared_folder(spark), view(spark, sf, "visits").withColumn("timestamp", c("timestamp").cast("timestamp"))
+    table = BucketedTable(spark, f"{at}/sketches", ["day"])
+    table.create(visitor_sketches(rows.limit(0)), 8)
+    feed(rows, "timestamp", f"{at}/in", lambda stream: S.stream_visitor_sketches(stream, table, f"{at}/state"))
+    sketched = visitors_between(table.read(), "1970-01-01", "2100-01-01", ["referrer"])
+    exact = rows.groupBy("referrer").agg(F.count_distinct("ip_address").alias("exact"))
+    both = sketched.alias("s").join(exact.alias("e"), c("s.referrer").eqNullSafe(c("e.referrer")))
+    return both.select("s.referrer", "s.visits", c("exact").alias("visitors"), (F.abs(c("s.visitors") - c("exact")) <= sketch_bound() * c("exact")).alias("near"))
+
+
 #: Accepted events of a key one after the other: three in any day.
 LIMIT_SQL = """
 WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS events, list({'t': epoch_us(ts), 'kept': CAST([] AS BIGINT[]), 'n': CAST(0 AS BIGINT)} ORDER BY ts) AS each FROM events GROUP BY user_id)

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from tallyboard.operators.aggregates import merge_sketches, visitor_sketches
 from tallyboard.operators.blocks import cut
 from tallyboard.operators.filters import judged as judge
 from tallyboard.operators.joins import match_alerts
@@ -49,6 +50,19 @@ def stream_visitors(visits: DataFrame, delay: str = "1 day") -> DataFrame:
     return visits.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["ip_address"])
 
 
+def stream_visitor_sketches(visits: DataFrame, sketches: BucketedTable, checkpoint: str) -> StreamingQuery:
+    """Keeps visits and a visitor sketch for each day and referrer up to date in a table by day (`visitor_sketches`), whatever comes late.
+
+    The visitors of any span are then a merge of its sketches; state doesn't grow with visitors. Batches that come again are left out."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        new = cut(visitor_sketches(batch))
+        sketches.merge(new, lambda stored: merge_sketches(stored, new), number)
+        sketches.vacuum()
+
+    return visits.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 #: Rows of one output batch.
 PIECE = 10_000
 LIMITED = "key string, ts timestamp, accepted boolean"
