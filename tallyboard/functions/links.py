@@ -1,14 +1,19 @@
-"""Functions that need a parser and so run as pandas UDFs: readable text of HTML, and links made absolute."""
+"""Functions that need a parser and so run in Python: readable text of HTML and absolute links as pandas UDFs, anchors as a table function."""
 
 from __future__ import annotations
 
 import html
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+from tallyboard.functions import presets
+from tallyboard.functions.text import any_contains, vendor_of
 
 
 class _Text(HTMLParser):
@@ -59,3 +64,66 @@ def _join(base: str | None, href: str | None) -> str | None:
 @F.pandas_udf(StringType())
 def absolute_url(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([_join(b, h) for b, h in zip(base.where(base.notna(), None), href.where(href.notna(), None))], dtype=object)
+
+
+class _Anchors(HTMLParser):
+    """Anchors with a link, in document order. Comments and scripts hold none; an anchor ends where the next one begins."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found, self.open = [], False
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            href = next((v for k, v in attrs if k == "href"), None)
+            self.open = href is not None
+            if self.open:
+                self.found.append((href, []))
+
+    def handle_endtag(self, tag):
+        self.open = self.open and tag != "a"
+
+    def handle_data(self, data):
+        if self.open:
+            self.found[-1][1].append(data)
+
+
+@F.udtf(returnType=StructType([StructField("pos", IntegerType()), StructField("href", StringType()), StructField("text", StringType())]))
+class Anchors:
+    """pos, href, text (lower case, trimmed) of each anchor of a page; a null page has none."""
+
+    def eval(self, page: str | None) -> Iterator[tuple[int, str, str]]:
+        if page is not None:
+            parser = _Anchors()
+            parser.feed(page)
+            parser.close()
+            for k, (href, text) in enumerate(parser.found):
+                yield k, href.strip(), "".join(text).strip().lower()
+
+
+def page_anchors(pages: DataFrame, page: str = "html") -> DataFrame:
+    """`pages` without the page's text, with a row for each of its anchors; pages without anchors have none. The table function is called laterally."""
+    rest = [c for c in pages.columns if c != page]
+    return pages.lateralJoin(Anchors(F.col(page).outer())).select(*rest, "pos", "href", "text")
+
+
+def _first_anchor(pages: DataFrame, key: str, base: str, fits: Column, value: Column) -> DataFrame:
+    """The value at the first anchor of each page that fits; absolute links (`url`) are made of those that come into question only."""
+    found = page_anchors(pages.select(key, base, "html"))
+    found = found.withColumn("url", absolute_url(base, "href")).where(fits)
+    return found.groupBy(key).agg(F.min_by(value, "pos").alias("found"))
+
+
+def parsed_vendor_links(pages: DataFrame, key: str, base: str = "url", vendors: Sequence[tuple[str, str]] = presets.VENDORS) -> DataFrame:
+    """(key, link, vendor) of every page: the first anchor whose absolute link leads to a known vendor, by an HTML parser; nulls if there is none."""
+    vendor = vendor_of(F.col("url"), vendors)
+    first = _first_anchor(pages, key, base, vendor.isNotNull(), F.struct(F.col("url").alias("link"), vendor.alias("vendor")))
+    return pages.select(key).join(first, key, "left").select(key, "found.link", "found.vendor")
+
+
+def parsed_careers_links(pages: DataFrame, key: str, base: str = "url", words: Sequence[str] = presets.CAREER_WORDS) -> DataFrame:
+    """(key, link) of every page: the first anchor with a career word in its text, or careers/jobs in its link, by an HTML parser."""
+    href = F.lower("href")
+    fits = ~F.col("href").rlike("^(mailto:|tel:|javascript:|#)") & (any_contains(F.col("text"), words) | F.contains(href, F.lit("careers")) | F.contains(href, F.lit("jobs")))
+    first = _first_anchor(pages, key, base, fits, F.col("url"))
+    return pages.select(key).join(first, key, "left").select(key, F.col("found").alias("link"))

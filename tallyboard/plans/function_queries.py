@@ -142,6 +142,23 @@ def x16_careers_link(spark, sf):
     return linked_pages(spark, sf).select("page_id", X.careers_link(c("html"), c("url")).alias("link"))
 
 
+def odd_pages(spark, sf):
+    """Pages that begin with what no simple pattern reads right: links in comments and scripts, and without quotes."""
+    link = F.when(c("page_id") % 3 == 0, lit("//boards.greenhouse.io/p")).when(c("page_id") % 3 == 1, lit("https://jobs.lever.co/p")).otherwise(lit("/about/"))
+    head = F.concat(lit('<!-- <a href="https://jobs.ashbyhq.com/no">Jobs</a> --><script>var x = \'<a href="https://apply.workable.com/no">Jobs</a>\';</script><A class=x HREF='), link, c("page_id").cast("string"), lit('>Open <b>Positions</b><a href = "mailto:jobs@example.com">Jobs</a>'))
+    return view(spark, sf, "pages").select("page_id", "url", F.concat(head, "html").alias("html"))
+
+
+@query("", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN regexp_extract(url, '^[a-z]+:') || '//boards.greenhouse.io/p' || CAST(page_id AS VARCHAR) WHEN 1 THEN 'https://jobs.lever.co/p' || CAST(page_id AS VARCHAR) END AS link, CASE page_id % 3 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' END AS vendor FROM pages")
+def x15_parsed_vendor_links(spark, sf):
+    return links.parsed_vendor_links(odd_pages(spark, sf), "page_id")
+
+
+@query("", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN regexp_extract(url, '^[a-z]+:') || '//boards.greenhouse.io/p' || CAST(page_id AS VARCHAR) WHEN 1 THEN 'https://jobs.lever.co/p' || CAST(page_id AS VARCHAR) ELSE regexp_extract(url, '^[a-z]+://[^/?#]*') || '/about/' || CAST(page_id AS VARCHAR) END AS link FROM pages")
+def x16_parsed_careers_links(spark, sf):
+    return links.parsed_careers_links(odd_pages(spark, sf), "page_id")
+
+
 @query("", r"""WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a\s*>', 1)) AS href, generate_subscripts(regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a\s*>', 1), 1) AS i FROM pages)
 SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^[a-z]+:') || href WHEN starts_with(href, '/') THEN regexp_extract(url, '^[a-z]+://[^/?#]*') || href END AS link FROM a""")
 def x17_absolute_url(spark, sf):

@@ -30,7 +30,7 @@ SELECT c_custkey AS company_id, c_name AS name, 'c' || CAST(c_custkey AS STRING)
 FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey) k ON o_custkey = c_custkey"""),
     "visits": (["events"], "SELECT event_id, ts AS timestamp, CAST(user_id AS STRING) AS ip_address, nullif(event_type, 'error') AS referrer FROM events"),
     "requests": (["orders", "customer"], r"""
-SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 3 = 0 THEN lower(c_name) ELSE 'New Venture ' || CAST(o_orderkey % 500 AS STRING) END AS name, 'https://v' || CAST(o_orderkey AS STRING) || '.com/jobs' AS careers_url,
+SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 3 = 0 THEN lower(c_name) ELSE 'New Venture ' || CAST(o_orderkey % 20011 AS STRING) END AS name, 'https://v' || CAST(o_orderkey AS STRING) || '.com/jobs' AS careers_url,
   'u' || CAST(o_custkey AS STRING) || '@example.com' AS user_email, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'approved' ELSE 'rejected' END AS status, o_orderdate AS created_at
 FROM orders JOIN customer ON o_custkey = c_custkey"""),
     "searches": (["benchmark"], r"""

@@ -6,9 +6,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyboard.functions import links
+from tallyboard.functions import text as X
 from tallyboard.operators import aggregates as A
 from tallyboard.operators import filters as P
+from tallyboard.operators import joins as J
 from tallyboard.operators import merge as U
+from tallyboard.operators import scoring as M
 from tallyboard.operators import search as Q
 from tallyboard.operators.tables import BucketedTable
 from tallyboard.plans.views import view
@@ -146,3 +150,53 @@ def test_sketches(spark):
         for k, (n, ips) in exact.items():
             assert found[k].visits == n and abs(found[k].visitors - ips) <= A.sketch_bound() * ips
     assert tuple(A.visitors_between(sketches, "2030-01-01", "2031-01-01").first()) == (0, 0)
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_semantic_index(spark, tmp_path, sf):
+    """Every vector is listed; recall against the exact search is 0.9 at least; all lists give the exact result."""
+    v = view(spark, sf, "embeddings")
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    path = f"file://{tmp_path}/v"
+    M.index_vectors(v, path)
+    assert rows(spark.read.parquet(f"{path}/vectors").select("vec_id")) == rows(v.select(F.col("vec_id").cast("long")))
+    exact = {(r.query_id, r.vec_id) for r in M.semantic_topk(v, q, 5).collect()}
+    found = {(r.query_id, r.vec_id) for r in M.indexed_topk(spark, path, q, 5).collect()}
+    assert len(exact & found) >= 0.9 * len(exact), len(exact & found) / len(exact)
+    whole = M.indexed_topk(spark, path, q, 5, 1.0)
+    assert {(r.query_id, r.vec_id, r.similarity) for r in whole.collect()} == {(r.query_id, r.vec_id, r.similarity) for r in M.semantic_topk(v, q, 5).collect()}
+
+
+def test_semantic_index_of_odd_vectors(spark, tmp_path):
+    schema = "vec_id long, embedding array<float>"
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (None, [0.0, 1.0]), (4, [1.0, 0.0]), (4, [1.0, 0.0])], schema)
+    for table, n in ((v, 6), (v.limit(0), 0)):
+        path = f"file://{tmp_path}/v{n}"
+        M.index_vectors(table, path)
+        found = M.indexed_topk(spark, path, spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, embedding array<float>"), 3, 1.0).collect()
+        assert sorted(r.vec_id for r in found) == ([1, 4, 4] if n else [])
+
+
+def test_typos_are_found(spark):
+    """Names with a letter too many or too few against the similarity of all pairs."""
+    from tallyboard.plans.queries import QUERIES, misspelt
+
+    sf = "/root/testdata/sf0.001"
+    names = sorted({f"{r.p_name} {r.p_type}" for r in view(spark, sf, "part").collect()})
+    wanted = {}
+    for (name, _) in map(tuple, misspelt(spark, sf).distinct().collect()):
+        best = max(names, key=lambda n: J.token_set_similarity(name, n))
+        score = J.token_set_similarity(name, best)
+        if score >= 90:
+            wanted[name] = (min(n for n in names if J.token_set_similarity(name, n) == score), round(score, 4))
+    found = {r.candidate: (r.match, r.score) for r in QUERIES["j10_fuzzy_typos"](spark, sf).collect()}
+    assert found == wanted and sum(90 <= s < 100 for _, s in found.values()) > 100
+
+
+def test_anchors_by_parser(spark):
+    """Where the parser and the pattern differ: comments, scripts, links without quotes, anchors that aren't closed."""
+    html = """<!-- <a href="no">x</a> --><a name=top>t</a><A HREF=a/b>One <b>two</b><a href='c'>Three</A><script>s='<a href="no2">y</a>'</script><a href="d&amp;e">4</a><a href>5</a>"""
+    df = spark.createDataFrame([(1, html), (2, None), (3, "<p>")], "page_id long, html string")
+    assert rows(links.page_anchors(df)) == [(1, 0, "a/b", "one two"), (1, 1, "c", "three"), (1, 2, "d&e", "4")]
+    by_pattern = df.select(F.explode(X.anchors(F.col("html"))["href"])).collect()
+    assert [r[0] for r in by_pattern] != ["a/b", "c", "d&e"]
