@@ -263,6 +263,15 @@ def due_digests(subscribers: DataFrame, jobs: DataFrame, as_of: str) -> DataFram
     return blocks.over_blocks(ready, "user_email", lambda some: windows.join(F.broadcast(some), "days").select("user_email", "job_id", "posted_date"))
 
 
+def digest_sizes(subscribers: DataFrame, jobs: DataFrame, as_of: str) -> DataFrame:
+    """(user_email, n): how many jobs each row of `due_digests` would list, counted once a window and not once a user; users without any are left out."""
+    now, days = F.lit(as_of).cast("timestamp"), lookback_days(F.coalesce("frequency", F.lit("daily")))
+    ready = subscribers.where("is_active").where(due(F.coalesce("frequency", F.lit("daily")), F.col("last_sent_at"), now)).select("user_email", days.alias("days"))
+    age = lambda n: F.count_if(F.col("posted_date") >= now - F.expr(f"INTERVAL {n} DAYS"))
+    sizes = jobs.where("is_active").agg(F.explode(F.array(*[F.struct(F.lit(n).alias("days"), age(n).alias("n")) for n in (1, 7)])).alias("x")).select("x.*")
+    return ready.join(F.broadcast(sizes), "days").where("n > 0").groupBy("user_email").agg(F.sum("n").alias("n"))
+
+
 def valid_requests(requests: DataFrame, companies: DataFrame, pending: DataFrame) -> DataFrame:
     """Requests whose name is neither a company nor already pending, whatever the case."""
     out = requests

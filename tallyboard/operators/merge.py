@@ -56,6 +56,8 @@ def merge_jobs(table: BucketedTable, incoming: DataFrame, emitted: Sequence[str]
     """`upsert_jobs` into a bucketed table by job_id: only the buckets of incoming ids are read and rewritten; returns them.
 
     With `counts` (company, active_jobs), the number of each company's active jobs is kept up to date by what the merge changes."""
+    if table.has(batch):
+        return []
     incoming = cut(incoming)
     if counts is not None:
         # first, from the table as it was: if this dies in between, the batch is found to be counted, and the table takes it

@@ -76,6 +76,10 @@ class BucketedTable:
         """The table as it is now, and stays for this reader."""
         return self._read(self._state())
 
+    def has(self, batch: int | None) -> bool:
+        """Whether the batch was merged before."""
+        return batch is not None and batch <= self._head(self._state()).batch
+
     def touched(self, changes: DataFrame) -> DataFrame:
         """The stored rows of the buckets that `changes` fall into."""
         state = self._state()

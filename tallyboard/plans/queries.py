@@ -363,6 +363,11 @@ def j13_attach_scores(spark, sf):
 DUE_SQL = "CASE WHEN last_sent_at IS NULL THEN TRUE WHEN frequency = 'daily' THEN TIMESTAMP '2024-03-15' - last_sent_at >= INTERVAL 23 HOUR WHEN frequency = 'weekly' THEN TIMESTAMP '2024-03-15' - last_sent_at >= INTERVAL 6 DAY ELSE FALSE END"
 
 
+@query("postings subscribers", f"SELECT user_email, count(*) AS n FROM subscribers s JOIN postings j ON j.posted_date >= TIMESTAMP '2024-03-15' - CASE WHEN frequency = 'daily' THEN 1 ELSE 7 END * INTERVAL 1 DAY WHERE s.is_active AND j.is_active AND {DUE_SQL} GROUP BY user_email")
+def j14_digest_sizes(spark, sf):
+    return J.digest_sizes(view(spark, sf, "subscribers"), jobs(spark, sf), AS_OF)
+
+
 @query("postings subscribers", f"SELECT user_email, count(*) AS n FROM subscribers s JOIN postings j ON j.posted_date >= TIMESTAMP '2024-03-15' - CASE WHEN frequency = 'daily' THEN 1 ELSE 7 END * INTERVAL 1 DAY WHERE s.is_active AND j.is_active AND {DUE_SQL} GROUP BY user_email")
 def j14_due_digests(spark, sf):
     return J.due_digests(view(spark, sf, "subscribers"), jobs(spark, sf), AS_OF).groupBy("user_email").agg(A.n())
