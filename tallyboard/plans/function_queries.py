@@ -10,6 +10,7 @@ from tallyboard.plans.queries import AS_OF, CURATED_SQL, c, jobs, lit, query
 from tallyboard.plans.views import SKILL_WORDS, SKILLS_SQL, shared_folder, view
 from tallyboard.sources import boards as B
 from tallyboard.sources import files
+from tallyboard.sources.landed import FORMAT, register
 
 SUFFIX_SQL = "CASE item % 7 WHEN 0 THEN ' Inc.' WHEN 1 THEN ' LLC' WHEN 2 THEN ' ltd' WHEN 3 THEN ' Company' WHEN 4 THEN ' Corp' WHEN 5 THEN ' Technologies' ELSE '' END"
 
@@ -272,10 +273,27 @@ def s3_greenhouse(spark, sf):
     return B.normalise_greenhouse(rows).select("job_id", "title", "location", "source_url", "posted_date")
 
 
-@query("postings", f"SELECT 'lever_' || CAST(doc_id AS VARCHAR) AS job_id, title, {PLACE_SQL} AS location, 'https://jobs.lever.co/tok_' || company || '/' || CAST(doc_id AS VARCHAR) AS source_url, posted_date, CASE WHEN contains(x, 'intern') THEN 'Internship' WHEN contains(x, 'contract') THEN 'Contract' WHEN doc_id % 3 = 0 OR contains(x, 'part-time') THEN 'Part-time' ELSE 'Full-time' END AS job_type FROM (SELECT *, lower(title || ' ' || description) AS x FROM postings) WHERE title <> ''")
-def s4_lever(spark, sf):
+LEVER_SQL = f"SELECT 'lever_' || CAST(doc_id AS VARCHAR) AS job_id, title, {PLACE_SQL} AS location, 'https://jobs.lever.co/tok_' || company || '/' || CAST(doc_id AS VARCHAR) AS source_url, posted_date, CASE WHEN contains(x, 'intern') THEN 'Internship' WHEN contains(x, 'contract') THEN 'Contract' WHEN doc_id % 3 = 0 OR contains(x, 'part-time') THEN 'Part-time' ELSE 'Full-time' END AS job_type FROM (SELECT *, lower(title || ' ' || description) AS x FROM postings) WHERE title <> ''"
+
+
+def lever_payloads(spark, sf):
     body = F.to_json(F.array(F.struct(doc().alias("id"), c("title").alias("text"), F.struct(place().alias("location"), F.when(c("doc_id") % 3 == 0, "Part-time").otherwise("Full time").alias("commitment")).alias("categories"), lit("").alias("description"), c("description").alias("descriptionPlain"), F.unix_millis("posted_date").alias("createdAt"))))
-    return B.normalise_lever(landed(spark, sf, body)).select("job_id", "title", "location", "source_url", "posted_date", "job_type")
+    return landed(spark, sf, body)
+
+
+@query("postings", LEVER_SQL)
+def s4_lever(spark, sf):
+    return B.normalise_lever(lever_payloads(spark, sf)).select("job_id", "title", "location", "source_url", "posted_date", "job_type")
+
+
+@query("postings", LEVER_SQL)
+def s4_landed_payloads(spark, sf):
+    """Payloads landed as files, read back by the data source."""
+    folder = f"{shared_folder(spark)}/landed"
+    rows = lever_payloads(spark, sf)
+    rows.select(lit("lever").alias("vendor"), F.to_json(F.struct("company", "company_location", "board", "body")).alias("value")).write.partitionBy("vendor").text(folder)
+    register(spark)
+    return B.normalise_lever(spark.read.format(FORMAT).option("vendors", "lever").load(folder)).select("job_id", "title", "location", "source_url", "posted_date", "job_type")
 
 
 @query("postings", "SELECT 'ashby_' || CAST(doc_id AS VARCHAR) AS job_id, trim(CASE WHEN doc_id % 6 = 0 THEN 'Unknown Role' ELSE title END) AS title, CASE doc_id % 3 WHEN 0 THEN 'Remote (' || company_location || ')' WHEN 1 THEN 'Lyon, ' || location ELSE 'Unknown' END AS location, 'tok_' || company || '/' || CAST(doc_id AS VARCHAR) AS source_url, CASE WHEN doc_id % 7 = 0 THEN TIMESTAMP '2024-03-15' ELSE posted_date END AS posted_date, 'Full-time' AS job_type, CASE WHEN doc_id % 3 = 0 THEN 'Remote' ELSE 'On-site' END AS remote_type FROM postings")
