@@ -50,3 +50,9 @@ def cut(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(_shared(df.sparkSession))
     return df.checkpoint()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever Spark's file systems have it."""
+    gone = spark._jvm.org.apache.hadoop.fs.Path(path)
+    gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)

@@ -52,13 +52,14 @@ def upsert_rejected(stored: DataFrame, rejected: DataFrame) -> DataFrame:
     return upsert(stored, rejected, ["content_hash"], ["title", "company", "rejected_at", "reason"], [F.col("rejected_at"), F.col("reason")])
 
 
-def merge_jobs(table: BucketedTable, incoming: DataFrame, emitted: Sequence[str], batch: int | None = None, counts: BucketedTable | None = None) -> list[int]:
-    """`upsert_jobs` into a bucketed table by job_id: only the buckets of incoming ids are read and rewritten; returns them.
+def merge_jobs(table: BucketedTable, incoming: DataFrame, emitted: Sequence[str], batch: int | None = None, counts: BucketedTable | None = None, stored: bool = False) -> list[int]:
+    """`upsert_jobs` into a bucketed table by job_id: only the buckets of incoming ids are read and rewritten; returns them. `stored`: the
+    incoming rows are a stored table's, and needn't be kept from being computed again.
 
     With `counts` (company, active_jobs), the number of each company's active jobs is kept up to date by what the merge changes."""
     if table.has(batch):
         return []
-    incoming = cut(incoming)
+    incoming = incoming if stored else cut(incoming)
     if counts is not None:
         # first, from the table as it was: if this dies in between, the batch is found to be counted, and the table takes it
         merge_counts(counts, active_deltas(table.touched(incoming), incoming, emitted), batch)

@@ -14,7 +14,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tallyboard.operators.aggregates import merge_sketches, visitor_sketches
-from tallyboard.operators.blocks import cut
+from tallyboard.operators.blocks import cut, delete, shared_folder
 from tallyboard.operators.filters import judged as judge
 from tallyboard.operators.joins import match_alerts
 from tallyboard.operators.merge import merge_jobs, upsert_rejected
@@ -29,10 +29,13 @@ def stream_ingest(source: DataFrame, jobs: BucketedTable, rejected: BucketedTabl
     gone through twice is the judging of its rows only. The three newest versions of a table stay."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        judged = cut(normalise(batch).transform(judge, **vocabularies))
+        spark, path = batch.sparkSession, shared_folder(batch.sparkSession)
+        normalise(batch).transform(judge, **vocabularies).write.parquet(path)
+        judged = spark.read.parquet(path)
         bad = judged.where("reason IS NOT NULL").select("content_hash", "title", "company", F.col("scraped_at").alias("rejected_at"), "reason")
         rejected.merge(bad, lambda stored: upsert_rejected(stored, bad), number)
-        merge_jobs(jobs, judged.where("reason IS NULL").drop("reason"), emitted, number, counts)
+        merge_jobs(jobs, judged.where("reason IS NULL").drop("reason"), emitted, number, counts, stored=True)
+        delete(spark, path)
         for table in (jobs, rejected, counts):
             if table is not None:
                 table.vacuum()
