@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -109,12 +110,49 @@ def settled(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     return df.select(*rest, F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
+#: One step of a pattern: an escape, a class, or a character, with its quantifier.
+STEP = re.compile(r"(\\[^\W_]|\\\W|\[\^?[^\]\[\\&]+\]|[^\\\[(){|*+?])([*+?][+?]?|\{\d+(?:,\d*)?\}[+?]?)?", re.S)
+#: Escapes that take more than one character.
+LONG_ESCAPES = "QEupPxkcN0123456789"
+
+
+def _steps(pattern: str) -> list[str]:
+    """The pattern in steps, or as a single one where it holds groups, alternatives or escapes of many characters."""
+    out, i = [], 0
+    while i < len(pattern):
+        step = STEP.match(pattern, i)
+        if not step or step[1][0] == "\\" and step[1][1] in LONG_ESCAPES:
+            return [f"(?:{pattern})"]
+        out.append(step[0])
+        i = step.end()
+    return out
+
+
+def one_pass(patterns: Sequence[str]) -> str:
+    """An expression that is found where any of the patterns is. Equal beginnings are tested once (a trie), and characters that begin
+    none of them are passed over by one test, so its time hardly depends on how many patterns there are."""
+    root: dict = {}
+    for p in patterns:
+        node = root
+        for step in _steps(p):
+            node = node.setdefault(step, {})
+        node[""] = {}
+
+    def text(node: dict) -> str:
+        if "" in node:  # whatever is longer is found here too
+            return ""
+        ways = [step + text(rest) for step, rest in node.items()]
+        return ways[0] if len(ways) == 1 else "(?:" + "|".join(ways) + ")"
+
+    start, node = "", root
+    if list(node) == [r"\b"]:
+        start, node = r"\b", node[r"\b"]
+    plain = all(len(step) == 1 and step.isalnum() for step in node)
+    return start + (f"(?=[{''.join(node)}])" if plain and node else "") + text(node)
+
+
 def any_pattern(text: Column, patterns: Sequence[str]) -> Column:
-    if not patterns:
-        return F.lit(False)
-    # a word boundary that all ask for is tested once a place
-    head = r"\b" if all(p.startswith(r"\b") for p in patterns) else ""
-    return text.rlike(f"(?u){head}(?:" + "|".join(f"(?:{p[len(head):]})" for p in patterns) + ")")
+    return text.rlike("(?u)" + one_pass(patterns)) if patterns else F.lit(False)
 
 
 def first_pattern(text: Column, patterns: Sequence[str]) -> Column:
