@@ -93,7 +93,7 @@ def folded(text: Column) -> Column:
     return F.lower(F.translate(text, "\u0130\u0131\u017f\u212a", "iisk"))
 
 
-def _grams(text: Column, sizes: list[int]) -> Column:
+def grams(text: Column, sizes: list[int]) -> Column:
     """The distinct grams of a text: one pass of a pattern that looks ahead at every place."""
     return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]))
 
@@ -117,7 +117,7 @@ def _probes(jobs: DataFrame, sizes: list[int]) -> DataFrame:
     text = folded(F.concat_ws("\n", "title", "company", F.array_join(F.coalesce("skills", F.array().cast("array<string>")), "\n")))
     place = folded(F.concat_ws("\n", "location", F.when(F.col("remote_type") == "Remote", "remote")))
     df = settled(jobs, {"_text": text, "_place": place})
-    spaced = lambda c, n: F.transform(_grams(F.col(c), sizes), lambda g: F.struct(F.lit(n).alias("space"), g.alias("gram")))
+    spaced = lambda c, n: F.transform(grams(F.col(c), sizes), lambda g: F.struct(F.lit(n).alias("space"), g.alias("gram")))
     return df.withColumn("probe", F.explode(F.concat(spaced("_text", 1), spaced("_place", 2))))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyboard.functions import presets
 from tallyboard.functions.text import empty_if_null
+from tallyboard.operators import keyed
 from tallyboard.operators.blocks import over_blocks
 from tallyboard.operators.filters import settled
 from tallyboard.operators.windows import top_matches
@@ -67,8 +68,9 @@ def run_digest(jobs: DataFrame, as_of: str, days: int = 1, n: int = 15, least: f
 def preference_score(jobs: DataFrame, prefs: DataFrame, below: bool = False) -> DataFrame:
     """(user_email, job_id, match_score) of the jobs that reach the user's least score; with `below`, of all, and `kept` tells which do.
 
-    30 for keywords, 30 skills, 20 place, 20 pay; an excluded word gives 0. The users are a stated set of queries that meets
-    every job where it lies: they are sent out in blocks of checked size."""
+    30 for keywords, 30 skills, 20 place, 20 pay; an excluded word gives 0. Without `below`, users are listed by the words, skills
+    and places without any of which a job can't reach their least score, and jobs probe the list (`keyed`). Users who have no such
+    words (the least score is within reach of any job) meet every job, as all do with `below`; both in blocks of checked size."""
     low = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.lower(x))
     p = prefs.select("user_email", *[low(F.col(c)).alias(f"_{c}") for c in ("keywords", "exclude_keywords", "locations", "required_skills", "preferred_skills")], F.coalesce("min_salary", F.lit(0)).alias("_min"), F.coalesce("min_match_score", F.lit(0)).alias("_least"))
     texts = settled(jobs, {"_text": F.lower(F.concat_ws(" ", empty_if_null(F.col("title")), empty_if_null(F.col("description")))), "_skills": low(F.col("skills")), "_place": F.lower(empty_if_null(F.col("location")))})
@@ -87,20 +89,42 @@ def preference_score(jobs: DataFrame, prefs: DataFrame, below: bool = False) ->
     pay = F.when((F.col("_min") == 0) | ((low_pay >= F.col("_min")) & (low_pay > 0)), 1.0).when((low_pay == 0) & (high_pay == 0), 0.5).when(high_pay >= F.col("_min"), 0.7).otherwise(0.0)
     score = F.when(F.exists("_exclude_keywords", in_text), 0.0).otherwise(F.round(keywords * 30 + skills * 30 + place * 20 + pay * 20, 2))
 
-    def scored(block: DataFrame) -> DataFrame:
-        df = settled(texts.join(F.broadcast(block)), {"match_score": score})
+    def scored(both: DataFrame) -> DataFrame:
+        df = settled(both, {"match_score": score})
         return df.select("user_email", "job_id", "match_score", (F.col("match_score") >= F.col("_least")).alias("kept"))
 
-    out = over_blocks(p, "user_email", scored)
-    return out if below else out.where("kept").drop("kept")
+    if below:
+        return over_blocks(p, "user_email", lambda block: scored(texts.join(F.broadcast(block))))
+    groups = ("_keywords", "_required_skills", "_preferred_skills", "_locations")
+    n = F.size("_required_skills")
+    takes = (F.size("_keywords"), n - F.ceil(n / 2) + 1, F.size("_preferred_skills"), F.lit(2**30))
+    words = (keyed.items(keyed.TEXT, F.col("_keywords")), *[keyed.items(keyed.SKILL, F.col(c)) for c in groups[1:3]], keyed.places(F.col("_locations")))
+    parts = F.array(*[keyed.part(F.lit(k), none(groups[k]), F.lit(False), takes[k], words[k]) for k in range(4)])
+
+    def way(found: Column) -> Column:
+        of = lambda k: F.get(F.filter(found, lambda x: x["part"] == k), F.lit(0))
+        ways = []
+        for without in range(1, 16):
+            out = [k for k in range(4) if without >> k & 1]
+            best = (0 if 0 in out else 30) + (0 if 1 in out else 21 if 2 in out else 30) + (0 if 3 in out else 20) + 20
+            possible = F.lit(best) < F.col("_least")
+            for k in out:
+                possible = possible & ~of(k)["open"]
+            ways.append((possible, sum((of(k)["cost"] for k in out), F.lit(0).cast("long")), F.concat(*[of(k)["keys"] for k in out])))
+        return keyed.cheapest(ways)
+
+    near = F.concat_ws("\n", "_place", F.when(F.col("remote_type") == "Remote", "remote"))
+    index, probing = keyed.listed(p, parts, way, texts, near)
+    return keyed.met(probing, index, scored).where("kept").drop("kept")
 
 
 def criteria_score(jobs: DataFrame, criteria: DataFrame, zeros: bool = False) -> DataFrame:
     """(set_id, job_id, score) of criteria (set_id, type, words, priority, is_required): weighted share of what fits, 0 if a required
     one doesn't. Zeros are left out unless asked for.
 
-    Types: keyword (any word in title or description), location (any word in the place), skills (half of them). Each set is one
-    row, and sets are sent out in blocks of checked size, so no scores are shuffled."""
+    Types: keyword (any word in title or description), location (any word in the place), skills (half of them). Without zeros, a set is
+    listed by its required criterion of the rarest words, or by the words of all criteria where none is required, and jobs probe the
+    list (`keyed`). Each set is one row, and sets are sent out in blocks of checked size, so no scores are shuffled."""
     text, place = F.lower(F.concat_ws(" ", empty_if_null(F.col("title")), empty_if_null(F.col("description")))), F.lower(empty_if_null(F.col("location")))
     own = F.transform(F.coalesce("skills", F.array().cast("array<string>")), lambda s: F.lower(s))
     df = settled(jobs.select("job_id", "title", "description", "location", "skills"), {"_text": text, "_place": place, "_skills": own})
@@ -117,12 +141,26 @@ def criteria_score(jobs: DataFrame, criteria: DataFrame, zeros: bool = False) ->
     share = F.round(100.0 * total(F.filter("_hits", lambda x: x["fits"])) / total(F.col("_hits")), 2)
     score = F.when(F.forall("_hits", lambda x: x["fits"] | ~x["is_required"]), share).otherwise(0.0)
 
-    def scored(block: DataFrame) -> DataFrame:
-        met = settled(df.join(F.broadcast(block)), {"_hits": hits})
-        return met.select("set_id", "job_id", score.alias("score"))
-
-    out = over_blocks(sets, "set_id", scored)
-    return out if zeros else out.where("score > 0")
+    def scored(both: DataFrame) -> DataFrame:
+        return settled(both, {"_hits": hits}).select("set_id", "job_id", score.alias("score"))
+
+    if zeros:
+        return over_blocks(sets, "set_id", lambda block: scored(df.join(F.broadcast(block))))
+    none = F.array().cast("array<string>")
+    space = lambda x: F.when(x["type"] == "keyword", keyed.items(keyed.TEXT, x["words"])).when(x["type"] == "location", keyed.items(keyed.PLACE, x["words"])).when(x["type"] == "skills", keyed.items(keyed.SKILL, x["words"])).otherwise(keyed.items(keyed.TEXT, none))
+    size = lambda x: F.size(F.coalesce(x["words"], none))
+    take = lambda x: F.when(x["type"] == "skills", size(x) - F.ceil(size(x) / 2) + 1).otherwise(size(x))
+    # half of no skills is none, which every job has
+    every = lambda x: (x["type"] == "skills") & x["words"].isNotNull() & (size(x) == 0)
+    parts = F.transform("_all", lambda x, k: keyed.part(k, every(x), F.coalesce(x["is_required"], F.lit(True)), take(x), space(x)))
+
+    def way(found: Column) -> Column:
+        must = F.transform(F.filter(found, lambda x: x["required"] & ~x["open"]), lambda x: F.struct(x["cost"].alias("cost"), x["keys"].alias("keys")))
+        any_ = keyed.cheapest([(~F.exists(found, lambda x: x["open"]), F.aggregate(found, F.lit(0).cast("long"), lambda s, x: s + x["cost"]), F.flatten(F.transform(found, lambda x: x["keys"])))])
+        return F.coalesce(F.array_min(must), any_)
+
+    index, probing = keyed.listed(sets, parts, way, df, F.col("_place"))
+    return keyed.met(probing, index, scored).where("score > 0")
 
 
 def semantic_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyboard.functions import presets
-from tallyboard.operators import alerts, blocks
+from tallyboard.operators import alerts, blocks, keyed
 from tallyboard.operators import filters as P
 from tallyboard.operators import joins as J
 from tallyboard.operators import merge as U
@@ -147,6 +147,25 @@ def test_gate_computes_once(spark):
     assert words[0].count() == 1
 
 
+def test_one_pass(spark):
+    """The expression that branches by character finds what the patterns find one by one."""
+    rng = random.Random(2)
+    pieces = ["a", "b", "ab", "日本", r"\b", r"\s+", "[ab]", "c?", "(?:d|a)", "n1", r"\.", ".", "a{2}", "ba*", "^", "|"]
+    texts = ["".join(rng.choice(["a", "b", "c", "d", " ", "日本", ".", "n1", "\n"]) for _ in range(rng.randint(0, 9))) for _ in range(150)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).cache()
+    for _ in range(25):
+        patterns = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 4))).strip("|") or "a" for _ in range(rng.randint(1, 8))]
+        try:
+            each = [re.compile(p) for p in patterns]
+        except re.error:
+            continue
+        single = F.lit(False)
+        for p in patterns:
+            single = single | F.col("t").rlike(f"(?u){p}")
+        assert df.where(single != P.any_pattern(F.col("t"), patterns)).collect() == [], (patterns, each)
+    assert P.one_pass([r"\bdata\b", r"\bdev\b", r"\bdevops\b"]) == r"\b(?=[d])d(?:ata\b|ev(?:\b|ops\b))"
+
+
 def test_blocks_change_nothing(spark, monkeypatch):
     names = ["m4_preference_score", "m5_criteria_score", "m6_semantic_topk", "j14_due_digests"]
     whole = {n: rows(QUERIES[n](spark, SF)) for n in names}
@@ -154,6 +173,46 @@ def test_blocks_change_nothing(spark, monkeypatch):
     assert all(rows(QUERIES[n](spark, SF)) == whole[n] for n in names)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("counted", [1000, 0])
+def test_keyed_preferences(spark, monkeypatch, counted):
+    """Users by their words, skills and places find what all pairs give, without a nested loop; those whom any job may please stay apart."""
+    monkeypatch.setattr(keyed, "COUNTED", counted)
+    rng = random.Random(4)
+    words, skills, towns = ["alpha", "be", "c", "delta ray", "the", "Ünit", "日本", "x😀y", ""], ["Ai", "Go", "C++", "SQL", None], ["Tokyo", "To", "", "Remote", "Paris, France", "東京", None]
+    some = lambda xs, k: rng.choice([None, []] + [[rng.choice(xs) for _ in range(rng.randint(1, k))]] * 4)
+    pay = lambda: rng.choice([None, (0, 0), (40, 60), (70, 90)])
+    jobs = spark.createDataFrame([(f"j{i}", rng.choice([None, "The Alpha", "delta"]), " ".join(some(words, 6) or []), rng.choice(towns), rng.choice(["Remote", "On-site", None]), some(skills, 3), pay()) for i in range(80)], "job_id string, title string, description string, location string, remote_type string, skills array<string>, salary struct<min:long,max:long>")
+    person = lambda i, least: (f"u{i % 55}", some([*words, None], 3), some(words[:8], 1), some([*towns[:6], "remote europe", "Tokyo, Japan"], 2), some(skills, 4), some(skills, 2), rng.choice([None, 0, 50]), least)
+    schema = "user_email string, keywords array<string>, exclude_keywords array<string>, locations array<string>, required_skills array<string>, preferred_skills array<string>, min_salary long, min_match_score long"
+    users = spark.createDataFrame([person(i, rng.choice([None, 0, 30, 45, 60, 72, 85, 95])) for i in range(60)], schema)
+    wanted = rows(M.preference_score(jobs, users, below=True).where("kept").drop("kept"))
+    assert rows(M.preference_score(jobs, users)) == wanted and len(wanted) > 100
+    picky = users.where("min_match_score >= 72 AND size(keywords) > 0 AND size(required_skills) > 0")
+    found = M.preference_score(jobs, picky)
+    assert "NestedLoop" not in plan_of(found) and rows(found) == rows(M.preference_score(jobs, picky, below=True).where("kept").drop("kept"))
+    assert M.preference_score(jobs.limit(0), users).count() == 0 and M.preference_score(jobs, users.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("counted", [1000, 0])
+def test_keyed_criteria(spark, monkeypatch, counted):
+    monkeypatch.setattr(keyed, "COUNTED", counted)
+    rng = random.Random(5)
+    words = ["alpha", "be", "c", "Delta ray", "日本", "go", "sql", "", None]
+    some = lambda k: rng.choice([None, []] + [[rng.choice(words) for _ in range(rng.randint(1, k))]] * 6)
+    jobs = spark.createDataFrame([(f"j{i}", rng.choice([None, "Alpha"]), " ".join(w or "" for w in some(5) or []), rng.choice(["", "Delta", "be", None]), some(3)) for i in range(60)], "job_id string, title string, description string, location string, skills array<string>")
+    criteria = [(s, rng.choice(["keyword", "location", "skills", "other"]), some(4), rng.randint(1, 3), rng.choice([True, False, False, None])) for s in range(60) for _ in range(rng.randint(1, 3))]
+    sets = spark.createDataFrame(criteria, "set_id int, type string, words array<string>, priority int, is_required boolean")
+    wanted = rows(M.criteria_score(jobs, sets, zeros=True).where("score > 0"))
+    assert rows(M.criteria_score(jobs, sets)) == wanted and len(wanted) > 100
+    strict = sets.where("type = 'keyword' AND is_required")
+    assert "NestedLoop" not in plan_of(M.criteria_score(jobs, strict))
+    assert M.criteria_score(jobs, sets.limit(0)).count() == 0
+
+
 def test_landed_scores(spark):
     jobs = spark.createDataFrame([(i, "llm", "c", []) for i in "abc"], "job_id string, title string, company string, skills array<string>")
     scores = spark.createDataFrame([("a", 9.0, "fits")], "job_id string, score double, reason string")
