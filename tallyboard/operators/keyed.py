@@ -50,7 +50,7 @@ def _probes(rows: DataFrame, near: Column, wanted: DataFrame) -> DataFrame:
     taken = [0] * (SLOTS // 64)
     for row in wanted.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)))).alias("bits")).collect():
         taken[row["word"]] = row["bits"]
-    filled = F.array(*[F.lit(x).cast("long") for x in taken])
+    filled = F.split(F.lit(",".join(map(str, taken))), ",").cast("array<long>")  # one literal keeps plans small
     sure = F.array(*[F.struct(F.lit(s).alias("space"), k.alias("key")) for s, k in ((TEXT, F.lit("")), (PLACE, F.lit("")), (HEAD, F.substring("_place", 1, GRAM)))]).cast(KEY)
     of = lambda space, text: items(space, grams(text, sizes[space])) if sizes[space] else F.array().cast(KEY)
     keys = F.concat(sure, of(TEXT, F.col("_text")), of(PLACE, near), items(SKILL, F.array_distinct("_skills")))
@@ -91,15 +91,15 @@ def met(probing: DataFrame, index: DataFrame, run: Callable[[DataFrame], DataFra
     some, rest = index.where("_keys IS NOT NULL"), index.where("_keys IS NULL").drop("_keys")
     found = []
     if not some.isEmpty():
-        by_key = some.withColumn("_key", F.explode("_keys"))
         left = probing.withColumn("_probe", F.explode("_probes"))
 
         def probed(block: DataFrame) -> DataFrame:
-            both = left.join(F.broadcast(block), F.col("_probe") == F.col("_key"))
+            # the list is about as large as the keys of the block's sets, which are measured with them
+            both = left.join(F.broadcast(block.select("_id", F.explode("_keys").alias("_key"))), F.col("_probe") == F.col("_key")).join(F.broadcast(block), "_id")
             first = F.try_element_at(F.filter("_keys", lambda k: F.array_contains(F.col("_probes"), k)), F.lit(1)) == F.col("_probe")
             return run(both.where((F.size("_keys") == 1) | first).drop("_probe", "_key", "_keys", "_probes"))
 
-        found.append(blocks.over_blocks(by_key, "_id", probed))
+        found.append(blocks.over_blocks(some, "_id", probed))
     if not rest.isEmpty() or not found:
         found.append(blocks.over_blocks(rest, "_id", lambda block: run(probing.drop("_probes").join(F.broadcast(block)))))
     return found[0].unionByName(found[1]) if len(found) > 1 else found[0]
