@@ -252,14 +252,21 @@ def lookback_days(frequency: Column) -> Column:
     return F.when(frequency == "daily", 1).otherwise(7)
 
 
-def due_digests(subscribers: DataFrame, jobs: DataFrame, as_of: str) -> DataFrame:
-    """(user_email, job_id, posted_date) of every due subscriber's digest window; subscribers only differ in two windows.
-
-    Due subscribers are sent out in blocks of checked size; jobs stay where they are."""
+def digest_windows(subscribers: DataFrame, jobs: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
+    """((user_email, days) of due subscribers, (days, job_id, posted_date) of the windows). Subscribers only differ in two windows, so a
+    digest is a window's jobs: this is what `due_digests` lists, without its pairs."""
     now = F.lit(as_of).cast("timestamp")
     ready = subscribers.where("is_active").where(due(F.coalesce("frequency", F.lit("daily")), F.col("last_sent_at"), now)).select("user_email", lookback_days(F.coalesce("frequency", F.lit("daily"))).alias("days"))
     recent = jobs.where("is_active").where(F.col("posted_date") >= now - F.expr("INTERVAL 7 DAYS")).select("job_id", "posted_date")
     windows = recent.withColumn("days", F.explode(F.when(F.col("posted_date") >= now - F.expr("INTERVAL 1 DAY"), F.array(F.lit(1), F.lit(7))).otherwise(F.array(F.lit(7)))))
+    return ready, windows
+
+
+def due_digests(subscribers: DataFrame, jobs: DataFrame, as_of: str) -> DataFrame:
+    """(user_email, job_id, posted_date) of every due subscriber's digest window.
+
+    Due subscribers are sent out in blocks of checked size; jobs stay where they are."""
+    ready, windows = digest_windows(subscribers, jobs, as_of)
     return blocks.over_blocks(ready, "user_email", lambda some: windows.join(F.broadcast(some), "days").select("user_email", "job_id", "posted_date"))
 
 
