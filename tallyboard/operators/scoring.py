@@ -75,7 +75,11 @@ def preference_score(jobs: DataFrame, prefs: DataFrame, below: bool = False) ->
     p = prefs.select("user_email", *[low(F.col(c)).alias(f"_{c}") for c in ("keywords", "exclude_keywords", "locations", "required_skills", "preferred_skills")], F.coalesce("min_salary", F.lit(0)).alias("_min"), F.coalesce("min_match_score", F.lit(0)).alias("_least"))
     texts = settled(jobs, {"_text": F.lower(F.concat_ws(" ", empty_if_null(F.col("title")), empty_if_null(F.col("description")))), "_skills": low(F.col("skills")), "_place": F.lower(empty_if_null(F.col("location")))})
     share = lambda words, hit: F.size(F.filter(words, hit)) / F.size(words)
-    in_text = lambda w: F.contains(F.col("_text"), w)
+    known = keyed.vocabulary(p.select(F.explode(F.concat("_keywords", "_exclude_keywords")).alias("w")))
+    if known is not None:
+        # each word is looked for once a job, not once a pair, and pairs carry no texts
+        texts = keyed.held(texts, known, ["job_id", "remote_type", "salary", "_skills", "_place"])
+    in_text = lambda w: F.contains(F.col("_text"), w) if known is None else F.array_contains("_held", w)
     is_skill = lambda w: F.array_contains(F.col("_skills"), w)
     none = lambda c: F.size(c) == 0
     keywords = F.when(none("_keywords"), 1.0).otherwise(share(F.col("_keywords"), in_text))
@@ -130,9 +134,14 @@ def criteria_score(jobs: DataFrame, criteria: DataFrame, zeros: bool = False) ->
     df = settled(jobs.select("job_id", "title", "description", "location", "skills"), {"_text": text, "_place": place, "_skills": own})
     parts = F.struct("type", F.transform("words", lambda w: F.lower(w)).alias("words"), (F.col("priority") * 20).alias("weight"), "is_required")
     sets = criteria.groupBy("set_id").agg(F.collect_list(parts).alias("_all"))
+    known = keyed.vocabulary(criteria.where("type = 'keyword'").select(F.explode("words").alias("w")).select(F.lower("w").alias("w")))
+    if known is not None:
+        # each word is looked for once a job, not once a pair, and pairs carry no texts
+        df = keyed.held(df, known, ["job_id", "_skills", "_place"])
 
     def fits(x: Column) -> Column:
-        some = lambda c: F.exists(x["words"], lambda w: F.contains(F.col(c), w))
+        in_ = lambda c, w: F.array_contains("_held", w) if c == "_text" and known is not None else F.contains(F.col(c), w)
+        some = lambda c: F.exists(x["words"], lambda w: in_(c, w))
         skills = F.size(F.filter(x["words"], lambda w: F.array_contains(F.col("_skills"), w))) >= F.size(x["words"]) * 0.5
         return F.coalesce(F.when(x["type"] == "keyword", some("_text")).when(x["type"] == "location", some("_place")).when(x["type"] == "skills", skills), F.lit(False))
 
