@@ -15,6 +15,7 @@ from tallyboard.functions.text import empty_if_null
 from tallyboard.operators import keyed
 from tallyboard.operators.blocks import over_blocks
 from tallyboard.operators.filters import settled
+from tallyboard.operators.nearest import nearest
 from tallyboard.operators.windows import top_matches
 
 
@@ -175,18 +176,9 @@ def criteria_score(jobs: DataFrame, criteria: DataFrame, zeros: bool = False) ->
 def semantic_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, similarity, rank): the k most similar vectors by cosine; ties by id.
 
-    A stated set of queries against all rows, sent out in blocks of checked size."""
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    unit = lambda df, i, o: df.select(F.col(i).alias(o), F.col("embedding").cast("array<double>").alias("e")).withColumn("n", norm(F.col("e")))
-    v = unit(vectors, "vec_id", "vec_id")
-
-    def ranked(part: DataFrame) -> DataFrame:
-        q = unit(part, "query_id", "query_id").withColumnsRenamed({"e": "qe", "n": "qn"})
-        dot = F.aggregate(F.zip_with("e", "qe", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        scored = v.join(F.broadcast(q)).select("query_id", "vec_id", F.round(dot / F.nullif(F.col("n") * F.col("qn"), F.lit(0.0)), 6).alias("similarity"))
-        return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("similarity").desc_nulls_last(), "vec_id"))).where(F.col("rank") <= k)
-
-    return over_blocks(queries.select("query_id", "embedding"), "query_id", ranked)
+    A stated set of queries against all rows, sent out in blocks of checked size. The work is queries times rows; products of
+    matrices do it (`nearest`), and each task gives k rows a query."""
+    return over_blocks(queries.select("query_id", "embedding"), "query_id", lambda part: nearest(vectors.select("vec_id", "embedding"), part, k))
 
 
 #: Vectors that centroids are fitted on; every vector is listed, however many there are.
