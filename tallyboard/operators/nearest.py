@@ -112,15 +112,19 @@ class Best:
 
     def same(self, q: np.ndarray, places: np.ndarray, key: float) -> None:
         """Rows that have one key for all of these queries."""
-        q, places = q[self.keys[q, -1] <= key], places[: self.k]
+        q, places = q[self.keys[q, -1] <= key], np.sort(places)[: self.k]
         self.add(np.repeat(q, len(places)), np.tile(places, len(q)), np.full(len(q) * len(places), key))
 
-    def append(self, ids: pa.Array) -> int:
-        """Takes the ids of new rows, without those that are no longer needed; the place of the first."""
+    def append(self, ids: pa.Array, ordered: bool) -> np.ndarray:
+        """Takes the ids of new rows, without those that are no longer needed; the places of the new ones. `ordered`: they come by id."""
         live = np.unique(self.places[self.places >= 0])
-        self.places = np.where(self.places >= 0, np.searchsorted(live, self.places), -1)
         self.ids = pa.concat_arrays([self.ids.take(pa.array(live)), ids])
-        return len(live)
+        places = np.arange(len(self.ids))
+        if not ordered:
+            order = pc.sort_indices(self.ids, null_placement="at_start")
+            self.ids, places[order.to_numpy()] = self.ids.take(order), places.copy()
+        self.places = np.where(self.places >= 0, places[np.searchsorted(live, self.places)], -1)
+        return places[len(live) :]
 
     def batches(self, ids: pa.Array, names: list[str]) -> Iterator[pa.RecordBatch]:
         step = max(1, 10_000 // self.k)
@@ -205,7 +209,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 continue
             if best is None:
                 best = Best(len(ids), k, batch.column(0).slice(0, 0))
-            places = best.append(batch.column(0)) + np.arange(batch.num_rows)
+            places = best.append(batch.column(0), not listed)
             if not listed:
                 search(best, own, everyone, batch.column(1), places, True)
                 continue
@@ -218,7 +222,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     if k < 1:
         vectors = vectors.limit(0)
-    rows = vectors.select("vec_id", doubles, *(["list"] if listed else [])).sortWithinPartitions("vec_id")
+    rows = vectors.select("vec_id", doubles, *(["list"] if listed else []))
+    # the rows of a list come one after the other, as they are stored
+    rows = rows if listed else rows.sortWithinPartitions("vec_id")
     names = {"query_id": queries.schema["query_id"].dataType, "vec_id": vectors.schema["vec_id"].dataType}
     found = rows.mapInArrow(run, ", ".join([*(f"{n} {t.simpleString()}" for n, t in names.items()), "similarity double"]))
     by = W.partitionBy("query_id").orderBy(F.col("similarity").desc_nulls_last(), "vec_id")

@@ -6,8 +6,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyboard.functions import presets
@@ -190,14 +190,14 @@ PROBED = 0.7
 
 
 def _units(lists: pd.Series) -> np.ndarray:
-    """Rows of length one; a null or zero vector is a zero row."""
+    """Rows of length one; a null, zero or infinite vector is a zero row."""
     width = max((len(x) for x in lists if x is not None), default=0)
     rows = np.zeros((len(lists), width))
     for k, x in enumerate(lists):
         if x is not None:
             rows[k, : len(x)] = np.asarray(x, float)
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
-    return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
+    return np.divide(rows, norms, out=np.zeros_like(rows), where=(norms > 0) & np.isfinite(norms))
 
 
 def fit_centroids(vectors: DataFrame, lists: int, sample: int = SAMPLE, rounds: int = ROUNDS) -> np.ndarray:
@@ -228,13 +228,14 @@ def index_vectors(vectors: DataFrame, path: str, lists: int | None = None, sampl
     centres = fit_centroids(vectors, lists, sample)
     sent = spark.sparkContext.broadcast(centres)
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = _units(pdf["embedding"])
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _units(batch.column(1).to_pandas())
             width = min(x.shape[1], sent.value.shape[1])
-            yield pdf.assign(list=np.argmax(x[:, :width] @ sent.value[:, :width].T, axis=1).astype(np.int32))
+            own = np.argmax(x[:, :width] @ sent.value[:, :width].T, axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], names=["vec_id", "embedding", "list"])
 
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInPandas(assign, "vec_id long, embedding array<double>, list int")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(assign, "vec_id long, embedding array<double>, list int")
     rows.repartition("list").write.mode("overwrite").partitionBy("list").parquet(f"{path}/vectors")
     spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(centres)], "list int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
 
@@ -242,16 +243,21 @@ def index_vectors(vectors: DataFrame, path: str, lists: int | None = None, sampl
 def indexed_topk(spark: SparkSession, path: str, queries: DataFrame, k: int, probed: float = PROBED) -> DataFrame:
     """(query_id, vec_id, similarity, rank) as `semantic_topk`, of the vectors in the `probed` share of lists whose centroids are most similar to the query.
 
-    Exact within these lists; what lies elsewhere is missed, so recall grows with `probed` and is whole at 1. Queries meet vectors by list."""
-    centres = spark.read.parquet(f"{path}/centres")
-    n = centres.count()
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
-    q = queries.select("query_id", F.col("embedding").cast("array<double>").alias("qe"))
-    # the centroids are one row that every query gets
-    near = q.crossJoin(F.broadcast(centres.agg(F.collect_list(F.struct("list", "centre")).alias("all"))))
-    best = F.slice(F.sort_array(F.transform("all", lambda c: F.struct((-dot(F.col("qe"), c["centre"])).alias("s"), c["list"].alias("list")))), 1, max(1, round(n * probed)))
-    asked = near.select("query_id", "qe", norm(F.col("qe")).alias("qn"), F.explode(best["list"]).alias("list"))
-    rows = spark.read.schema("vec_id long, embedding array<double>, list int").parquet(f"{path}/vectors").withColumn("n", norm(F.col("embedding")))
-    scored = rows.join(asked, "list").select("query_id", "vec_id", F.round(dot(F.col("embedding"), F.col("qe")) / F.nullif(F.col("n") * F.col("qn"), F.lit(0.0)), 6).alias("similarity"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("similarity").desc_nulls_last(), "vec_id"))).where(F.col("rank") <= k)
+    Exact within these lists; what lies elsewhere is missed, so recall grows with `probed` and is whole at 1. Each list meets the queries
+    that look into it by products of matrices (`nearest`), in as many tasks as its rows are read by."""
+    centres = _units(pd.Series([r.centre for r in spark.read.parquet(f"{path}/centres").orderBy("list").select("centre").collect()]))
+    sent, own = spark.sparkContext.broadcast(centres), max(1, round(len(centres) * probed))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _units(batch.column(1).to_pandas())
+            width = min(x.shape[1], sent.value.shape[1])
+            best = np.argsort(-(x[:, :width] @ sent.value[:, :width].T), axis=1, kind="stable")[:, :own]
+            bits = np.zeros((len(x), len(sent.value)), bool)
+            np.put_along_axis(bits, best, True, axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([b.tobytes() for b in np.packbits(bits, axis=1)], pa.binary())], names=["query_id", "embedding", "lists"])
+
+    q = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = q.mapInArrow(look, f"query_id {q.schema['query_id'].dataType.simpleString()}, embedding array<double>, lists binary")
+    rows = spark.read.schema("vec_id long, embedding array<double>, list int").parquet(f"{path}/vectors")
+    return over_blocks(asked, "query_id", lambda part: nearest(rows, part, k))

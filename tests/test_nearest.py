@@ -68,3 +68,15 @@ def test_no_product_of_rows(spark):
     v, q = table(spark, SHORT, random.Random(9), 300), table(spark, SHORT, random.Random(8), 20).withColumnRenamed("vec_id", "query_id")
     plan = M.semantic_topk(v, q, 3)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_index_without_product_of_rows(spark, tmp_path):
+    """All lists give what all pairs give, nulls and ids beyond 2**53 included; queries meet rows in blocks, not in a join."""
+    v, q = (table(spark, SHORT, random.Random(k), n).withColumn("vec_id", F.col("vec_id") + 2**60) for k, n in ((4, 400), (5, 40)))
+    v, q = v.cache(), q.withColumnRenamed("vec_id", "query_id").cache()
+    path = f"file://{tmp_path}/v"
+    M.index_vectors(v, path, lists=9)
+    found = M.indexed_topk(spark, path, q, 4, 1.0)
+    assert rows(found) == rows(all_pairs(v, q, 4))
+    plan = M.indexed_topk(spark, path, q, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Cartesian" not in plan
