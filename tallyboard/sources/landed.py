@@ -13,16 +13,24 @@ from __future__ import annotations
 import datetime
 import io
 import json
+import sys
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 FORMAT = "landed_payloads"
 SCHEMA = "vendor string, company string, company_location string, board string, kind string, fetched_at timestamp, body string, file string"
 #: Bytes of files that one task reads.
 PARTITION_BYTES = 64 << 20
+NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+#: Bytes of rows that a task holds before it hands them to Spark.
+BATCH_BYTES = 4 << 20
 
 
 @dataclass(frozen=True, order=True)
@@ -56,7 +64,7 @@ def _time(text: object) -> datetime.datetime | None:
     return at if at.tzinfo else at.replace(tzinfo=datetime.UTC)
 
 
-def _read(path: str, files: Iterable[_File]) -> Iterator[tuple]:
+def _rows(path: str, files: Iterable[_File]) -> Iterator[tuple]:
     """The rows of some files, line by line. A line that isn't a JSON object gives no row; missing fields are null."""
     from pyarrow import fs
 
@@ -74,6 +82,27 @@ def _read(path: str, files: Iterable[_File]) -> Iterator[tuple]:
                     yield f.vendor, *text, _time(row.get("fetched_at")), body if body is None or isinstance(body, str) else json.dumps(body), f.path
 
 
+def _read(path: str, files: Iterable[_File]) -> Iterator[pa.RecordBatch]:
+    """The rows of some files, in batches of about `BATCH_BYTES`: Spark would gather rows by number, however long they are."""
+    import pyarrow as pa
+
+    types = [pa.timestamp("us", "UTC") if n == "fetched_at" else pa.string() for n in NAMES]
+    rows, held = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=NAMES)
+
+    for row in _rows(path, files):
+        rows.append(row)
+        # characters of more than one byte take up to four in memory
+        held += 500 + sum(sys.getsizeof(x) for x in row if isinstance(x, str))
+        if held >= BATCH_BYTES:
+            yield batch()
+            rows, held = [], 0
+    if rows:
+        yield batch()
+
+
 def _dealt(files: list[_File], size: int) -> list[InputPartition]:
     out, own, held = [], [], 0
     for f in files:
@@ -95,7 +124,7 @@ class LandedReader(DataSourceReader):
         # what a crawler fetched is never in a file that changed before
         return _dealt([f for f in _listed(self.path, self.vendors) if self.since is None or f.changed >= self.since], self.size)
 
-    def read(self, partition: InputPartition | None) -> Iterator[tuple]:
+    def read(self, partition: InputPartition | None) -> Iterator[pa.RecordBatch]:
         return _read(self.path, partition.value if partition else [])
 
 
@@ -117,7 +146,7 @@ class LandedStreamReader(DataSourceStreamReader):
         first, last = ((x["changed"], x["path"]) for x in (start, end))
         return _dealt([f for f in _listed(self.path) if first < (f.changed, f.path) <= last], self.size)
 
-    def read(self, partition: InputPartition | None) -> Iterator[tuple]:
+    def read(self, partition: InputPartition | None) -> Iterator[pa.RecordBatch]:
         return _read(self.path, partition.value if partition else [])
 
     def commit(self, end: dict) -> None:

@@ -77,3 +77,13 @@ def test_stream_equals_batch(spark, folder):
         run()
     whole = rows(postings(spark.read.format(L.FORMAT).load(path)))
     assert rows(spark.read.parquet(f"{folder}/out")) == whole and len(whole) == 38
+
+
+def test_memory_by_bytes(tmp_path):
+    """A task hands rows on when they are large enough together, not when they are many."""
+    long = [{"company": f"c{k}", "fetched_at": "2024-03-01T02:00:00+02:00", "body": "é" * 700_000} for k in range(12)]
+    land(tmp_path / "in", "lever", "long.json", long, START)
+    r = L.LandedReader({"path": f"file://{tmp_path}/in"})
+    batches = [b for p in r.partitions() for b in r.read(p)]
+    assert sum(b.num_rows for b in batches) == 12 and max(b.num_rows for b in batches) < 7
+    assert batches[0].to_pylist()[0]["fetched_at"] == datetime.datetime(2024, 3, 1, tzinfo=datetime.UTC)
