@@ -595,6 +595,26 @@ def test_two_hops(spark, docs, rows, monkeypatch):
     assert found.count() == parts and not found.where("here <> p").count()
 
 
+def written(spark):
+    """Bytes that shuffles have written so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("module, digest", [(substring_dedup, substring_digest), (suffix_dedup, suffix_digest)])
+def test_copies_are_told_by_hashes(spark, module, digest):
+    """Near copies in many chunks: beside the texts, shuffles write less than the texts' size."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(3000)]
+    texts = [rng.choices(words, k=2000) for _ in range(10)]
+    given = [(i, " ".join(texts[i % 10][: i % 7 * 300] + [f"number{i}"] + texts[i % 10][i % 7 * 300 :])) for i in range(100)]
+    df, before = spark.createDataFrame(given, "doc_id long, text string").repartition(10), written(spark)
+    found = got(module.removal_digest(df))
+    assert written(spark) - before < 2 * sum(len(t) for _, t in given)
+    same(found, digest(given))
+
+
 def test_copies_merge_on_the_way():
     """Packets of one shard from many chunks: the common segment stays once, the other documents are answered."""
     segs = pa.array([b"one two ", b"three "], pa.binary())
